@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, quality, simhash
-from .common import table
+from . import bpe, linededup, pii, quality, simhash, tokens
+from .common import shared_folder, table
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.protect(table(spark, sf_dir, "documents").select("doc_id", "text"), b"op3 demonstration key, not secret")
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    done = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, decoded=True, carry=["doc_id"])
+    numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return done.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,17 +28,29 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "text", "n_lines", "removed_lines")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = tokens.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "tokens")
+    manifest = tokens.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
+    done = tokens.read_token_files(spark, manifest, folder)
+    return done.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = quality.clean_lines(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_removed")
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op7_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_pii, op4_byte_bpe, op5_line_dedup, op6_packing, op7_simhash, op9_token_files, op10_quality)}
 
 ORACLES = {
     # runs of at most 5 lines are enough: longer ones are unions of those, as a line has a word at least
