@@ -6,10 +6,45 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, pii, quality, simhash, tokens
+from . import bpe, chat, linededup, orderhash, pii, quality, simhash, tokencount, tokens
 from .common import shared_folder, table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], turns.schema)
+    done = chat.read_back(chat.format_chats(turns.unionByName(more)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    learnt = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: chat.unescape(s["text"])), "")
+    done = done.select("conv_id", "valid", "formatted", F.size("turns").cast("long").alias("n_turns"), said.alias("said"), learnt.alias("learnt"))
+    return done.select(
+        "conv_id",
+        "n_turns",
+        F.sha2("said", 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+    )
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts, revised counts, deletes of later exact copies, and batches that come twice, over all documents."""
+    docs = table(spark, sf_dir, "documents")
+    insert, final, size = (tokencount.counted(docs, v, rule=r) for v, r in (("words-1", "pieces-1"), ("words-1", None), ("bytes-1", None)))
+    firsts = docs.groupBy(F.sha2("text", 256).alias("same")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    copies = docs.join(firsts, "doc_id", "left_anti")
+    gone = tokencount.deletes(tokencount.counted(copies, "words-1").unionByName(tokencount.counted(copies, "bytes-1")))
+    rollup = tokencount.Rollup(spark, shared_folder(spark, "token-counts"))
+    rollup.commit("1 insert", insert.unionByName(size))
+    rollup.commit("2 revise", tokencount.revisions(insert, final))
+    rollup.commit("1 insert", insert.unionByName(size))
+    rollup.commit("3 delete", gone)
+    rollup.commit("3 delete", gone)
+    return rollup.totals()
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.protect(table(spark, sf_dir, "documents").select("doc_id", "text"), b"op3 demonstration key, not secret")
 
@@ -38,6 +73,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return orderhash.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
     manifest = tokens.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder)
@@ -50,9 +89,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_removed")
 
 
-QUERIES = {f.__name__: f for f in (op3_pii, op4_byte_bpe, op5_line_dedup, op6_packing, op7_simhash, op9_token_files, op10_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_token_counts, op3_pii, op4_byte_bpe, op5_line_dedup,
+        op6_packing, op7_simhash, op8_order_minhash, op9_token_files, op10_quality,
+    )
+}
 
 ORACLES = {
+    "op1_chat_format": r"""
+        WITH t AS (
+          SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+          UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(length('<|' || role || '|>') + 1 + length(text) + length(regexp_replace(text, '[^\\<\[]', '', 'g'))
+                   + length('<|end|>') + 1)::BIGINT AS formatted_chars,
+               regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?user(,assistant,user)*(,assistant)?') AS valid
+        FROM t GROUP BY conv_id""",
+    "op2_token_counts": r"""
+        WITH firsts AS (
+          SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)
+        SELECT source, lang, 'words-1' AS tokenizer, count(*) AS docs,
+               sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))::BIGINT AS tokens
+        FROM firsts GROUP BY source, lang
+        UNION ALL
+        SELECT source, lang, 'bytes-1', count(*), sum(strlen(text))::BIGINT FROM firsts GROUP BY source, lang""",
     # runs of at most 5 lines are enough: longer ones are unions of those, as a line has a word at least
     "op5_line_dedup": r"""
         WITH lines AS (
