@@ -1,4 +1,6 @@
 """Queries over the driver's tables and their DuckDB twins, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import timeseries
+
+QUERIES: dict = {**timeseries.QUERIES}
+ORACLES: dict = {**timeseries.ORACLES}
