@@ -88,12 +88,13 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     placed = checkpoint(with_order(own.select("row", "doc_id", "n_chars"), "doc_id", "row", name="at"))
     total = placed.count()
     after = placed.select(((F.col("at") + 1) % max(1, total)).alias("at"), F.col("row").alias("next"))
-    pairs = placed.join(after, "at").select("row", "next", F.floor(F.col("n_chars") / 3).cast("int").alias("cut"))
+    pairs = placed.join(after, "at").select(F.col("row").alias("own"), "next", F.floor(F.col("n_chars") / 3).cast("int").alias("cut"))
     texts = rows.select("row", "text")
-    starts = texts.withColumnRenamed("row", "next").join(pairs, "next").select("row", "next", "cut", F.substring("text", F.lit(1), F.col("cut")).alias("start"))
+    # the two joins take the same exchange of texts by row, so it is made once
+    starts = texts.join(pairs, F.col("row") == F.col("next")).select("own", "next", "cut", F.substring("text", F.lit(1), F.col("cut")).alias("start"))
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - F.col("cut")), F.col("start"))
     made = let(edited, lambda e: F.struct(F.sha2(e.cast("binary"), 256).alias("sha"), signature(e).alias("sig")))
-    both = texts.join(starts, "row").select("row", "next", made.alias("edited"))
+    both = texts.join(starts, F.col("row") == F.col("own")).select("row", "next", made.alias("edited"))
     both = both.join(own, "row").join(own.select(F.col("row").alias("next"), F.col("sig").alias("next_sig")), "next")
     return both.select(
         "doc_id",

@@ -1,6 +1,6 @@
 """Queries over the driver's tables and their DuckDB twins, by name."""
 
-from . import timeseries
+from . import metadata, signals, timeseries
 
-QUERIES: dict = {**timeseries.QUERIES}
-ORACLES: dict = {**timeseries.ORACLES}
+QUERIES: dict = {**timeseries.QUERIES, **metadata.QUERIES, **signals.QUERIES}
+ORACLES: dict = {**timeseries.ORACLES, **metadata.ORACLES, **signals.ORACLES}
