@@ -76,8 +76,10 @@ def later_copies(seq: DataFrame, min_words: int) -> DataFrame:
         mine = runs.where(F.col("size").between(span, 2 * span - 1))
         left = mine.join(level.select("at", F.col("rank").alias("x")), "at")
         right = level.select(F.col("at").alias("tail"), F.col("rank").alias("y"))
-        both = left.withColumn("tail", F.col("at") + F.col("size") - span).join(right, "tail").select("at", "size", "x", "y")
-        least = both.groupBy("size", "x", "y").agg(F.min("at").alias("first"))
+        both = checkpoint(left.withColumn("tail", F.col("at") + F.col("size") - span).join(right, "tail").select("at", "size", "x", "y"))
+        least = both.groupBy("size", "x", "y").agg(F.count("*").alias("__n"), F.min("at").alias("first")).where("__n > 1").drop("__n")
+        # written, so that both sides of the join are plain shuffles and the partition of a common run can be split
+        least = checkpoint(least)
         later = both.join(least, ["size", "x", "y"]).where("at > first").select("at", "size")
         found = later if found is None else found.union(later)
         if 2 * span > min_words:
