@@ -35,7 +35,8 @@ def _sequence(rows: DataFrame) -> DataFrame:
         F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("n"))
     )
     full = rows.select("doc_id", "__row", F.filter(lines, lambda x: x["n"] > 0).alias("lines")).where(F.size("lines") > 0)
-    placed = with_order(full, "doc_id", "__row", name="order")
+    # written, as the range shuffle reads its input twice
+    placed = with_order(checkpoint(full), "doc_id", "__row", name="order")
     each = placed.select("order", "__row", F.posexplode("lines").alias("i", "x"))
     at = F.shiftleft(F.col("order"), LINE_BITS) + F.col("i")
     return each.select(at.alias("at"), "__row", "x.line", "x.a", "x.b", "x.n")
