@@ -47,8 +47,10 @@ def analytic(x: np.ndarray) -> np.ndarray:
 
 
 def line_removed(x: np.ndarray) -> np.ndarray:
+    """The residuals of x after a line; of a line itself exactly zero, not its rounding errors."""
     t = np.arange(len(x))
-    return x - np.polyval(np.polyfit(t, x, 1), t) if len(x) > 1 else x - x
+    rest = x - np.polyval(np.polyfit(t, x, 1), t) if len(x) > 1 else x - x
+    return rest if rest.std() > 1e-9 * np.abs(x).max(initial=0.0) else np.zeros(len(x))
 
 
 def standardised(x: np.ndarray) -> np.ndarray:

@@ -37,14 +37,14 @@ def flag_lookup(spark, sf):
     s = samples(spark, sf)
     trials = s.select("sensor", "n", "event_id")
     flags = s.where("event_type in ('error', 'signup')").select((F.col("sensor") + 1).alias("sensor"), F.col("event_type").alias("flag"), F.col("t").alias("__t"))
-    out = pairing.lookup(trials, flags.where("sensor % 3 <> 0"), ["sensor"], ["flag"], "__t")
+    out = pairing.lookup(trials, flags, ["sensor"], ["flag"], "__t")
     return out.groupBy("sensor", "flag").agg(F.count("*").alias("n"))
 
 
 def two_stage_lookup(spark, sf):
     """By file name, else by key: suppliers named in one list, then by nation."""
     c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
-    named = s.where("s_suppkey % 2 = 0").select(F.regexp_replace("s_name", "Supplier", "Customer").alias("c_name"), F.col("s_acctbal").alias("by_name"))
+    named = s.where("s_acctbal >= 0").select(F.regexp_replace("s_name", "Supplier", "Customer").alias("c_name"), F.col("s_acctbal").alias("by_name"))
     keyed = s.groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.max("s_acctbal").alias("by_key"))
     out = c.join(named, "c_name", "left").join(F.broadcast(keyed), "c_nationkey", "left")
     source = F.when(F.col("by_name").isNotNull(), "name").when(F.col("by_key").isNotNull(), "key").otherwise("none")
@@ -52,7 +52,7 @@ def two_stage_lookup(spark, sf):
 
 
 def nearest_session(spark, sf):
-    """Each purchase with the nearest error of its user within an hour."""
+    """Each purchase with the nearest error of its user within six hours."""
     s = samples(spark, sf)
     left = s.where("event_type = 'purchase'").select("event_id", "sensor", "t")
     right = s.where("event_type = 'error'").select("sensor", F.col("t").alias("error_t"), F.col("event_id").alias("error_id"))
@@ -62,7 +62,7 @@ def nearest_session(spark, sf):
 
 def scored_anchors(spark, sf):
     """Each click with the sign-up that has the least score of time and place in its user's series."""
-    s = samples(spark, sf).where("sensor < 40")
+    s = samples(spark, sf)
     place = (F.col("sensor") * 100000 + F.col("n")).alias
     rows = s.where("event_type = 'click'").select(place("i"), F.col("t").alias("start"), (F.col("t") + 600).alias("end"))
     anchors = s.where("event_type = 'signup'").select(place("j"), F.col("t").alias("at"))
@@ -115,7 +115,7 @@ def nearest_mean(spark, sf):
 
 def greedy_matching(spark, sf):
     """Sessions of a day matched one to one: sign-ups to purchases by time."""
-    s = samples(spark, sf).where("sensor < 30").withColumn("day", F.floor(F.col("t") / 86400).cast("long"))
+    s = samples(spark, sf).withColumn("day", F.floor(F.col("t") / 86400).cast("long"))
     a = s.where("event_type = 'signup'").select("day", F.col("event_id").alias("left"), F.col("t").alias("ta"))
     b = s.where("event_type = 'purchase'").select("day", F.col("event_id").alias("right"), F.col("t").alias("tb"))
     met = a.join(b, "day").withColumn("score", F.abs(F.col("ta") - F.col("tb"))).where("score <= 7200")
@@ -317,15 +317,15 @@ ORACLES = {
     "enrichment": """WITH f AS (SELECT l_orderkey, l_suppkey, sum(l_quantity) AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)
         SELECT o_orderstatus, count(*) AS n, count(q) AS n_found, round(sum(q), 2) AS quantity FROM lineitem LEFT JOIN f USING (l_orderkey, l_suppkey)
         LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY o_orderstatus""",
-    "flag_lookup": f"""WITH {SAMPLES}, f AS (SELECT sensor + 1 AS sensor, arg_max(event_type, t) AS flag FROM samples WHERE event_type IN ('error', 'signup') AND (sensor + 1) % 3 <> 0 GROUP BY sensor)
+    "flag_lookup": f"""WITH {SAMPLES}, f AS (SELECT sensor + 1 AS sensor, arg_max(event_type, t) AS flag FROM samples WHERE event_type IN ('error', 'signup') GROUP BY sensor)
         SELECT sensor, coalesce(flag, 'missing') AS flag, count(*) AS n FROM samples LEFT JOIN f USING (sensor) GROUP BY ALL""",
     "two_stage_lookup": """SELECT c_custkey, coalesce(s.s_acctbal, k.b) AS value, CASE WHEN s.s_acctbal IS NOT NULL THEN 'name' WHEN k.b IS NOT NULL THEN 'key' ELSE 'none' END AS source
-        FROM customer LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) s ON c_name = replace(s_name, 'Supplier', 'Customer')
+        FROM customer LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal >= 0) s ON c_name = replace(s_name, 'Supplier', 'Customer')
         LEFT JOIN (SELECT s_nationkey, max(s_acctbal) AS b FROM supplier GROUP BY ALL) k ON c_nationkey = k.s_nationkey""",
     "nearest_session": f"""WITH {SAMPLES}, m AS (SELECT p.event_id, e.event_id AS error_id, abs(p.t - e.t) AS d FROM samples p JOIN samples e ON p.sensor = e.sensor AND e.event_type = 'error'
           AND abs(p.t - e.t) <= 21600 WHERE p.event_type = 'purchase'), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, error_id) = 1)
         SELECT s.event_id, coalesce(error_id, -1) AS error_id, round(d, 3) AS distance FROM samples s LEFT JOIN b USING (event_id) WHERE s.event_type = 'purchase'""",
-    "scored_anchors": f"""WITH {SAMPLES}, s AS (SELECT *, sensor * 100000 + n AS p FROM samples WHERE sensor < 40), m AS (
+    "scored_anchors": f"""WITH {SAMPLES}, s AS (SELECT *, sensor * 100000 + n AS p FROM samples), m AS (
           SELECT c.p AS i, a.p AS j, least(abs(a.t - c.t), abs(a.t - (c.t + 600))) + 5.0 * abs(c.p - a.p) AS score FROM s c JOIN s a ON a.sensor = c.sensor AND abs(c.p - a.p) <= 12
           WHERE c.event_type = 'click' AND a.event_type = 'signup')
         SELECT i, j, round(score::DOUBLE, 3) AS score FROM m QUALIFY row_number() OVER (PARTITION BY i ORDER BY score, j) = 1""",

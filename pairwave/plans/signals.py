@@ -67,7 +67,7 @@ def correlation_p(spark, sf):
 
 def surrogates(spark, sf):
     """Normalised transfer entropy of trials of four days against 100 permutations."""
-    d = dyads(spark, sf).where("dyad < 8").withColumn("block", F.floor(F.col("k") / 96))
+    d = dyads(spark, sf).withColumn("block", F.floor(F.col("k") / 96))
     z = d.select("dyad", "block", "k", series.zscore("a", ["dyad", "block"], 0).alias("a"), series.zscore("b", ["dyad", "block"], 0).alias("b")).where("a is not null and b is not null")
     out = transfer.surrogate_test(z, ["dyad", "block"], "k", surrogates=100, shuffles=20, chunk=50)
     return out.select("dyad", "block", "n", *_r("nste", "null_mean", "null_sd", "z", "p"))
@@ -91,7 +91,7 @@ def split_spread(spark, sf):
 
 def ecg_peaks(spark, sf):
     """R peaks of a made ECG a sensor: a beat for each event, spaced by its value, at 128 Hz."""
-    s = samples(spark, sf).where("n <= 40 and sensor < 20")
+    s = samples(spark, sf)
 
     def kernel(n: np.ndarray, x: np.ndarray) -> list[dict]:
         fs = 128.0
@@ -113,7 +113,8 @@ ORACLES = {
     # the analytic signal as a circular convolution with the discrete Hilbert kernel
     "phase_metrics": f"""WITH {DYADS}, p AS (SELECT dyad, trial, row_number() OVER w - 1 AS i, count(*) OVER v AS n, a, b FROM dyads WINDOW w AS (PARTITION BY dyad, trial ORDER BY k), v AS (PARTITION BY dyad, trial)),
         l AS (SELECT dyad, trial, regr_slope(a, i) AS sa, regr_intercept(a, i) AS ia, regr_slope(b, i) AS sb, regr_intercept(b, i) AS ib FROM p GROUP BY ALL),
-        q AS (SELECT dyad, trial, i, n, a - ia - sa * i AS a, b - ib - sb * i AS b FROM p JOIN l USING (dyad, trial) WHERE n >= 10),
+        q AS (SELECT dyad, trial, i, n, a - ia - sa * i AS a, b - ib - sb * i AS b FROM p JOIN l USING (dyad, trial) WHERE n >= 10
+          WINDOW v AS (PARTITION BY dyad, trial) QUALIFY stddev_pop(p.a - ia - sa * i) OVER v > 1e-9 * max(abs(p.a)) OVER v AND stddev_pop(p.b - ib - sb * i) OVER v > 1e-9 * max(abs(p.b)) OVER v),
         h AS (SELECT x.dyad, x.trial, x.i, x.n, any_value(x.a) AS a, any_value(x.b) AS b, sum(y.a * g) AS ha, sum(y.b * g) AS hb FROM (
             SELECT x.*, y.a AS ya, y.b AS yb, y.i AS yi, (x.i - y.i + x.n) % x.n AS m FROM q x JOIN q y ON y.dyad = x.dyad AND y.trial = x.trial) x
           JOIN q y ON y.dyad = x.dyad AND y.trial = x.trial AND y.i = x.yi, LATERAL (SELECT CASE WHEN m = 0 THEN 0 WHEN x.n % 2 = 0 THEN CASE WHEN m % 2 = 1 THEN 2.0 / x.n * cot(pi() * m / x.n) ELSE 0 END

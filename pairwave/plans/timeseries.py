@@ -49,7 +49,7 @@ def scores(spark, sf):
 
 
 def detrended(spark, sf):
-    return series.detrended(samples(spark, sf), ["sensor"], "x", "n", "rest").select("sensor", "n", *_r("rest", digits=4))
+    return series.detrended(samples(spark, sf), ["sensor"], "x", "n", "rest").select("sensor", "n", *_r("rest", digits=7))
 
 
 def gap_filled(spark, sf):
@@ -231,7 +231,7 @@ ORACLES = {
     "scores": f"""WITH {SAMPLES} SELECT sensor, n, round((x - avg(x) OVER w) / stddev_samp(x) OVER w, 6) + 0.0::DOUBLE AS z_sample,
         round((x - avg(x) OVER w) / stddev_pop(x) OVER w, 6) + 0.0::DOUBLE AS z_population FROM samples WINDOW w AS (PARTITION BY sensor)""",
     "detrended": f"""WITH {SAMPLES}, line AS (SELECT sensor, regr_slope(x, n) AS b, regr_intercept(x, n) AS a FROM samples GROUP BY sensor)
-        SELECT sensor, n, round(x - a - b * n, 4) + 0.0::DOUBLE AS rest FROM samples JOIN line USING (sensor)""",
+        SELECT sensor, n, round(x - a - b * n, 7) + 0.0::DOUBLE AS rest FROM samples JOIN line USING (sensor)""",
     "gap_filled": f"""WITH {SAMPLES}, known AS (SELECT sensor, n, x FROM samples WHERE event_type NOT IN ('error', 'signup'))
         SELECT s.sensor, s.n, round(CASE WHEN p.n IS NULL THEN q.x WHEN q.n IS NULL OR p.n = q.n THEN p.x
                 ELSE p.x + (s.n - p.n) * (q.x - p.x) / (q.n - p.n) END, 6) AS filled
