@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from .common import checkpoint
 
 #: Pieces that an encoder remembers; their IDs are at most 8 times as many.
-MOST_PIECES = 200_000
+MOST_PIECES = 400_000
 #: Bytes of text that are encoded, and of IDs that are passed on, at a time.
 AT_ONCE = 1 << 20
 
