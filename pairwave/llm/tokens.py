@@ -63,7 +63,8 @@ class Pieces:
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
         self.sizes[first : first + len(ids)] = sizes
         self.starts[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((x for e in ids for x in e), np.int32, total)
+        flat = np.concatenate(ids) if isinstance(ids[0], np.ndarray) else np.fromiter((x for e in ids for x in e), np.int32, total)
+        self.flat[self.used : self.used + total] = flat
         self.used += total
         self.number.update(zip(pieces, range(first, first + len(pieces))))
 
