@@ -185,12 +185,14 @@ class Codec:
             self.tokens[rank] = token
         self.pieces = Pieces(self._learn)
 
-    def _learn(self, pieces: list[str | tuple[str]]) -> list[np.ndarray]:
+    def _learn(self, pieces: list[str | tuple[str]]) -> tuple[np.ndarray, np.ndarray]:
         """IDs of pieces, the stretches of a text between two cuts: the first in a tuple, the others without their space."""
         cut = [self.find(p[0] if isinstance(p, tuple) else " " + p) for p in pieces]
         words = list({w for c in cut for w in c})
         ids = dict(zip(words, self.merger.merge([w.encode("utf-8", "surrogatepass") for w in words])))
-        return [ids[c[0]] if len(c) == 1 else np.concatenate([ids[w] for w in c]) if c else np.zeros(0, np.int32) for c in cut]
+        parts = [ids[w] for c in cut for w in c]
+        sizes = np.fromiter((sum(len(ids[w]) for w in c) for c in cut), np.int64, len(cut))
+        return np.concatenate(parts) if parts else np.zeros(0, np.int32), sizes
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The int32 IDs of each text."""

@@ -24,6 +24,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,9 @@ AT_ONCE = 1 << 20
 
 
 class Pieces:
-    """A bounded table of the IDs of pieces of text; learn(pieces) gives the IDs of new ones."""
+    """A bounded table of the IDs of pieces of text; learn(pieces) gives all IDs of new ones in turn, and how many each has."""
 
-    def __init__(self, learn: Callable[[list], list]):
+    def __init__(self, learn: Callable[[list], tuple[np.ndarray, np.ndarray]]):
         self.learn = learn
         self._forget()
 
@@ -54,16 +55,14 @@ class Pieces:
         self.flat, self.used = np.zeros(1 << 14, np.int32), 0
 
     def _add(self, pieces: list) -> None:
-        ids = self.learn(pieces)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        first, total = len(self.number), int(sizes.sum())
-        while first + len(ids) > len(self.starts):
+        flat, sizes = self.learn(pieces)
+        first, total = len(self.number), len(flat)
+        while first + len(sizes) > len(self.starts):
             self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
         while self.used + total > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        self.sizes[first : first + len(ids)] = sizes
-        self.starts[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        flat = np.concatenate(ids) if isinstance(ids[0], np.ndarray) else np.fromiter((x for e in ids for x in e), np.int32, total)
+        self.sizes[first : first + len(sizes)] = sizes
+        self.starts[first : first + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + total] = flat
         self.used += total
         self.number.update(zip(pieces, range(first, first + len(pieces))))
@@ -85,8 +84,16 @@ class Pieces:
         return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+#: A character that stands between pieces when they are encoded together, and how many are.
+MARK, TOGETHER = "\x01", 1000
+
+
 class Encoder:
-    """IDs of whole texts by a vocabulary file of the tokenizers library, as without special tokens."""
+    """IDs of whole texts by a vocabulary file of the tokenizers library, as without special tokens.
+
+    New pieces are encoded together, as one text with a mark between them. The vocabularies are of bytes, and the mark's
+    byte occurs in no other character, so the mark's ID ends each piece; a piece that holds the mark is encoded alone.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -96,15 +103,37 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.pieces = Pieces(self._learn)
 
-    def _learn(self, pieces: list[bytes]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        return [e.ids for e in found]
+        self.mark = self._ids([MARK])[0]
+
+    def _ids(self, texts: list[str]) -> np.ndarray:
+        return np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        own = {i: self._ids([t]) for i, t in enumerate(texts) if MARK in t}
+        texts = ["" if i in own else t for i, t in enumerate(texts)] if own else texts
+        between = f" {MARK} "
+        ids = self._ids([between.join(texts[a : a + TOGETHER]) + between for a in range(0, len(texts), TOGETHER)])
+        ends = np.flatnonzero(ids == self.mark)
+        sizes = np.diff(ends, prepend=-1) - 1
+        if len(sizes) != len(pieces):
+            raise ValueError("the vocabulary does not keep marked pieces apart")
+        if not own:
+            return np.delete(ids, ends), sizes
+        parts = [own.get(i, ids[e - n : e]) for i, (e, n) in enumerate(zip(ends.tolist(), sizes.tolist()))]
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The int32 IDs of each text."""
         return self.pieces.ids([(t or "").encode("utf-8", "surrogatepass").split() for t in texts])
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for all tasks that a worker runs in turn, so common pieces are learnt once."""
+    return Encoder(path)
+
+
 def slices(sizes: list[int], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
     """Ranges of neighbours of about most bytes in all."""
     begin, total = 0, 0
@@ -119,11 +148,11 @@ def slices(sizes: list[int], most: int = AT_ONCE) -> Iterator[tuple[int, int]]:
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """(ids of documents, their token IDs with the end ID) of a part at a time; batches have doc_id and text."""
-    encoder = Encoder(path)
+    encode = encoder(path).encode
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
         for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
-            found = encoder.encode(texts.slice(a, b - a).to_pylist())
+            found = encode(texts.slice(a, b - a).to_pylist())
             yield ids[a:b], [np.append(x, np.int32(end)) for x in found]
 
 

@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -87,11 +88,17 @@ def quality(text):
     return n, sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text), sum(x in full[:i] for i, x in enumerate(full)), len(marked), n < 50 or 100 * len(marked) > 50 * n
 
 
-def token_ids(texts):
+@lru_cache(maxsize=1)
+def _tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     t.encode_special_tokens = True
+    return t
+
+
+def token_ids(texts):
+    t = _tokenizer()
     return [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4") for x in texts]
 
 

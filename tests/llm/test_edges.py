@@ -268,6 +268,16 @@ def test_packing(odd, empty):
         tokens.pack(odd, path, longest=3000)
 
 
+WORD_BPE = tokens.Encoder(P.path("word_bpe_49k.json"))
+
+
+@given(st.lists(st.text(st.sampled_from("ab '\x01\n\u0301.7") | st.characters(exclude_categories=["Cs"]), max_size=30), min_size=1, max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_pieces_are_encoded_as_whole_texts(texts):
+    want = brute.token_ids(texts)
+    assert [x.tolist() for x in WORD_BPE.encode(texts)] == [x.tolist() for x in want]
+
+
 @given(st.integers(0, 100_000), st.sampled_from([1, 2, 64, 4096]))
 def test_powers_of_two(n, longest):
     parts = tokens.pieces_of(n, longest)
