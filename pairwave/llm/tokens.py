@@ -25,6 +25,7 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -70,10 +71,12 @@ class Pieces:
     def ids(self, cut: list[list]) -> list[np.ndarray]:
         """The int32 IDs of texts that are given as lists of pieces."""
         pieces = [p for c in cut for p in c]
-        new = {p for p in pieces if p not in self.number}
-        if new:
-            self._add(list(new))
-        rows = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        rows = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            lacking = [pieces[i] for i in new.tolist()]
+            self._add(list(dict.fromkeys(lacking)))
+            rows[new] = np.fromiter(map(self.number.__getitem__, lacking), np.int64, len(lacking))
         sizes = self.sizes[rows]
         ends = np.concatenate(([0], np.cumsum(sizes)))
         out = self.flat[np.repeat(self.starts[rows] - ends[:-1], sizes) + np.arange(ends[-1])]
