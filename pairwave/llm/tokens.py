@@ -26,6 +26,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import repeat
+from string import ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +108,7 @@ class Encoder:
         self.pieces = Pieces(self._learn)
 
         self.mark = self._ids([MARK])[0]
+        self.folds = all(self._ids([c]).tolist() == self._ids([c.lower()]).tolist() for c in ascii_uppercase)
 
     def _ids(self, texts: list[str]) -> np.ndarray:
         return np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
@@ -128,7 +130,14 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The int32 IDs of each text."""
-        return self.pieces.ids([(t or "").encode("utf-8", "surrogatepass").split() for t in texts])
+        return self.pieces.ids([self._folded((t or "").encode("utf-8", "surrogatepass")).split() for t in texts])
+
+    def _folded(self, raw: bytes) -> bytes:
+        """Capitals as small letters where the vocabulary takes them alike, so that fewer pieces differ.
+
+        A text with combining marks (U+0300 to U+037F begin with these bytes) stays: some compose with small letters only.
+        """
+        return raw.lower() if self.folds and b"\xcc" not in raw and b"\xcd" not in raw else raw
 
 
 @lru_cache(maxsize=2)

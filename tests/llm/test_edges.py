@@ -271,7 +271,7 @@ def test_packing(odd, empty):
 WORD_BPE = tokens.Encoder(P.path("word_bpe_49k.json"))
 
 
-@given(st.lists(st.text(st.sampled_from("ab '\x01\n\u0301.7") | st.characters(exclude_categories=["Cs"]), max_size=30), min_size=1, max_size=5))
+@given(st.lists(st.text(st.sampled_from("abHST '\x01\n\u0301\u0331.7İ") | st.characters(exclude_categories=["Cs"]), max_size=30), min_size=1, max_size=5))
 @settings(max_examples=200, deadline=None)
 def test_pieces_are_encoded_as_whole_texts(texts):
     want = brute.token_ids(texts)
