@@ -226,9 +226,10 @@ def encode_block(values: np.ndarray, percentile: float = 95.0) -> bytes:
     """One block of up to BLOCK unsigned 32-bit values, at least one."""
     low = int(values.min())
     rest = values.astype(np.int64) - low
-    width = int(np.percentile(rest, percentile, method="higher")).bit_length()
+    at = int(np.ceil(percentile / 100 * (len(rest) - 1)))
+    width = int(np.partition(rest, at)[at]).bit_length()
     odd = np.flatnonzero(rest >> width)
-    bits = ((rest[:, None] >> np.arange(width)) & 1).astype(np.uint8)
+    bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
     head = np.array([(low, width, 0, len(values), len(odd))], _HEAD)
     return b"".join((head.tobytes(), np.packbits(bits, bitorder="little").tobytes(), odd.astype("<u2").tobytes(), rest[odd].astype("<u4").tobytes()))
 
