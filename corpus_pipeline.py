@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwave.llm import linededup, pii, quality, simhash, tokens
+from pairwave.llm import linededup, pii, quality, shingles, tokens
 from pairwave.llm.common import shared_folder, table
 
 #: The pipeline's key for pseudonyms. A real run sets its own secret here.
@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, by shingles of five words, stays."""
-    return simhash.keep_one(docs, words=5)
+    """One document of each group of near copies (similarity of five-word shingles 0.8 or more) stays."""
+    return shingles.keep_one(docs, words=5, least=0.8)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
