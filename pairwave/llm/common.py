@@ -38,6 +38,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """df cut into partitions once, for rows that are numbered by partition and read more than once.
+
+    A scan planned anew may cut the files otherwise (the size of a split depends on the cores registered then) and number
+    the rows otherwise; every use of the returned frame reads the same file ranges by the same partition numbers, also
+    when a task is run again. Nothing is read or written here.
+    """
+    spark = df.sparkSession
+    rows = df._jdf.queryExecution().toRdd()
+    rows.partitions()
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, however often the body (or a lambda in it) uses it."""
     return F.get(F.transform(F.array(value), body), 0)

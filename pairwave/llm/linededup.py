@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, let, with_order
+from .common import WORD, checkpoint, let, pinned, with_order
 
 #: Bits of a place in the sequence that number the line in its document.
 LINE_BITS = 27
@@ -106,10 +106,10 @@ def _without(text: Column, gone: Column) -> Column:
 def remove_repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """docs with text without later copies of line runs; n_lines, removed_lines (long) and removed_runs.
 
-    removed_runs: (start, lines) of each stretch of deleted lines, by line number in the given text. docs must be read
-    alike every time (a written table, for example): its rows are numbered as they are read.
+    removed_runs: (start, lines) of each stretch of deleted lines, by line number in the given text. The rows
+    of docs are numbered in partitions fixed at the call, so docs must give each partition alike every time.
     """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = pinned(docs).withColumn("__row", F.monotonically_increasing_id())
     seq = checkpoint(_sequence(rows))
     gone = seq.join(later_copies(seq, min_words), "at").groupBy("__row").agg(F.sort_array(F.collect_list("line")).alias("__gone"))
     joined = rows.join(gone, "__row", "left")

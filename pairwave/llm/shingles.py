@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components
+from .common import checkpoint, components, pinned
 
 BANDS, ROWS = 24, 5
 _MIX = np.random.default_rng(448).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
@@ -112,9 +112,9 @@ def _linked(buckets: DataFrame, held: DataFrame, least: float) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """One row of docs for each group linked by similarities of least or more: of its smallest doc_id the first as read.
 
-    docs must be read alike every time (a written table, for example): its rows are numbered as they are read.
+    The rows of docs are numbered in partitions fixed at the call, so docs must give each partition alike every time.
     """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = pinned(docs).withColumn("__row", F.monotonically_increasing_id())
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
     sets = checkpoint(_sketches(rows, words).groupBy("set").agg(F.min(first).alias("first"), F.first("keys").alias("keys")))
     keyed = sets.select(F.explode("keys").alias("key"), "set")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, components
+from .common import checkpoint, components, pinned
 
 BITS, SLACK = 4, 1
 PARTS = ((0, 21), (21, 21), (42, 22))
@@ -205,9 +205,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFr
 def keep_one(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
     """One row of docs for each component: of those with its smallest doc_id the first as docs is read.
 
-    docs must be read alike every time (a written table, for example): its rows are numbered as they are read.
+    The rows of docs are numbered in partitions fixed at the call, so docs must give each partition alike every time.
     """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = pinned(docs).withColumn("__row", F.monotonically_increasing_id())
     fps = checkpoint(fingerprints(rows, words, ("doc_id", "__row")))
     kept = classes(fps, bits).where(F.col("first.__row") == F.col("__row")).select("__row")
     return rows.join(kept, "__row", "left_semi").select(*docs.columns)
