@@ -1,13 +1,15 @@
 """Format-preserving pseudonyms for personal data: a keyed Feistel network permutes validated values within their format.
 
 A value found in a text is validated (card numbers and IBANs by their check digits, addresses by the range of their
-octets, dates by the calendar, social security numbers by the areas in use), normalised, and permuted within all values
+octets, dates by the calendar, IBANs also by their country's length, social security numbers by the areas in use), normalised, and permuted within all values
 of its format under the key. The result is again valid and keeps punctuation and length. Equal values, however written,
 get equal pseudonyms in every document, and unequal values of one format unequal ones, without any table of values; so
 there is no shuffle and nothing grows with the data. Whoever has the key can undo it (``undo=True``).
 
 Defined cases: a null text stays null and an empty one empty, both with n_found 0; a value that fails validation is left
-as it is; repeated rows get the same text; an empty table gives an empty table; input columns are passed through, and one
+as it is, and the search goes on after its first character; a value within such a match, or a date with slashes that must
+be read day first, is permuted among those that undo finds again, so its pseudonym may differ from that of the value
+elsewhere; repeated rows get the same text; an empty table gives an empty table; input columns are passed through, and one
 named n_found is replaced.
 """
 
@@ -93,7 +95,28 @@ def _card(f: Feistel, s: str) -> str | None:
     return _refill(s, next(body + c for c in DIGITS if luhn(body + c)))
 
 
+#: Characters of an IBAN by country.
+_IBAN = {
+    c: n
+    for n, names in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+        28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in names.split()
+}
+
+
 def _iban(f: Feistel, s: str) -> str | None:
+    """The new IBAN alone, which may end before s: the country tells its length, and s may run into the words that follow."""
+    if s[:2] in _IBAN:
+        ends = [i for i, c in enumerate(s, 1) if c != " "]
+        if len(ends) < _IBAN[s[:2]]:
+            return None
+        end = ends[_IBAN[s[:2]] - 1]
+        if s[end : end + 1].isalnum():
+            return None
+        s = s[:end]
     flat = s.replace(" ", "")
     number = lambda x: int("".join(str(int(c, 36)) for c in x))
     if not 15 <= len(flat) <= 34 or number(flat[4:] + flat[:4]) % 97 != 1:
@@ -108,12 +131,12 @@ def _iban(f: Feistel, s: str) -> str | None:
 
 
 def _phone(f: Feistel, s: str) -> str | None:
-    lead = re.match(r"\+\d{1,3}(?=\D)", s)
+    lead = re.match(r"\+\d{1,3}(?=\D)|1(?=[ .\-])", s)
     head = lead[0] if lead else ""
     digits = re.sub(r"\D", "", s[len(head) :])
     if not 7 <= len(digits) <= 14:
         return None
-    return head + _refill(s[len(head) :], f.text(digits, DIGITS, "phone" + head))
+    return head + _refill(s[len(head) :], f.text(digits, DIGITS, "phone" + ("+1" if head == "1" else head)))
 
 
 def _ip(f: Feistel, s: str) -> str | None:
@@ -157,6 +180,19 @@ def _date(order: str) -> Callable[[Feistel, str], str | None]:
     return change
 
 
+_MONTH_FIRST, _DAY_FIRST = _date("mdy"), _date("dmy")
+
+
+def _slashes(f: Feistel, s: str) -> str | None:
+    """Month first where the calendar allows it, else day first, permuted among the dates that can only be read so."""
+    made = _MONTH_FIRST(f, s)
+    if made is None:
+        made = _DAY_FIRST(f, s)
+        while made is not None and int(made[3:5]) and int(made[:2]) <= 12:
+            made = _DAY_FIRST(f, made)
+    return made
+
+
 def _classes(f: Feistel, s: str, what: str) -> str:
     """Each class of characters (digits, small and capital letters) permuted among itself; the rest stays."""
     for alphabet in (DIGITS, LOWER, UPPER):
@@ -189,14 +225,16 @@ KINDS: list[tuple[str, str, Callable[[Feistel, str], str | None]]] = [
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ip),
     ("date", r"(?<![\d./\-])(?:19|20)\d\d-[01]\d-[0-3]\d(?![\d\-])", _date("ymd")),
     ("date", r"(?<![\d./\-])[0-3]\d\.[01]\d\.(?:19|20)\d\d(?!\d)", _date("dmy")),
-    ("date", r"(?<![\d./\-])[01]\d/[0-3]\d/(?:19|20)\d\d(?!\d)", _date("mdy")),
+    ("date", r"(?<![\d./\-])[0-3]\d/[0-3]\d/(?:19|20)\d\d(?!\d)", _slashes),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", _ssn),
     ("card", r"(?<![\d+])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){2}[ \-]\d{1,7}|\d{4}[ \-]\d{6}[ \-]\d{5})(?!\d)", _card),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}(?!\d)", _phone),
+    ("phone", r"(?<![\w.+\-])1[ .\-](?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?![\d\-])", _phone),
     ("phone", r"(?<![\w+(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)", _phone),
     ("phone", r"(?<![\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])", _phone),
 ]
 _ANY = re.compile("|".join(f"(?P<k{i}>{p})" for i, (_, p, _) in enumerate(KINDS)))
+_EACH = [re.compile(p) for _, p, _ in KINDS]
 _HINT = re.compile(r"[0-9@]")
 
 
@@ -204,17 +242,40 @@ def pseudonymise(text: str | None, f: Feistel) -> tuple[str | None, int]:
     """The text with pseudonyms, and how many values were replaced."""
     if not text or not _HINT.search(text):
         return text, 0
-    n = 0
-
-    def swap(m: re.Match) -> str:
-        nonlocal n
-        made = KINDS[int(m.lastgroup[1:])][2](f, m[0])
+    n, done, at, out = 0, 0, 0, []
+    failed: list[tuple[int, int, int]] = []  # kind, start and end of matches that were no values
+    while m := _ANY.search(text, at):
+        start = m.start()
+        for kind in range(int(m.lastgroup[1:]), len(KINDS)):
+            m = _EACH[kind].match(text, start)
+            made = m and KINDS[kind][2](f, m[0])
+            if made is not None:
+                break
+            if m:
+                failed.append((kind, start, m.end()))
+        at = start + 1
         if made is None:
-            return m[0]
+            continue
+        end = start + len(made) if KINDS[kind][0] == "iban" else m.end()
+        failed = [x for x in failed if x[2] > start]
+        if failed:
+            made = _apart(text, start, end, made, kind, f, failed)
+        out += [text[done:start], made]
+        done = at = end
         n += 1
-        return made
+    return "".join([*out, text[done:]]), n
+
+
+def _apart(text: str, start: int, end: int, made: str, kind: int, f: Feistel, failed: list[tuple[int, int, int]]) -> str:
+    """made, permuted again until no match that failed before around this place is a value now, so that undo finds it."""
+
+    def value(k: int, begin: int) -> bool:
+        m = _EACH[k].match(text[:start] + made + text[end:], begin)
+        return bool(m) and KINDS[k][2](f, m[0]) is not None
 
-    return _ANY.sub(swap, text), n
+    while any(value(k, begin) for k, begin, _ in failed):
+        made = KINDS[kind][2](f, made)
+    return made
 
 
 def protect(docs: DataFrame, key: bytes, *, undo: bool = False) -> DataFrame:
