@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share.
 
-    The cluster names that folder in spark.checkpoint.dir. Only where the setting is absent (tests on one
-    machine) a folder of our own is used.
+    The cluster names that folder in spark.checkpoint.dir. Only on one machine (a local master, as in tests) may the
+    setting be absent; a folder of our own is used then.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = getattr(spark, "_pairwave_shared", None)
         if root is None:
             root = spark._pairwave_shared = "file://" + tempfile.mkdtemp(prefix="pairwave-")
@@ -38,6 +40,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint(df) for loops: the result's plan also forgets what was known of the values, which else grows each round."""
+    spark, done = df.sparkSession, checkpoint(df)
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """df cut into partitions once, for rows that are numbered by partition and read more than once.
 
@@ -51,6 +59,12 @@ def pinned(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc (a struct of all columns, so that none clashes), doc_id, text, and __row, a number alike at every use."""
+    rows = pinned(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc")))
+    return rows.select("doc", "doc.doc_id", "doc.text", F.monotonically_increasing_id().alias("__row"))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, however often the body (or a lambda in it) uses it."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -81,7 +95,8 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (u, v): rows (node, root), root the smallest node; only nodes with an edge.
 
     Alternating large-star and small-star steps; every step is a minimum by key (combined before the shuffle) and a
-    join, so a hub with many neighbours is never gathered. The number of rounds is logarithmic in practice.
+    join. Minima are written before they are joined, so both sides of the join are plain shuffles of which adaptive
+    execution splits the partition of a hub with many neighbours. The number of rounds is logarithmic in practice.
     """
 
     def both(e: DataFrame) -> DataFrame:
@@ -97,9 +112,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = state(now)
     while seen[0]:
         sym = both(now)
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = checkpoint(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = checkpoint(large)
+        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u")
         small = (
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))

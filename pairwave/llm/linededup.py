@@ -1,21 +1,26 @@
-"""Repeated line runs: a suffix array over line IDs by prefix doubling, later copies deleted.
-
-The lines with a word of all documents, in document order, form one sequence (no run spans two documents). A run is
-deleted wherever it stands later than elsewhere, if it has min_words words or more. Equal lines get one ID; prefix
-doubling then ranks the suffixes by their first 1, 2, 4, ... lines, each round from the pairs of ranks of the one before
-(distinct pairs are sorted, so ranks follow the suffix order). A suffix whose prefix occurs once has no longer repeat
-and leaves. All suffixes that share a prefix of n lines form one interval of the suffix array with a longest common
-prefix of at least n; it is named by n and the ranks of the two, overlapping, powers of two that cover the n lines.
-
-A line belongs to a repeated run of min_words or more if and only if it lies in such a run that is either the shortest
-from its first line on or the shortest up to its last line. So only those two runs a line are looked up, which needs
-log2(min_words) rounds at most, and their union covers every maximal repeated run in full. All steps are grouped minima
-(combined before the shuffle) and equi-joins of narrow rows; neither a common line nor a long document is gathered.
+"""Repeated line runs: a suffix array over line IDs by prefix doubling, its LCPs, and later copies deleted.
+
+The lines with a word of all documents, in document order, form one sequence (no run spans two documents); equal lines
+share an ID. Each suffix that begins with a line of a long enough stretch of repeated lines has a label, one number for each
+round: the number of round k names the suffix's first 2^k lines, in their order among those that share the first half.
+Labels compare like the suffixes do. A round joins each suffix with the label of the one 2^k lines on, and sorts distinct
+pairs only; a suffix leaves when its prefix is its own, or when its group ends at the document's end, so rounds end by
+themselves, after the logarithm of the longest repeated run. Sorted labels are the suffix array. The longest common prefix
+of two neighbours is read off their labels: they share m numbers, so 2^(m-1) lines, and the rest is that of the suffixes
+2^(m-1) lines on. It is only worked out where the pair of one line before isn't the same pair one line up (the others are
+one less than that of the line before).
+
+The larger LCP with both neighbours is how far a suffix is repeated anywhere; runs that can't be longer at either end are
+the maximal repeated runs. Within those of min_words words or more the later copies are deleted. A line belongs to a later
+copy of such a run if and only if it lies in a later copy that is the shortest with min_words from its first line on, or
+the shortest up to its last one, and a run of s lines is named by the numbers of the two, overlapping, powers of two that
+cover it; so the first place of each run is a grouped minimum. Joins and minima are of narrow rows and combined before
+shuffles; neither a common line nor a common run is gathered. Windows hold one document's lines.
 
 Defined cases: "earlier" is by doc_id (nulls first), then the order in which rows are read, then place; a null text stays
 null and an empty one empty; lines without a word are never deleted and don't interrupt a run; repeated rows lose what
 the first has; an empty table gives an empty table; input columns are passed through, and one named like an output
-column (n_lines, removed_lines, removed_runs) is replaced.
+column (n_lines, removed_lines, removed_runs, whatever the capitals) is replaced.
 """
 
 from __future__ import annotations
@@ -23,73 +28,150 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, let, pinned, with_order
+from .common import WORD, cut, let, numbered, with_order
 
 #: Bits of a place in the sequence that number the line in its document.
 LINE_BITS = 27
+#: Words that a run has at least to count as a repeat.
+MIN_WORDS = 50
 
 
 def _sequence(rows: DataFrame) -> DataFrame:
-    """at (place in the sequence), line (its number in the text), row, a and b (the line's ID), n (words)."""
+    """at (place), __row, line (its number in the text), a and b (the line's ID), n (words), left (lines to the end)."""
     lines = F.transform(
         F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("n"))
     )
     full = rows.select("doc_id", "__row", F.filter(lines, lambda x: x["n"] > 0).alias("lines")).where(F.size("lines") > 0)
     # written, as the range shuffle reads its input twice
-    placed = with_order(checkpoint(full), "doc_id", "__row", name="order")
-    each = placed.select("order", "__row", F.posexplode("lines").alias("i", "x"))
+    placed = with_order(cut(full), "doc_id", "__row", name="order")
+    each = placed.select("order", "__row", F.size("lines").alias("size"), F.posexplode("lines").alias("i", "x"))
     at = F.shiftleft(F.col("order"), LINE_BITS) + F.col("i")
-    return each.select(at.alias("at"), "__row", "x.line", "x.a", "x.b", "x.n")
-
-
-def _named(keyed: DataFrame, *keys: str) -> DataFrame:
-    """keyed, where its keys occur twice or more, with rank (in the order of the keys) and first (least place)."""
-    groups = keyed.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("at").alias("first")).where("__n > 1").drop("__n")
-    groups = groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id())
-    return keyed.join(checkpoint(groups), list(keys)).drop(*keys)
-
-
-def _shortest(seq: DataFrame, min_words: int) -> DataFrame:
-    """at, size of the two shortest runs with min_words words of each line in seq (at, n; neighbours differ by 1).
-
-    A line has a word at least, so min_words lines are enough. The window is one document's lines.
-    """
-    window = Window.partitionBy(F.shiftright("at", LINE_BITS)).orderBy("at")
-    sizes = []
-    for there, sign in ((F.lead, 1), (F.lag, -1)):
-        total, cases = F.col("n"), [F.when(F.col("n") >= min_words, 1)]
-        for k in range(1, min_words):
-            total = total + there("n", k).over(window)
-            cases.append(F.when((there("at", k).over(window) == F.col("at") + sign * k) & (total >= min_words), k + 1))
-        sizes.append(F.coalesce(*cases))
-    sized = seq.select("at", sizes[0].alias("down"), sizes[1].alias("up"))
-    starts = sized.select(F.explode(F.array(F.struct("at", F.col("down").alias("size")), F.struct((F.col("at") - F.col("up") + 1).alias("at"), F.col("up").alias("size")))).alias("x"))
-    return starts.select("x.*").where("size is not null").distinct()
-
-
-def later_copies(seq: DataFrame, min_words: int) -> DataFrame:
-    """at of every line that a later copy of a run covers; seq: at, a, b, n."""
-    level = checkpoint(_named(seq.select("at", "a", "b", "n"), "a", "b"))
-    runs = checkpoint(_shortest(level, min_words))
-    found, span = None, 1
-    while True:
-        # runs of span to 2 * span - 1 lines, by the prefixes of span lines at both their ends
-        mine = runs.where(F.col("size").between(span, 2 * span - 1))
-        left = mine.join(level.select("at", F.col("rank").alias("x")), "at")
-        right = level.select(F.col("at").alias("tail"), F.col("rank").alias("y"))
-        both = checkpoint(left.withColumn("tail", F.col("at") + F.col("size") - span).join(right, "tail").select("at", "size", "x", "y"))
-        least = both.groupBy("size", "x", "y").agg(F.count("*").alias("__n"), F.min("at").alias("first")).where("__n > 1").drop("__n")
-        # written, so that both sides of the join are plain shuffles and the partition of a common run can be split
-        least = checkpoint(least)
-        later = both.join(least, ["size", "x", "y"]).where("at > first").select("at", "size")
-        found = later if found is None else found.union(later)
-        if 2 * span > min_words:
-            break
-        follow = level.select((F.col("at") - span).alias("at"), F.col("rank").alias("y"))
-        pairs = level.select("at", F.col("rank").alias("x")).join(follow, "at")
-        level = checkpoint(_named(pairs, "x", "y"))
-        span *= 2
-    return found.select(F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("at")).distinct()
+    return each.select(at.alias("at"), "__row", "x.line", "x.a", "x.b", "x.n", (F.col("size") - F.col("i")).alias("left"))
+
+
+def _document() -> Window:
+    return Window.partitionBy(F.shiftright("at", LINE_BITS))
+
+
+def _stretches(lines: DataFrame) -> DataFrame:
+    """lines with stretch, the same for lines of a document that stand one after another."""
+    return lines.withColumn("stretch", F.col("at") - F.row_number().over(_document().orderBy("at")))
+
+
+def _long_stretches(lines: DataFrame, min_words: int) -> DataFrame:
+    whole = F.sum("n").over(Window.partitionBy(F.shiftright("at", LINE_BITS), "stretch"))
+    return _stretches(lines).withColumn("__words", whole).where(F.col("__words") >= min_words).drop("stretch", "__words")
+
+
+def suffix_labels(seq: DataFrame, min_words: int) -> DataFrame:
+    """The suffix array: at, n, left, label, rank of suffixes at lines in stretches of repeated lines with min_words words or more."""
+    ids = seq.groupBy("a", "b").agg(F.count("*").alias("c")).where("c > 1").select("a", "b", F.monotonically_increasing_id().alias("id"))
+    # groups are written before they are joined, so that both sides are plain shuffles and a common key's partition can be split
+    lines = seq.join(cut(ids), ["a", "b"]).select("at", "n", "left", "id")
+    active = cut(_long_stretches(lines, min_words).select("at", "n", "left", F.array("id").alias("label"), "id"))
+    done, span = active.where("false").drop("id"), 1
+    few = int(seq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while not active.isEmpty():
+        known = done.select("at", "label").union(active.select("at", "label"))
+        follow = known.select((F.col("at") - span).alias("at"), F.col("label").alias("next"))
+        # lines that are no part of any repeat differ from all others: their place may stand for them
+        rest = F.when(F.col("left") <= span, F.array().cast("array<bigint>")).otherwise(F.coalesce("next", F.array(-F.col("at") - span - 1)))
+        pairs = active.join(follow, "at", "left").withColumn("next", rest)
+        groups = pairs.groupBy("id", "next").agg(F.count("*").alias("c"))
+        groups = groups.repartitionByRange("id", "next").sortWithinPartitions("id", "next").withColumn("new", F.monotonically_increasing_id())
+        now = pairs.join(cut(groups), ["id", "next"])
+        goes = (F.col("c") > 1) & (F.size("next") > 0)
+        now = cut(now.select("at", "n", "left", F.concat("label", F.array("new")).alias("label"), F.col("new").alias("id"), goes.alias("goes")))
+        done = done.union(now.where("not goes").drop("id", "goes")).coalesce(few)
+        active, span = now.where("goes").drop("goes"), 2 * span
+    return cut(with_order(done, "label", "at", name="rank"))
+
+
+def _shared(a: str, b: str) -> Column:
+    """How many numbers two labels begin with alike; behind the first that differ, all do."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+
+
+def _power(name: str, more: int = 0) -> Column:
+    """2 to the power of the named column plus more, as long."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.col(name) + more)
+
+
+def neighbours(labels: DataFrame) -> DataFrame:
+    """at, before (the suffix before it in the suffix array), lcp; labels are materialised."""
+    last = labels.select((F.col("rank") + 1).alias("rank"), F.col("at").alias("before"), F.col("label").alias("other"))
+    pairs = labels.join(last, "rank").withColumn("m", _shared("label", "other"))
+    # of two whole labels that are equal, both suffixes are
+    same = F.when(F.col("label") == F.col("other"), F.col("left"))
+    w = _document().orderBy("at")
+    goes_on = (F.lag("at").over(w) == F.col("at") - 1) & (F.lag("before").over(w) == F.col("before") - 1) & (F.lag("m").over(w) > 0)
+    pairs = pairs.select("at", "before", "m", same.cast("long").alias("same"))
+    pairs = cut(pairs.withColumn("head", ~F.coalesce(goes_on, F.lit(False))))
+    size = F.when(F.col("m") > 0, _power("m", -1)).otherwise(0)
+    heads = pairs.where("head").select("at", "before", F.coalesce("same", size).alias("lcp"), (F.col("same").isNull() & (F.col("m") > 0)).alias("more"))
+    own = labels.select(F.col("at").alias("x"), F.col("label").alias("lx"), "left")
+    other = labels.select(F.col("at").alias("y"), F.col("label").alias("ly"))
+    few = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found, rest = heads.where("not more").drop("more"), cut(heads.where("more").drop("more"))
+    while not rest.isEmpty():
+        both = rest.withColumn("x", F.col("at") + F.col("lcp")).join(own, "x", "left").withColumn("y", F.col("before") + F.col("lcp")).join(other, "y", "left")
+        both = both.withColumn("m", F.coalesce(F.greatest(_shared("lx", "ly"), F.lit(0)), F.lit(0))).withColumn("same", F.coalesce(F.col("lx") == F.col("ly"), F.lit(False)))
+        step = F.when(F.col("same"), F.col("left").cast("long")).otherwise(size)
+        both = cut(both.select("at", "before", (F.col("lcp") + step).alias("lcp"), ((F.col("m") > 0) & ~F.col("same")).alias("more")))
+        found, rest = found.union(both.where("not more").drop("more")).coalesce(few), both.where("more").drop("more")
+    led = pairs.select("at", "before").join(found.select("at", "lcp"), "at", "left")
+    head = F.last(F.when(F.col("lcp").isNotNull(), F.col("at") + F.col("lcp")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return led.select("at", "before", (head - F.col("at")).alias("lcp"))
+
+
+def maximal_runs(seq: DataFrame, labels: DataFrame, min_words: int) -> DataFrame:
+    """at, lines, words, other (a place where the run stands too) of the maximal repeated runs of min_words words or more."""
+    near = cut(neighbours(labels))
+    both = near.select("at", "lcp", F.col("before").alias("other")).union(near.select(F.col("before").alias("at"), "lcp", F.col("at").alias("other")))
+    # the longer of both; its place is that of the earlier neighbour where they are equal
+    best = both.where("lcp > 0").groupBy("at").agg(F.max(F.struct("lcp", (-F.col("other")).alias("other"))).alias("x"))
+    best = best.select("at", F.col("x.lcp").alias("lines"), (-F.col("x.other")).alias("other"))
+    w = _document().orderBy("at")
+    inner = (F.lag("at").over(w) == F.col("at") - 1) & (F.lag("lines").over(w) == F.col("lines") + 1)
+    heads = best.withColumn("inner", F.coalesce(inner, F.lit(False))).where("not inner").drop("inner")
+    sums = cut(labels.select("at", "n").withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    ends = sums.select(F.col("at").alias("end"), F.col("upto").alias("at_end"))
+    out = heads.join(sums, "at").withColumn("end", F.col("at") + F.col("lines") - 1).join(ends, "end")
+    return cut(out.select("at", "lines", "other", (F.col("at_end") - F.col("upto") + F.col("n")).alias("words")).where(F.col("words") >= min_words))
+
+
+def _shortest(lines: DataFrame, min_words: int) -> DataFrame:
+    """at, size of the shortest runs with min_words words from each line on and up to each line; lines: at, n."""
+    w = Window.partitionBy(F.shiftright("at", LINE_BITS), "stretch")
+    sums = _stretches(lines).withColumn("end", F.sum("n").over(w.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
+    sums = sums.select("at", "stretch", "end", (F.col("end") - F.col("n")).alias("begin"))
+
+    def met(probe: Column, mark: Column, first: bool) -> DataFrame:
+        """at of each line with there, that of the first line whose mark reaches the probe, or the last that it reaches."""
+        rows = sums.select("at", "stretch", probe.alias("k"), F.lit(0 if first else 1).alias("side"), F.lit(None).cast("long").alias("there"))
+        rows = rows.union(sums.select("at", "stretch", mark.alias("k"), F.lit(1 if first else 0).alias("side"), F.col("at").alias("there")))
+        o = w.orderBy("k", "side", "at")
+        seen = F.first("there", True).over(o.rowsBetween(0, Window.unboundedFollowing)) if first else F.last("there", True).over(o.rowsBetween(Window.unboundedPreceding, 0))
+        return rows.select("at", "side", seen.alias("there")).where(F.col("side") == (0 if first else 1)).where("there is not null")
+
+    down = met(F.col("begin") + min_words, F.col("end"), True).select("at", (F.col("there") - F.col("at") + 1).alias("size"))
+    up = met(F.col("end") - min_words, F.col("begin"), False).select(F.col("there").alias("at"), (F.col("at") - F.col("there") + 1).alias("size"))
+    return down.union(up).distinct()
+
+
+def later_copies(labels: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
+    """at of every line in a later copy of a run of min_words words; runs: at, lines of the maximal ones."""
+    inside = runs.select(F.explode(F.sequence(F.col("at"), F.col("at") + F.col("lines") - 1)).alias("at")).distinct()
+    short = _shortest(cut(labels.select("at", "n").join(inside, "at")), min_words)
+    power = F.floor(F.log2(F.col("size").cast("double"))).cast("int")
+    short = short.withColumn("k", power).withColumn("tail", F.col("at") + F.col("size") - _power("k"))
+    x = labels.select("at", F.col("label").alias("x"))
+    y = labels.select(F.col("at").alias("tail"), F.col("label").alias("y"))
+    named = short.join(x, "at").join(y, "tail").select("at", "size", F.get("x", F.col("k")).alias("x"), F.get("y", F.col("k")).alias("y"))
+    named = cut(named.where("x is not null and y is not null"))
+    first = named.groupBy("size", "x", "y").agg(F.count("*").alias("c"), F.min("at").alias("first")).where("c > 1").drop("c")
+    later = named.join(cut(first), ["size", "x", "y"]).where("at > first")
+    return later.select(F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("at")).distinct()
 
 
 def _without(text: Column, gone: Column) -> Column:
@@ -103,21 +185,40 @@ def _without(text: Column, gone: Column) -> Column:
     return F.array_join(F.flatten(pieces), "\n")
 
 
-def remove_repeated_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The maximal repeated runs: doc_id, start (line number in the text), lines (with a word), words, other_doc_id, other_start.
+
+    A row for each copy; other is a neighbouring copy in the suffix array.
+    """
+    rows = numbered(docs)
+    seq = cut(_sequence(rows))
+    labels = suffix_labels(seq, min_words)
+    runs = maximal_runs(seq, labels, min_words)
+    place = seq.select("at", "__row", "line").join(rows.select("__row", "doc_id"), "__row")
+    own = place.select("at", "doc_id", F.col("line").alias("start"))
+    other = place.select(F.col("at").alias("other"), F.col("doc_id").alias("other_doc_id"), F.col("line").alias("other_start"))
+    return runs.join(own, "at").join(other, "other").select("doc_id", "start", "lines", "words", "other_doc_id", "other_start")
+
+
+def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text without later copies of line runs; n_lines, removed_lines (long) and removed_runs.
 
     removed_runs: (start, lines) of each stretch of deleted lines, by line number in the given text. The rows
     of docs are numbered in partitions fixed at the call, so docs must give each partition alike every time.
     """
-    rows = pinned(docs).withColumn("__row", F.monotonically_increasing_id())
-    seq = checkpoint(_sequence(rows))
-    gone = seq.join(later_copies(seq, min_words), "at").groupBy("__row").agg(F.sort_array(F.collect_list("line")).alias("__gone"))
+    rows = numbered(docs)
+    seq = cut(_sequence(rows))
+    labels = suffix_labels(seq, min_words)
+    runs = maximal_runs(seq, labels, min_words)
+    later = later_copies(labels, runs, min_words)
+    gone = seq.join(later, "at").groupBy("__row").agg(F.sort_array(F.collect_list("line")).alias("__gone"))
     joined = rows.join(gone, "__row", "left")
     joined = joined.withColumn("__gone", F.coalesce("__gone", F.array().cast("array<int>")))
     first = F.filter(F.transform("__gone", lambda x, i: i), lambda i: (i == 0) | (F.get("__gone", i - 1) + 1 != F.get("__gone", i)))
     end = F.size("__gone")
-    runs = let(first, lambda f: F.transform(f, lambda s, j: F.struct(F.get("__gone", s).alias("start"), (F.coalesce(F.get(f, j + 1), end) - s).alias("lines"))))
+    stretches = let(first, lambda f: F.transform(f, lambda s, j: F.struct(F.get("__gone", s).alias("start"), (F.coalesce(F.get(f, j + 1), end) - s).alias("lines"))))
     text = F.when(F.size("__gone") == 0, F.col("text")).otherwise(_without(F.col("text"), F.col("__gone")))
-    made = {"n_lines": F.size(F.split("text", "\n")).cast("long"), "removed_lines": F.size("__gone").cast("long"), "removed_runs": runs}
-    passed = [c for c in docs.columns if c not in made]
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in passed], *[v.alias(k) for k, v in made.items()])
+    whole = F.col("doc")
+    made = {"n_lines": F.size(F.split("text", "\n")).cast("long"), "removed_lines": F.size("__gone").cast("long"), "removed_runs": stretches}
+    passed = [c for c in docs.columns if c.lower() not in made]
+    return joined.select(*[text.alias(c) if c == "text" else whole[c].alias(c) for c in passed], *[v.alias(k) for k, v in made.items()])

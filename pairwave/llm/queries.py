@@ -119,7 +119,7 @@ ORACLES = {
         FROM firsts GROUP BY source, lang
         UNION ALL
         SELECT source, lang, 'bytes-1', count(*), sum(strlen(text))::BIGINT FROM firsts GROUP BY source, lang""",
-    # runs of at most 5 lines are enough: longer ones are unions of those, as a line has a word at least
+    # of the runs with 50 words or more, the shortest from each line on and up to each line are enough
     "op5_line_dedup": r"""
         WITH lines AS (
           SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
@@ -128,18 +128,20 @@ ORACLES = {
         counted AS (
           SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines),
         seq AS (
-          SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS i FROM counted WHERE n > 0),
-        ahead AS (
-          SELECT doc_id, i, list(line) OVER w AS ls, list(n) OVER w AS ns FROM seq
-          WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+          SELECT *, row_number() OVER w AS i, sum(n) OVER w AS upto, sum(n) OVER w - n AS begin FROM counted WHERE n > 0
+          WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+        whole AS (
+          SELECT doc_id, list(line ORDER BY i) AS ls FROM seq GROUP BY doc_id),
+        spans AS (
+          SELECT a.doc_id, a.i AS s, b.i AS e FROM seq a ASOF JOIN seq b ON a.doc_id = b.doc_id AND a.begin + 50 <= b.upto
+          UNION
+          SELECT a.doc_id, b.i, a.i FROM seq a ASOF JOIN seq b ON a.doc_id = b.doc_id AND a.upto - 50 >= b.begin),
         runs AS (
-          SELECT doc_id, i, k, ls[1:k] AS run FROM ahead, range(1, 6) AS r(k)
-          WHERE k <= len(ls) AND list_sum(ns[1:k]) >= 5),
+          SELECT doc_id, s, e, md5(array_to_string(ls[s:e], chr(10))) AS run FROM spans JOIN whole USING (doc_id)),
         firsts AS (
-          SELECT *, min(struct_pack(d := doc_id, i := i)) OVER (PARTITION BY run) AS first FROM runs),
+          SELECT *, min(struct_pack(d := doc_id, i := s)) OVER (PARTITION BY run) AS first FROM runs),
         gone AS (
-          SELECT DISTINCT doc_id, i + o AS i FROM firsts, range(0, 5) AS r(o)
-          WHERE o < k AND struct_pack(d := doc_id, i := i) > first),
+          SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM firsts WHERE struct_pack(d := doc_id, i := s) > first),
         kept AS (
           SELECT c.doc_id, string_agg(c.line, chr(10) ORDER BY c.line_no) AS text, count(*) AS n_kept
           FROM counted c LEFT JOIN seq s ON s.doc_id = c.doc_id AND s.line_no = c.line_no

@@ -53,29 +53,46 @@ def simhash_components(rows, size=4, bits=4):
     return {d: rows[g][0] for (d, _), g in zip(rows, found)}, {d: f"{p:016x}" for (d, _), p in zip(rows, prints)}
 
 
-def without_repeats(texts, min_words=5):
-    """Texts (in order) without later copies of runs of lines that have min_words words or more.
-
-    Runs of at most min_words lines are enough: longer ones are unions of those, as a line has a word at least.
-    """
+def _common(texts):
+    """Places (text, line) of lines with a word, the lines, and for each two places how many lines follow alike."""
     places = [(d, i) for d, t in enumerate(texts) if t is not None for i, x in enumerate(t.split("\n")) if words(x)]
-    lines = {p: texts[p[0]].split("\n")[p[1]] for p in places}
-    seen, gone = {}, set()
-    for s, (d, _) in enumerate(places):
-        run = []
-        for e in range(s, min(s + min_words, len(places))):
-            if places[e][0] != d:
-                break
-            run.append(lines[places[e]])
-            if sum(len(words(x)) for x in run) >= min_words:
-                if seen.setdefault(tuple(run), s) < s:
-                    gone.update(places[s : e + 1])
+    lines = [texts[d].split("\n")[i] for d, i in places]
+    n = len(places)
+    number = {}
+    ids = np.array([number.setdefault(x, len(number)) for x in lines], int)
+    ends = np.array([k + 1 == n or places[k + 1][0] != places[k][0] for k in range(n)], bool)
+    lcp = np.zeros((n + 1, n + 1), np.int32)
+    for i in reversed(range(n)):
+        lcp[i, :n] = np.where(ids == ids[i], 1 + np.where(ends | ends[i], 0, lcp[i + 1, 1:]), 0)
+    return places, lines, lcp
+
+
+def without_repeats(texts, min_words=50):
+    """Texts (in order) without the lines of runs with min_words words or more that stand at an earlier place too."""
+    places, lines, lcp = _common(texts)
+    gone = set()
+    for i in range(len(places)):
+        size = lcp[i, :i].max(initial=0)
+        if sum(len(words(x)) for x in lines[i : i + size]) >= min_words:
+            gone.update(places[i : i + size])
     out = []
     for d, t in enumerate(texts):
         out.append(None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone))
     return out
 
 
+def repeated_runs(texts, min_words=50):
+    """(text, first line, lines) of every run that stands at another place too and can't be longer at either end."""
+    places, lines, lcp = _common(texts)
+    n, out = len(places), set()
+    size = [max(lcp[i, :i].max(initial=0), lcp[i, i + 1 :].max(initial=0)) for i in range(n)]
+    for i in range(n):
+        inner = i and places[i - 1][0] == places[i][0] and size[i - 1] == size[i] + 1
+        if size[i] and not inner and sum(len(words(x)) for x in lines[i : i + size[i]]) >= min_words:
+            out.add((*places[i], size[i]))
+    return out
+
+
 def quality(text):
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     text = text or ""
@@ -92,9 +109,7 @@ def quality(text):
 def _tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def token_ids(texts):

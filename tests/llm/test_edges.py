@@ -80,26 +80,42 @@ def test_line_dedup(odd, empty):
     assert linededup.remove_repeated_lines(empty).collect() == []
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_line_dedup_on_small_alphabets(spark, seed):
-    rng = random.Random(seed)
-    texts = ["\n".join(rng.choice(["a", "b b", "c", "", "d d d d d d"]) for _ in range(rng.randrange(12))) for _ in range(40)]
+def _lines(spark, texts):
     at = shared_folder(spark, "lines")
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(at)
-    got = rows_of(linededup.remove_repeated_lines(spark.read.parquet(at)))
-    assert [r.text for r in got] == brute.without_repeats(texts)
+    return spark.read.parquet(at)
+
+
+@pytest.mark.parametrize("least", [1, 5, 50])
+def test_line_dedup_on_small_alphabets(spark, least):
+    rng = random.Random(least)
+    texts = ["\n".join(rng.choice(["a", "b b", "c", "", "d d d d d d"]) for _ in range(rng.randrange(25))) for _ in range(40)]
+    # passages longer than any power of two of the rounds, cut at either end
+    whole = [f"line {i % 19} of a passage" for i in range(37)]
+    texts += ["\n".join([*texts[i].split("\n"), *whole[rng.randrange(9) : 37 - rng.randrange(9)], *texts[-i].split("\n")]) for i in range(12)]
+    docs = _lines(spark, texts)
+    got = rows_of(linededup.remove_repeated_lines(docs, least))
+    assert [r.text for r in got] == brute.without_repeats(texts, least)
+    runs = {(r.doc_id, r.start, r.lines) for r in linededup.repeated_runs(docs, least).collect()}
+    assert runs == brute.repeated_runs(texts, least)
 
 
 def test_runs_of_lines_are_reported(spark):
     text = "one two three four five\nunique here\none two three four five\nsix seven eight nine ten\nend of it"
     more = "head\none two three four five\nsix seven eight nine ten"
-    at = shared_folder(spark, "runs")
-    spark.createDataFrame([(1, text), (2, more)], "doc_id long, text string").write.parquet(at)
-    got = rows_of(linededup.remove_repeated_lines(spark.read.parquet(at)))
+    got = rows_of(linededup.remove_repeated_lines(_lines(spark, [text, more]), 5))
     assert [[tuple(x) for x in r.removed_runs] for r in got] == [[(2, 1)], [(1, 2)]]
     assert got[1].text == "head"
 
 
+def test_short_repeats_stay_and_long_passages_go(spark):
+    common = "\n".join(f"this is sentence {i} of the passage that all share" for i in range(7))
+    texts = [f"own words {i}\nAll rights reserved.\n{common}\nmore own words {i}" for i in range(5)]
+    got = rows_of(linededup.remove_repeated_lines(_lines(spark, texts)))
+    assert got[0].text == texts[0]
+    assert [r.text for r in got[1:]] == [f"own words {i}\nmore own words {i}" if False else t.replace("All rights reserved.\n" + common + "\n", "") for t in texts[1:]]
+
+
 def test_simhash(odd, empty):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(TEXTS) + 2
