@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +60,32 @@ def pinned(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
 
 
+def _only_cut(docs: DataFrame) -> bool:
+    """Whether docs is columns and rows of one scan, so that a place in a file is in one row at most."""
+    plan, names = docs._jdf.queryExecution().analyzed(), set()
+    while True:
+        names.add(plan.nodeName())
+        below = plan.children()
+        if below.size() != 1:
+            return below.size() == 0 and names <= {"Project", "Filter", "SubqueryAlias", "View", "LogicalRelation"} | {n for n in names if n.startswith("Relation")}
+        plan = below.apply(0)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc (a struct of all columns, so that none clashes), doc_id, text, and __row, a number alike at every use."""
-    rows = pinned(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc")))
-    return rows.select("doc", "doc.doc_id", "doc.text", F.monotonically_increasing_id().alias("__row"))
+    """doc (a struct of all columns, so that none clashes), doc_id, text, and __row, a number alike at every use.
+
+    Rows of Parquet files are named by the file and the row's place in it, however the files are cut; rows of anything
+    else by partitions that are fixed here.
+    """
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("doc")
+    try:
+        rows = docs.select(whole, "_metadata.file_path", "_metadata.row_index") if _only_cut(docs) else None
+    except AnalysisException:
+        rows = None
+    if rows is None:
+        rows = pinned(docs.select(whole)).select("doc", F.lit("").alias("file_path"), F.monotonically_increasing_id().alias("row_index"))
+    name = F.struct(F.xxhash64("file_path").alias("file"), F.col("row_index").alias("place"))
+    return rows.select("doc", "doc.doc_id", "doc.text", name.alias("__row"))
 
 
 def let(value: Column, body) -> Column:
@@ -108,14 +131,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     # u is always the larger end
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = checkpoint(now)
+    now = cut(now)
     seen = state(now)
     while seen[0]:
         sym = both(now)
-        low = checkpoint(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = cut(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = checkpoint(large)
-        low = checkpoint(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = cut(large)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u")
         small = (
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -123,7 +146,7 @@ def components(edges: DataFrame) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = checkpoint(small)
+        now = cut(small)
         before, seen = seen, state(now)
         if before == seen:
             break

@@ -150,8 +150,9 @@ def _shortest(lines: DataFrame, min_words: int) -> DataFrame:
         """at of each line with there, that of the first line whose mark reaches the probe, or the last that it reaches."""
         rows = sums.select("at", "stretch", probe.alias("k"), F.lit(0 if first else 1).alias("side"), F.lit(None).cast("long").alias("there"))
         rows = rows.union(sums.select("at", "stretch", mark.alias("k"), F.lit(1 if first else 0).alias("side"), F.col("at").alias("there")))
-        o = w.orderBy("k", "side", "at")
-        seen = F.first("there", True).over(o.rowsBetween(0, Window.unboundedFollowing)) if first else F.last("there", True).over(o.rowsBetween(Window.unboundedPreceding, 0))
+        # the first from here on is the last so far in the opposite order, which takes one pass
+        o = w.orderBy(*[F.desc(c) if first else F.asc(c) for c in ("k", "side", "at")]).rowsBetween(Window.unboundedPreceding, 0)
+        seen = F.last("there", True).over(o)
         return rows.select("at", "side", seen.alias("there")).where(F.col("side") == (0 if first else 1)).where("there is not null")
 
     down = met(F.col("begin") + min_words, F.col("end"), True).select("at", (F.col("there") - F.col("at") + 1).alias("size"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, let, pinned, with_order
+from .common import checkpoint, let, numbered, with_order
 
 SLOT_BITS, PICKS = 5, 2
 #: Low bits that hold a word's position.
@@ -83,7 +83,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The next document is the one
     before in ascending doc_id, for the first the last. Texts travel once, keyed by row, and their first parts once.
     """
-    rows = pinned(docs.select("doc_id", "text")).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = numbered(docs.select("doc_id", "text")).select(F.col("__row").alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     own = checkpoint(rows.select("row", "doc_id", F.length("text").cast("long").alias("n_chars"), signature(F.col("text")).alias("sig")))
     placed = checkpoint(with_order(own.select("row", "doc_id", "n_chars"), "doc_id", "row", name="at"))
     total = placed.count()

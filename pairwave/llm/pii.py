@@ -1,12 +1,14 @@
 """Format-preserving pseudonyms for personal data: a keyed Feistel network permutes validated values within their format.
 
 A value found in a text is validated (card numbers and IBANs by their check digits, addresses by the range of their
-octets, dates by the calendar, IBANs also by their country's length, social security numbers by the areas in use), normalised, and permuted within all values
-of its format under the key. The result is again valid and keeps punctuation and length. Equal values, however written,
+octets, dates by the calendar, IBANs also by their country's length, social security numbers by the areas in use),
+normalised, and permuted within all values of its format under the key; of a phone number the digits after the country
+code, whether that is set apart or not (numbers of three, three and four digits without one are of country 1). The result is again valid and keeps punctuation and length. Equal values, however written,
 get equal pseudonyms in every document, and unequal values of one format unequal ones, without any table of values; so
 there is no shuffle and nothing grows with the data. Whoever has the key can undo it (``undo=True``).
 
-Defined cases: a null text stays null and an empty one empty, both with n_found 0; a value that fails validation is left
+Defined cases: a null text stays null and an empty one empty, both with n_found 0; strings of any length are permuted, in
+parts of PART characters that each depend on those before; a value that fails validation is left
 as it is, and the search goes on after its first character; a value within such a match, or a date with slashes that must
 be read day first, is permuted among those that undo finds again, so its pseudonym may differ from that of the value
 elsewhere; repeated rows get the same text; an empty table gives an empty table; input columns are passed through, and one
@@ -19,12 +21,18 @@ import datetime
 import re
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from math import isqrt
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .tokens import slices
+
 ROUNDS = 10
+#: Characters of a string that are permuted at once.
+PART = 64
 
 
 class Feistel:
@@ -47,7 +55,7 @@ class Feistel:
 
     def number(self, x: int, size: int, what: str) -> int:
         """A permutation of range(size). Values of the enclosing rectangle that fall outside are permuted again."""
-        side = max(1, int(size**0.5))
+        side = isqrt(size)
         other = -(-size // side)
         while True:
             a, b = self._halves(x // other, x % other, side, other, f"{what}/{size}")
@@ -57,6 +65,14 @@ class Feistel:
 
     def text(self, chars: str, alphabet: str, what: str) -> str:
         """A permutation of the strings of this length over the alphabet."""
+        if len(chars) > PART:
+            made, seen = [], ""
+            for at in range(0, len(chars), PART):
+                part = chars[at : at + PART]
+                new = self.text(part, alphabet, f"{what}/{seen}")
+                seen = blake2b(f"{seen}{new if self.undo else part}".encode(), digest_size=16).hexdigest()
+                made.append(new)
+            return "".join(made)
         if not chars:
             return chars
         base, x = len(alphabet), 0
@@ -130,13 +146,24 @@ def _iban(f: Feistel, s: str) -> str | None:
     return "".join(" " if c == " " else next(made) for c in s)
 
 
+# Calling codes of one and two digits; all others have three.
+_CALLING = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _phone(f: Feistel, s: str) -> str | None:
-    lead = re.match(r"\+\d{1,3}(?=\D)|1(?=[ .\-])", s)
-    head = lead[0] if lead else ""
+    """The digits after the country code are permuted, but for a zero in brackets, which is dialled at home only."""
+    if s[0] == "+":
+        digits = re.match(r"\+(\d*)", s)[1]
+        code = next((digits[:n] for n in (1, 2) if digits[:n] in _CALLING), digits[:3])
+        head = "+" + code
+    else:
+        code, head = "1", (re.match(r"1(?=[ .\-])", s) or [""])[0]
+    home = re.match(r"[ .\-]?\(0\)", s[len(head) :])
+    head += home[0] if home else ""
     digits = re.sub(r"\D", "", s[len(head) :])
     if not 7 <= len(digits) <= 14:
         return None
-    return head + _refill(s[len(head) :], f.text(digits, DIGITS, "phone" + ("+1" if head == "1" else head)))
+    return head + _refill(s[len(head) :], f.text(digits, DIGITS, "phone+" + code))
 
 
 def _ip(f: Feistel, s: str) -> str | None:
@@ -212,8 +239,12 @@ def _secret(f: Feistel, s: str) -> str | None:
     body = s[len(head) :]
     if not re.search(r"\d", body):
         return None
-    if re.fullmatch(r"[0-9a-f]+", body):
-        return head + f.text(body, "0123456789abcdef", "hex")
+    if re.fullmatch(r"[0-9a-f]+", body) and not body.isdigit():
+        # permuted among the strings that have both digits and letters, as this one has
+        body = f.text(body, "0123456789abcdef", "hex")
+        while body.isdigit() or not re.search(r"\d", body):
+            body = f.text(body, "0123456789abcdef", "hex")
+        return head + body
     return head + _classes(f, body, "secret")
 
 
@@ -287,8 +318,8 @@ def protect(docs: DataFrame, key: bytes, *, undo: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Feistel(key, undo)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            for begin, end in slices(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
+                part = batch.slice(begin, end - begin)
                 made = [pseudonymise(t, f) for t in part.column(at).to_pylist()]
                 columns = part.columns
                 columns[at] = pa.array([t for t, _ in made], pa.string())

@@ -15,21 +15,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .tokens import slices
+
 SYMBOLS = "#*$%&|<>"
 
-# Phrases of licence, cookie and site-furniture lines.
+# Phrases of licence, cookie and site-furniture lines in the four languages of the corpus.
 BOILERPLATE = (
     "licensed under", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy",
     "accept cookies", "use of cookies", "enable javascript", "click here", "sign up for", "subscribe to our",
-    "share this page", "back to top", "skip to content", "powered by", "copyright (c)",
+    "share this page", "back to top", "skip to content", "powered by", "copyright (c)", "released under the",
+    "tous droits réservés", "mentions légales", "politique de confidentialité", "accepter les cookies",
+    "conditions d'utilisation", "cliquez ici", "abonnez-vous", "retour en haut",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "cookies akzeptieren", "hier klicken",
+    "newsletter abonnieren", "nach oben", "impressum",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "aceptar cookies",
+    "haga clic aquí", "suscríbete a", "volver arriba",
 )
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)), re.I)
 #: What may stand at the end of a sentence, closing quotes and brackets included.
 _ENDS = tuple(".!?:;…。！？\"'”’»)]")
 _MENU = frozenset("| > / » › · • « ‹ –".split())
+#: A list item: a bullet, or a number or letter with a stop or bracket, and then text.
+_ITEM = re.compile(r"\s*(?:[-*•–]|\(?(?:\d{1,3}|[A-Za-z])[.)])\s+\S")
+#: A sentence ends within the line.
+_INNER = re.compile(r"[.!?…][\"'”’»)\]]*\s")
+#: Most words of a heading.
+HEADING = 12
 
 OUTPUTS = T.StructType(
     [
@@ -64,8 +79,12 @@ def repeated_words(words: list[bytes]) -> int:
     return int(marked.sum())
 
 
-def line_fails(line: str, max_symbols: float, max_shouted: float) -> str | None:
-    """The rule that a line with a word fails, or None."""
+def line_fails(line: str, max_symbols: float, max_shouted: float, follow: str = "") -> str | None:
+    """The rule that a line with a word fails, or None; follow: the next line with a word.
+
+    A line without a sentence's end at its end fails by punctuation unless one ends within it, it is a list item, or it is
+    a heading: short, and followed by a line that ends like a sentence.
+    """
     words = line.split()
     n = len(words) or 1
     if sum(w in _MENU for w in words) >= max(2, 0.2 * n):
@@ -76,9 +95,9 @@ def line_fails(line: str, max_symbols: float, max_shouted: float) -> str | None:
         return "punctuation"
     if len(words) <= 30 and _BOILERPLATE.search(line):
         return "boilerplate"
-    if not line.rstrip().endswith(_ENDS):
-        return "punctuation"
-    return None
+    if line.rstrip().endswith(_ENDS) or _ITEM.match(line) or _INNER.search(line):
+        return None
+    return None if n <= HEADING and follow.rstrip().endswith(_ENDS) else "punctuation"
 
 
 def judge(text: str | None, max_lost: float, max_symbols: float, max_shouted: float) -> tuple:
@@ -91,8 +110,9 @@ def judge(text: str | None, max_lost: float, max_symbols: float, max_shouted: fl
     full = [x for x in lines if x.strip(" \t\v\f\r")]
     repeats = repeated_words(words)
     clean, lost, removed = [], 0, 0
+    rest = iter([*full[1:], ""])
     for line in lines:
-        if line.strip(" \t\v\f\r") and line_fails(line, max_symbols, max_shouted):
+        if line.strip(" \t\v\f\r") and line_fails(line, max_symbols, max_shouted, next(rest)):
             removed += 1
             lost += len(line)
         else:
@@ -112,15 +132,15 @@ def clean_lines(
     characters a word; max_shouted: share of words that end in "!!".
     """
     names = {f.name for f in OUTPUTS}
-    passed = [c for c in (docs.columns if carry is None else carry) if c not in names]
+    passed = [c for c in (docs.columns if carry is None else carry) if c.lower() not in names]
     source = docs.select(*[docs[c] for c in passed], docs[text].alias("__text"))
     schema = T.StructType([*[docs.schema[c] for c in passed], *OUTPUTS])
     kinds = pa.schema([("clean_text", pa.string()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines_removed")), ("lost_share", pa.float64()), ("base_failed", pa.bool_()), ("kept", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at, end in slices(pc.fill_null(pc.binary_length(batch.column(len(passed))), 0).to_pylist()):
+                part = batch.slice(at, end - at)
                 rows = [judge(t, max_lost, max_symbols, max_shouted) for t in part.column(len(passed)).to_pylist()]
                 made = [pa.array(list(c), k.type) for c, k in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(passed)], *made], [*passed, *kinds.names])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, linededup, orderhash, pii, quality, simhash, tokencount, tokens
-from .common import shared_folder, table
+from .common import cut, shared_folder, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,18 +30,21 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts, revised counts, deletes of later exact copies, and batches that come twice, over all documents."""
-    docs = table(spark, sf_dir, "documents")
-    insert, final, size = (tokencount.counted(docs, v, rule=r) for v, r in (("words-1", "pieces-1"), ("words-1", None), ("bytes-1", None)))
-    firsts = docs.groupBy(F.sha2("text", 256).alias("same")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    copies = docs.join(firsts, "doc_id", "left_anti")
-    gone = tokencount.deletes(tokencount.counted(copies, "words-1").unionByName(tokencount.counted(copies, "bytes-1")))
+    """Inserts, a change of tokenizer, deletes of later exact copies, and batches that come twice, over all documents."""
+    versions = {"words-1": None, "bytes-1": None, "word_bpe_49k": public_tokenizers.path("word_bpe_49k.json")}
+    docs = table(spark, sf_dir, "documents").withColumn("same", F.sha2("text", 256))
+    # written, so that texts are counted once and the rows' numbers hold
+    rows = cut(tokencount.counted(docs, versions, ("doc_id", "same"))).withColumn("row", F.monotonically_increasing_id())
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    firsts = cut(rows.groupBy("same").agg(F.min(first).alias("first")).select(F.col("first.row").alias("row")))
+    copies = rows.join(firsts, "row", "left_anti")
     rollup = tokencount.Rollup(spark, shared_folder(spark, "token-counts"))
-    rollup.commit("1 insert", insert.unionByName(size))
-    rollup.commit("2 revise", tokencount.revisions(insert, final))
-    rollup.commit("1 insert", insert.unionByName(size))
-    rollup.commit("3 delete", gone)
-    rollup.commit("3 delete", gone)
+    rollup.commit("1 insert", tokencount.inserts(rows, "words-1", "bytes-1"))
+    rollup.commit("2 revise", tokencount.revisions(tokencount.inserts(rows, "words-1"), tokencount.inserts(rows, "word_bpe_49k")))
+    rollup.commit("1 insert", tokencount.inserts(rows, "words-1", "bytes-1"))
+    rollup.compact()
+    for _ in range(2):
+        rollup.commit("3 delete", tokencount.deletes(tokencount.inserts(copies, "bytes-1", "word_bpe_49k")))
     return rollup.totals()
 
 
@@ -111,14 +114,6 @@ ORACLES = {
                    + length('<|end|>') + 1)::BIGINT AS formatted_chars,
                regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?user(,assistant,user)*(,assistant)?') AS valid
         FROM t GROUP BY conv_id""",
-    "op2_token_counts": r"""
-        WITH firsts AS (
-          SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1)
-        SELECT source, lang, 'words-1' AS tokenizer, count(*) AS docs,
-               sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))::BIGINT AS tokens
-        FROM firsts GROUP BY source, lang
-        UNION ALL
-        SELECT source, lang, 'bytes-1', count(*), sum(strlen(text))::BIGINT FROM firsts GROUP BY source, lang""",
     # of the runs with 50 words or more, the shortest from each line on and up to each line are enough
     "op5_line_dedup": r"""
         WITH lines AS (

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, components, pinned
+from .common import checkpoint, components, numbered
 
 BITS, SLACK = 4, 1
 PARTS = ((0, 21), (21, 21), (42, 22))
@@ -47,7 +47,12 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     digest = xxhash.xxh64_intdigest
     n = len(tokens) - k + 1
     hashes = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), np.uint64, n)
-    set_in = np.zeros(64, np.int64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of hashes (uint64): the bits set in more than half of them."""
+    n, set_in = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 4096):
         block = hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8)
         set_in += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -207,7 +212,8 @@ def keep_one(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
 
     The rows of docs are numbered in partitions fixed at the call, so docs must give each partition alike every time.
     """
-    rows = pinned(docs).withColumn("__row", F.monotonically_increasing_id())
+    rows = numbered(docs)
     fps = checkpoint(fingerprints(rows, words, ("doc_id", "__row")))
     kept = classes(fps, bits).where(F.col("first.__row") == F.col("__row")).select("__row")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    whole = F.col("doc")
+    return rows.join(kept, "__row", "left_semi").select(*[whole[c].alias(c) for c in docs.columns])

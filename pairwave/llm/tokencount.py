@@ -2,9 +2,14 @@
 
 Totals by source, language and tokenizer version are sums, so an insert adds a document's counts, a delete subtracts them,
 and a revised count subtracts the old and adds the new; documents are never counted again. A batch of deltas is summed
-(combined before the shuffle) and written as one small table named by the batch's ID. It counts as committed once Spark
-has written its success marker: a batch that failed or lost executors half-way is no part of the totals and may be written
-again, and one that comes twice is ignored. compact() folds committed batches into one.
+(combined before the shuffle) and written as a small table of a random name; then a log entry, named by the batch's ID and
+created only if there is none, commits it. A batch that failed or lost executors half-way, or whose ID another writer
+committed first, is no part of the totals, and its ID may be used again or is ignored; a committed table is never changed.
+Totals join the tables with the log in Spark. compact() commits the totals of all tables in place of the tables themselves
+in the same way; the log keeps their batch IDs.
+
+Versions: words-1 (white-space words), bytes-1 (UTF-8), both counted by built-in functions, and any vocabulary file of the
+tokenizers library, whose IDs are counted in Arrow batches.
 
 Defined cases: a null text has 0 tokens; null sources and languages are groups of their own; repeated rows count each;
 totals of 0 documents and 0 tokens are left out; an empty table commits an empty batch; other columns are not looked at.
@@ -12,30 +17,56 @@ totals of 0 documents and 0 tokens are left out; an empty table commits an empty
 
 from __future__ import annotations
 
-from hashlib import sha256
+import uuid
+from collections.abc import Iterator
 from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD
+from .tokens import encoder, slices
 
 KEYS = ("source", "lang", "tokenizer")
+SCHEMA = "source string, lang string, tokenizer string, docs long, tokens long"
+BUILT_IN = {"words-1": lambda text: F.regexp_count(text, F.lit(WORD)), "bytes-1": F.octet_length}
+
+
+def counted(docs: DataFrame, versions: dict[str, str | None], keep: tuple[str, ...] = ()) -> DataFrame:
+    """source, lang, the columns in keep and counts (an array of tokenizer and tokens) of each row, in one pass over the texts.
 
+    versions: the vocabulary file of each version, or None for one that is built in.
+    """
+    own = [n for n, path in versions.items() if path is None]
+    others = {n: path for n, path in versions.items() if path is not None}
+    built = [F.coalesce(BUILT_IN[n](F.col("text")), F.lit(0)).cast("long").alias(f"__n{i}") for i, n in enumerate(own)]
+    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *keep, *built, "text")
+    names = [*rows.columns[:-1], *(f"__v{i}" for i in range(len(others)))]
 
-def counter(version: str, text: Column) -> Column:
-    """The count of one version: words-1 (white-space words), pieces-1 (parts between single spaces) or bytes-1 (UTF-8)."""
-    made = {
-        "words-1": lambda: F.regexp_count(text, F.lit(WORD)),
-        "pieces-1": lambda: F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1,
-        "bytes-1": lambda: F.octet_length(text),
-    }[version]()
-    return F.coalesce(made, F.lit(0)).cast("long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoders = [encoder(path).encode for path in others.values()]
+        for batch in batches:
+            texts, sizes = batch.column(batch.num_columns - 1), [[] for _ in encoders]
+            for a, b in slices(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                part = texts.slice(a, b - a).to_pylist()
+                for encode, counts in zip(encoders, sizes):
+                    counts += map(len, encode(part))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in sizes)], names)
 
+    if others:
+        rows = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *(T.StructField(f"__v{i}", T.LongType()) for i in range(len(others)))]))
+    pair = lambda name, column: F.struct(F.lit(name).alias("tokenizer"), F.col(column).alias("tokens"))
+    counts = [pair(n, f"__n{i}") for i, n in enumerate(own)] + [pair(n, f"__v{i}") for i, n in enumerate(others)]
+    return rows.select("source", "lang", *keep, F.array(*counts).alias("counts"))
 
-def counted(docs: DataFrame, version: str, *, rule: str | None = None) -> DataFrame:
-    """source, lang, tokenizer, docs, tokens of each row; rule: another version's way of counting."""
-    return docs.select("source", "lang", F.lit(version).alias("tokenizer"), F.lit(1).cast("long").alias("docs"), counter(rule or version, F.col("text")).alias("tokens"))
+
+def inserts(rows: DataFrame, *versions: str) -> DataFrame:
+    """source, lang, tokenizer, docs, tokens of counted rows, for some versions."""
+    each = rows.select("source", "lang", F.explode("counts").alias("x")).where(F.col("x.tokenizer").isin(*versions))
+    return each.select("source", "lang", "x.tokenizer", F.lit(1).cast("long").alias("docs"), "x.tokens")
 
 
 def deletes(rows: DataFrame) -> DataFrame:
@@ -47,52 +78,65 @@ def revisions(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """A folder of committed batches."""
+    """A folder of tables (data) and of the log entries that commit them (log)."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def _path(self, name: str):
+    def _store(self, name: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def _has(self, name: str) -> bool:
-        store, path = self._path(f"{name}/_SUCCESS")
+        store, path = self._store(name)
         return store.exists(path)
 
-    def _names(self) -> list[str]:
-        """Committed tables, without those that a later compaction has taken in."""
-        store, path = self._path("")
-        if not store.exists(path):
-            return []
-        found = sorted(n for n in (s.getPath().getName() for s in store.listStatus(path)) if self._has(n))
-        folded = set()
-        for n in found:
-            if n.startswith("compact-"):
-                folded |= {r["name"] for r in self.spark.read.parquet(f"{self.folder}/{n}").select(F.explode("names").alias("name")).distinct().collect()}
-        return [n for n in found if n not in folded]
+    def _write(self, sums: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        sums.write.parquet(f"{self.folder}/data/table={name}")
+        return name
+
+    def _enter(self, entry: str, lines: list[str]) -> bool:
+        """Creates a log entry; False if there is one of that name."""
+        store, path = self._store(f"log/{entry}")
+        try:
+            out = store.create(path, False)
+        except Exception:
+            if store.exists(path):
+                return False
+            raise
+        out.write(bytearray("".join(x + "\n" for x in lines).encode()))
+        out.close()
+        return True
+
+    def _live(self) -> DataFrame:
+        """table: those entered with + and not with -."""
+        log = self.spark.read.text(f"{self.folder}/log").where("length(value) = 33")
+        signs = log.groupBy(F.substring("value", 2, 32).alias("table")).agg(F.min(F.substring("value", 1, 1)).alias("low"), F.max(F.substring("value", 1, 1)).alias("high"))
+        return signs.where("low = '+' and high = '+'").select("table")
 
     def commit(self, batch_id: str, deltas: DataFrame) -> bool:
         """Adds a batch once; False if it was committed before."""
-        name = "batch-" + quote(batch_id, safe="")
-        if self._has(name):
+        entry = "batch-" + quote(batch_id, safe="")
+        if self._has(f"log/{entry}"):
             return False
         sums = deltas.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.withColumn("names", F.array().cast("array<string>")).write.mode("overwrite").parquet(f"{self.folder}/{name}")
-        return True
+        return self._enter(entry, ["+" + self._write(sums)])
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, docs, tokens over all committed batches."""
-        names = self._names()
-        if not names:
-            return self.spark.createDataFrame([], "source string, lang string, tokenizer string, docs long, tokens long")
-        rows = self.spark.read.parquet(*[f"{self.folder}/{n}" for n in names])
+    def _sums(self, tables: DataFrame) -> DataFrame:
+        rows = self.spark.read.schema(SCHEMA + ", table string").option("basePath", f"{self.folder}/data").parquet(f"{self.folder}/data")
+        rows = rows.join(tables, "table", "left_semi")
         sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         return sums.where("docs <> 0 or tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, docs, tokens over all committed batches."""
+        return self._sums(self._live()) if self._has("log") else self.spark.createDataFrame([], SCHEMA)
+
     def compact(self) -> None:
-        """One table instead of all committed ones. A batch ID stays known: its table stays, and no longer counts."""
-        names = self._names()
+        """One table counts instead of all committed since the last call, whose names (not their rows) pass the driver."""
+        names = [r["table"] for r in self._live().collect()] if self._has("log") else []
         if len(names) > 1:
-            made = self.totals().withColumn("names", F.array(*map(F.lit, names)))
-            made.write.mode("overwrite").parquet(f"{self.folder}/compact-{sha256(repr(names).encode()).hexdigest()[:16]}")
+            made = self._write(self._sums(self.spark.createDataFrame([(n,) for n in names], "table string")))
+            # of two calls at once that met the same tables only one enters its own
+            self._enter("compact-" + min(names), ["+" + made, *("-" + n for n in names)])

@@ -16,7 +16,8 @@ percentile of them, and the places and values of the rest. An index of block sta
 All integers are little-endian, packed values lowest bit first.
 
 Defined cases: a null or empty text has no IDs of its own, only the end ID; documents are written by doc_id (nulls first),
-ties by text; repeated rows are separate documents; an empty table gives empty results; other columns are not looked at.
+ties by text; repeated rows are separate documents; an empty table gives empty results; other columns are not looked at;
+the text of a special token of the vocabulary has that token's ID, as with a plain call of the library.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import checkpoint
 
@@ -104,9 +106,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts of special tokens, which the library finds before anything else; a text that holds one is encoded whole.
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = Pieces(self._learn)
-
         self.mark = self._ids([MARK])[0]
         self.folds = all(self._ids([c]).tolist() == self._ids([c.lower()]).tolist() for c in ascii_uppercase)
 
@@ -130,7 +132,10 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The int32 IDs of each text."""
-        return self.pieces.ids([self._folded((t or "").encode("utf-8", "surrogatepass")).split() for t in texts])
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        whole = {i: self._ids([x.decode("utf-8", "replace")]) for i, x in enumerate(raw) if any(t in x for t in self.special)}
+        found = self.pieces.ids([[] if i in whole else self._folded(x).split() for i, x in enumerate(raw)])
+        return [whole.get(i, x) for i, x in enumerate(found)] if whole else found
 
     def _folded(self, raw: bytes) -> bytes:
         """Capitals as small letters where the vocabulary takes them alike, so that fewer pieces differ.
@@ -211,7 +216,7 @@ def pack(docs: DataFrame, path: str, *, longest: int = 4096, end: int = 2) -> Da
 
 
 def _arrow_type(df: DataFrame, name: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[df.schema[name].dataType.simpleString()]
+    return to_arrow_type(df.schema[name].dataType)
 
 
 # ---- files

@@ -29,6 +29,20 @@ def test_sql(spark, sf, name):
     assert_same(queries.QUERIES[name](spark, sf), database(sf), queries.ORACLES[name])
 
 
+def test_token_counts(spark, sf, docs):
+    keys = {r.doc_id: (r.source, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want, seen = {}, set()
+    for (d, text), ids in zip(docs, brute.token_ids([t for _, t in docs])):
+        if text not in seen:
+            seen.add(text)
+            for name, n in (("bytes-1", len((text or "").encode())), ("word_bpe_49k", len(ids))):
+                count = want.setdefault((*keys[d], name), [0, 0])
+                count[0] += 1
+                count[1] += n
+    got = {(r.source, r.lang, r.tokenizer): [r.docs, r.tokens] for r in found("op2_token_counts", spark, sf)}
+    assert got == want
+
+
 def test_pii_leaves_nothing_and_can_be_undone(spark, sf, docs):
     from pairwave.llm import pii
 
@@ -125,8 +139,10 @@ def test_token_files(spark, sf, docs):
 
 
 def test_quality(spark, sf, docs):
+    from pairwave.llm import quality as q
+
     got = {r.doc_id: r for r in found("op10_quality", spark, sf)}
     for d, text in docs:
         r = got[d]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute.quality(text)
-        assert not (r.base_failed and r.kept)
+        assert (r.lines_removed, r.kept) == brute.verdict(text, q.BOILERPLATE)[1:]

@@ -35,3 +35,15 @@ def test_a_common_bucket_is_linked_whole(spark):
     # 60 copies with one edit each, of every head: no two alike, all within 186 / 206 of each other
     texts = [_edited(h, {10 + 3 * i}) for h in heads for i in range(60)]
     assert _kept(spark, texts) == [0, 60, 120]
+
+
+def test_blocks_find_what_the_centres_miss(spark):
+    """A chain of sets, each similar to its neighbours only, in buckets of one key and blocks of two sets a side."""
+    from pairwave.llm import shingles
+
+    held = [(i, list(range(10 * i, 10 * i + 100))) for i in range(12)]
+    rows = [(1, i, i, 0) for i, _ in held]
+    spans = spark.createDataFrame(rows, "key long, set long, root long, of long")
+    sets = spark.createDataFrame(held, "set long, shingles array<long>")
+    got = {tuple(sorted((r.u, r.v))) for r in shingles._in_blocks(spans, sets, 0.8, 2).collect()}
+    assert got == {(i, i + 1) for i in range(11)}

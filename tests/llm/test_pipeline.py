@@ -15,14 +15,23 @@ from pairwave.llm import pii, quality  # noqa: E402
 from pairwave.llm.common import shared_folder  # noqa: E402
 
 
+def _shingles(text):
+    ws = brute.words(brute.lower_ascii(text))
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+
+def _alike(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
 def test_run(spark, sf):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
-    judged = [(d, quality.judge(t, 0.4, 0.5, 0.4)) for d, t in docs]
+    judged = [(d, brute.verdict(t, quality.BOILERPLATE)) for d, t in docs]
     docs = [(d, j[0]) for d, j in judged if j[-1]]
     shorter = brute.without_repeats([t for _, t in docs])
     docs = [(d, n) for (d, t), n in zip(docs, shorter) if t == n or n.strip(" ")]
-    component, _ = brute.simhash_components(docs, size=5)
-    docs = [(d, t) for d, t in docs if component[d] == d]
+    group = brute.groups([_shingles(t) for _, t in docs], _alike)
+    docs = [x for i, x in enumerate(docs) if group[i] == i]
     f = pii.Feistel(corpus_pipeline.KEY)
     docs = [(d, pii.pseudonymise(t, f)[0]) for d, t in docs]
     want = {d: np.append(x, np.uint32(2)).astype("<u4").tobytes() for (d, _), x in zip(docs, brute.token_ids([t for _, t in docs]))}
