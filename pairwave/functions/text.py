@@ -90,6 +90,14 @@ def date_text(c: Column) -> Column:
     return F.coalesce(F.date_format(day, "yyyy/MM/dd"), t)
 
 
+def time_text(c: Column) -> Column:
+    """``HH:mm`` of what reads as a time or a date with a time, blank for null, else the text as it is."""
+    t = F.trim(c.cast("string"))
+    formats = ("HH:mm:ss", "HH:mm", "H:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "h:mm a")
+    at = F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in formats])
+    return F.coalesce(F.date_format(at, "HH:mm"), t, F.lit(""))
+
+
 def folder_time(c: Column) -> Column:
     """The UTC instant in a session folder's name, in Unix seconds."""
     return F.unix_timestamp(F.try_to_timestamp(c, F.lit("yyyy_MM_dd-HH_mm_ss"))).cast("double")
@@ -114,6 +122,13 @@ def minute_near(c: Column, anchor: Column) -> Column:
     return F.when(base.isNotNull(), F.array_min(tries)["at"])
 
 
+def minute_at(c: Column, day: Column, hour: Column, zone: str) -> Column:
+    """``mm:ss.s`` as Unix seconds on a given local date (``yyyy-MM-dd``) and hour."""
+    minutes, seconds = F.split_part(c, F.lit(":"), F.lit(1)).try_cast("double"), F.split_part(c, F.lit(":"), F.lit(2)).try_cast("double")
+    base = wall_clock(F.concat(day, F.lit(" "), F.lpad(hour.cast("string"), 2, "0"), F.lit(":00")), zone)
+    return base + minutes * 60 + seconds
+
+
 def clock_distance(hour: Column, minute: Column, at: Column) -> Column:
     """Seconds of day from a clock time that may lack its PM (hours 1 to 6) to a time of day; infinite if unknown."""
     literal = F.abs(hour * 3600.0 + minute * 60.0 - at)

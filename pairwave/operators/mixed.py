@@ -1,63 +1,76 @@
-"""A random-intercept model of one variable on another by restricted maximum likelihood, and its spread over splits."""
+"""A random-intercept model of one variable on another by restricted maximum likelihood, and its spread over splits.
+
+The criterion needs no row of the data: at a variance ratio theta a person with n rows has the weight theta / (1 + n theta),
+so persons with equally many rows count together, by the sums of products of their sums. Spark adds up rows to persons and
+persons to sizes; what is left of a stratum is one short row for each size, on which a pandas function solves 2x2 systems.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .signal import beta_cdf, by_key
-
-
-def _reml(theta: float, y: np.ndarray, x: np.ndarray, group: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
-    """(-2 REML criterion, coefficients, their covariance, residual variance) at a variance ratio theta."""
-    n, p = x.shape
-    sizes = np.bincount(group)
-    k = (theta / (1 + sizes * theta))[group]
-    means = lambda m: np.stack([np.bincount(group, c, len(sizes)) for c in m.T], axis=1)[group]
-    wx, wy = x - k[:, None] * means(x), y - k * np.bincount(group, y, len(sizes))[group]
-    a = x.T @ wx
-    beta = np.linalg.solve(a, x.T @ wy)
-    rest = float(y @ wy - beta @ (x.T @ wy))
-    s2 = max(rest, 1e-300) / (n - p)
-    value = (n - p) * np.log(s2) + np.log1p(sizes * theta).sum() + np.linalg.slogdet(a)[1]
-    return value, beta, s2 * np.linalg.inv(a), s2
-
-
-def random_intercept(y: np.ndarray, x: np.ndarray, group: np.ndarray) -> dict:
-    """Slope of y on x with an intercept a group: beta, se, df (Satterthwaite), t, p, interval, variances, singular."""
-    names = np.unique(group, return_inverse=True)[1]
-    if len(y) < 4 or names.max() < 1 or not (y.std() > 0 and x.std() > 0):
-        raise ValueError("too few rows or groups, or a constant variable")
-    m = np.stack([np.ones(len(x)), x], axis=1)
-    grid = np.concatenate(([0.0], np.geomspace(1e-6, 1e6, 121)))
-    values = [_reml(v, y, m, names)[0] for v in grid]
-    i = int(np.argmin(values))
-    low, high = grid[max(0, i - 1)], grid[min(len(grid) - 1, i + 1)]
-    gold = (np.sqrt(5) - 1) / 2
-    for _ in range(80):
-        u, v = high - gold * (high - low), low + gold * (high - low)
-        if _reml(u, y, m, names)[0] < _reml(v, y, m, names)[0]:
-            high = v
-        else:
-            low = u
-    theta = (low + high) / 2
-    if values[0] <= _reml(theta, y, m, names)[0] or theta < 1e-8:
-        theta = 0.0
-    _, beta, cov, s2 = _reml(theta, y, m, names)
-    se = float(np.sqrt(cov[1, 1]))
+from .signal import beta_cdf
+
+#: Sums by size: persons, sums of x and y of persons, products of these, and sums of squares and products of rows.
+SUMS = ("persons", "x", "y", "px", "pxy", "py", "xx", "xy", "yy")
+
+
+class Model:
+    """The profile of the criterion over theta for sums by size (m rows a person)."""
+
+    def __init__(self, m: np.ndarray, sums: dict[str, np.ndarray]):
+        self.m, self.s = m.astype(float), sums
+        self.n = float(m @ sums["persons"])
+
+    def criteria(self, thetas: np.ndarray) -> np.ndarray:
+        """-2 REML at each of several ratios."""
+        m, s, t = self.m, self.s, np.atleast_1d(thetas)[:, None]
+        k = t / (1 + m * t)
+        a00, a01, a11 = self.n - k @ (m * m * s["persons"]), s["x"].sum() - k @ (m * s["x"]), s["xx"].sum() - k @ s["px"]
+        b0, b1 = s["y"].sum() - k @ (m * s["y"]), s["xy"].sum() - k @ s["pxy"]
+        det = a00 * a11 - a01 * a01
+        fitted = (a11 * b0 * b0 - 2 * a01 * b0 * b1 + a00 * b1 * b1) / det
+        rest = np.maximum(s["yy"].sum() - k @ s["py"] - fitted, 1e-300)
+        return (self.n - 2) * np.log(rest / (self.n - 2)) + np.log1p(m * t) @ s["persons"] + np.log(np.abs(det))
 
-    # Satterthwaite: 2 v^2 over the variance of v = se^2 as a function of both variances
-    def full(par: np.ndarray) -> tuple[float, float]:
-        """(-2 REML, variance of the slope) at (residual, intercept) variances."""
-        _, b, c, own = _reml(par[1] / par[0], y, m, names)
-        n_p = len(y) - 2
-        value, _, _, _ = _reml(par[1] / par[0], y, m, names)
-        return value - n_p * np.log(own) + n_p * np.log(par[0]) + n_p * own / par[0], c[1, 1] / own * par[0]
-
-    at = np.array([s2, theta * s2])
-    df = float(len(y) - 2)
-    if theta > 0:
+    def at(self, theta: float) -> tuple[float, np.ndarray, np.ndarray, float]:
+        """(-2 REML criterion, coefficients, their covariance, residual variance)."""
+        m, s = self.m, self.s
+        k = theta / (1 + m * theta)
+        a01 = s["x"].sum() - k @ (m * s["x"])
+        a = np.array([[self.n - k @ (m * m * s["persons"]), a01], [a01, s["xx"].sum() - k @ s["px"]]])
+        b = np.array([s["y"].sum() - k @ (m * s["y"]), s["xy"].sum() - k @ s["pxy"]])
+        beta = np.linalg.solve(a, b)
+        s2 = max(float(s["yy"].sum() - k @ s["py"] - beta @ b), 1e-300) / (self.n - 2)
+        return float(self.criteria(theta)[0]), beta, s2 * np.linalg.inv(a), s2
+
+    def best(self) -> float:
+        """The ratio of the least criterion: the best of a grid, and of finer ones around it."""
+        grid = np.concatenate(([0.0], np.geomspace(1e-6, 1e6, 121)))
+        values = self.criteria(grid)
+        zero = values[0]
+        for _ in range(12):
+            i = int(np.argmin(values))
+            grid = np.linspace(grid[max(0, i - 1)], grid[min(len(grid) - 1, i + 1)], 33)
+            values = self.criteria(grid)
+        i = int(np.argmin(values))
+        return 0.0 if zero <= values[i] or grid[i] < 1e-8 else float(grid[i])
+
+    def degrees(self, theta: float, s2: float, se: float) -> float:
+        """Satterthwaite: 2 v^2 over the variance of v = se^2 as a function of both variances."""
+        if not theta > 0:
+            return self.n - 2
+
+        def full(par: np.ndarray) -> tuple[float, float]:
+            """(-2 REML, variance of the slope) at (residual, intercept) variances."""
+            value, _, c, own = self.at(par[1] / par[0])
+            free = self.n - 2
+            return value - free * np.log(own) + free * np.log(par[0]) + free * own / par[0], c[1, 1] / own * par[0]
+
+        at = np.array([s2, theta * s2])
         h = 1e-4 * at
         hess, grad = np.zeros((2, 2)), np.zeros(2)
         for a in range(2):
@@ -67,17 +80,92 @@ def random_intercept(y: np.ndarray, x: np.ndarray, group: np.ndarray) -> dict:
                 eb = h * (np.arange(2) == b)
                 hess[a, b] = (full(at + ea + eb)[0] - full(at + ea - eb)[0] - full(at - ea + eb)[0] + full(at - ea - eb)[0]) / (4 * h[a] * h[b])
         spread = float(grad @ (2 * np.linalg.pinv(hess)) @ grad)
-        df = 2 * se**4 / spread if spread > 0 else df
-    t = beta[1] / se
-    return {"n": len(y), "groups": int(names.max()) + 1, "beta": beta[1], "se": se, "df": df, "t": t, "p": beta_cdf(df / (df + t * t), df / 2, 0.5), "ci_low": beta[1] - 1.96 * se, "ci_high": beta[1] + 1.96 * se, "var_group": theta * s2, "var_rest": s2, "singular": theta == 0.0}
+        return 2 * se**4 / spread if spread > 0 else self.n - 2
+
+
+def random_intercept(m: np.ndarray, sums: dict[str, np.ndarray]) -> dict:
+    """Slope of y on x with an intercept a person: beta, se, df (Satterthwaite), t, p, interval, variances, singular."""
+    model = Model(m, sums)
+    n, persons = int(model.n), int(sums["persons"].sum())
+    off = lambda xx, x: sums[xx].sum() - sums[x].sum() ** 2 / max(1, n)
+    if n < 4 or persons < 2 or not (off("xx", "x") > 1e-9 * sums["xx"].sum() and off("yy", "y") > 1e-9 * sums["yy"].sum()):
+        raise ValueError("too few rows or persons, or a constant variable")
+    theta = model.best()
+    _, beta, cov, s2 = model.at(theta)
+    se = float(np.sqrt(cov[1, 1]))
+    df, t = model.degrees(theta, s2, se), beta[1] / se
+    p = beta_cdf(df / (df + t * t), df / 2, 0.5)
+    return {"n": n, "persons": persons, "beta": beta[1], "se": se, "df": df, "t": t, "p": p, "ci_low": beta[1] - 1.96 * se, "ci_high": beta[1] + 1.96 * se, "var_person": theta * s2, "var_rest": s2, "singular": theta == 0.0}
+
+
+MODEL = "n long, persons long, beta double, se double, df double, t double, p double, ci_low double, ci_high double, var_person double, var_rest double, singular boolean, error string"
+
+
+def by_person(df: DataFrame, keys: list[str], y: str, x: str, person: str) -> DataFrame:
+    """keys, person, m (rows) and the person's sums; rows without both values don't count. Values are centred by the caller."""
+    ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    c, d = F.col(x), F.col(y)
+    return ok.groupBy(*keys, person).agg(F.count("*").alias("m"), F.sum(c).alias("x"), F.sum(d).alias("y"), F.sum(c * c).alias("xx"), F.sum(c * d).alias("xy"), F.sum(d * d).alias("yy"))
+
+
+def fit_persons(persons: DataFrame, keys: list[str]) -> DataFrame:
+    """The model of each key from by_person's rows; a stratum that can't be fitted has its error."""
+    x, y = F.col("x"), F.col("y")
+    sizes = persons.groupBy(*keys, "m").agg(
+        F.count("*").alias("persons"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(x * x).alias("px"), F.sum(x * y).alias("pxy"), F.sum(y * y).alias("py"),
+        *[F.sum(c).alias(c) for c in ("xx", "xy", "yy")],
+    )
+    # a model takes longer than its few rows tell, so the strata are dealt out by their number
+    sizes = sizes.repartition(int(persons.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    kinds = {f.name: f.dataType.simpleString() for f in sizes.schema}
+    names = [c.split()[0] for c in MODEL.split(", ")]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        key = {k: group[k].iloc[0] for k in keys}
+        try:
+            made = random_intercept(group["m"].to_numpy(float), {c: group[c].to_numpy(float) for c in SUMS}) | {"error": None}
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError) as e:
+            made = {"error": f"{type(e).__name__}: {e}"}
+        out = pd.DataFrame([key | made], columns=[*keys, *names])
+        return out.astype(object).where(out.notna(), None)
+
+    return sizes.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + MODEL)
+
+
+def fit(df: DataFrame, keys: list[str], y: str, x: str, person: str) -> DataFrame:
+    return fit_persons(by_person(df, keys, y, x, person), keys)
+
 
+def random_half_sums(df: DataFrame, unit: list[str], person: str, value: str, sample: str, iterations: int, seed: int, least: int = 2) -> DataFrame:
+    """iteration and by_person's rows for the half means of every unit over seeded shuffles of its samples (x odd, y even).
 
-MODEL = "n long, groups long, beta double, se double, df double, t double, p double, ci_low double, ci_high double, var_group double, var_rest double, singular boolean"
+    A shuffle is an order of random keys, of which the odd and the even places are the halves. A task takes one person's
+    units; what it gives is one row of sums an iteration, so nothing is multiplied by the iterations before.
+    """
+    from .transfer import seed_of
 
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        who, total, m = group[person].iloc[0], np.zeros((5, iterations)), 0
+        for key, rows in group.sort_values([*unit, sample]).groupby(unit, sort=True, dropna=False):
+            v = rows[value].to_numpy(float)
+            n = len(v)
+            if n // 2 < least:
+                continue
+            rng = np.random.default_rng(seed_of(seed, key))
+            # as many iterations at a time as fit a million values
+            for at in range(0, iterations, max(1, 1_000_000 // n)):
+                to = min(iterations, at + max(1, 1_000_000 // n))
+                mixed = rng.permuted(np.tile(v, (to - at, 1)), axis=1)
+                odd, even = mixed[:, ::2].mean(axis=1), mixed[:, 1::2].mean(axis=1)
+                total[:, at:to] += np.stack([even, odd, even * even, even * odd, odd * odd])
+            m += 1
+        if not m:
+            return pd.DataFrame({c: [] for c in (person, "iteration", "m", "x", "y", "xx", "xy", "yy")})
+        return pd.DataFrame({person: who, "iteration": np.arange(1, iterations + 1), "m": m, **dict(zip(("x", "y", "xx", "xy", "yy"), total))})
 
-def fit(df: DataFrame, keys: list[str], y: str, x: str, group: str, order: str) -> DataFrame:
-    """The model of each key (a stratum, or a stratum's iteration); a stratum that can't be fitted has its error."""
-    return by_key(df, keys, order, [y, x, group], random_intercept, MODEL)
+    kind = df.schema[person].dataType.simpleString()
+    ok = df.where(F.col(value).isNotNull()).select(person, *[u for u in unit if u != person], value, sample)
+    return ok.groupBy(person).applyInPandas(run, f"{person} {kind}, iteration long, m long, x double, y double, xx double, xy double, yy double")
 
 
 def spread(fits: DataFrame, keys: list[str]) -> DataFrame:

@@ -113,14 +113,17 @@ def detrended(df: DataFrame, keys: list[str], x: str, order: str, name: str) ->
 
 
 def filled(df: DataFrame, keys: list[str], x: str, order: str, name: str) -> DataFrame:
-    """df with gaps of x filled linearly over the place in the series; the ends hold their nearest value."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    out = df.withColumn("__i", F.row_number().over(w))
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col(x).isNotNull(), F.col("__i"))
-    out = out.select("*", F.last(x, True).over(before).alias("__x0"), F.last(at, True).over(before).alias("__i0"), F.first(x, True).over(after).alias("__x1"), F.first(at, True).over(after).alias("__i1"))
-    line = F.col("__x0") + (F.col("__i") - F.col("__i0")) * (F.col("__x1") - F.col("__x0")) / F.nullif(F.col("__i1") - F.col("__i0"), F.lit(0))
-    return out.withColumn(name, F.coalesce(x, line, "__x0", "__x1")).drop("__i", "__x0", "__x1", "__i0", "__i1")
+    """df with gaps of x filled linearly over the place in the series; the ends hold their nearest value.
+
+    What comes next is the last so far in the opposite order, so each row is looked at once either way.
+    """
+    w = Window.partitionBy(*keys)
+    out = df.withColumn("__i", F.row_number().over(w.orderBy(order)))
+    known = F.when(F.col(x).isNotNull(), F.struct(F.col(x).alias("x"), F.col("__i").alias("i")))
+    so_far = lambda o: F.last(known, True).over(w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0))
+    out = out.select("*", so_far(F.asc("__i")).alias("__a"), so_far(F.desc("__i")).alias("__b"))
+    line = F.col("__a.x") + (F.col("__i") - F.col("__a.i")) * (F.col("__b.x") - F.col("__a.x")) / F.nullif(F.col("__b.i") - F.col("__a.i"), F.lit(0))
+    return out.withColumn(name, F.coalesce(x, line, "__a.x", "__b.x")).drop("__i", "__a", "__b")
 
 
 def timeline(df: DataFrame, keys: list[str], segment: list[str], t: str = "t", pause: float = 5.0) -> DataFrame:

@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def by_key(df: DataFrame, keys: list[str], order: str, columns: list[str], kernel: Callable[..., dict | list[dict] | None], schema: str) -> DataFrame:
@@ -149,12 +150,22 @@ def beta_cdf(x: float, a: float, b: float) -> float:
 
 def t_test_p(r: float, n: int) -> float:
     """Two-sided p of a correlation."""
-    if n < 3 or not abs(r) < 1:
-        return 0.0 if abs(r) == 1 and n > 2 else float("nan")
+    if n < 3 or not abs(r) < 1 - 1e-14:
+        return 0.0 if abs(r) < 1 + 1e-9 and n > 2 else float("nan")
     t2 = r * r * (n - 2) / (1 - r * r)
     return beta_cdf((n - 2) / (n - 2 + t2), (n - 2) / 2, 0.5)
 
 
+def correlation_p(r: Column, n: Column) -> Column:
+    """Two-sided p of correlations, null where there is none."""
+
+    @F.pandas_udf("double")
+    def p(r: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([t_test_p(x, int(k)) if x == x else np.nan for x, k in zip(r.astype(float), n.fillna(0))])
+
+    return F.nanvl(p(r, n), F.lit(None).cast("double"))
+
+
 def f_test_p(f: float, d1: int, d2: int) -> float:
     return 1 - beta_cdf(d1 * f / (d1 * f + d2), d1 / 2, d2 / 2) if f > 0 else 1.0
 
@@ -187,20 +198,21 @@ def cross_recurrence(a: np.ndarray, b: np.ndarray, dim: int = 3, delay: int = 1,
     a, b = standardised(a), standardised(b)
     n = len(a) - delay * (dim - 1)
     e = lambda s: np.stack([s[j * delay : j * delay + n] for j in range(dim)], axis=1)
-    near = (np.abs(e(a)[:, None] - e(b)[None]) ** 2).sum(axis=2) <= radius**2
+    ea, eb = e(a), e(b)
 
     def lengths(lines: list[np.ndarray]) -> np.ndarray:
-        out = []
-        for x in lines:
-            d = np.diff(np.concatenate(([0], x.astype(int), [0])))
-            out.append(np.flatnonzero(d == -1) - np.flatnonzero(d == 1))
-        return np.concatenate(out) if out else np.zeros(0, int)
-
-    total = near.sum()
+        """The lengths of the stretches of truths in the lines."""
+        x = np.concatenate([np.concatenate((line, [False])) for line in lines]).astype(np.int8)
+        d = np.diff(x, prepend=0)
+        return np.flatnonzero(d == -1) - np.flatnonzero(d == 1)
+
+    # the n x n picture is never held: a line of it at a time, along diagonals and then along columns
+    close = lambda x, y: ((x - y) ** 2).sum(axis=1) <= radius**2
+    diagonal = lengths([close(ea[max(0, -k) : n - max(0, k)], eb[max(0, k) : n + min(0, k)]) for k in range(1 - n, n)])
+    vertical = lengths([close(ea, eb[j]) for j in range(n)])
+    total = int(vertical.sum())
     if not total:
         return none | {"rr": 0.0}
-    diagonal = lengths([np.diagonal(near, k) for k in range(1 - n, n)])
-    vertical = lengths(list(near.T))
     d, v = diagonal[diagonal >= 2], vertical[vertical >= 2]
     p = np.bincount(d)[2:] / len(d) if len(d) else np.zeros(0)
     p = p[p > 0]

@@ -37,18 +37,20 @@ def lag_one(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return out.select("*", asym.alias("asymmetry"), lead.alias("leader"))
 
 
-def cross_correlation(df: DataFrame, keys: list[str], pos: str, most: int) -> DataFrame:
+def cross_correlation(df: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
     """Normalised cross-correlation of centred a and b at lags within +-most: keys, lag, c.
 
-    At lag L, a at place i + L meets b at place i. Each row of b is dealt to its lags, then joined on the place.
+    At lag L, a at place i + L meets b at place i. One sort of each key's rows gives all lags, as sums of products with b
+    that many rows before; only the sums are dealt to lags.
     """
-    w = Window.partitionBy(*keys)
-    z = df.select(*keys, F.col(pos).alias("__i"), (F.col("a") - F.avg("a").over(w)).alias("x"), (F.col("b") - F.avg("b").over(w)).alias("y"))
-    norm = z.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y"))).alias("norm"))
-    moved = z.select(*keys, "y", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), "__i").withColumn("__i", F.col("__i") + F.col("lag"))
-    met = z.select(*keys, "__i", "x").join(moved, [*keys, "__i"])
-    sums = met.groupBy(*keys, "lag").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    return sums.join(norm, keys).select(*keys, "lag", (F.col("s") / F.nullif("norm", F.lit(0.0))).alias("c"))
+    whole, w = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(order)
+    z = df.select(*keys, order, (F.col("a") - F.avg("a").over(whole)).alias("__x"), (F.col("b") - F.avg("b").over(whole)).alias("__y"))
+    lags = range(-most, most + 1)
+    z = z.select(*keys, "__x", "__y", *[(F.lag("__y", n).over(w) if n > 0 else F.lead("__y", -n).over(w) if n < 0 else F.col("__y")).alias(f"__l{n + most}") for n in lags])
+    sums = [F.sum(F.col("__x") * F.col(f"__l{n + most}")).alias(f"__s{n + most}") for n in lags]
+    out = z.groupBy(*keys).agg(F.sqrt(F.sum(F.col("__x") * F.col("__x")) * F.sum(F.col("__y") * F.col("__y"))).alias("norm"), *sums)
+    cells = F.array(*[F.struct(F.lit(n).alias("lag"), (F.col(f"__s{n + most}") / F.nullif("norm", F.lit(0.0))).alias("c")) for n in lags])
+    return out.select(*keys, F.inline(cells)).where("c is not null")
 
 
 def peak_lag(cc: DataFrame, keys: list[str], *, signed: bool = False) -> DataFrame:

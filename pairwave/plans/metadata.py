@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats, text
 from ..functions.stats import pearson, rounded
-from ..operators import pairing, series, summary
+from ..operators import pairing, series, summary, trial
+from ..sources import files
 from .standin import DYADS, SAMPLES, dyads, r_sql, samples, seconds, table
 
 
@@ -61,13 +62,12 @@ def nearest_session(spark, sf):
 
 
 def scored_anchors(spark, sf):
-    """Each click with the sign-up that has the least score of time and place in its user's series."""
+    """Each click with the sign-up that has the least score of time and place in its user's series, else the nearest place."""
     s = samples(spark, sf)
-    place = (F.col("sensor") * 100000 + F.col("n")).alias
-    rows = s.where("event_type = 'click'").select(place("i"), F.col("t").alias("start"), (F.col("t") + 600).alias("end"))
-    anchors = s.where("event_type = 'signup'").select(place("j"), F.col("t").alias("at"))
-    out = pairing.scored_anchor(rows, anchors, 12, 5.0)
-    return out.select("i", "j", *_r("score", digits=3))
+    rows = s.where("event_type = 'click'").select("sensor", F.col("n").alias("i"), F.col("t").alias("start"), (F.col("t") + 600).alias("end"))
+    anchors = s.where("event_type = 'signup'").select("sensor", F.col("n").alias("j"), F.col("t").alias("at"))
+    out = pairing.scored_anchor(rows, anchors, ["sensor"], 12, 5.0)
+    return out.select("sensor", "i", "j", *_r("score", digits=3), "in_reach")
 
 
 def containment(spark, sf):
@@ -85,7 +85,7 @@ def range_cut(spark, sf):
     """Samples within each user's window from the first purchase, three days, both ends included."""
     s = samples(spark, sf)
     w = s.where("event_type = 'purchase'").groupBy("sensor").agg(F.min("t").alias("start")).withColumn("end", F.col("start") + 259200.0)
-    return pairing.cut(s, w, "sensor").groupBy("sensor").agg(F.count("*").alias("n"), rounded(F.avg("x")).alias("mean_x"))
+    return pairing.range_cut(s, w, "sensor").groupBy("sensor").agg(F.count("*").alias("n"), rounded(F.avg("x")).alias("mean_x"))
 
 
 def position_pairs(spark, sf):
@@ -118,8 +118,39 @@ def greedy_matching(spark, sf):
     s = samples(spark, sf).withColumn("day", F.floor(F.col("t") / 86400).cast("long"))
     a = s.where("event_type = 'signup'").select("day", F.col("event_id").alias("left"), F.col("t").alias("ta"))
     b = s.where("event_type = 'purchase'").select("day", F.col("event_id").alias("right"), F.col("t").alias("tb"))
-    met = a.join(b, "day").withColumn("score", F.abs(F.col("ta") - F.col("tb"))).where("score <= 7200")
-    return pairing.greedy_one_to_one(met, "day").select("day", "left", "right", *_r("score", digits=3), "shared")
+    met = pairing.within_tolerance(a, b.withColumnRenamed("day", "day_b"), "ta", "tb", 7200.0).where("day = day_b")
+    met = met.withColumn("score", F.abs(F.col("ta") - F.col("tb")))
+    return pairing.greedy_one_to_one(met, ["day"]).select("day", "left", "right", *_r("score", digits=3), "shared")
+
+
+def session_matching(spark, sf):
+    """Orders as sessions matched to customers as metadata: by date, sensors (suffixes) and clock time, then one to one."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("session"), "o_custkey", seconds("o_orderdate").alias("t"))
+    day = lambda t: F.date_format(F.timestamp_seconds(t.cast("long")), "yyyy/MM/dd")
+    pair = lambda k: F.array((k % 97).cast("string"), (k % 89).cast("string"))
+    a = o.select("session", day(F.col("t")).alias("date"), (F.col("session") * 61 % 86400).cast("double").alias("second"), pair(F.col("session")).alias("suffixes"))
+    b = o.where("session % 3 = 0").select(
+        (F.col("session") + 1_000_000_000).alias("dyad"), day(F.when(F.col("session") % 9 == 0, F.col("t") + 86400).otherwise(F.col("t"))).alias("date"),
+        (F.floor(F.col("session") * 61 % 86400 / 3600)).cast("double").alias("hour"), F.lit(30.0).alias("minute"),
+        F.when(F.col("session") % 2 == 0, pair(F.col("session"))).otherwise(F.array((F.col("session") % 97).cast("string"), F.lit("x"))).alias("suffixes"),
+    )
+    met = pairing.session_candidates(a, b).select(F.lit("all").alias("study"), F.col("session").alias("left"), F.col("dyad").alias("right"), "score", "kind")
+    best = pairing.greedy_one_to_one(met, ["study"]).join(met, ["study", "left", "right", "score"])
+    sensors = F.array(F.concat(F.lit("2514300"), (F.col("left") % 97).cast("string")), F.concat(F.lit("2514300"), (F.col("left") % 89).cast("string")))
+    roles = pairing.sensor_roles(sensors, (F.col("left") % 97).cast("string"), F.when(F.col("left") % 2 == 0, (F.col("left") % 89).cast("string")).otherwise("x"))
+    return best.select(F.col("left").alias("session"), F.col("right").alias("dyad"), *_r("score", digits=3), "kind", "shared", *[c.alias(k) for k, c in roles.items()])
+
+
+def manifests(spark, sf):
+    """Keys read off file names, files with the summary row of the same base name, and wall-clock times."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", seconds("o_orderdate").alias("t"))
+    name = F.format_string("rec%d__%d__paired.csv", (F.col("o_orderkey") % 50).cast("int"), F.col("o_custkey").cast("int"))
+    made = o.select("o_orderkey", "t", F.concat(F.lit("/study/in/"), F.col("o_orderkey").cast("string"), name).alias("file"))
+    rows = o.where("o_orderstatus = 'F'").select(F.concat(F.lit("out/"), F.col("o_orderkey").cast("string"), name).alias("paired_file"), "o_orderstatus")
+    met = files.paired_manifest(made, rows)
+    keys = text.key_parts(F.col("file"))
+    stamp = F.date_format(F.timestamp_seconds(F.col("t").cast("long")), "yyyy-MM-dd HH:mm")
+    return met.select("o_orderkey", keys["recording_folder"].alias("folder"), keys["sensor_id"].alias("sensor"), F.coalesce("o_orderstatus", F.lit("none")).alias("status"), text.wall_clock(stamp, "America/Vancouver").alias("at"), text.time_text(stamp).alias("clock"))
 
 
 # ---- aggregates
@@ -183,7 +214,7 @@ def pretrial_quality(spark, sf):
     """Objective flags of each recording's first ten days."""
     s = samples(spark, sf)
     first = s.groupBy("sensor").agg(F.min("t").alias("start")).withColumn("end", F.col("start") + 864000.0)
-    cut = pairing.cut(s, first, "sensor")
+    cut = pairing.range_cut(s, first, "sensor")
     q = summary.segment_summary(cut, ["sensor"], F.col("x"), "t", target=864000.0).withColumn("n_rr", F.col("n") - 1)
     flag, why = summary.pretrial_quality()
     return q.select("sensor", flag.alias("flag"), why.alias("reasons"))
@@ -211,7 +242,7 @@ def reliability_strata(spark, sf):
 
 def analysis_units(spark, sf):
     """Rows folded two at a time, roles unpivoted, conditions looked up by trial."""
-    s = samples(spark, sf).where("n <= 18")
+    s = samples(spark, sf)
     nxt = s.withColumn("partner", F.lead("event_id").over(series.Window.partitionBy("sensor").orderBy("n"))).where("n % 2 = 1")
     nxt = nxt.withColumn("trial", F.floor(F.col("n") / 2).cast("long")).withColumn("order", F.when(F.col("sensor") % 2 == 0, "ff-fe-ee").otherwise("fe - ff"))
     out = nxt.select("sensor", "trial", F.expr("stack(2, 'A', event_id, 'B', partner) AS (role, event_id)"), text.condition_of(F.col("order"), F.col("trial")).alias("condition"))
@@ -225,6 +256,16 @@ def top_samples(spark, sf):
     return s.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("sensor", "place", "event_id", "x")
 
 
+def ordered_flags(spark, sf):
+    """The hundred first recordings by severity (poor, caution, clean) and sensor, with their place: a top-k report."""
+    q = pretrial_quality(spark, sf)
+    w = series.Window.orderBy("level", "sensor")
+    top = trial.ordered(q, F.col("flag"), ["poor", "caution", "clean"], F.col("sensor"), most=100)
+    # of the hundred rows left
+    top = top.withColumn("level", F.array_position(F.array(*map(F.lit, ("poor", "caution", "clean"))), F.col("flag")))
+    return top.withColumn("place", F.row_number().over(w).cast("long")).select("place", "sensor", "flag")
+
+
 def set_operations(spark, sf):
     """Users with purchases only, errors only, or both."""
     s = samples(spark, sf).where("x > 120")
@@ -280,9 +321,9 @@ def rates(spark, sf):
 
 NAMES = (
     enrichment, flag_lookup, two_stage_lookup, nearest_session, scored_anchors, containment, range_cut, position_pairs, unmatched,
-    nearest_mean, greedy_matching, recording_coverage, status_rollup, condition_summary, label_counts, dyad_flags, qc_funnel,
+    nearest_mean, greedy_matching, session_matching, manifests, recording_coverage, status_rollup, condition_summary, label_counts, dyad_flags, qc_funnel,
     metric_correlations, value_counts, pretrial_quality, trial_quality, dyad_reliability, reliability_strata, analysis_units,
-    top_samples, set_operations, identifiers, flags, participants, clock_times, rates,
+    top_samples, ordered_flags, set_operations, identifiers, flags, participants, clock_times, rates,
 )
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -325,10 +366,39 @@ ORACLES = {
     "nearest_session": f"""WITH {SAMPLES}, m AS (SELECT p.event_id, e.event_id AS error_id, abs(p.t - e.t) AS d FROM samples p JOIN samples e ON p.sensor = e.sensor AND e.event_type = 'error'
           AND abs(p.t - e.t) <= 21600 WHERE p.event_type = 'purchase'), b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY d, error_id) = 1)
         SELECT s.event_id, coalesce(error_id, -1) AS error_id, round(d, 3) AS distance FROM samples s LEFT JOIN b USING (event_id) WHERE s.event_type = 'purchase'""",
-    "scored_anchors": f"""WITH {SAMPLES}, s AS (SELECT *, sensor * 100000 + n AS p FROM samples), m AS (
-          SELECT c.p AS i, a.p AS j, least(abs(a.t - c.t), abs(a.t - (c.t + 600))) + 5.0 * abs(c.p - a.p) AS score FROM s c JOIN s a ON a.sensor = c.sensor AND abs(c.p - a.p) <= 12
+    "scored_anchors": f"""WITH {SAMPLES}, m AS (
+          SELECT c.sensor, c.n AS i, a.n AS j, least(abs(a.t - c.t), abs(a.t - (c.t + 600))) + 5.0 * abs(c.n - a.n) AS score, abs(c.n - a.n) AS off FROM samples c JOIN samples a ON a.sensor = c.sensor
           WHERE c.event_type = 'click' AND a.event_type = 'signup')
-        SELECT i, j, round(score::DOUBLE, 3) AS score FROM m QUALIFY row_number() OVER (PARTITION BY i ORDER BY score, j) = 1""",
+        SELECT sensor, i, j, round(score::DOUBLE, 3) AS score, off <= 12 AS in_reach FROM m
+        QUALIFY row_number() OVER (PARTITION BY sensor, i ORDER BY off > 12, CASE WHEN off <= 12 THEN score ELSE off END, j) = 1""",
+    "greedy_matching": f"""WITH RECURSIVE {SAMPLES}, s AS (SELECT floor(t / 86400)::BIGINT AS day, event_id, event_type, t FROM samples),
+        met AS (SELECT a.day, a.event_id AS l, b.event_id AS r, abs(a.t - b.t) AS score FROM s a JOIN s b ON b.day = a.day AND abs(a.t - b.t) <= 7200 WHERE a.event_type = 'signup' AND b.event_type = 'purchase'),
+        lefts AS (SELECT day, l, row_number() OVER (PARTITION BY day ORDER BY l) AS k, list(struct_pack(score := score, r := r) ORDER BY score, r) AS c FROM met GROUP BY day, l),
+        step AS (SELECT day, 0::BIGINT AS k, NULL::BIGINT AS l, []::BIGINT[] AS taken, NULL::STRUCT(score DOUBLE, r BIGINT) AS pick, false AS shared FROM (SELECT DISTINCT day FROM lefts)
+          UNION ALL SELECT day, k, l, list_append(taken, coalesce(free[1], c[1]).r), coalesce(free[1], c[1]), len(free) = 0 FROM (
+            SELECT x.day, x.k, x.l, x.c, t.taken, list_filter(x.c, lambda z: NOT list_contains(t.taken, z.r)) AS free FROM step t JOIN lefts x ON x.day = t.day AND x.k = t.k + 1))
+        SELECT day, l AS left, pick.r AS right, round(pick.score, 3) AS score, shared FROM step WHERE l IS NOT NULL""",
+    "session_matching": """WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_orderdate AS d FROM orders),
+        a AS (SELECT k, strftime(d, '%Y/%m/%d') AS day, (k * 61 % 86400)::DOUBLE AS sec, list_sort(list_distinct([(k % 97)::VARCHAR, (k % 89)::VARCHAR])) AS s FROM o),
+        b AS (SELECT k + 1000000000 AS dyad, strftime(CASE WHEN k % 9 = 0 THEN d + INTERVAL 1 DAY ELSE d END, '%Y/%m/%d') AS day, k * 61 % 86400 // 3600 AS h,
+                     list_sort(list_distinct([(k % 97)::VARCHAR, CASE WHEN k % 2 = 0 THEN (k % 89)::VARCHAR ELSE 'x' END])) AS s FROM o WHERE k % 3 = 0),
+        met AS (SELECT a.k, dyad, a.day = b.day AS same, true AS exact, h, sec FROM a JOIN b ON a.s = b.s
+          UNION ALL SELECT DISTINCT x.k, y.dyad, true, false, h, sec FROM (SELECT *, unnest(s) AS one FROM a) x JOIN (SELECT *, unnest(s) AS one FROM b) y ON x.day = y.day AND x.one = y.one WHERE x.s <> y.s),
+        far AS (SELECT *, CASE WHEN h BETWEEN 1 AND 6 THEN least(abs(h * 3600.0 + 1800 - sec), abs((h + 12) * 3600.0 + 1800 - sec)) ELSE abs(h * 3600.0 + 1800 - sec) END::DOUBLE AS off FROM met),
+        cand AS (SELECT k, dyad, CASE WHEN same AND exact THEN 'same_date_exact_sensors' WHEN same THEN 'same_date_partial_sensor_time_close' ELSE 'date_mismatch_exact_sensors_time_close' END AS kind,
+                        off + CASE WHEN same AND exact THEN 0 WHEN same THEN 500 ELSE 2000 END AS score FROM far WHERE (same AND exact) OR off <= 1200),
+        lefts AS (SELECT k AS l, row_number() OVER (ORDER BY k) AS i, list(struct_pack(score := score, r := dyad, kind := kind) ORDER BY score, dyad) AS c FROM cand GROUP BY k),
+        step AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS l, []::BIGINT[] AS taken, NULL::STRUCT(score DOUBLE, r BIGINT, kind VARCHAR) AS pick, false AS shared
+          UNION ALL SELECT i, l, list_append(taken, coalesce(free[1], c[1]).r), coalesce(free[1], c[1]), len(free) = 0 FROM (
+            SELECT x.i, x.l, x.c, t.taken, list_filter(x.c, lambda z: NOT list_contains(t.taken, z.r)) AS free FROM step t JOIN lefts x ON x.i = t.i + 1)),
+        roles AS (SELECT l, pick, shared, ['2514300' || l % 97, '2514300' || l % 89] AS ids, (l % 97)::VARCHAR AS sa, CASE WHEN l % 2 = 0 THEN (l % 89)::VARCHAR ELSE 'x' END AS sb FROM step WHERE l IS NOT NULL),
+        ends AS (SELECT *, coalesce(list_filter(ids, lambda z: ends_with(z, sa))[-1], '') AS a, coalesce(list_filter(ids, lambda z: ends_with(z, sb))[-1], '') AS b FROM roles),
+        rest AS (SELECT *, CASE WHEN b = '' AND a <> '' AND len(list_filter(ids, lambda z: z <> a)) = 1 THEN list_filter(ids, lambda z: z <> a)[1] END AS rb FROM ends)
+        SELECT l AS session, pick.r AS dyad, round(pick.score, 3) AS score, pick.kind AS kind, shared, a AS sensor_a, coalesce(rb, b) AS sensor_b,
+               concat_ws(' ', CASE WHEN rb IS NOT NULL THEN 'Inferred sensor_B as remaining folder sensor.' END, CASE WHEN coalesce(rb, b) = '' THEN 'Could not resolve sensor_B.' END) AS note FROM rest""",
+    "manifests": """WITH b AS (SELECT o_orderkey, o_custkey, o_orderstatus, date_trunc('minute', o_orderdate) AS d FROM orders)
+        SELECT o_orderkey, o_orderkey::VARCHAR || 'rec' || o_orderkey % 50 AS folder, o_custkey::VARCHAR AS sensor, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'none' END AS status,
+               epoch(d::TIMESTAMP AT TIME ZONE 'America/Vancouver')::DOUBLE AS at, strftime(d, '%H:%M') AS clock FROM b""",
     "containment": f"""WITH {SAMPLES}, r AS (SELECT sensor, sensor // 2 AS dyad, min(t) AS f, max(t) AS l FROM samples GROUP BY sensor),
         w AS (SELECT dyad, i AS candidate_window, f + i * 259200.0::DOUBLE AS s, f + i * 259200.0::DOUBLE + 604800 AS e FROM (SELECT dyad, min(f) AS f FROM r GROUP BY dyad), range(0, 9) AS g(i))
         SELECT w.dyad, candidate_window, count(*) FILTER (r.f <= s AND r.l >= e) AS covered_sensor_count, count(*) FILTER (r.f <= s AND r.l >= e) >= 2 AS usable FROM w JOIN r USING (dyad) GROUP BY ALL""",
@@ -381,7 +451,7 @@ ORACLES = {
     "reliability_strata": f"""WITH {SAMPLES}, s AS (SELECT 'all' AS stratum, sensor, x FROM samples UNION ALL SELECT 'main', sensor, x FROM samples WHERE x BETWEEN 40 AND 200 UNION ALL
         SELECT 'views', sensor, x FROM samples WHERE event_type = 'view' UNION ALL SELECT 'main_views', sensor, x FROM samples WHERE event_type = 'view' AND x BETWEEN 40 AND 200)
         SELECT stratum, count(*) AS n, count(DISTINCT sensor) AS n_sensors, round(avg(x), 6) AS mean_x FROM s GROUP BY stratum""",
-    "analysis_units": f"""WITH {SAMPLES}, f AS (SELECT sensor, n, event_id, lead(event_id) OVER (PARTITION BY sensor ORDER BY n) AS partner FROM samples WHERE n <= 18), u AS (
+    "analysis_units": f"""WITH {SAMPLES}, f AS (SELECT sensor, n, event_id, lead(event_id) OVER (PARTITION BY sensor ORDER BY n) AS partner FROM samples), u AS (
           SELECT *, n // 2 AS trial, CASE WHEN sensor % 2 = 0 THEN ['FF', 'FF', 'FE', 'FE', 'EE', 'EE'] ELSE ['FE', 'FE', 'FF', 'FF'] END AS c FROM f WHERE n % 2 = 1)
         SELECT sensor, trial, role, CASE role WHEN 'A' THEN event_id ELSE partner END AS event_id, CASE WHEN trial = 0 THEN 'practice' ELSE coalesce(c[trial], 'unknown') END AS condition
         FROM u, (VALUES ('A'), ('B')) AS r(role) WHERE role = 'A' OR partner IS NOT NULL""",
@@ -403,3 +473,5 @@ ORACLES = {
         r AS (SELECT sensor, fs, CASE WHEN sensor % 2 = 0 THEN round(fs * 1.05, 1) END AS said FROM m)
         SELECT sensor, round(CASE WHEN said BETWEEN 20 AND 1000 AND (fs NOT BETWEEN 20 AND 1000 OR abs(said - fs) <= 0.1 * fs) THEN said WHEN fs BETWEEN 20 AND 1000 THEN fs END, 3) AS rate FROM r""",
 }
+ORACLES["ordered_flags"] = f"""SELECT row_number() OVER (ORDER BY list_position(['poor', 'caution', 'clean'], flag), sensor) AS place, sensor, flag
+    FROM ({ORACLES["pretrial_quality"]}) QUALIFY place <= 100"""

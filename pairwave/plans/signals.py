@@ -5,12 +5,12 @@ from __future__ import annotations
 import functools
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.stats import rounded
-from ..operators import mixed, series, signal, summary, synchrony, transfer
-from .standin import DYADS, dyads, samples
+from ..operators import mixed, pairing, series, signal, summary, synchrony, transfer, trial
+from .standin import dyads, r_sql, samples
+from .timeseries import LAGS, PHASES
 
 
 def _r(*names: str, digits: int = 6):
@@ -22,7 +22,7 @@ def phase_metrics(spark, sf):
     d = dyads(spark, sf)
     out = signal.by_key(d, ["dyad", "trial"], "k", ["a", "b"], signal.phases, "n long, plv double, pli double, mean_phase double, envelope_r double")
     out = out.where("error is null and n >= 10")
-    return out.select("dyad", F.col("trial").cast("long").alias("trial"), "n", *_r("plv", "pli", "envelope_r"))
+    return out.select("dyad", F.col("trial").cast("long").alias("trial"), "n", *_r("plv", "pli", "mean_phase", "envelope_r"))
 
 
 def coherence(spark, sf):
@@ -49,77 +49,146 @@ def granger(spark, sf):
 def cross_recurrence(spark, sf):
     schema = "rr double, det double, l_mean double, l_max double, entropy double, lam double, tt double"
     d = dyads(spark, sf).withColumn("week", F.floor(F.col("k") / 168))
-    kernel = functools.partial(signal.cross_recurrence, radius=0.5)
-    out = signal.by_key(d, ["dyad", "week"], "k", ["a", "b"], kernel, schema)
+    out = signal.by_key(d, ["dyad", "week"], "k", ["a", "b"], signal.cross_recurrence, schema)
     return out.select("dyad", "week", *_r("rr", "det", "l_mean", "l_max", "entropy", "lam", "tt"), "error")
 
 
 def correlation_p(spark, sf):
-    """Pearson's r of trials with its two-sided p."""
-    d = dyads(spark, sf).groupBy("dyad", "trial").agg(F.count("*").alias("n"), synchrony.pearson(F.col("a"), F.col("b")).alias("r"))
+    """Pearson's r and Spearman's rho of trials with their two-sided p."""
+    d, keys = dyads(spark, sf), ["dyad", "trial"]
+    r = d.groupBy(*keys).agg(synchrony.pearson(F.col("a"), F.col("b")).alias("r"))
+    out = synchrony.spearman(d, keys).join(r, keys)
+    p = lambda c: rounded(signal.correlation_p(F.col(c), F.col("n")), 5)
+    return out.select("dyad", F.col("trial").cast("long").alias("trial"), "n", *_r("r", "rho"), p("r").alias("p"), p("rho").alias("rho_p"))
 
-    @F.pandas_udf("double")
-    def p(r: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([signal.t_test_p(x, int(k)) if x == x and x is not None else np.nan for x, k in zip(r.astype(float), n)])
 
-    return d.select("dyad", F.col("trial").cast("long").alias("trial"), "n", *_r("r"), rounded(F.nanvl(p("r", "n"), F.lit(None).cast("double")), 5).alias("p"))
+def surrogates(spark, sf):
+    """Transfer entropy of dyads on a six-hourly grid against 400 permutations, lags 1 to 13, both ways and their difference.
 
+    On that grid a month is a window of 90 samples.
+    """
+    step = 6 * 3600.0
+    d = series.paired(series.to_grid(samples(spark, sf), ["sensor"], step, tie="event_id"), "sensor")
+    out = transfer.ste_windows(d, ["dyad"], "t", step, width=90, chunk=50)
+    names = [n for x in transfer.NULLS for n in (x, f"{x}_mean", f"{x}_sd", f"{x}_z", f"{x}_p")]
+    return out.select("dyad", F.col("run").cast("long").alias("run"), F.col("window").cast("long").alias("win"), "start", "tau", "delta", "n_symbols", "few_symbols", *_r(*names))
 
-def surrogates(spark, sf):
-    """Normalised transfer entropy of trials of four days against 100 permutations."""
-    d = dyads(spark, sf).withColumn("block", F.floor(F.col("k") / 96))
-    z = d.select("dyad", "block", "k", series.zscore("a", ["dyad", "block"], 0).alias("a"), series.zscore("b", ["dyad", "block"], 0).alias("b")).where("a is not null and b is not null")
-    out = transfer.surrogate_test(z, ["dyad", "block"], "k", surrogates=100, shuffles=20, chunk=50)
-    return out.select("dyad", "block", "n", *_r("nste", "null_mean", "null_sd", "z", "p"))
+
+def _halves(spark, sf):
+    """The samples of units (a sensor's kind of event) of persons, about 100 so that sums of squares keep their digits."""
+    s = samples(spark, sf).withColumn("person", F.floor(F.col("sensor") / 2).cast("long"))
+    return s.withColumn("x", F.col("x") - 100.0)
 
 
 def mixed_model(spark, sf):
-    """Odd on even half means with an intercept a sensor."""
-    halves = summary.split_halves(samples(spark, sf), ["sensor", "event_type"], "x", F.col("n"))
-    halves = halves.withColumn("stratum", F.lit("all")).withColumn("person", F.floor(F.col("sensor") / 2).cast("double"))
-    fits = mixed.fit(halves, ["stratum"], "odd_half_mean", "even_half_mean", "person", "sensor")
-    return fits.select("stratum", "n", "groups", *_r("beta", "se", "df", "t", "p", "ci_low", "ci_high", digits=4), "singular", "error")
+    """Odd on even half means with an intercept a person."""
+    halves = summary.split_halves(_halves(spark, sf), ["person", "sensor", "event_type"], "x", F.col("n")).withColumn("stratum", F.lit("all"))
+    fits = mixed.fit(halves, ["stratum"], "odd_half_mean", "even_half_mean", "person")
+    return fits.select("stratum", "n", "persons", *_r("beta", "se", "df", "t", "p", "ci_low", "ci_high", digits=4), "singular", "error")
 
 
 def split_spread(spark, sf):
-    """Slopes over random splits: mean, SD, median and their middle 95 %."""
-    s = samples(spark, sf).withColumn("unit", F.concat_ws("/", "sensor", "event_type"))
-    halves = summary.random_halves(s, ["unit", "sensor"], "x", "event_id", 20, 448).withColumn("person", F.floor(F.col("sensor") / 2).cast("double"))
-    fits = mixed.fit(halves, ["iteration"], "odd_half_mean", "even_half_mean", "person", "unit")
+    """Slopes over 1000 random splits: mean, SD, median and their middle 95 %."""
+    sums = mixed.random_half_sums(_halves(spark, sf), ["sensor", "event_type"], "person", "x", "event_id", 1000, 448)
+    fits = mixed.fit_persons(sums, ["iteration"])
     return mixed.spread(fits.withColumn("stratum", F.lit("all")), ["stratum"]).select("stratum", "n_fits", *_r("mean", "sd", "median", "low", "high"))
 
 
+FS = 128
+
+
+def _beats(spark, sf):
+    """sensor, n, beat (seconds): a beat for each event, spaced by its value."""
+    s = samples(spark, sf).select("sensor", "n", (0.7 + 0.3 * (F.col("x") - F.floor("x"))).alias("gap"))
+    w = series.Window.partitionBy("sensor").orderBy("n").rowsBetween(series.Window.unboundedPreceding, 0)
+    return s.select("sensor", "n", F.sum("gap").over(w).alias("beat"))
+
+
+def _signal(beats):
+    """sensor, t, x: a wave with those beats and a slow drift, at FS; between two beats only they are felt."""
+    w = series.Window.partitionBy("sensor").orderBy("n")
+    b = beats.select("sensor", F.coalesce(F.lag("beat").over(w), F.lit(-9.0)).alias("b0"), F.col("beat").alias("b1"))
+    first = F.greatest(F.ceil(F.col("b0") * FS), F.lit(0).cast("long"))
+    last = F.greatest(F.ceil(F.col("b1") * FS) - 1, first)
+    ticks = b.select("sensor", "b0", "b1", F.explode(F.sequence(first, last)).alias("tick")).withColumn("t", F.col("tick") / FS)
+    bell = lambda at, width: F.exp(-0.5 * F.pow((F.col("t") - at) / width, F.lit(2)))
+    wave = sum(bell(F.col(c), 0.012) - 0.2 * bell(F.col(c) + 0.04, 0.015) for c in ("b0", "b1"))
+    return ticks.select("sensor", "t", (wave + 0.3 * F.sin(0.4 * np.pi * F.col("t"))).alias("x"))
+
+
 def ecg_peaks(spark, sf):
-    """R peaks of a made ECG a sensor: a beat for each event, spaced by its value, at 128 Hz."""
-    s = samples(spark, sf)
+    """R peaks found in a signal of each sensor, and how many of its beats have one within 30 ms."""
+    beats = _beats(spark, sf)
+    kernel = functools.partial(signal.ecg_to_peaks, fs=float(FS))
+    peaks = signal.by_key(_signal(beats), ["sensor"], "t", ["t", "x"], kernel, "place long, t double, n_raw long, n_extra long, n_missed long, gain_db double")
+    found = peaks.where("error is null").select("sensor", F.col("t").alias("peak"), "place")
+    rows = beats.withColumn("id", F.struct("sensor", "n"))
+    hits = pairing.nearest(rows, found, ["sensor"], "beat", "peak", 0.03, "place", "id")
+    counts = found.groupBy("sensor").agg(F.count("*").alias("n_found"))
+    out = hits.groupBy("sensor").agg(F.count("*").alias("n_beats"), F.count("distance").alias("n_hit"))
+    return out.join(counts, "sensor", "left").select("sensor", "n_beats", F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"), "n_hit")
 
-    def kernel(n: np.ndarray, x: np.ndarray) -> list[dict]:
-        fs = 128.0
-        beats = np.cumsum(0.7 + 0.3 * (x % 1))
-        t = np.arange(int((beats[-1] + 1) * fs)) / fs
-        wave = sum(np.exp(-0.5 * ((t - b) / 0.012) ** 2) - 0.2 * np.exp(-0.5 * ((t - b - 0.04) / 0.015) ** 2) for b in beats)
-        found = signal.ecg_to_peaks(t, wave + 0.3 * np.sin(2 * np.pi * 0.2 * t), fs)
-        at = np.array([r["t"] for r in found])
-        hit = sum(np.abs(at - b).min() < 0.03 for b in beats) if len(at) else 0
-        return [{"n_beats": len(beats), "n_found": len(found), "n_hit": int(hit)}]
 
-    return signal.by_key(s, ["sensor"], "n", ["n", "x"], kernel, "n_beats long, n_found long, n_hit long")
+_TRIAL = {"most_lag": 10, "width": 24 * 3600.0, "step": 12 * 3600.0}
+_PLAIN = (
+    "duration", "mean_a", "sd_a", "min_a", "max_a", "mean_rr_a", "sd_rr_a", "mean_b", "sd_b", "min_b", "max_b", "mean_rr_b", "sd_rr_b", "mean_dyad", "mean_diff",
+    "sd_diff", "rr_bias", "rr_bias_sd", "pearson_r", "spearman_r", "peak_r", "r_ab", "r_ba", "asymmetry", "window_r_mean", "window_r_sd", "window_r_min", "window_r_max",
+)
+
+
+def trial_metrics(spark, sf):
+    """A row a trial with the metrics that SQL can check."""
+    out = trial.plain_metrics(dyads(spark, sf), ["dyad", "trial"], "t", **_TRIAL)
+    return out.select("dyad", F.col("trial").cast("long").alias("trial"), "status", "error", "n", F.col("lag").cast("long").alias("lag"), "lag_one_leader", "n_windows", *_r(*_PLAIN))
+
+
+def trial_assembly(spark, sf):
+    """A row a trial with all metrics, phases, spectra, causes, recurrence, p values and the leader's vote among them."""
+    out = trial.trial_metrics(dyads(spark, sf), ["dyad", "trial"], "t", fs=4.0, seconds=3600.0, **_TRIAL)
+    numbers = [f.name for f in out.schema if f.dataType.simpleString() == "double"]
+    return out.select("dyad", F.col("trial").cast("long").alias("trial"), "status", "error", "kernel_error", "n", "lag", "lag_one_leader", "n_windows", "leader", *_r(*numbers))
+
+
+def variability(spark, sf):
+    """Heart-rate variability of each sensor; an interval's milliseconds are taken from minutes between events."""
+    rr = series.intervals(samples(spark, sf), ["sensor"]).withColumn("rr", F.col("rr_ms") / 3600.0)
+    w = series.Window.partitionBy("sensor").orderBy("interval_number")
+    rr = rr.withColumn("at", F.sum("rr").over(w.rowsBetween(series.Window.unboundedPreceding, 0)) / 1000)
+    out = trial.variability(rr, ["sensor"], "interval_number", "rr", "at")
+    return out.select("sensor", "n", "status", *_r("mean_nn", "sdnn", "rmssd", "pnn50", "lf", "hf", "lf_hf", "sd1", "sd2", "sd_ratio", digits=4))
 
 
-NAMES = (phase_metrics, coherence, rr_spectrum, granger, cross_recurrence, correlation_p, surrogates, mixed_model, split_spread, ecg_peaks)
+NAMES = (
+    phase_metrics, coherence, rr_spectrum, granger, cross_recurrence, correlation_p, surrogates, mixed_model, split_spread,
+    ecg_peaks, trial_metrics, trial_assembly, variability,
+)
 QUERIES = {f.__name__: f for f in NAMES}
 
+_SHAPES = ", ".join(
+    f"avg({x}) AS mean_{x}, stddev_samp({x}) AS sd_{x}, min({x}) AS min_{x}, max({x}) AS max_{x}, avg(60000 / {x}) AS mean_rr_{x}, stddev_samp(60000 / {x}) AS sd_rr_{x}" for x in "ab"
+)
 ORACLES = {
-    # the analytic signal as a circular convolution with the discrete Hilbert kernel
-    "phase_metrics": f"""WITH {DYADS}, p AS (SELECT dyad, trial, row_number() OVER w - 1 AS i, count(*) OVER v AS n, a, b FROM dyads WINDOW w AS (PARTITION BY dyad, trial ORDER BY k), v AS (PARTITION BY dyad, trial)),
-        l AS (SELECT dyad, trial, regr_slope(a, i) AS sa, regr_intercept(a, i) AS ia, regr_slope(b, i) AS sb, regr_intercept(b, i) AS ib FROM p GROUP BY ALL),
-        q AS (SELECT dyad, trial, i, n, a - ia - sa * i AS a, b - ib - sb * i AS b FROM p JOIN l USING (dyad, trial) WHERE n >= 10
-          WINDOW v AS (PARTITION BY dyad, trial) QUALIFY stddev_pop(p.a - ia - sa * i) OVER v > 1e-9 * max(abs(p.a)) OVER v AND stddev_pop(p.b - ib - sb * i) OVER v > 1e-9 * max(abs(p.b)) OVER v),
-        h AS (SELECT x.dyad, x.trial, x.i, x.n, any_value(x.a) AS a, any_value(x.b) AS b, sum(y.a * g) AS ha, sum(y.b * g) AS hb FROM (
-            SELECT x.*, y.a AS ya, y.b AS yb, y.i AS yi, (x.i - y.i + x.n) % x.n AS m FROM q x JOIN q y ON y.dyad = x.dyad AND y.trial = x.trial) x
-          JOIN q y ON y.dyad = x.dyad AND y.trial = x.trial AND y.i = x.yi, LATERAL (SELECT CASE WHEN m = 0 THEN 0 WHEN x.n % 2 = 0 THEN CASE WHEN m % 2 = 1 THEN 2.0 / x.n * cot(pi() * m / x.n) ELSE 0 END
-            ELSE (cot(pi() * m / x.n) - cos(pi() * m) / sin(pi() * m / x.n)) / x.n END AS g) GROUP BY x.dyad, x.trial, x.i, x.n),
-        d AS (SELECT *, atan2(ha, a) - atan2(hb, b) AS d, sqrt(a * a + ha * ha) AS ea, sqrt(b * b + hb * hb) AS eb FROM h)
+    "phase_metrics": f"""WITH {PHASES}
         SELECT dyad, trial, any_value(n) AS n, round(sqrt(avg(cos(d)) ** 2 + avg(sin(d)) ** 2), 6) AS plv, round(abs(avg(sign(round(sin(d), 12)))), 6) AS pli,
-               round(covar_samp(ea, eb) / (stddev_samp(ea) * stddev_samp(eb)), 6) AS envelope_r FROM d GROUP BY dyad, trial""",
+               round(atan2(avg(sin(d)), avg(cos(d))), 6) + 0.0::DOUBLE AS mean_phase, round(covar_samp(ea, eb) / (stddev_samp(ea) * stddev_samp(eb)), 6) AS envelope_r FROM d GROUP BY dyad, trial""",
+    "trial_metrics": f"""WITH {LAGS.replace("KEY", "trial")},
+        base AS (SELECT dyad, trial, count(*) AS n, max(t) - min(t) AS duration, {_SHAPES}, avg((a + b) / 2) AS mean_dyad, avg(a - b) AS mean_diff, stddev_samp(a - b) AS sd_diff,
+          avg(60000 / a - 60000 / b) AS rr_bias, stddev_samp(60000 / a - 60000 / b) AS rr_bias_sd FROM dyads GROUP BY ALL),
+        line AS (SELECT dyad, trial, regr_slope(a, k % 48) AS sa, regr_intercept(a, k % 48) AS ia, regr_slope(b, k % 48) AS sb, regr_intercept(b, k % 48) AS ib FROM dyads GROUP BY ALL),
+        rest AS (SELECT dyad, trial, a, b, a - ia - sa * (k % 48) AS ra, b - ib - sb * (k % 48) AS rb FROM dyads JOIN line USING (dyad, trial)),
+        linear AS (SELECT dyad, trial, {r_sql("ra", "rb")} AS pearson_r FROM rest GROUP BY ALL HAVING stddev_pop(ra) > 1e-9 * max(abs(a)) AND stddev_pop(rb) > 1e-9 * max(abs(b))),
+        ranked AS (SELECT dyad, trial, rank() OVER (PARTITION BY dyad, trial ORDER BY ra) AS qa, rank() OVER (PARTITION BY dyad, trial ORDER BY rb) AS qb FROM rest),
+        ranks AS (SELECT dyad, trial, {r_sql("qa", "qb")} AS rho FROM ranked GROUP BY ALL),
+        best AS (SELECT * FROM cc WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dyad, trial ORDER BY round(abs(c), 12) DESC, lag) = 1),
+        shifted AS (SELECT dyad, trial, a, b, lead(a) OVER w AS a1, lead(b) OVER w AS b1 FROM dyads WINDOW w AS (PARTITION BY dyad, trial ORDER BY k)),
+        one AS (SELECT dyad, trial, {r_sql("a", "b1")} AS r_ab, {r_sql("b", "a1")} AS r_ba FROM shifted WHERE a1 IS NOT NULL GROUP BY ALL),
+        spans AS (SELECT dyad, trial, min(t) AS t0, max(t) AS t1 FROM dyads GROUP BY ALL),
+        starts AS (SELECT dyad, trial, i, t0 + i * 43200.0::DOUBLE AS s FROM (SELECT *, unnest(generate_series(0, floor((greatest(t1 - t0 - 86400, 0) + 1e-12) / 43200)::BIGINT)) AS i FROM spans)),
+        rs AS (SELECT x.dyad, x.trial, i, {r_sql("a", "b")} AS r FROM starts x JOIN dyads d ON d.dyad = x.dyad AND d.trial = x.trial AND d.t BETWEEN s AND s + 86400 GROUP BY ALL HAVING count(*) >= 20),
+        windows AS (SELECT dyad, trial, count(*) AS n_windows, avg(r) AS window_r_mean, stddev_samp(r) AS window_r_sd, min(r) AS window_r_min, max(r) AS window_r_max FROM rs GROUP BY ALL),
+        met AS (SELECT *, c AS peak_r, r_ab - r_ba AS asymmetry, CASE WHEN pearson_r IS NOT NULL THEN rho END AS spearman_r FROM base LEFT JOIN linear USING (dyad, trial) LEFT JOIN ranks USING (dyad, trial) LEFT JOIN best USING (dyad, trial)
+          LEFT JOIN one USING (dyad, trial) LEFT JOIN windows USING (dyad, trial))
+        SELECT dyad, trial, CASE WHEN n < 20 THEN 'failed' ELSE 'success' END AS status, CASE WHEN n < 20 THEN 'Too few valid paired samples: ' || n END AS error, n,
+          CASE WHEN n >= 20 THEN lag END AS lag, CASE WHEN n >= 20 THEN CASE WHEN asymmetry > 0 THEN 'A' WHEN asymmetry < 0 THEN 'B' WHEN asymmetry = 0 THEN 'symmetric' ELSE 'unavailable' END END AS lag_one_leader,
+          CASE WHEN n >= 20 THEN coalesce(n_windows, 0) END AS n_windows, {", ".join(f"CASE WHEN n >= 20 THEN round({c}, 6) + 0.0::DOUBLE END AS {c}" for c in _PLAIN)} FROM met""",
 }

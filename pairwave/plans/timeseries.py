@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import mean_ci, rounded
-from ..operators import series, summary, synchrony, transfer
+from ..operators import series, signal, summary, synchrony, transfer
 from .standin import DYADS, GRID, SAMPLES, dyads, r_sql, samples
 
 
@@ -13,6 +13,11 @@ def _r(*names: str, digits: int = 6):
     return [rounded(F.col(n), digits).alias(n) for n in names]
 
 
+TAUS = range(1, 14)
+#: Shuffles of each series; the model's spread (split_spread) takes 1000.
+HALVES = 100
+
+
 def hourly_grid(spark, sf):
     grid = series.to_grid(samples(spark, sf), ["sensor"], 3600.0, tie="event_id")
     return grid.select("sensor", F.col("k").cast("long").alias("k"), *_r("x"))
@@ -86,7 +91,7 @@ def split_halves(spark, sf):
 
 
 def random_halves(spark, sf):
-    out = summary.random_halves(samples(spark, sf), ["sensor"], "x", "event_id", 5, 448)
+    out = summary.random_halves(samples(spark, sf), ["sensor"], "x", "event_id", HALVES, 448)
     return out.select("sensor", F.col("iteration").cast("long").alias("iteration"), "n_samples", "n_odd", "n_even", *_r("odd_half_mean", "even_half_mean", digits=8))
 
 
@@ -109,14 +114,12 @@ def lag_one(spark, sf):
 
 
 def cross_correlation(spark, sf):
-    d = series.numbered(dyads(spark, sf), ["dyad", "trial"], "k", name="pos")
-    cc = synchrony.cross_correlation(d, ["dyad", "trial"], "pos", 10)
+    cc = synchrony.cross_correlation(dyads(spark, sf), ["dyad", "trial"], "k", 10)
     return synchrony.peak_lag(cc, ["dyad", "trial"]).select("dyad", F.col("trial").cast("long").alias("trial"), F.col("lag").cast("long").alias("lag"), *_r("peak"), "leader_positive_lag_a", "leader_positive_lag_b")
 
 
 def prediction_delay(spark, sf):
-    d = series.numbered(dyads(spark, sf), ["dyad", "trial"], "k", name="pos")
-    cc = synchrony.cross_correlation(d, ["dyad", "trial"], "pos", 10)
+    cc = synchrony.cross_correlation(dyads(spark, sf), ["dyad", "trial"], "k", 10)
     best = synchrony.peak_lag(cc, ["dyad", "trial"], signed=True)
     return best.select("dyad", F.col("trial").cast("long").alias("trial"), F.greatest(F.col("lag"), F.lit(1)).cast("long").alias("delta"))
 
@@ -126,11 +129,13 @@ def ellipse(spark, sf):
 
 
 def leader_votes(spark, sf):
-    d = series.numbered(dyads(spark, sf), ["dyad"], "k", name="pos")
-    lag = synchrony.peak_lag(synchrony.cross_correlation(d, ["dyad"], "pos", 10), ["dyad"])
-    both = lag.join(synchrony.lag_one(d, ["dyad"], "k"), "dyad")
-    leader, sure = synchrony.leader_vote(F.col("lag") * 3600.0, F.col("asymmetry"), F.lit(None).cast("double"))
-    return both.select("dyad", leader.alias("leader"), rounded(sure).alias("confidence"))
+    """Leaders of trials by lag, lag-one asymmetry and mean phase."""
+    d, keys = dyads(spark, sf), ["dyad", "trial"]
+    lag = synchrony.peak_lag(synchrony.cross_correlation(d, keys, "k", 10), keys)
+    phase = signal.by_key(d, keys, "k", ["a", "b"], signal.phases, "n long, plv double, pli double, mean_phase double, envelope_r double")
+    both = lag.join(synchrony.lag_one(d, keys, "k"), keys).join(phase.where("error is null and n >= 10").select(*keys, "mean_phase"), keys)
+    leader, sure = synchrony.leader_vote(F.col("lag") * 3600.0, F.round("asymmetry", 9), F.round("mean_phase", 9))
+    return both.select("dyad", F.col("trial").cast("long").alias("trial"), leader.alias("leader"), rounded(sure).alias("confidence"))
 
 
 def ordinal_symbols(spark, sf):
@@ -139,13 +144,9 @@ def ordinal_symbols(spark, sf):
 
 
 def transfer_entropy(spark, sf):
-    """Observed symbolic transfer entropy of trials for two lags of the embedding."""
-    out = None
-    for tau in (1, 2):
-        s = transfer.symbols(dyads(spark, sf), ["dyad", "trial"], "k", 3, tau)
-        one = transfer.both_directions(s, ["dyad", "trial"]).withColumn("tau", F.lit(tau).cast("long"))
-        out = one if out is None else out.union(one)
-    return out.select("dyad", F.col("trial").cast("long").alias("trial"), "tau", *_r("ste_ab", "ste_ba", "h_ab", "h_ba", "asymmetry"))
+    """Observed symbolic transfer entropy of trials for the lags 1 to 13 of the embedding."""
+    te = transfer.transfer_by_tau(dyads(spark, sf), ["dyad", "trial"], "k", list(TAUS))
+    return te.select("dyad", F.col("trial").cast("long").alias("trial"), "tau", *_r("ste_ab", "ste_ba", "h_ab", "h_ba", "asymmetry"))
 
 
 def optimal_tau(spark, sf):
@@ -177,7 +178,7 @@ _RR = f"""{SAMPLES}, rr AS (
   SELECT sensor, row_number() OVER (PARTITION BY sensor ORDER BY t0) AS interval_number, (t0 + t1) / 2 AS middle, (t1 - t0) * 1000 AS rr_ms
   FROM (SELECT sensor, t AS t0, lead(t) OVER (PARTITION BY sensor ORDER BY t) AS t1 FROM samples) WHERE t1 > t0)"""
 
-_LAGS = f"""{DYADS}, placed AS (
+LAGS = f"""{DYADS}, placed AS (
   SELECT dyad, KEY, row_number() OVER w AS pos, a - avg(a) OVER v AS x, b - avg(b) OVER v AS y FROM dyads
   WINDOW w AS (PARTITION BY dyad, KEY ORDER BY k), v AS (PARTITION BY dyad, KEY)), cc AS (
   SELECT p.dyad, p.KEY, l.lag, sum(p.x * q.y) / nullif(any_value(m.norm), 0) AS c FROM placed p
@@ -201,21 +202,27 @@ def _symbols(keys: str, tau: int) -> str:
     return f"(SELECT {keys}, row_number() OVER w AS pos, {rank('a')} AS sa, {rank('b')} AS sb FROM dyads WINDOW w AS (PARTITION BY {keys} ORDER BY k) QUALIFY lead(k, {2 * tau}) OVER w IS NOT NULL)"
 
 
-def _ste(tau: int) -> str:
-    one = """SELECT dyad, trial, sum(p1 * (log2(p1 * p4) - log2(p2 * p3))) AS ste, -sum(p3 * (log2(p3) - log2(p4))) AS h FROM (
-      SELECT dyad, trial, c / sum(c) OVER (PARTITION BY dyad, trial) AS p1,
-             sum(c) OVER (PARTITION BY dyad, trial, p, s) / sum(c) OVER (PARTITION BY dyad, trial) AS p2,
-             sum(c) OVER (PARTITION BY dyad, trial, f, p) / sum(c) OVER (PARTITION BY dyad, trial) AS p3,
-             sum(c) OVER (PARTITION BY dyad, trial, p) / sum(c) OVER (PARTITION BY dyad, trial) AS p4
-      FROM (SELECT dyad, trial, f, p, s, count(*)::DOUBLE AS c FROM (
-        SELECT dyad, trial, lead({y}) OVER (PARTITION BY dyad, trial ORDER BY pos) AS f, {y} AS p, {x} AS s FROM {syms})
-        WHERE f IS NOT NULL GROUP BY ALL)) GROUP BY dyad, trial"""
-    syms = _symbols("dyad, trial", tau)
-    ab, ba = one.format(x="sa", y="sb", syms=syms), one.format(x="sb", y="sa", syms=syms)
-    return f"""SELECT dyad, trial, {tau}::BIGINT AS tau, x.ste AS ab, y.ste AS ba, x.h AS hab, y.h AS hba FROM ({ab}) x JOIN ({ba}) y USING (dyad, trial)"""
-
-
-_TE = f"{DYADS}, te AS ({_ste(1)} UNION ALL {_ste(2)})"
+_TE = f"""{DYADS}, syms AS MATERIALIZED ({" UNION ALL ".join(f"SELECT *, {t}::BIGINT AS tau FROM {_symbols('dyad, trial', t)}" for t in TAUS)}),
+  ahead AS (SELECT dyad, trial, tau, sa, sb, lead(sa) OVER w AS fa, lead(sb) OVER w AS fb FROM syms WINDOW w AS (PARTITION BY dyad, trial, tau ORDER BY pos)),
+  counts AS (SELECT dyad, trial, tau, way, f, p, s, count(*)::DOUBLE AS c FROM (
+    SELECT dyad, trial, tau, 'ab' AS way, fb AS f, sb AS p, sa AS s FROM ahead WHERE fa IS NOT NULL
+    UNION ALL SELECT dyad, trial, tau, 'ba', fa, sa, sb FROM ahead WHERE fa IS NOT NULL) GROUP BY ALL),
+  shares AS (SELECT dyad, trial, tau, way, c / sum(c) OVER w AS p1, sum(c) OVER (PARTITION BY dyad, trial, tau, way, p, s) / sum(c) OVER w AS p2,
+    sum(c) OVER (PARTITION BY dyad, trial, tau, way, f, p) / sum(c) OVER w AS p3, sum(c) OVER (PARTITION BY dyad, trial, tau, way, p) / sum(c) OVER w AS p4
+    FROM counts WINDOW w AS (PARTITION BY dyad, trial, tau, way)),
+  te AS (SELECT dyad, trial, tau, sum(p1 * (log2(p1 * p4) - log2(p2 * p3))) FILTER (way = 'ab') AS ab, sum(p1 * (log2(p1 * p4) - log2(p2 * p3))) FILTER (way = 'ba') AS ba,
+    -sum(p3 * (log2(p3) - log2(p4))) FILTER (way = 'ab') AS hab, -sum(p3 * (log2(p3) - log2(p4))) FILTER (way = 'ba') AS hba FROM shares GROUP BY ALL)"""
+
+#: The phase differences d of the members' analytic signals in trials: a circular convolution with the discrete Hilbert kernel.
+PHASES = f"""{DYADS}, p AS (SELECT dyad, trial, row_number() OVER w - 1 AS i, count(*) OVER v AS n, a, b FROM dyads WINDOW w AS (PARTITION BY dyad, trial ORDER BY k), v AS (PARTITION BY dyad, trial)),
+        l AS (SELECT dyad, trial, regr_slope(a, i) AS sa, regr_intercept(a, i) AS ia, regr_slope(b, i) AS sb, regr_intercept(b, i) AS ib FROM p GROUP BY ALL),
+        q AS (SELECT dyad, trial, i, n, a - ia - sa * i AS a, b - ib - sb * i AS b FROM p JOIN l USING (dyad, trial) WHERE n >= 10
+          WINDOW v AS (PARTITION BY dyad, trial) QUALIFY stddev_pop(p.a - ia - sa * i) OVER v > 1e-9 * max(abs(p.a)) OVER v AND stddev_pop(p.b - ib - sb * i) OVER v > 1e-9 * max(abs(p.b)) OVER v),
+        h AS (SELECT x.dyad, x.trial, x.i, x.n, any_value(x.a) AS a, any_value(x.b) AS b, sum(y.a * g) AS ha, sum(y.b * g) AS hb FROM (
+            SELECT x.*, y.a AS ya, y.b AS yb, y.i AS yi, (x.i - y.i + x.n) % x.n AS m FROM q x JOIN q y ON y.dyad = x.dyad AND y.trial = x.trial) x
+          JOIN q y ON y.dyad = x.dyad AND y.trial = x.trial AND y.i = x.yi, LATERAL (SELECT CASE WHEN m = 0 THEN 0 WHEN x.n % 2 = 0 THEN CASE WHEN m % 2 = 1 THEN 2.0 / x.n * cot(pi() * m / x.n) ELSE 0 END
+            ELSE (cot(pi() * m / x.n) - cos(pi() * m) / sin(pi() * m / x.n)) / x.n END AS g) GROUP BY x.dyad, x.trial, x.i, x.n),
+        d AS (SELECT *, atan2(ha, a) - atan2(hb, b) AS d, sqrt(a * a + ha * ha) AS ea, sqrt(b * b + hb * hb) AS eb FROM h)"""
 
 ORACLES = {
     "hourly_grid": f"WITH {GRID} SELECT sensor, k, round(x, 6) AS x FROM grid",
@@ -256,7 +263,7 @@ ORACLES = {
     "split_halves": f"""WITH {SAMPLES}, o AS (SELECT sensor, event_type, x, row_number() OVER (PARTITION BY sensor, event_type ORDER BY n) % 2 = 1 AS odd FROM samples)
         SELECT sensor, event_type, count(*) AS n_samples, count(*) FILTER (odd) AS n_odd, count(*) FILTER (NOT odd) AS n_even, round(avg(x) FILTER (odd), 8) AS odd_half_mean,
                round(avg(x) FILTER (NOT odd), 8) AS even_half_mean FROM o GROUP BY ALL HAVING count(*) FILTER (odd) >= 2 AND count(*) FILTER (NOT odd) >= 2""",
-    "random_halves": f"""WITH {SAMPLES}, o AS (SELECT sensor, i AS iteration, x, row_number() OVER (PARTITION BY sensor, i ORDER BY md5('448|' || i || '|' || event_id)) % 2 = 1 AS odd FROM samples, range(1, 6) AS g(i))
+    "random_halves": f"""WITH {SAMPLES}, o AS (SELECT sensor, i AS iteration, x, row_number() OVER (PARTITION BY sensor, i ORDER BY md5('448|' || i || '|' || event_id)) % 2 = 1 AS odd FROM samples, range(1, {HALVES + 1}) AS g(i))
         SELECT sensor, iteration, count(*) AS n_samples, count(*) FILTER (odd) AS n_odd, count(*) FILTER (NOT odd) AS n_even, round(avg(x) FILTER (odd), 8) AS odd_half_mean,
                round(avg(x) FILTER (NOT odd), 8) AS even_half_mean FROM o GROUP BY ALL HAVING count(*) FILTER (odd) >= 2 AND count(*) FILTER (NOT odd) >= 2""",
     "poincare": f"""WITH {SAMPLES}, p AS (SELECT sensor, x, lead(x) OVER (PARTITION BY sensor ORDER BY n) AS y FROM samples)
@@ -270,20 +277,23 @@ ORACLES = {
         SELECT dyad, trial, count(*) AS n, round({r_sql("ra", "rb")}, 6) AS rho FROM r GROUP BY ALL""",
     "lag_one": f"""WITH {DYADS}, {_LAG_ONE} SELECT dyad, round(r_ab, 6) AS r_ab, round(r_ba, 6) AS r_ba, round(r_ab - r_ba, 6) AS asymmetry,
         CASE WHEN r_ab - r_ba > 0 THEN 'A' WHEN r_ab - r_ba < 0 THEN 'B' WHEN r_ab - r_ba = 0 THEN 'symmetric' ELSE 'unavailable' END AS leader FROM one""",
-    "cross_correlation": f"""WITH {_LAGS.replace("KEY", "trial")}, best AS (SELECT * FROM cc WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dyad, trial ORDER BY round(abs(c), 12) DESC, lag) = 1)
+    "cross_correlation": f"""WITH {LAGS.replace("KEY", "trial")}, best AS (SELECT * FROM cc WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dyad, trial ORDER BY round(abs(c), 12) DESC, lag) = 1)
         SELECT dyad, trial, lag, round(c, 6) AS peak, CASE WHEN lag = 0 THEN 'zero_lag' WHEN lag > 0 THEN 'A' ELSE 'B' END AS leader_positive_lag_a,
                CASE WHEN lag = 0 THEN 'zero_lag' WHEN lag > 0 THEN 'B' ELSE 'A' END AS leader_positive_lag_b FROM best""",
-    "prediction_delay": f"""WITH {_LAGS.replace("KEY", "trial")} SELECT dyad, trial, greatest(1, lag) AS delta FROM cc WHERE c IS NOT NULL
+    "prediction_delay": f"""WITH {LAGS.replace("KEY", "trial")} SELECT dyad, trial, greatest(1, lag) AS delta FROM cc WHERE c IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY dyad, trial ORDER BY round(c, 12) DESC, lag) = 1""",
     "ellipse": f"""WITH {DYADS}, m AS (SELECT dyad, count(*) AS n, covar_samp(a, b) AS c, (var_samp(a) + var_samp(b)) / 2 AS half, (var_samp(a) - var_samp(b)) / 2 AS dif,
           quantile_cont(a, 0.005) AS lo, quantile_cont(a, 0.995) AS hi FROM dyads GROUP BY dyad)
         SELECT dyad, n, round(2 * sqrt(half + sqrt(dif * dif + c * c)), 6) AS major, round(2 * sqrt(greatest(half - sqrt(dif * dif + c * c), 0)), 6) AS minor,
           round(degrees(0.5 * atan2(2 * c, 2 * dif)), 6) AS angle, round(lo - 0.2 * (hi - lo), 6) AS limit_low, round(hi + 0.2 * (hi - lo), 6) AS limit_high FROM m""",
-    "leader_votes": f"""WITH {_LAGS.replace(", KEY", "").replace(", p.KEY", "").replace(" AND q.KEY = p.KEY", "").replace(" AND m.KEY = p.KEY", "")}, {_LAG_ONE},
-        best AS (SELECT * FROM cc WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dyad ORDER BY round(abs(c), 12) DESC, lag) = 1),
-        v AS (SELECT dyad, (lag > 0)::INT + coalesce((r_ab - r_ba > 0.05)::INT, 0) AS va, (lag < 0)::INT + coalesce((r_ba - r_ab > 0.05)::INT, 0) AS vb FROM best JOIN one USING (dyad))
-        SELECT dyad, CASE WHEN va + vb = 0 THEN 'UNCLEAR' WHEN va > vb THEN 'A' WHEN vb > va THEN 'B' ELSE 'SYMMETRIC' END AS leader,
-               round(CASE WHEN va + vb = 0 THEN 0.0 ELSE greatest(va, vb) / (va + vb) END, 6)::DOUBLE AS confidence FROM v""",
+    "leader_votes": f"""WITH {PHASES}, m AS (SELECT dyad, trial, round(atan2(avg(sin(d)), avg(cos(d))), 9) AS phase FROM d GROUP BY ALL),
+        {LAGS.replace("KEY", "trial").replace(DYADS + ", ", "")},
+        shifted AS (SELECT dyad, trial, a, b, lead(a) OVER w AS a1, lead(b) OVER w AS b1 FROM dyads WINDOW w AS (PARTITION BY dyad, trial ORDER BY k)),
+        one AS (SELECT dyad, trial, round({r_sql("a", "b1")} - {r_sql("b", "a1")}, 9) AS asym FROM shifted WHERE a1 IS NOT NULL GROUP BY ALL),
+        best AS (SELECT * FROM cc WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dyad, trial ORDER BY round(abs(c), 12) DESC, lag) = 1),
+        v AS (SELECT dyad, trial, (lag > 0)::INT + coalesce((asym > 0.05)::INT, 0) + (phase > 0)::INT AS va, (lag < 0)::INT + coalesce((asym < -0.05)::INT, 0) + (phase <= 0)::INT AS vb
+          FROM best JOIN one USING (dyad, trial) JOIN m USING (dyad, trial))
+        SELECT dyad, trial, CASE WHEN va > vb THEN 'A' WHEN vb > va THEN 'B' ELSE 'SYMMETRIC' END AS leader, round(greatest(va, vb) / (va + vb), 6)::DOUBLE AS confidence FROM v""",
     "ordinal_symbols": f"WITH {DYADS} SELECT dyad, sa::BIGINT AS sa, count(*) AS n FROM {_symbols('dyad', 2)} GROUP BY ALL",
     "transfer_entropy": f"""WITH {_TE} SELECT dyad, trial, tau, round(ab, 6) + 0.0::DOUBLE AS ste_ab, round(ba, 6) + 0.0::DOUBLE AS ste_ba, round(hab, 6) + 0.0::DOUBLE AS h_ab,
         round(hba, 6) + 0.0::DOUBLE AS h_ba, round(ab - ba, 6) + 0.0::DOUBLE AS asymmetry FROM te""",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
+from ..operators.storage import cut
 
 
 def sensor_csv(spark: SparkSession, paths: str | list[str], time: str = "Timestamp", value: str = "Sample") -> DataFrame:
@@ -26,9 +27,10 @@ def sensor_csv(spark: SparkSession, paths: str | list[str], time: str = "Timesta
 
 
 def titles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, title: the first line of each file, if it isn't a header."""
-    first = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value")
-    return first.groupBy("file").agg(F.min_by("value", F.struct("b", "i")).alias("title")).where("not title like '%Timestamp%'")
+    """file, title: the first line of each file, if it isn't a header. Of later parts of a file no line is kept."""
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value")
+    first = lines.where("b = 0").groupBy("file").agg(F.min_by("value", "i").alias("title"))
+    return first.where("not title like '%Timestamp%'")
 
 
 def table_csv(spark: SparkSession, path: str, ids: list[str], numbers: list[str], required: list[str], drop_null: list[str] | None = None) -> DataFrame:
@@ -66,6 +68,99 @@ def resolve(df: DataFrame, names: list[str], *, within: bool = False) -> str | N
     return next((c for n in names if within for c in df.columns if n.lower() in c.lower()), None)
 
 
+def intervals_of(df: DataFrame, *, rr: list[str], hr: list[str], t: list[str]) -> DataFrame:
+    """df with rr_ms, hr_bpm and t from the first column of each list that it has; what is absent is derived.
+
+    A rate is 60000 / interval and the other way round; without times the row's number in reading order is taken.
+    """
+    have = {k: resolve(df, names, within=True) for k, names in (("rr", rr), ("hr", hr), ("t", t))}
+    if have["rr"] is None and have["hr"] is None:
+        raise ValueError(f"no column of intervals or rates among {df.columns}")
+    col = {k: text.number(df[f"`{c}`"].cast("string")) for k, c in have.items() if c}
+    turned = lambda c: 60000 / F.nullif(c, F.lit(0.0))
+    out = df.select("*", (col["rr"] if "rr" in col else turned(col["hr"])).alias("rr_ms"), (col["hr"] if "hr" in col else turned(col["rr"])).alias("hr_bpm"))
+    return out.withColumn("t", col["t"] if "t" in col else F.monotonically_increasing_id().cast("double"))
+
+
+def best_file(units: DataFrame, files: DataFrame, unit: str, file: str = "file", within: str = "recording_folder") -> DataFrame:
+    """Each unit with the file of its folder that fits it best: unit, file, score (files without any fit don't count).
+
+    units: unit, recording_folder, dyad_id, sensor_id, participant; files: recording_folder and the path. They meet by an
+    equi-join on the folder, the first path of equal scores.
+    """
+    met = units.join(files.select(F.col(within), F.col(file).alias("__file")), within)
+    score = file_score(F.col("__file"), F.col(within), F.col("dyad_id"), F.col("sensor_id"), F.col("participant"))
+    met = met.withColumn("__score", score).where("__score > 0")
+    best = met.groupBy(unit).agg(F.min(F.struct((-F.col("__score")).alias("s"), F.col("__file").alias("f"))).alias("x"))
+    return best.select(unit, F.col("x.f").alias("file"), (-F.col("x.s")).alias("score"))
+
+
+def validated(units: DataFrame, required: list[str], start: str, end: str, sensors: list[str], condition: str = "condition", sequences: dict[str, list[int]] | None = None) -> DataFrame:
+    """units, if nothing is wrong with them; else a ValueError that counts every fault, found in one pass.
+
+    Faults: lacking columns, no rows, unknown conditions, starts or ends that are no numbers, ends not after starts, blank
+    sensors, and recording folders whose ids (timestamp_id by candidate_window) aren't the given sequence.
+    """
+    if lacking := [c for c in required if c not in units.columns]:
+        raise ValueError(f"columns are missing: {lacking}")
+    number = lambda c: F.col(c).cast("string").try_cast("double")
+    checks = {
+        "rows of an unknown condition": F.lower(F.coalesce(F.col(condition).cast("string"), F.lit(""))) == "unknown",
+        f"rows without a number in {start}": number(start).isNull(),
+        f"rows without a number in {end}": number(end).isNull(),
+        f"rows with {end} not after {start}": F.coalesce(number(end) <= number(start), F.lit(False)),
+        "rows with a blank sensor": F.coalesce(F.greatest(*[text.identifier(F.col(s)) == "" for s in sensors]), F.lit(True)),
+    }
+    found = units.agg(F.count("*").alias("n"), *[F.count_if(c).alias(f"c{i}") for i, c in enumerate(checks.values())]).first()
+    faults = [f"{found[f'c{i}']} {name}" for i, name in enumerate(checks) if found[f"c{i}"]]
+    if not found["n"]:
+        faults.append("no rows")
+    if sequences and "timestamp_id" in units.columns:
+        mine = units.where(F.col("recording_folder").isin(*sequences))
+        each = F.struct("candidate_window", F.col("timestamp_id").cast("string").try_cast("double").cast("long").alias("id"))
+        ids = mine.groupBy("recording_folder").agg(F.transform(F.sort_array(F.collect_list(each)), lambda x: x["id"]).alias("ids"))
+        # a row for each named folder
+        faults += [f"ids {r['ids']} in {r['recording_folder']}" for r in ids.collect() if [x for x in r["ids"] if x is not None] != sequences[r["recording_folder"]]]
+    if faults:
+        raise ValueError("; ".join(faults))
+    return units
+
+
+def pending(inputs: DataFrame, manifest: DataFrame | None, key: str = "file", *, again: bool = True) -> DataFrame:
+    """The inputs that a manifest (key, status) doesn't name as done; again: those that failed are due once more."""
+    if manifest is None:
+        return inputs
+    done = manifest.where("status = 'success'") if again else manifest
+    return inputs.join(done.select(key).distinct(), key, "left_anti")
+
+
+def append_manifest(results: DataFrame, folder: str, key: str = "file") -> None:
+    """Adds rows (key, status, n_rows, error) to a manifest of Parquet parts; a run that stops keeps what was added before."""
+    results.select(key, "status", "n_rows", "error").write.mode("append").parquet(folder)
+
+
+def write_new_segments(df: DataFrame, folder: str, by: list[str]) -> DataFrame:
+    """Writes the segments (keys by) that folder lacks as CSV; the status of each: saved or skipped_existing_file.
+
+    Which exist is read off the folder's partitions, by a scan of names.
+    """
+    spark = df.sparkSession
+    keys = df.select(*[F.col(c).cast("string").alias(c) for c in by]).distinct()
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in by])
+    try:
+        old = spark.read.schema(schema).option("basePath", folder).csv(folder).select(*by).distinct()
+        status = keys.join(old.withColumn("__old", F.lit(True)), by, "left")
+        status = status.select(*by, F.when(F.col("__old"), "skipped_existing_file").otherwise("saved").alias("status"))
+        fresh = df.join(old, by, "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        status, fresh = keys.select(*by, F.lit("saved").alias("status")), df
+    status = cut(status)
+    fresh.repartition(*by).write.mode("append").partitionBy(*by).option("header", True).csv(folder)
+    return status
+
+
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """session, sensor, kind, file, bytes of a study's folders: root/yyyy_MM_dd-HH_mm_ss/digits/name.csv; the first file of each kind."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(root).select("path", "length")

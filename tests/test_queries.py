@@ -16,12 +16,17 @@ def test_sql(spark, sf, con, name):
     assert_same(catalog.QUERIES[name](spark, sf), con, catalog.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"surrogates"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_rows(spark, sf, name):
     rows = catalog.QUERIES[name](spark, sf).collect()
     assert rows
 
 
+def test_most_beats_are_found(spark, sf):
+    rows = catalog.QUERIES["ecg_peaks"](spark, sf).collect()
+    assert all(r.n_hit >= 0.95 * r.n_beats and r.n_found <= 1.05 * r.n_beats for r in rows)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
