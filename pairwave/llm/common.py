@@ -33,6 +33,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def parts_for(df: DataFrame, rows: int, each: int = 50_000) -> int:
+    """How many partitions so many narrow rows need, at most as many as a shuffle has: a small step leaves few files."""
+    return min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(8, -(-rows // each)))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """df written to reliable storage, with its lineage cut."""
     context = df.sparkSession.sparkContext
@@ -41,9 +46,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint(df) for loops: the result's plan also forgets what was known of the values, which else grows each round."""
-    spark, done = df.sparkSession, checkpoint(df)
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """checkpoint(df) for loops: the result's plan also forgets what was known of the values, which else grows each round.
+
+    parts: partitions of the result, where it is small.
+    """
+    spark, done = df.sparkSession, checkpoint(df if parts is None else df.coalesce(parts))
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), spark)
 
 
@@ -93,22 +101,22 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def with_order(df: DataFrame, *keys: str, name: str) -> DataFrame:
+def with_order(df: DataFrame, *keys: str, name: str, parts: int | None = None) -> DataFrame:
     """df with a dense 0-based position in the order of the keys, materialised.
 
     One range shuffle; the only thing that passes through the driver is one count for each partition.
     """
-    parts = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     local = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    parts = checkpoint(parts.select("*", F.spark_partition_id().alias("__part"), local.alias("__local")))
-    counts = parts.groupBy("__part").agg((F.max("__local") + 1).alias("n")).orderBy("__part").collect()
+    ordered = cut(ordered.select("*", F.spark_partition_id().alias("__part"), local.alias("__local")), parts)
+    counts = ordered.groupBy("__part").agg((F.max("__local") + 1).alias("n")).orderBy("__part").collect()
     starts, total = [], 0
     for row in counts:
         starts.append((row["__part"], total))
         total += row["n"]
     offsets = df.sparkSession.createDataFrame(starts, "__part int, __start long")
     return (
-        parts.join(F.broadcast(offsets), "__part")
+        ordered.join(F.broadcast(offsets), "__part")
         .withColumn(name, F.col("__start") + F.col("__local"))
         .drop("__part", "__local", "__start")
     )
@@ -133,12 +141,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = cut(now)
     seen = state(now)
+    # edges never grow in number, so their partitions don't either
+    parts = parts_for(now, seen[0])
+    now = now.coalesce(parts)
     while seen[0]:
         sym = both(now)
-        low = cut(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = cut(sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), parts)
         large = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = cut(large, parts)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), parts)
         small = large.join(low, "u")
         small = (
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -146,7 +157,7 @@ def components(edges: DataFrame) -> DataFrame:
             .union(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = cut(small)
+        now = cut(small, parts)
         before, seen = seen, state(now)
         if before == seen:
             break

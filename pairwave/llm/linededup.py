@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, let, numbered, with_order
+from .common import WORD, cut, let, numbered, parts_for, with_order
 
 #: Bits of a place in the sequence that number the line in its document.
 LINE_BITS = 27
@@ -69,8 +69,9 @@ def suffix_labels(seq: DataFrame, min_words: int) -> DataFrame:
     # groups are written before they are joined, so that both sides are plain shuffles and a common key's partition can be split
     lines = seq.join(cut(ids), ["a", "b"]).select("at", "n", "left", "id")
     active = cut(_long_stretches(lines, min_words).select("at", "n", "left", F.array("id").alias("label"), "id"))
+    parts = parts_for(active, active.count())
+    active = active.coalesce(parts)
     done, span = active.where("false").drop("id"), 1
-    few = int(seq.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while not active.isEmpty():
         known = done.select("at", "label").union(active.select("at", "label"))
         follow = known.select((F.col("at") - span).alias("at"), F.col("label").alias("next"))
@@ -79,12 +80,12 @@ def suffix_labels(seq: DataFrame, min_words: int) -> DataFrame:
         pairs = active.join(follow, "at", "left").withColumn("next", rest)
         groups = pairs.groupBy("id", "next").agg(F.count("*").alias("c"))
         groups = groups.repartitionByRange("id", "next").sortWithinPartitions("id", "next").withColumn("new", F.monotonically_increasing_id())
-        now = pairs.join(cut(groups), ["id", "next"])
+        now = pairs.join(cut(groups, parts), ["id", "next"])
         goes = (F.col("c") > 1) & (F.size("next") > 0)
-        now = cut(now.select("at", "n", "left", F.concat("label", F.array("new")).alias("label"), F.col("new").alias("id"), goes.alias("goes")))
-        done = done.union(now.where("not goes").drop("id", "goes")).coalesce(few)
+        now = cut(now.select("at", "n", "left", F.concat("label", F.array("new")).alias("label"), F.col("new").alias("id"), goes.alias("goes")), parts)
+        done = done.union(now.where("not goes").drop("id", "goes")).coalesce(parts)
         active, span = now.where("goes").drop("goes"), 2 * span
-    return cut(with_order(done, "label", "at", name="rank"))
+    return cut(with_order(done, "label", "at", name="rank", parts=parts), parts)
 
 
 def _shared(a: str, b: str) -> Column:
@@ -99,6 +100,7 @@ def _power(name: str, more: int = 0) -> Column:
 
 def neighbours(labels: DataFrame) -> DataFrame:
     """at, before (the suffix before it in the suffix array), lcp; labels are materialised."""
+    parts = parts_for(labels, labels.count())
     last = labels.select((F.col("rank") + 1).alias("rank"), F.col("at").alias("before"), F.col("label").alias("other"))
     pairs = labels.join(last, "rank").withColumn("m", _shared("label", "other"))
     # of two whole labels that are equal, both suffixes are
@@ -106,27 +108,26 @@ def neighbours(labels: DataFrame) -> DataFrame:
     w = _document().orderBy("at")
     goes_on = (F.lag("at").over(w) == F.col("at") - 1) & (F.lag("before").over(w) == F.col("before") - 1) & (F.lag("m").over(w) > 0)
     pairs = pairs.select("at", "before", "m", same.cast("long").alias("same"))
-    pairs = cut(pairs.withColumn("head", ~F.coalesce(goes_on, F.lit(False))))
+    pairs = cut(pairs.withColumn("head", ~F.coalesce(goes_on, F.lit(False))), parts)
     size = F.when(F.col("m") > 0, _power("m", -1)).otherwise(0)
     heads = pairs.where("head").select("at", "before", F.coalesce("same", size).alias("lcp"), (F.col("same").isNull() & (F.col("m") > 0)).alias("more"))
     own = labels.select(F.col("at").alias("x"), F.col("label").alias("lx"), "left")
     other = labels.select(F.col("at").alias("y"), F.col("label").alias("ly"))
-    few = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found, rest = heads.where("not more").drop("more"), cut(heads.where("more").drop("more"))
+    found, rest = heads.where("not more").drop("more"), cut(heads.where("more").drop("more"), parts)
     while not rest.isEmpty():
         both = rest.withColumn("x", F.col("at") + F.col("lcp")).join(own, "x", "left").withColumn("y", F.col("before") + F.col("lcp")).join(other, "y", "left")
         both = both.withColumn("m", F.coalesce(F.greatest(_shared("lx", "ly"), F.lit(0)), F.lit(0))).withColumn("same", F.coalesce(F.col("lx") == F.col("ly"), F.lit(False)))
         step = F.when(F.col("same"), F.col("left").cast("long")).otherwise(size)
-        both = cut(both.select("at", "before", (F.col("lcp") + step).alias("lcp"), ((F.col("m") > 0) & ~F.col("same")).alias("more")))
-        found, rest = found.union(both.where("not more").drop("more")).coalesce(few), both.where("more").drop("more")
+        both = cut(both.select("at", "before", (F.col("lcp") + step).alias("lcp"), ((F.col("m") > 0) & ~F.col("same")).alias("more")), parts)
+        found, rest = found.union(both.where("not more").drop("more")).coalesce(parts), both.where("more").drop("more")
     led = pairs.select("at", "before").join(found.select("at", "lcp"), "at", "left")
     head = F.last(F.when(F.col("lcp").isNotNull(), F.col("at") + F.col("lcp")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return led.select("at", "before", (head - F.col("at")).alias("lcp"))
+    return cut(led.select("at", "before", (head - F.col("at")).alias("lcp")), parts)
 
 
 def maximal_runs(seq: DataFrame, labels: DataFrame, min_words: int) -> DataFrame:
     """at, lines, words, other (a place where the run stands too) of the maximal repeated runs of min_words words or more."""
-    near = cut(neighbours(labels))
+    near, parts = neighbours(labels), parts_for(labels, labels.count())
     both = near.select("at", "lcp", F.col("before").alias("other")).union(near.select(F.col("before").alias("at"), "lcp", F.col("at").alias("other")))
     # the longer of both; its place is that of the earlier neighbour where they are equal
     best = both.where("lcp > 0").groupBy("at").agg(F.max(F.struct("lcp", (-F.col("other")).alias("other"))).alias("x"))
@@ -134,10 +135,10 @@ def maximal_runs(seq: DataFrame, labels: DataFrame, min_words: int) -> DataFrame
     w = _document().orderBy("at")
     inner = (F.lag("at").over(w) == F.col("at") - 1) & (F.lag("lines").over(w) == F.col("lines") + 1)
     heads = best.withColumn("inner", F.coalesce(inner, F.lit(False))).where("not inner").drop("inner")
-    sums = cut(labels.select("at", "n").withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    sums = cut(labels.select("at", "n").withColumn("upto", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0))), parts)
     ends = sums.select(F.col("at").alias("end"), F.col("upto").alias("at_end"))
     out = heads.join(sums, "at").withColumn("end", F.col("at") + F.col("lines") - 1).join(ends, "end")
-    return cut(out.select("at", "lines", "other", (F.col("at_end") - F.col("upto") + F.col("n")).alias("words")).where(F.col("words") >= min_words))
+    return cut(out.select("at", "lines", "other", (F.col("at_end") - F.col("upto") + F.col("n")).alias("words")).where(F.col("words") >= min_words), parts)
 
 
 def _shortest(lines: DataFrame, min_words: int) -> DataFrame:
@@ -163,15 +164,16 @@ def _shortest(lines: DataFrame, min_words: int) -> DataFrame:
 def later_copies(labels: DataFrame, runs: DataFrame, min_words: int) -> DataFrame:
     """at of every line in a later copy of a run of min_words words; runs: at, lines of the maximal ones."""
     inside = runs.select(F.explode(F.sequence(F.col("at"), F.col("at") + F.col("lines") - 1)).alias("at")).distinct()
-    short = _shortest(cut(labels.select("at", "n").join(inside, "at")), min_words)
+    parts = parts_for(labels, labels.count())
+    short = _shortest(cut(labels.select("at", "n").join(inside, "at"), parts), min_words)
     power = F.floor(F.log2(F.col("size").cast("double"))).cast("int")
     short = short.withColumn("k", power).withColumn("tail", F.col("at") + F.col("size") - _power("k"))
     x = labels.select("at", F.col("label").alias("x"))
     y = labels.select(F.col("at").alias("tail"), F.col("label").alias("y"))
     named = short.join(x, "at").join(y, "tail").select("at", "size", F.get("x", F.col("k")).alias("x"), F.get("y", F.col("k")).alias("y"))
-    named = cut(named.where("x is not null and y is not null"))
+    named = cut(named.where("x is not null and y is not null"), parts)
     first = named.groupBy("size", "x", "y").agg(F.count("*").alias("c"), F.min("at").alias("first")).where("c > 1").drop("c")
-    later = named.join(cut(first), ["size", "x", "y"]).where("at > first")
+    later = named.join(cut(first, parts), ["size", "x", "y"]).where("at > first")
     return later.select(F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("at")).distinct()
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, cut, numbered
+from .common import components, cut, numbered, parts_for
 from .simhash import links, majority
 
 BANDS, ROWS = 24, 5
@@ -159,29 +159,29 @@ def _in_blocks(spans: DataFrame, held: DataFrame, least: float, block: int) -> D
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def _linked(buckets: DataFrame, proposed: DataFrame, held: DataFrame, least: float, block: int) -> DataFrame:
+def _linked(buckets: DataFrame, proposed: DataFrame, held: DataFrame, least: float, block: int, parts: int) -> DataFrame:
     """node, root of the sets in buckets (key, set, weight) or proposed pairs (u, v) that are linked to others."""
     found = cut(_similar(proposed, held, least))
-    roots = cut(components(found))
+    roots = cut(components(found), parts)
     for turn in range(3):
         spans = buckets.join(roots.withColumnRenamed("node", "set"), "set", "left")
-        spans = cut(spans.select("key", "set", "weight", F.coalesce("root", "set").alias("root")))
+        spans = cut(spans.select("key", "set", "weight", F.coalesce("root", "set").alias("root")), parts)
         centre = F.max(F.struct("weight", "set", "root")).alias("x")
         # a bucket within one component has nothing more to give
         one = spans.groupBy("key").agg(centre, F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        one = cut(one.select("key", F.col("x.set").alias("first"), F.col("x.root").alias("of")))
+        one = cut(one.select("key", F.col("x.set").alias("first"), F.col("x.root").alias("of")), parts)
         if one.isEmpty():
             break
-        spans = cut(spans.join(one, "key"))
+        spans = cut(spans.join(one, "key"), parts)
         if turn < 2:
             pairs = spans.where("root <> of").select(F.col("first").alias("u"), F.col("set").alias("v"))
-            more = cut(_similar(cut(pairs.distinct()), held, least))
+            more = cut(_similar(cut(pairs.distinct(), parts), held, least))
             # the second centre is one that the first did not reach, if there is any
             buckets = spans.where("set <> first").select("key", "set", F.when(F.col("root") != F.col("of"), F.col("weight") + (1 << 40)).otherwise(F.col("weight")).alias("weight"))
         else:
             more = cut(_in_blocks(spans, held, least, block))
         found = found.union(more)
-        roots = cut(components(found))
+        roots = cut(components(found), parts)
     return roots
 
 
@@ -197,7 +197,9 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, block: int = B
     # written, so that both sides of the join are plain shuffles and the partition of a common key can be split
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     buckets = cut(keyed.join(shared, "key"))
-    weights = cut(buckets.groupBy("set").agg(F.sum("n").alias("weight")))
+    parts = parts_for(buckets, buckets.count())
+    buckets = buckets.coalesce(parts)
+    weights = cut(buckets.groupBy("set").agg(F.sum("n").alias("weight")), parts)
     buckets = buckets.drop("n").join(weights, "set")
     # anchors join fingerprints; a fingerprint stands for its least set, the others are linked to that one
     full = sets.where(F.size("keys") > 0).select("fp", "set")
@@ -209,7 +211,7 @@ def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8, block: int = B
     used = buckets.select("set").union(near.select("u")).union(near.select("v")).distinct()
     met = sets.join(used, "set").select("set", F.col("first.__row").alias("__row"))
     held = cut(_contents(rows.select("__row", "text").join(met, "__row"), words))
-    roots = _linked(buckets, near, held, least, block)
+    roots = _linked(buckets, near, held, least, block, parts)
     rooted = sets.join(roots, F.col("set") == F.col("node"), "left").select("first", F.coalesce("root", "set").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
     whole = F.col("doc")
