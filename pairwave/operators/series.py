@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Grid points that a row makes at once.
+GRID_PART = 4096
+
+
 def gap_groups(df: DataFrame, keys: list[str], start: str, max_gap: float, tie: str) -> DataFrame:
     """df with group (from 1): a new one begins after a gap of more than max_gap between starts, or at an unknown start.
 
@@ -50,7 +54,9 @@ def to_grid(samples: DataFrame, keys: list[str], step: float, t: str = "t", x: s
     first = F.row_number().over(w.partitionBy(*keys).orderBy("t0"))
     stretches = once.withColumn("low", low).withColumn("high", high).withColumn("__first", first)
     stretches = stretches.where("high >= low and (t1 is not null or __first = 1)")
-    points = stretches.withColumn("k", F.explode(F.sequence("low", "high")))
+    # a stretch over a long gap makes its points by the thousand, so no row holds them all
+    part = stretches.withColumn("__k", F.explode(F.sequence("low", "high", F.lit(GRID_PART).cast("long"))))
+    points = part.withColumn("k", F.explode(F.sequence("__k", F.least(F.col("__k") + GRID_PART - 1, F.col("high"))))).drop("__k")
     at = F.col("k") * F.lit(float(step))
     value = F.when(F.col("t1").isNull(), F.col("x0")).otherwise(F.col("x0") + (at - F.col("t0")) * (F.col("x1") - F.col("x0")) / (F.col("t1") - F.col("t0")))
     return points.select(*keys, "k", at.alias("t"), value.alias("x"))
@@ -126,6 +132,23 @@ def filled(df: DataFrame, keys: list[str], x: str, order: str, name: str) -> Dat
     return out.withColumn(name, F.coalesce(x, line, "__a.x", "__b.x")).drop("__i", "__a", "__b")
 
 
+def prepared_pairs(df: DataFrame, keys: list[str], order: str, *, least: int = 20, line: bool = True) -> DataFrame:
+    """df's rows with both a and b, as za and zb without their lines (line) and standardised, and status by key.
+
+    status: success, too_few_samples (fewer than least of both), or zero_sd, where nothing but a line is left of one.
+    """
+    w = Window.partitionBy(*keys)
+    out = df.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    for x in "ab":
+        out = detrended(out, keys, x, order, f"z{x}") if line else out.withColumn(f"z{x}", F.col(x) - F.avg(x).over(w))
+    n = F.count("*").over(w)
+    flat = F.greatest(*[F.stddev_pop(f"z{x}").over(w) <= 1e-9 * F.max(F.abs(F.col(x))).over(w) for x in "ab"])
+    status = F.when(n < least, "too_few_samples").when(flat, "zero_sd").otherwise("success")
+    out = out.withColumn("status", status)
+    z = [F.when(F.col("status") == "success", (F.col(f"z{x}") - F.avg(f"z{x}").over(w)) / F.nullif(F.stddev_pop(f"z{x}").over(w), F.lit(0.0))).alias(f"z{x}") for x in "ab"]
+    return out.select(*[c for c in out.columns if c not in ("za", "zb")], *z)
+
+
 def timeline(df: DataFrame, keys: list[str], segment: list[str], t: str = "t", pause: float = 5.0) -> DataFrame:
     """df with line_t: segments one after another, each at the running sum of the spans before it, plus a pause each."""
     spans = df.groupBy(*keys, *segment).agg(F.min(t).alias("__t0"), (F.max(t) - F.min(t) + pause).alias("__span"))

@@ -23,6 +23,40 @@ def recording_coverage(samples: DataFrame, keys: list[str], t: str, place: str)
     return out.withColumn("monotonic", F.col("backward_jumps") == 0)
 
 
+# Statuses and notes of a session, in order of precedence.
+SESSION_STATUSES = (
+    ("empty_folder", "Sensor folders exist, but no ECG/Acc/Euler files were found."),
+    ("check_sensor_count", "Expected 2 sensor folders, found %d."),
+    ("missing_ecg", "At least one sensor is missing ECG."),
+    ("missing_non_ecg_file", "At least one sensor is missing Acc or EulerAngles."),
+    ("missing_annotation", "Annotation file is missing."),
+    ("complete", "Complete raw Movesense file set found."),
+)
+
+
+def session_status(sensors: DataFrame, session: str, annotated: DataFrame, *, dropout: float = 300.0) -> DataFrame:
+    """A row a session from its sensors: session, sensor, ecg, acc, euler (files present), duration (of the ECG, or null).
+
+    annotated: the sessions with an annotation file. n_sensors, sensors (joined in order), all_* flags, status and notes,
+    possible_dropout (durations differ by more than dropout seconds), and the extremes of the durations.
+    """
+    d = F.col("duration")
+    out = sensors.groupBy(session).agg(
+        F.count("*").alias("n_sensors"),
+        F.array_join(F.sort_array(F.collect_list(F.col("sensor").cast("string"))), ";").alias("sensors"),
+        F.bool_or(F.col("ecg") | F.col("acc") | F.col("euler")).alias("__any"),
+        *[F.bool_and(c).alias(f"all_{c}") for c in ("ecg", "acc", "euler")],
+        F.min(d).alias("min_duration"), F.max(d).alias("max_duration"), (F.max(d) - F.min(d)).alias("duration_range"),
+    )
+    out = out.join(annotated.select(session).distinct().withColumn("__noted", F.lit(True)), session, "left")
+    out = out.withColumn("annotation", F.coalesce("__noted", F.lit(False))).withColumn("possible_dropout", F.coalesce(F.col("duration_range") > dropout, F.lit(False)))
+    holds = [~F.col("__any"), F.col("n_sensors") != 2, ~F.col("all_ecg"), ~(F.col("all_acc") & F.col("all_euler")), ~F.col("annotation"), F.lit(True)]
+    first = lambda values: F.coalesce(*[F.when(h, v) for h, v in zip(holds, values)])
+    notes = first([F.format_string(note, F.col("n_sensors")) if "%d" in note else F.lit(note) for _, note in SESSION_STATUSES])
+    more = F.when(F.col("possible_dropout"), " ECG duration range suggests possible dropout.").otherwise("")
+    return out.select("*", first([F.lit(k) for k, _ in SESSION_STATUSES]).alias("status"), F.concat(notes, more).alias("notes")).drop("__any", "__noted")
+
+
 def segment_summary(df: DataFrame, keys: list[str], hr: Column, t: str, target: float | None = None) -> DataFrame:
     """n, mean, sample SD, extremes, range, median, shares of plausible intervals and of extreme rates, coverage."""
     rr = 60000 / F.nullif(hr, F.lit(0.0))

@@ -16,6 +16,18 @@ def windowed(df: DataFrame, keys: list[str], width: float, step: float, least: i
     return out.where(F.col("n") >= least)
 
 
+def session_overlap(grid: DataFrame, keys: list[str], width: float, step: float, t: str = "t", least: int = 20) -> DataFrame:
+    """Whole-session r of both members on their common grid, and the windows' mean, SD and extremes.
+
+    A last window that fits exactly is left out, as in a loop that ends before the series' length less a window.
+    """
+    ok = grid.where("a is not null and b is not null")
+    whole = ok.groupBy(*keys).agg(F.count("*").alias("n"), F.min(t).alias("first"), F.max(t).alias("last"), pearson(F.col("a"), F.col("b")).alias("r"))
+    w = sliding(ok, keys, width, step, t, whole_last=False).groupBy(*keys, "window_index").agg(F.count("*").alias("n"), pearson(F.col("a"), F.col("b")).alias("r"))
+    w = w.where(F.col("n") >= least).groupBy(*keys).agg(F.count("*").alias("n_windows"), F.avg("r").alias("window_mean"), F.stddev_samp("r").alias("window_sd"), F.min("r").alias("window_min"), F.max("r").alias("window_max"))
+    return whole.join(w, keys, "left")
+
+
 def spearman(df: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
     """n and rho by key: Pearson of average ranks."""
 

@@ -163,12 +163,14 @@ def recording_coverage(spark, sf):
 
 
 def status_rollup(spark, sf):
-    """Status of each dyad from its members' recordings."""
-    s = samples(spark, sf).withColumn("dyad", F.floor(F.col("sensor") / 2).cast("long"))
-    rec = s.groupBy("dyad", "sensor").agg((F.max("t") - F.min("t")).alias("d"), F.count("*").alias("n"))
-    out = rec.groupBy("dyad").agg(F.count("*").alias("n_sensors"), F.bool_and(F.col("n") >= 60).alias("all_long"), (F.max("d") - F.min("d")).alias("spread"), F.array_join(F.transform(F.sort_array(F.collect_list("sensor")), lambda x: x.cast("string")), ";").alias("sensors"))
-    status = F.when(F.col("n_sensors") < 2, "one_sensor").when(~F.col("all_long"), "short").when(F.col("spread") > 86400, "possible_dropout").otherwise("complete")
-    return out.select("dyad", "n_sensors", "sensors", status.alias("status"))
+    """Status of each dyad from its members' recordings: views stand for ECG, clicks and sign-ups for the other files."""
+    s = samples(spark, sf).withColumn("dyad", F.floor(F.col("sensor") / 2).cast("long")).withColumn("file", F.col("event_type"))
+    has = lambda kind, least: F.count_if((F.col("file") == kind) & (F.col("x") > least)) > 0
+    span = F.max(F.when(F.col("file") == "view", F.col("t"))) - F.min(F.when(F.col("file") == "view", F.col("t")))
+    rec = s.groupBy("dyad", "sensor").agg(has("view", 0).alias("ecg"), has("click", 60).alias("acc"), has("signup", 20).alias("euler"), span.alias("duration"))
+    noted = s.where("file = 'error' and x > 60").select("dyad")
+    out = summary.session_status(rec, "dyad", noted, dropout=86400.0)
+    return out.select("dyad", "n_sensors", "sensors", "all_ecg", "all_acc", "all_euler", "annotation", "possible_dropout", *_r("min_duration", "max_duration", "duration_range", digits=3), "status", "notes")
 
 
 def condition_summary(spark, sf):
@@ -414,9 +416,17 @@ ORACLES = {
     "recording_coverage": f"""WITH {SAMPLES}, d AS (SELECT *, t - lag(t) OVER (PARTITION BY sensor ORDER BY event_id) AS d FROM samples)
         SELECT sensor, count(t) AS n_samples, count(*) FILTER (d < 0) AS backward_jumps, count(*) FILTER (d < 0) = 0 AS monotonic, round(max(t) - min(t), 3) AS duration,
                round(median(CASE WHEN d > 0 THEN d END), 3) AS median_step FROM d GROUP BY sensor""",
-    "status_rollup": f"""WITH {SAMPLES}, r AS (SELECT sensor // 2 AS dyad, sensor, max(t) - min(t) AS d, count(*) AS n FROM samples GROUP BY ALL)
-        SELECT dyad, count(*) AS n_sensors, string_agg(sensor::VARCHAR, ';' ORDER BY sensor) AS sensors, CASE WHEN count(*) < 2 THEN 'one_sensor' WHEN NOT bool_and(n >= 60) THEN 'short'
-          WHEN max(d) - min(d) > 86400 THEN 'possible_dropout' ELSE 'complete' END AS status FROM r GROUP BY dyad""",
+    "status_rollup": f"""WITH {SAMPLES}, r AS (SELECT sensor // 2 AS dyad, sensor, bool_or(event_type = 'view' AND x > 0) AS ecg, bool_or(event_type = 'click' AND x > 60) AS acc,
+          bool_or(event_type = 'signup' AND x > 20) AS euler, max(t) FILTER (event_type = 'view') - min(t) FILTER (event_type = 'view') AS d FROM samples GROUP BY ALL),
+        n AS (SELECT DISTINCT sensor // 2 AS dyad FROM samples WHERE event_type = 'error' AND x > 60),
+        s AS (SELECT dyad, count(*) AS n_sensors, string_agg(sensor::VARCHAR, ';' ORDER BY sensor::VARCHAR) AS sensors, bool_or(ecg OR acc OR euler) AS has_any, bool_and(ecg) AS all_ecg, bool_and(acc) AS all_acc,
+          bool_and(euler) AS all_euler, dyad IN (SELECT dyad FROM n) AS annotation, coalesce(max(d) - min(d) > 86400, false) AS possible_dropout, min(d) AS lo, max(d) AS hi FROM r GROUP BY dyad),
+        k AS (SELECT *, CASE WHEN NOT has_any THEN 'empty_folder' WHEN n_sensors <> 2 THEN 'check_sensor_count' WHEN NOT all_ecg THEN 'missing_ecg' WHEN NOT (all_acc AND all_euler) THEN 'missing_non_ecg_file'
+          WHEN NOT annotation THEN 'missing_annotation' ELSE 'complete' END AS status FROM s)
+        SELECT dyad, n_sensors, sensors, all_ecg, all_acc, all_euler, annotation, possible_dropout, round(lo, 3) AS min_duration, round(hi, 3) AS max_duration, round(hi - lo, 3) AS duration_range, status,
+          CASE status WHEN 'empty_folder' THEN 'Sensor folders exist, but no ECG/Acc/Euler files were found.' WHEN 'check_sensor_count' THEN 'Expected 2 sensor folders, found ' || n_sensors || '.'
+            WHEN 'missing_ecg' THEN 'At least one sensor is missing ECG.' WHEN 'missing_non_ecg_file' THEN 'At least one sensor is missing Acc or EulerAngles.' WHEN 'missing_annotation' THEN 'Annotation file is missing.'
+            ELSE 'Complete raw Movesense file set found.' END || CASE WHEN possible_dropout THEN ' ECG duration range suggests possible dropout.' ELSE '' END AS notes FROM k""",
     "condition_summary": """SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 4) AS l_quantity_mean, round(stddev_samp(l_quantity), 4) AS l_quantity_sd, median(l_quantity) AS l_quantity_median,
         round(avg(l_extendedprice), 4) AS l_extendedprice_mean, round(stddev_samp(l_extendedprice), 4) AS l_extendedprice_sd, round(median(l_extendedprice), 4) AS l_extendedprice_median,
         count(l_quantity) AS l_quantity_n, count(l_extendedprice) AS l_extendedprice_n FROM lineitem GROUP BY l_returnflag""",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import rounded
 from ..operators import mixed, pairing, series, signal, summary, synchrony, transfer, trial
-from .standin import dyads, r_sql, samples
+from .standin import DYADS, SAMPLES, dyads, r_sql, samples
 from .timeseries import LAGS, PHASES
 
 
@@ -33,11 +33,12 @@ def coherence(spark, sf):
 
 
 def rr_spectrum(spark, sf):
-    """LF and HF power; an interval's milliseconds are taken from minutes between events."""
+    """LF and HF power in square seconds; an interval's milliseconds are taken from minutes between events."""
     rr = series.intervals(samples(spark, sf), ["sensor"]).withColumn("rr", F.col("rr_ms") / 3600.0)
     w = series.Window.partitionBy("sensor").orderBy("interval_number")
     rr = rr.withColumn("at", F.sum("rr").over(w.rowsBetween(series.Window.unboundedPreceding, 0)) / 1000)
     out = signal.by_key(rr, ["sensor"], "interval_number", ["at", "rr"], signal.rr_spectrum, "n long, lf double, hf double, lf_hf double")
+    out = out.withColumn("lf", F.col("lf") / 1e6).withColumn("hf", F.col("hf") / 1e6)
     return out.select("sensor", "n", *_r("lf", "hf", "lf_hf", digits=4))
 
 
@@ -171,6 +172,32 @@ ORACLES = {
     "phase_metrics": f"""WITH {PHASES}
         SELECT dyad, trial, any_value(n) AS n, round(sqrt(avg(cos(d)) ** 2 + avg(sin(d)) ** 2), 6) AS plv, round(abs(avg(sign(round(sin(d), 12)))), 6) AS pli,
                round(atan2(avg(sin(d)), avg(cos(d))), 6) + 0.0::DOUBLE AS mean_phase, round(covar_samp(ea, eb) / (stddev_samp(ea) * stddev_samp(eb)), 6) AS envelope_r FROM d GROUP BY dyad, trial""",
+    # Welch's method as sums of cosines and sines over the parts; scales cancel in the coherence
+    "coherence": f"""WITH {DYADS}, p AS (SELECT dyad, row_number() OVER (PARTITION BY dyad ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY dyad) AS n, a, b FROM dyads),
+        s AS (SELECT DISTINCT dyad, n, least(256, n // 4) AS size FROM p), g AS (SELECT dyad, size, unnest(generate_series(0, n - size, size - size // 2)) AS st FROM s WHERE n >= 256 AND size >= 16),
+        part AS (SELECT g.dyad, size, st, i - st AS j, (a - avg(a) OVER w) * h AS a, (b - avg(b) OVER w) * h AS b FROM g JOIN p ON p.dyad = g.dyad AND p.i BETWEEN st AND st + size - 1,
+          LATERAL (SELECT 0.5 - 0.5 * cos(2 * pi() * (i - st) / size) AS h) WINDOW w AS (PARTITION BY g.dyad, st)),
+        f AS (SELECT dyad, size, st, q, sum(a * cos(z)) AS ar, -sum(a * sin(z)) AS ai, sum(b * cos(z)) AS br, -sum(b * sin(z)) AS bi FROM (
+          SELECT part.*, q, 2 * pi() * q * j / size AS z FROM part, range(0, 129) AS r(q) WHERE q * 4.0 / size BETWEEN 0.04 AND 0.40) GROUP BY ALL),
+        c AS (SELECT dyad, size, q, (sum(ar * br + ai * bi) ** 2 + sum(ar * bi - ai * br) ** 2) / (sum(ar * ar + ai * ai) * sum(br * br + bi * bi)) AS c FROM f GROUP BY ALL),
+        m AS (SELECT dyad, avg(c) AS mean, max(c) AS top, arg_max(q * 4.0::DOUBLE / size, c) AS freq FROM c GROUP BY dyad)
+        SELECT s.dyad, n, round(mean, 6) AS mean_coherence, round(top, 6) AS max_coherence, round(freq, 6) AS at_frequency FROM s LEFT JOIN m ON m.dyad = s.dyad""",
+    "rr_spectrum": f"""WITH {SAMPLES}, iv AS (SELECT sensor, t, (lead(t) OVER (PARTITION BY sensor ORDER BY t) - t) * 1000 / 3600 AS rr FROM samples),
+        pt AS (SELECT sensor, row_number() OVER w AS m, rr, sum(rr) OVER w / 1000 AS sec FROM iv WHERE rr > 0 WINDOW w AS (PARTITION BY sensor ORDER BY t)),
+        st AS (SELECT sensor, sec AS t0, rr AS x0, lead(sec) OVER w AS t1, lead(rr) OVER w AS x1, first_value(sec) OVER w AS a0 FROM pt WINDOW w AS (PARTITION BY sensor ORDER BY m)),
+        gr AS (SELECT sensor, i, a0 + i * 0.25::DOUBLE AS t, t0, x0, t1, x1 FROM (SELECT *, unnest(generate_series(ceil((t0 - a0) * 4)::BIGINT, ceil((t1 - a0) * 4)::BIGINT - 1)) AS i FROM st WHERE t1 IS NOT NULL)),
+        v AS (SELECT sensor, i, count(*) OVER (PARTITION BY sensor) AS n, x0 + (t - t0) * (x1 - x0) / (t1 - t0) AS x FROM gr),
+        l AS (SELECT sensor, regr_slope(x, i) AS b, regr_intercept(x, i) AS a FROM v GROUP BY sensor), d AS (SELECT sensor, i, n, x - a - b * i AS x FROM v JOIN l USING (sensor) WHERE n >= 8),
+        g AS (SELECT sensor, size, unnest(generate_series(0, n - size, greatest(1, size - size // 2))) AS st FROM (SELECT DISTINCT sensor, n, least(256, n) AS size FROM d)),
+        part AS (SELECT g.sensor, size, st, i - st AS j, (x - avg(x) OVER w) * h AS x, h FROM g JOIN d ON d.sensor = g.sensor AND d.i BETWEEN st AND st + size - 1,
+          LATERAL (SELECT 0.5 - 0.5 * cos(2 * pi() * (i - st) / size) AS h) WINDOW w AS (PARTITION BY g.sensor, st)),
+        f AS (SELECT sensor, size, st, q, sum(x * cos(z)) ** 2 + sum(x * sin(z)) ** 2 AS s, sum(h * h) AS hh FROM (
+          SELECT part.*, q, 2 * pi() * q * j / size AS z FROM part, range(0, 129) AS r(q) WHERE q * 4.0 / size >= 0.04 AND q * 4.0 / size < 0.40) GROUP BY ALL),
+        c AS (SELECT sensor, size, q, q * 4.0::DOUBLE / size AS f, 2 * avg(s) / (4 * any_value(hh)) AS p FROM f GROUP BY ALL),
+        e AS (SELECT sensor, f, p, lead(f) OVER w AS f1, lead(p) OVER w AS p1 FROM c WINDOW w AS (PARTITION BY sensor ORDER BY q)),
+        m AS (SELECT sensor, coalesce(sum((p + p1) / 2 * (f1 - f)) FILTER (f1 < 0.15), 0) AS lf, coalesce(sum((p + p1) / 2 * (f1 - f)) FILTER (f >= 0.15), 0) AS hf FROM e GROUP BY sensor),
+        n AS (SELECT sensor, max(n) AS n FROM v GROUP BY sensor)
+        SELECT n.sensor, n, round(lf / 1e6, 4) AS lf, round(hf / 1e6, 4) AS hf, round(lf / hf, 4) AS lf_hf FROM n LEFT JOIN m ON m.sensor = n.sensor""",
     "trial_metrics": f"""WITH {LAGS.replace("KEY", "trial")},
         base AS (SELECT dyad, trial, count(*) AS n, max(t) - min(t) AS duration, {_SHAPES}, avg((a + b) / 2) AS mean_dyad, avg(a - b) AS mean_diff, stddev_samp(a - b) AS sd_diff,
           avg(60000 / a - 60000 / b) AS rr_bias, stddev_samp(60000 / a - 60000 / b) AS rr_bias_sd FROM dyads GROUP BY ALL),

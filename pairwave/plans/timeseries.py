@@ -104,6 +104,17 @@ def bland_altman(spark, sf):
     return synchrony.bland_altman(dyads(spark, sf), ["dyad"]).select("dyad", "n", *_r("bias", "sd", "lower", "upper"))
 
 
+def session_overlap(spark, sf):
+    out = synchrony.session_overlap(dyads(spark, sf), ["dyad"], 48 * 3600.0, 24 * 3600.0)
+    return out.select("dyad", "n", "first", "last", F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), *_r("r", "window_mean", "window_sd", "window_min", "window_max"))
+
+
+def prepared_pairs(spark, sf):
+    """Pairs of trials without their lines, standardised, with the status of the preparation."""
+    out = series.prepared_pairs(dyads(spark, sf), ["dyad", "trial"], "k")
+    return out.select("dyad", F.col("trial").cast("long").alias("trial"), F.col("k").cast("long").alias("k"), "status", *_r("za", "zb"))
+
+
 def spearman(spark, sf):
     return synchrony.spearman(dyads(spark, sf), ["dyad", "trial"]).select("dyad", F.col("trial").cast("long").alias("trial"), "n", *_r("rho"))
 
@@ -163,7 +174,7 @@ def window_means(spark, sf):
 
 NAMES = (
     hourly_grid, windowed_sync, window_correlations, gap_groups, rr_intervals, scores, detrended, gap_filled, contiguous_windows,
-    timeline, segment_summary, odd_even_reliability, split_halves, random_halves, poincare, bland_altman, spearman, lag_one,
+    timeline, segment_summary, odd_even_reliability, split_halves, random_halves, poincare, bland_altman, session_overlap, prepared_pairs, spearman, lag_one,
     cross_correlation, prediction_delay, ellipse, leader_votes, ordinal_symbols, transfer_entropy, optimal_tau, window_means,
 )
 QUERIES = {f.__name__: f for f in NAMES}
@@ -272,6 +283,18 @@ ORACLES = {
           round(covar_samp(x, y) / (stddev_samp(CASE WHEN y IS NOT NULL THEN x END) * stddev_samp(y)), 6) AS r, round(stddev_samp(y - x) / stddev_samp(y + x), 6) AS sd_ratio FROM p GROUP BY sensor""",
     "bland_altman": f"""WITH {DYADS} SELECT dyad, count(*) AS n, round(avg(a - b), 6) AS bias, round(stddev_samp(a - b), 6) AS sd, round(avg(a - b) - 1.96 * stddev_samp(a - b), 6) AS lower,
         round(avg(a - b) + 1.96 * stddev_samp(a - b), 6) AS upper FROM dyads GROUP BY dyad HAVING count(*) >= 3""",
+    "session_overlap": f"""WITH {DYADS}, whole AS (SELECT dyad, count(*) AS n, min(t) AS first, max(t) AS last, {r_sql("a", "b")} AS r FROM dyads GROUP BY dyad),
+        starts AS (SELECT dyad, i, first + i * 86400.0::DOUBLE AS s FROM (SELECT *, unnest(generate_series(0, greatest(ceil(greatest(last - first - 172800, 0) / 86400)::BIGINT - 1, 0))) AS i FROM whole)),
+        w AS (SELECT x.dyad, i, {r_sql("a", "b")} AS r FROM starts x JOIN dyads d ON d.dyad = x.dyad AND d.t BETWEEN s AND s + 172800 GROUP BY ALL HAVING count(*) >= 20),
+        m AS (SELECT dyad, count(*) AS n_windows, avg(r) AS a, stddev_samp(r) AS s, min(r) AS lo, max(r) AS hi FROM w GROUP BY dyad)
+        SELECT dyad, n, first, last, coalesce(n_windows, 0) AS n_windows, round(r, 6) AS r, round(a, 6) AS window_mean, round(s, 6) AS window_sd, round(lo, 6) AS window_min, round(hi, 6) AS window_max
+        FROM whole LEFT JOIN m USING (dyad)""",
+    "prepared_pairs": f"""WITH {DYADS}, line AS (SELECT dyad, trial, count(*) AS n, regr_slope(a, k % 48) AS sa, regr_intercept(a, k % 48) AS ia, regr_slope(b, k % 48) AS sb, regr_intercept(b, k % 48) AS ib FROM dyads GROUP BY ALL),
+        rest AS (SELECT dyad, trial, k, n, a, b, a - ia - sa * (k % 48) AS ra, b - ib - sb * (k % 48) AS rb FROM dyads JOIN line USING (dyad, trial)),
+        s AS (SELECT *, CASE WHEN n < 20 THEN 'too_few_samples' WHEN stddev_pop(ra) OVER w <= 1e-9 * max(abs(a)) OVER w OR stddev_pop(rb) OVER w <= 1e-9 * max(abs(b)) OVER w THEN 'zero_sd' ELSE 'success' END AS status
+          FROM rest WINDOW w AS (PARTITION BY dyad, trial))
+        SELECT dyad, trial, k, status, CASE WHEN status = 'success' THEN round((ra - avg(ra) OVER w) / nullif(stddev_pop(ra) OVER w, 0), 6) + 0.0::DOUBLE END AS za,
+               CASE WHEN status = 'success' THEN round((rb - avg(rb) OVER w) / nullif(stddev_pop(rb) OVER w, 0), 6) + 0.0::DOUBLE END AS zb FROM s WINDOW w AS (PARTITION BY dyad, trial)""",
     "spearman": f"""WITH {DYADS}, r AS (SELECT dyad, trial, rank() OVER (PARTITION BY dyad, trial ORDER BY a) + (count(*) OVER (PARTITION BY dyad, trial, a) - 1) / 2 AS ra,
         rank() OVER (PARTITION BY dyad, trial ORDER BY b) + (count(*) OVER (PARTITION BY dyad, trial, b) - 1) / 2 AS rb FROM dyads)
         SELECT dyad, trial, count(*) AS n, round({r_sql("ra", "rb")}, 6) AS rho FROM r GROUP BY ALL""",
