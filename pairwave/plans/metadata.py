@@ -134,7 +134,9 @@ def session_matching(spark, sf):
         (F.floor(F.col("session") * 61 % 86400 / 3600)).cast("double").alias("hour"), F.lit(30.0).alias("minute"),
         F.when(F.col("session") % 2 == 0, pair(F.col("session"))).otherwise(F.array((F.col("session") % 97).cast("string"), F.lit("x"))).alias("suffixes"),
     )
-    met = pairing.session_candidates(a, b).select(F.lit("all").alias("study"), F.col("session").alias("left"), F.col("dyad").alias("right"), "score", "kind")
+    # fifty studies, each with sessions and metadata of its own
+    met = pairing.session_candidates(a, b).select((F.col("session") % 50).alias("study"), F.col("session").alias("left"), F.col("dyad").alias("right"), "score", "kind")
+    met = met.where((F.col("right") - 1_000_000_000) % 50 == F.col("study"))
     best = pairing.greedy_one_to_one(met, ["study"]).join(met, ["study", "left", "right", "score"])
     sensors = F.array(F.concat(F.lit("2514300"), (F.col("left") % 97).cast("string")), F.concat(F.lit("2514300"), (F.col("left") % 89).cast("string")))
     roles = pairing.sensor_roles(sensors, (F.col("left") % 97).cast("string"), F.when(F.col("left") % 2 == 0, (F.col("left") % 89).cast("string")).otherwise("x"))
@@ -388,11 +390,11 @@ ORACLES = {
           UNION ALL SELECT DISTINCT x.k, y.dyad, true, false, h, sec FROM (SELECT *, unnest(s) AS one FROM a) x JOIN (SELECT *, unnest(s) AS one FROM b) y ON x.day = y.day AND x.one = y.one WHERE x.s <> y.s),
         far AS (SELECT *, CASE WHEN h BETWEEN 1 AND 6 THEN least(abs(h * 3600.0 + 1800 - sec), abs((h + 12) * 3600.0 + 1800 - sec)) ELSE abs(h * 3600.0 + 1800 - sec) END::DOUBLE AS off FROM met),
         cand AS (SELECT k, dyad, CASE WHEN same AND exact THEN 'same_date_exact_sensors' WHEN same THEN 'same_date_partial_sensor_time_close' ELSE 'date_mismatch_exact_sensors_time_close' END AS kind,
-                        off + CASE WHEN same AND exact THEN 0 WHEN same THEN 500 ELSE 2000 END AS score FROM far WHERE (same AND exact) OR off <= 1200),
-        lefts AS (SELECT k AS l, row_number() OVER (ORDER BY k) AS i, list(struct_pack(score := score, r := dyad, kind := kind) ORDER BY score, dyad) AS c FROM cand GROUP BY k),
-        step AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS l, []::BIGINT[] AS taken, NULL::STRUCT(score DOUBLE, r BIGINT, kind VARCHAR) AS pick, false AS shared
-          UNION ALL SELECT i, l, list_append(taken, coalesce(free[1], c[1]).r), coalesce(free[1], c[1]), len(free) = 0 FROM (
-            SELECT x.i, x.l, x.c, t.taken, list_filter(x.c, lambda z: NOT list_contains(t.taken, z.r)) AS free FROM step t JOIN lefts x ON x.i = t.i + 1)),
+                        off + CASE WHEN same AND exact THEN 0 WHEN same THEN 500 ELSE 2000 END AS score FROM far WHERE ((same AND exact) OR off <= 1200) AND k % 50 = (dyad - 1000000000) % 50),
+        lefts AS (SELECT k % 50 AS study, k AS l, row_number() OVER (PARTITION BY k % 50 ORDER BY k) AS i, list(struct_pack(score := score, r := dyad, kind := kind) ORDER BY score, dyad) AS c FROM cand GROUP BY k),
+        step AS (SELECT study, 0::BIGINT AS i, NULL::BIGINT AS l, []::BIGINT[] AS taken, NULL::STRUCT(score DOUBLE, r BIGINT, kind VARCHAR) AS pick, false AS shared FROM (SELECT DISTINCT study FROM lefts)
+          UNION ALL SELECT study, i, l, list_append(taken, coalesce(free[1], c[1]).r), coalesce(free[1], c[1]), len(free) = 0 FROM (
+            SELECT x.study, x.i, x.l, x.c, t.taken, list_filter(x.c, lambda z: NOT list_contains(t.taken, z.r)) AS free FROM step t JOIN lefts x ON x.study = t.study AND x.i = t.i + 1)),
         roles AS (SELECT l, pick, shared, ['2514300' || l % 97, '2514300' || l % 89] AS ids, (l % 97)::VARCHAR AS sa, CASE WHEN l % 2 = 0 THEN (l % 89)::VARCHAR ELSE 'x' END AS sb FROM step WHERE l IS NOT NULL),
         ends AS (SELECT *, coalesce(list_filter(ids, lambda z: ends_with(z, sa))[-1], '') AS a, coalesce(list_filter(ids, lambda z: ends_with(z, sb))[-1], '') AS b FROM roles),
         rest AS (SELECT *, CASE WHEN b = '' AND a <> '' AND len(list_filter(ids, lambda z: z <> a)) = 1 THEN list_filter(ids, lambda z: z <> a)[1] END AS rb FROM ends)
