@@ -40,12 +40,13 @@ def spearman(df: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> Data
 
 
 def lag_one(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """r of each member with the other one step later, their difference and who leads."""
+    """r of each member with the other one step later, their difference and who leads; below 1e-12 it is rounding."""
     w = Window.partitionBy(*keys).orderBy(order)
     nxt = df.select(*keys, "a", "b", F.lead("a").over(w).alias("a1"), F.lead("b").over(w).alias("b1"))
     out = nxt.groupBy(*keys).agg(pearson(F.col("a"), F.col("b1")).alias("r_ab"), pearson(F.col("b"), F.col("a1")).alias("r_ba"))
     asym = F.col("r_ab") - F.col("r_ba")
-    lead = F.when(asym.isNull(), "unavailable").when(asym > 0, "A").when(asym < 0, "B").otherwise("symmetric")
+    sign = F.round(asym, 12)
+    lead = F.when(asym.isNull(), "unavailable").when(sign > 0, "A").when(sign < 0, "B").otherwise("symmetric")
     return out.select("*", asym.alias("asymmetry"), lead.alias("leader"))
 
 

@@ -216,6 +216,6 @@ ORACLES = {
         met AS (SELECT *, c AS peak_r, r_ab - r_ba AS asymmetry, CASE WHEN pearson_r IS NOT NULL THEN rho END AS spearman_r FROM base LEFT JOIN linear USING (dyad, trial) LEFT JOIN ranks USING (dyad, trial) LEFT JOIN best USING (dyad, trial)
           LEFT JOIN one USING (dyad, trial) LEFT JOIN windows USING (dyad, trial))
         SELECT dyad, trial, CASE WHEN n < 20 THEN 'failed' ELSE 'success' END AS status, CASE WHEN n < 20 THEN 'Too few valid paired samples: ' || n END AS error, n,
-          CASE WHEN n >= 20 THEN lag END AS lag, CASE WHEN n >= 20 THEN CASE WHEN asymmetry > 0 THEN 'A' WHEN asymmetry < 0 THEN 'B' WHEN asymmetry = 0 THEN 'symmetric' ELSE 'unavailable' END END AS lag_one_leader,
+          CASE WHEN n >= 20 THEN lag END AS lag, CASE WHEN n >= 20 THEN CASE WHEN round(asymmetry, 12) > 0 THEN 'A' WHEN round(asymmetry, 12) < 0 THEN 'B' WHEN round(asymmetry, 12) = 0 THEN 'symmetric' ELSE 'unavailable' END END AS lag_one_leader,
           CASE WHEN n >= 20 THEN coalesce(n_windows, 0) END AS n_windows, {", ".join(f"CASE WHEN n >= 20 THEN round({c}, 6) + 0.0::DOUBLE END AS {c}" for c in _PLAIN)} FROM met""",
 }

@@ -161,7 +161,7 @@ def transfer_entropy(spark, sf):
 
 
 def optimal_tau(spark, sf):
-    te = transfer_entropy(spark, sf).withColumn("flow", F.col("ste_ab") + F.col("ste_ba"))
+    te = transfer.transfer_by_tau(dyads(spark, sf), ["dyad", "trial"], "k", list(TAUS)).withColumn("flow", F.col("ste_ab") + F.col("ste_ba"))
     return transfer.optimal_tau(te, ["dyad"], "tau", "flow").select("dyad", "tau", *_r("mean_flow"))
 
 
@@ -299,7 +299,7 @@ ORACLES = {
         rank() OVER (PARTITION BY dyad, trial ORDER BY b) + (count(*) OVER (PARTITION BY dyad, trial, b) - 1) / 2 AS rb FROM dyads)
         SELECT dyad, trial, count(*) AS n, round({r_sql("ra", "rb")}, 6) AS rho FROM r GROUP BY ALL""",
     "lag_one": f"""WITH {DYADS}, {_LAG_ONE} SELECT dyad, round(r_ab, 6) AS r_ab, round(r_ba, 6) AS r_ba, round(r_ab - r_ba, 6) AS asymmetry,
-        CASE WHEN r_ab - r_ba > 0 THEN 'A' WHEN r_ab - r_ba < 0 THEN 'B' WHEN r_ab - r_ba = 0 THEN 'symmetric' ELSE 'unavailable' END AS leader FROM one""",
+        CASE WHEN round(r_ab - r_ba, 12) > 0 THEN 'A' WHEN round(r_ab - r_ba, 12) < 0 THEN 'B' WHEN round(r_ab - r_ba, 12) = 0 THEN 'symmetric' ELSE 'unavailable' END AS leader FROM one""",
     "cross_correlation": f"""WITH {LAGS.replace("KEY", "trial")}, best AS (SELECT * FROM cc WHERE c IS NOT NULL QUALIFY row_number() OVER (PARTITION BY dyad, trial ORDER BY round(abs(c), 12) DESC, lag) = 1)
         SELECT dyad, trial, lag, round(c, 6) AS peak, CASE WHEN lag = 0 THEN 'zero_lag' WHEN lag > 0 THEN 'A' ELSE 'B' END AS leader_positive_lag_a,
                CASE WHEN lag = 0 THEN 'zero_lag' WHEN lag > 0 THEN 'B' ELSE 'A' END AS leader_positive_lag_b FROM best""",
@@ -320,7 +320,7 @@ ORACLES = {
     "ordinal_symbols": f"WITH {DYADS} SELECT dyad, sa::BIGINT AS sa, count(*) AS n FROM {_symbols('dyad', 2)} GROUP BY ALL",
     "transfer_entropy": f"""WITH {_TE} SELECT dyad, trial, tau, round(ab, 6) + 0.0::DOUBLE AS ste_ab, round(ba, 6) + 0.0::DOUBLE AS ste_ba, round(hab, 6) + 0.0::DOUBLE AS h_ab,
         round(hba, 6) + 0.0::DOUBLE AS h_ba, round(ab - ba, 6) + 0.0::DOUBLE AS asymmetry FROM te""",
-    "optimal_tau": f"""WITH {_TE}, m AS (SELECT dyad, tau, avg(round(ab, 6) + round(ba, 6)) AS m FROM te GROUP BY ALL)
+    "optimal_tau": f"""WITH {_TE}, m AS (SELECT dyad, tau, avg(ab + ba) AS m FROM te GROUP BY ALL)
         SELECT dyad, tau, round(m, 6) AS mean_flow FROM m QUALIFY row_number() OVER (PARTITION BY dyad ORDER BY round(m, 12) DESC, tau) = 1""",
     "window_means": f"""WITH {_WINDOWS} SELECT window_index, count(r) AS n, round(avg(r), 6) + 0.0::DOUBLE AS mean, round(1.96 * stddev_samp(r) / sqrt(count(r)), 6) AS half_width FROM windows GROUP BY window_index""",
 }
