@@ -262,7 +262,10 @@ def r_peaks(clean: np.ndarray, fs: float) -> np.ndarray:
 
 
 def fix_peaks(peaks: np.ndarray, fs: float) -> tuple[np.ndarray, dict]:
-    """Missed beats are put in and extra ones taken out by time-varying limits on the intervals; fewer than 3 stay."""
+    """Missed beats are put in, extra ones taken out and shifted ones (a long interval beside a short one) put half-way.
+
+    Limits on the intervals vary with time; fewer than 3 peaks stay as they are.
+    """
     counts = {"extra": 0, "missed": 0, "shifted": 0}
     peaks = np.unique(np.asarray(peaks)[np.asarray(peaks) >= 0])
     for _ in range(5):
@@ -274,19 +277,25 @@ def fix_peaks(peaks: np.ndarray, fs: float) -> tuple[np.ndarray, dict]:
         jump = np.diff(rr, prepend=rr[0])
         limit = np.array([5.2 * np.subtract(*np.percentile(np.abs(jump[max(0, i - 45) : i + 46]), [75, 25])) / 2 for i in range(len(rr))])
         limit = np.maximum(limit, 0.15 * around)
-        drop, add, skip = [], [], -1
+        drop, add, move, skip = [], [], [], -1
         for i in range(len(rr)):
             if i <= skip:
                 continue
             if i + 1 < len(rr) and around[i] - rr[i] > limit[i] and abs(rr[i] + rr[i + 1] - around[i]) < limit[i]:
                 drop.append(i + 1)
                 skip = i + 1
+            elif i + 1 < len(rr) and (rr[i] - around[i]) * (rr[i + 1] - around[i]) < 0 and min(abs(rr[i] - around[i]), abs(rr[i + 1] - around[i])) > limit[i] and abs(rr[i] + rr[i + 1] - 2 * around[i]) < limit[i]:
+                move.append(i + 1)
+                skip = i + 1
             elif rr[i] - around[i] > limit[i] and abs(rr[i] / 2 - around[i]) < limit[i]:
                 add.append((peaks[i] + peaks[i + 1]) // 2)
-        if not drop and not add:
+        if not drop and not add and not move:
             break
         counts["extra"] += len(drop)
         counts["missed"] += len(add)
+        counts["shifted"] += len(move)
+        for i in move:
+            peaks[i] = (peaks[i - 1] + peaks[i + 1]) // 2
         peaks = np.unique(np.concatenate((np.delete(peaks, drop), np.array(add, int))))
     return peaks, counts
 
@@ -297,4 +306,4 @@ def ecg_to_peaks(t: np.ndarray, x: np.ndarray, fs: float) -> list[dict]:
     raw = r_peaks(clean, fs)
     fixed, counts = fix_peaks(raw, fs)
     gain = 20 * np.log10(x.std() / clean.std()) if clean.std() > 0 and x.std() > 0 else np.nan
-    return [{"place": int(p), "t": t[0] + p / fs, "n_raw": len(raw), "n_extra": counts["extra"], "n_missed": counts["missed"], "gain_db": gain} for p in fixed]
+    return [{"place": int(p), "t": t[0] + p / fs, "n_raw": len(raw), "n_extra": counts["extra"], "n_missed": counts["missed"], "n_shifted": counts["shifted"], "gain_db": gain} for p in fixed]

@@ -272,6 +272,20 @@ def test_trials(spark):
     assert hrv["s"].status == "success" and hrv["s"].hf > 0 and hrv["s"].lf_hf == pytest.approx(hrv["s"].lf / hrv["s"].hf)
 
 
+def test_peaks_are_fixed_by_kind():
+    beats = np.arange(0, 60 * 100, 100)
+    assert signal.fix_peaks(beats, 128.0)[0].tolist() == beats.tolist()
+    fixed, counts = signal.fix_peaks(np.delete(beats, 20), 128.0)
+    assert fixed.tolist() == beats.tolist() and counts == {"extra": 0, "missed": 1, "shifted": 0}
+    fixed, counts = signal.fix_peaks(np.sort(np.append(beats, 2040)), 128.0)
+    assert fixed.tolist() == beats.tolist() and counts == {"extra": 1, "missed": 0, "shifted": 0}
+    moved = beats.copy()
+    moved[30] += 35
+    fixed, counts = signal.fix_peaks(moved, 128.0)
+    assert fixed.tolist() == beats.tolist() and counts == {"extra": 0, "missed": 0, "shifted": 1}
+    assert signal.fix_peaks(np.array([5, -1]), 128.0)[0].tolist() == [5]
+
+
 def test_order_of_levels(spark):
     df = spark.createDataFrame([("clean", 1), (None, 2), ("poor", 3), ("odd", 4), ("caution", 5)], "f string, i long")
     assert [r.f for r in trial.ordered(df, F.col("f"), ["clean", "caution", "poor"]).collect()] == ["clean", "caution", "poor", "odd", None]
