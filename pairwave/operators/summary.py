@@ -30,7 +30,7 @@ SESSION_STATUSES = (
     ("missing_ecg", "At least one sensor is missing ECG."),
     ("missing_non_ecg_file", "At least one sensor is missing Acc or EulerAngles."),
     ("missing_annotation", "Annotation file is missing."),
-    ("complete", "Complete raw Movesense file set found."),
+    ("complete", "Complete raw sensor file set found."),
 )
 
 

@@ -428,7 +428,7 @@ ORACLES = {
         SELECT dyad, n_sensors, sensors, all_ecg, all_acc, all_euler, annotation, possible_dropout, round(lo, 3) AS min_duration, round(hi, 3) AS max_duration, round(hi - lo, 3) AS duration_range, status,
           CASE status WHEN 'empty_folder' THEN 'Sensor folders exist, but no ECG/Acc/Euler files were found.' WHEN 'check_sensor_count' THEN 'Expected 2 sensor folders, found ' || n_sensors || '.'
             WHEN 'missing_ecg' THEN 'At least one sensor is missing ECG.' WHEN 'missing_non_ecg_file' THEN 'At least one sensor is missing Acc or EulerAngles.' WHEN 'missing_annotation' THEN 'Annotation file is missing.'
-            ELSE 'Complete raw Movesense file set found.' END || CASE WHEN possible_dropout THEN ' ECG duration range suggests possible dropout.' ELSE '' END AS notes FROM k""",
+            ELSE 'Complete raw sensor file set found.' END || CASE WHEN possible_dropout THEN ' ECG duration range suggests possible dropout.' ELSE '' END AS notes FROM k""",
     "condition_summary": """SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 4) AS l_quantity_mean, round(stddev_samp(l_quantity), 4) AS l_quantity_sd, median(l_quantity) AS l_quantity_median,
         round(avg(l_extendedprice), 4) AS l_extendedprice_mean, round(stddev_samp(l_extendedprice), 4) AS l_extendedprice_sd, round(median(l_extendedprice), 4) AS l_extendedprice_median,
         count(l_quantity) AS l_quantity_n, count(l_extendedprice) AS l_extendedprice_n FROM lineitem GROUP BY l_returnflag""",
