@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, linededup, orderhash, pii, quality, simhash, tokencount, tokens
+from . import bpe, chat, decontaminate, linededup, orderhash, pii, quality, simhash, tokencount, tokens
 from .common import cut, shared_folder, table
 
 
@@ -92,11 +92,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_removed")
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    named = F.sha2(F.array_join("items", ","), 256)
+    return done.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named.alias("items_sha256"), "contaminated",
+        F.size("spans").cast("long").alias("n_spans"), F.length("text").cast("long").alias("clean_chars"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_token_counts, op3_pii, op4_byte_bpe, op5_line_dedup,
         op6_packing, op7_simhash, op8_order_minhash, op9_token_files, op10_quality,
+        op13_decontaminate,
     )
 }
 
@@ -145,4 +155,39 @@ ORACLES = {
                len(string_split(d.text, chr(10))) AS n_lines,
                len(string_split(d.text, chr(10))) - coalesce(k.n_kept, 0) AS removed_lines
         FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id""",
+    # a text less its spans loses them and what follows each up to the next word
+    "op13_decontaminate": r"""
+        WITH d AS (
+          SELECT doc_id, text, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+        b AS (
+          SELECT item_id::VARCHAR AS item, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+        grams AS (
+          SELECT DISTINCT item, k, array_to_string(w[i : i + k - 1], ' ') AS gram
+          FROM (SELECT item, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+        places AS (
+          SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM grams)),
+        hits AS (
+          SELECT p.doc_id, p.i, p.k, g.item FROM (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS gram FROM places) p
+          JOIN grams g ON g.k = p.k AND g.gram = p.gram),
+        hit_words AS (
+          SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM (SELECT DISTINCT doc_id, i, k FROM hits)),
+        spans AS (
+          SELECT doc_id, min(i) AS s, max(i) AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM hit_words)
+          GROUP BY doc_id, g),
+        pieces AS (
+          SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS j, CASE WHEN regexp_matches(p[1], '^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]') THEN 0 ELSE 1 END AS f
+          FROM (SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS p
+                FROM documents WHERE doc_id IN (SELECT doc_id FROM spans))),
+        lost AS (
+          SELECT doc_id, sum(length(p[j])) AS n FROM pieces x
+          WHERE EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = x.doc_id AND j BETWEEN 2 * s.s - 1 + f AND 2 * s.e + f) GROUP BY doc_id)
+        SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+               sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated,
+               coalesce(s.n, 0) AS n_spans, length(d.text) - coalesce(l.n, 0)::BIGINT AS clean_chars
+        FROM d LEFT JOIN (SELECT doc_id, count(*) AS n FROM hit_words GROUP BY doc_id) h ON h.doc_id = d.doc_id
+        LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id) i ON i.doc_id = d.doc_id
+        LEFT JOIN (SELECT doc_id, count(*) AS n FROM spans GROUP BY doc_id) s ON s.doc_id = d.doc_id
+        LEFT JOIN lost l ON l.doc_id = d.doc_id""",
 }
