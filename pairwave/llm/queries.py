@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, linededup, orderhash, pii, quality, simhash, tokencount, tokens
+from . import bpe, chat, decontaminate, linededup, orderhash, pii, quality, simhash, spelling, tokencount, tokens
 from .common import cut, shared_folder, table
 
 
@@ -92,6 +94,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_removed")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, one run in 31 with a code point left out, grouped by spelling."""
+    low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    # runs of fewer code points than a word has can't become one
+    runs = F.regexp_extract_all(low, F.lit("[A-Za-z\u00C0-\u00FF]{7,}"), F.lit(0))
+    each = table(spark, sf_dir, "documents").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("doc"), F.explode(runs).alias("run"))
+    each = each.withColumn("h", F.crc32(F.concat("doc", F.lit(":"), "run").cast("binary")))
+    at = (F.col("h") % F.length("run")).cast("int")
+    short = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = each.select(F.when(F.col("h") % 31 == 0, short).otherwise(F.col("run")).alias("word"))
+    return spelling.group_variants(spelling.count_words(words))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     named = F.sha2(F.array_join("items", ","), 256)
@@ -106,7 +121,7 @@ QUERIES = {
     for f in (
         op1_chat_format, op2_token_counts, op3_pii, op4_byte_bpe, op5_line_dedup,
         op6_packing, op7_simhash, op8_order_minhash, op9_token_files, op10_quality,
-        op13_decontaminate,
+        op12_spelling, op13_decontaminate,
     )
 }
 
