@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, linededup, orderhash, pii, quality, simhash, spelling, tokencount, tokens
+from . import bpe, chat, decontaminate, linededup, orderhash, pii, quality, repair, simhash, spelling, tokencount, tokens
 from .common import cut, shared_folder, table
 
 
@@ -94,6 +94,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_removed")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations damaged by a hash of (conv_id, turn), and their cheapest repair."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = given.withColumn("h", F.crc32(name.cast("binary")) % 20).where("h <> 0")
+    text = F.when(F.col("h") == 1, "").when(F.col("h") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.withColumn("copy", F.explode(F.when(F.col("h") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    rows = rows.select("conv_id", "turn", F.when(F.col("h") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"))
+    edits = repair.repair(rows)
+    count = lambda c: F.count_if(c).cast("long")
+    line = F.when(F.col("edit") != "D", F.concat("role", F.lit(":"), "text"))
+    told = edits.groupBy("conv_id").agg(
+        F.coalesce(F.max("turn") - F.min("turn") + 1 - F.size(F.collect_set("turn")), F.lit(0)).cast("long").alias("gaps"),
+        *[count(F.col("fault") == f).alias(f) for f in ("blank", "duplicate", "truncated")],
+        count(F.col("illegal")).alias("illegal"), F.sum("cost").alias("cost"),
+        F.array_sort(F.collect_list(F.struct("piece", "place", "edit", line.alias("line")))).alias("rows"),
+    )
+    whole = F.array_join(F.array_compact(F.transform("rows", lambda x: x["line"])), "\n")
+    told = told.select("*", F.array_join(F.transform("rows", lambda x: x["edit"]), "").alias("audit"), F.sha2(whole, 256).alias("repaired_sha256"))
+    each = given.select(F.col("conv_id").alias("own")).distinct().join(told, F.col("own").eqNullSafe(F.col("conv_id")), "left")
+    none = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    names = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+    return each.select(F.col("own").alias("conv_id"), *[F.coalesce(c, none.get(c, F.lit(0).cast("long"))).alias(c) for c in names])
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, one run in 31 with a code point left out, grouped by spelling."""
     low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
@@ -121,7 +146,7 @@ QUERIES = {
     for f in (
         op1_chat_format, op2_token_counts, op3_pii, op4_byte_bpe, op5_line_dedup,
         op6_packing, op7_simhash, op8_order_minhash, op9_token_files, op10_quality,
-        op12_spelling, op13_decontaminate,
+        op11_conversation_repair, op12_spelling, op13_decontaminate,
     )
 }
 
