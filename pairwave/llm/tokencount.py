@@ -2,11 +2,16 @@
 
 Totals by source, language and tokenizer version are sums, so an insert adds a document's counts, a delete subtracts them,
 and a revised count subtracts the old and adds the new; documents are never counted again. A batch of deltas is summed
-(combined before the shuffle) and written as a small table of a random name; then a log entry, named by the batch's ID and
-created only if there is none, commits it. A batch that failed or lost executors half-way, or whose ID another writer
-committed first, is no part of the totals, and its ID may be used again or is ignored; a committed table is never changed.
-Totals join the tables with the log in Spark. compact() commits the totals of all tables in place of the tables themselves
-in the same way; the log keeps their batch IDs.
+(combined before the shuffle) and written as a small table of a random name; then a log entry, named by the batch's ID,
+commits it. An entry is written whole under a hidden name and takes its own name by a rename that refuses one that is there,
+so a writer that dies at any step leaves either the whole entry or none, and its batch may be sent again. A batch that failed
+or lost executors half-way, or whose ID another writer committed first, is no part of the totals; a committed table is never
+changed. Totals join the tables with the log in Spark. compact() commits the totals of all tables in place of the tables
+themselves in the same way. Its entry is named by the number of compactions before it, read ahead of the tables: of two at
+once only one enters, whatever was committed between them; the log keeps the batch IDs.
+
+Renames that refuse are atomic on HDFS. On a local disk or an object store two writers of one entry may both succeed; the
+later entry then replaces the earlier one whole, so one batch or compaction counts, never both and never a part.
 
 Versions: words-1 (white-space words), bytes-1 (UTF-8), both counted by built-in functions, and any vocabulary file of the
 tokenizers library, whose IDs are counted in Arrow batches.
@@ -27,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD
+from .common import WORD, fresh
 from .tokens import encoder, slices
 
 KEYS = ("source", "lang", "tokenizer")
@@ -42,9 +47,12 @@ def counted(docs: DataFrame, versions: dict[str, str | None], keep: tuple[str, .
     """
     own = [n for n, path in versions.items() if path is None]
     others = {n: path for n, path in versions.items() if path is not None}
-    built = [F.coalesce(BUILT_IN[n](F.col("text")), F.lit(0)).cast("long").alias(f"__n{i}") for i, n in enumerate(own)]
-    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *keep, *built, "text")
-    names = [*rows.columns[:-1], *(f"__v{i}" for i in range(len(others)))]
+    taken = ["source", "lang", "counts", *keep]
+    built_names, other_names = [fresh(taken, f"n{i}") for i in range(len(own))], [fresh(taken, f"v{i}") for i in range(len(others))]
+    built = [F.coalesce(BUILT_IN[n](F.col("text")), F.lit(0)).cast("long").alias(c) for c, n in zip(built_names, own)]
+    text = F.col("text").alias(fresh(taken, "text"))
+    rows = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *keep, *built, text)
+    names = [*rows.columns[:-1], *other_names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = [encoder(path).encode for path in others.values()]
@@ -57,9 +65,9 @@ def counted(docs: DataFrame, versions: dict[str, str | None], keep: tuple[str, .
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, pa.int64()) for c in sizes)], names)
 
     if others:
-        rows = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *(T.StructField(f"__v{i}", T.LongType()) for i in range(len(others)))]))
+        rows = rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *(T.StructField(c, T.LongType()) for c in other_names)]))
     pair = lambda name, column: F.struct(F.lit(name).alias("tokenizer"), F.col(column).alias("tokens"))
-    counts = [pair(n, f"__n{i}") for i, n in enumerate(own)] + [pair(n, f"__v{i}") for i, n in enumerate(others)]
+    counts = [pair(n, c) for n, c in zip(own, built_names)] + [pair(n, c) for n, c in zip(others, other_names)]
     return rows.select("source", "lang", *keep, F.array(*counts).alias("counts"))
 
 
@@ -96,18 +104,30 @@ class Rollup:
         sums.write.parquet(f"{self.folder}/data/table={name}")
         return name
 
+    def _draft(self, lines: list[str]):
+        """The path of a whole entry that has a hidden name yet."""
+        store, path = self._store(f"log/.{uuid.uuid4().hex}")
+        out = store.create(path, False)
+        out.write(bytearray("".join(x + "\n" for x in lines).encode()))
+        out.close()
+        return path
+
     def _enter(self, entry: str, lines: list[str]) -> bool:
-        """Creates a log entry; False if there is one of that name."""
+        """Names a log entry; False if there is one of that name."""
+        fs, gateway = self.spark._jvm.org.apache.hadoop.fs, self.spark.sparkContext._gateway
         store, path = self._store(f"log/{entry}")
+        draft = self._draft(lines)
+        rename = getattr(fs, "Options$Rename")
+        careful = gateway.new_array(rename, 1)
+        careful[0] = rename.NONE
         try:
-            out = store.create(path, False)
+            fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, path, careful)
+            return True
         except Exception:
-            if store.exists(path):
-                return False
-            raise
-        out.write(bytearray("".join(x + "\n" for x in lines).encode()))
-        out.close()
-        return True
+            if not store.exists(path):
+                raise
+            store.delete(draft, False)
+            return False
 
     def _live(self) -> DataFrame:
         """table: those entered with + and not with -."""
@@ -135,8 +155,15 @@ class Rollup:
 
     def compact(self) -> None:
         """One table counts instead of all committed since the last call, whose names (not their rows) pass the driver."""
-        names = [r["table"] for r in self._live().collect()] if self._has("log") else []
+        if not self._has("log"):
+            return
+        # before the tables: another compaction that is entered from here on makes this one's name taken
+        entry = f"compact-{self._compactions()}"
+        names = [r["table"] for r in self._live().collect()]
         if len(names) > 1:
             made = self._write(self._sums(self.spark.createDataFrame([(n,) for n in names], "table string")))
-            # of two calls at once that met the same tables only one enters its own
-            self._enter("compact-" + min(names), ["+" + made, *("-" + n for n in names)])
+            self._enter(entry, ["+" + made, *("-" + n for n in names)])
+
+    def _compactions(self) -> int:
+        store, path = self._store("log")
+        return sum(x.getPath().getName().startswith("compact-") for x in store.listStatus(path))
