@@ -9,9 +9,9 @@ there is no shuffle and nothing grows with the data. Whoever has the key can und
 
 Defined cases: a null text stays null and an empty one empty, both with n_found 0; strings of any length are permuted, in
 parts of PART characters that each depend on those before; a value that fails validation is left
-as it is, and the search goes on after its first character; a value within such a match, or a date with slashes that must
-be read day first, is permuted among those that undo finds again, so its pseudonym may differ from that of the value
-elsewhere; repeated rows get the same text; an empty table gives an empty table; input columns are passed through, and one
+as it is, and the search goes on after its first character; a value within such a match is permuted among those that undo finds
+again, so its pseudonym may differ from that of the value elsewhere; a date with slashes is read month first where the
+calendar allows it, else day first; repeated rows get the same text; an empty table gives an empty table; input columns are passed through, and one
 named n_found is replaced.
 """
 
@@ -185,8 +185,13 @@ def _ssn(f: Feistel, s: str) -> str | None:
     return f"{areas[x]:03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
-_FIRST = datetime.date(1900, 1, 1).toordinal()
-_DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST
+#: The dates of 1900 to 2099 whose day may be a month's number too, and those whose day can't. Each kind is permuted among
+#: itself, so that a date that can only be read day first still can, and every way of writing takes the same permutation.
+_DATES: tuple[list[datetime.date], list[datetime.date]] = ([], [])
+for _n in range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()):
+    _day = datetime.date.fromordinal(_n)
+    _DATES[_day.day > 12].append(_day)
+_PLACES = tuple({d: i for i, d in enumerate(kind)} for kind in _DATES)
 
 
 def _date(order: str) -> Callable[[Feistel, str], str | None]:
@@ -198,10 +203,10 @@ def _date(order: str) -> Callable[[Feistel, str], str | None]:
             day = datetime.date(**{{"y": "year", "m": "month", "d": "day"}[k]: int(v) for k, v in zip(order, parts)})
         except ValueError:
             return None
-        x = day.toordinal() - _FIRST
-        if not 0 <= x < _DAYS:
+        late = day.day > 12
+        if day not in _PLACES[late]:
             return None
-        day = datetime.date.fromordinal(_FIRST + f.number(x, _DAYS, "date"))
+        day = _DATES[late][f.number(_PLACES[late][day], len(_DATES[late]), "late date" if late else "date")]
         return s[re.search(r"\D", s).start()].join(f"{day.year:04d}" if k == "y" else f"{day.month if k == 'm' else day.day:02d}" for k in order)
 
     return change
@@ -211,13 +216,9 @@ _MONTH_FIRST, _DAY_FIRST = _date("mdy"), _date("dmy")
 
 
 def _slashes(f: Feistel, s: str) -> str | None:
-    """Month first where the calendar allows it, else day first, permuted among the dates that can only be read so."""
+    """Month first where the calendar allows it, else day first; the pseudonym is read in the same order."""
     made = _MONTH_FIRST(f, s)
-    if made is None:
-        made = _DAY_FIRST(f, s)
-        while made is not None and int(made[3:5]) and int(made[:2]) <= 12:
-            made = _DAY_FIRST(f, made)
-    return made
+    return _DAY_FIRST(f, s) if made is None else made
 
 
 def _classes(f: Feistel, s: str, what: str) -> str:
@@ -311,7 +312,7 @@ def _apart(text: str, start: int, end: int, made: str, kind: int, f: Feistel, fa
 
 def protect(docs: DataFrame, key: bytes, *, undo: bool = False) -> DataFrame:
     """docs with pseudonyms in text, and n_found."""
-    passed = [c for c in docs.columns if c != "n_found"]
+    passed = [c for c in docs.columns if c.lower() != "n_found"]
     at = passed.index("text")
     schema = T.StructType([*(docs.schema[c] for c in passed), T.StructField("n_found", T.LongType())])
 
