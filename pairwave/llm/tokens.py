@@ -108,6 +108,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         #: Texts of special tokens, which the library finds before anything else; a text that holds one is encoded whole.
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: The same in small letters, which folding may make of others.
+        self.folded_special = [t.lower() for t in self.special]
         self.pieces = Pieces(self._learn)
         self.mark = self._ids([MARK])[0]
         self.folds = all(self._ids([c]).tolist() == self._ids([c.lower()]).tolist() for c in ascii_uppercase)
@@ -133,8 +135,15 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The int32 IDs of each text."""
         raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-        whole = {i: self._ids([x.decode("utf-8", "replace")]) for i, x in enumerate(raw) if any(t in x for t in self.special)}
-        found = self.pieces.ids([[] if i in whole else self._folded(x).split() for i, x in enumerate(raw)])
+        low = [self._folded(x) for x in raw]
+        whole = {}
+        for i, x in enumerate(low):
+            if any(t in x for t in self.special if x is raw[i]) or x is not raw[i] and any(t in x for t in self.folded_special):
+                # found before anything else if it stands so in the text itself, else only made by folding
+                low[i] = raw[i]
+                if any(t in raw[i] for t in self.special):
+                    whole[i] = self._ids([raw[i].decode("utf-8", "replace")])
+        found = self.pieces.ids([[] if i in whole else x.split() for i, x in enumerate(low)])
         return [whole.get(i, x) for i, x in enumerate(found)] if whole else found
 
     def _folded(self, raw: bytes) -> bytes:
