@@ -32,8 +32,8 @@ from .common import WORD, cut, let, numbered, parts_for, with_order
 
 #: Bits of a place in the sequence that number the line in its document.
 LINE_BITS = 27
-#: Words that a run has at least to count as a repeat.
-MIN_WORDS = 50
+#: Words that a run has at least to count as a repeat; a single line may be one.
+MIN_WORDS = 5
 
 
 def _sequence(rows: DataFrame) -> DataFrame:
@@ -45,7 +45,9 @@ def _sequence(rows: DataFrame) -> DataFrame:
     # written, as the range shuffle reads its input twice
     placed = with_order(cut(full), "doc_id", "__row", name="order")
     each = placed.select("order", "__row", F.size("lines").alias("size"), F.posexplode("lines").alias("i", "x"))
-    at = F.shiftleft(F.col("order"), LINE_BITS) + F.col("i")
+    # a longer text would run into the places of the next
+    fits = F.when(F.col("size") < (1 << LINE_BITS), F.col("order")).otherwise(F.raise_error(F.lit(f"a text has 2^{LINE_BITS} lines or more")).cast("long"))
+    at = F.shiftleft(fits, LINE_BITS) + F.col("i")
     return each.select(at.alias("at"), "__row", "x.line", "x.a", "x.b", "x.n", (F.col("size") - F.col("i")).alias("left"))
 
 

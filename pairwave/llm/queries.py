@@ -164,7 +164,7 @@ ORACLES = {
                    + length('<|end|>') + 1)::BIGINT AS formatted_chars,
                regexp_full_match(string_agg(role, ',' ORDER BY turn, role, text), '(system,)?user(,assistant,user)*(,assistant)?') AS valid
         FROM t GROUP BY conv_id""",
-    # of the runs with 50 words or more, the shortest from each line on and up to each line are enough
+    # of the runs with 5 words or more, the shortest from each line on and up to each line are enough
     "op5_line_dedup": r"""
         WITH lines AS (
           SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
@@ -178,9 +178,9 @@ ORACLES = {
         whole AS (
           SELECT doc_id, list(line ORDER BY i) AS ls FROM seq GROUP BY doc_id),
         spans AS (
-          SELECT a.doc_id, a.i AS s, b.i AS e FROM seq a ASOF JOIN seq b ON a.doc_id = b.doc_id AND a.begin + 50 <= b.upto
+          SELECT a.doc_id, a.i AS s, b.i AS e FROM seq a ASOF JOIN seq b ON a.doc_id = b.doc_id AND a.begin + 5 <= b.upto
           UNION
-          SELECT a.doc_id, b.i, a.i FROM seq a ASOF JOIN seq b ON a.doc_id = b.doc_id AND a.upto - 50 >= b.begin),
+          SELECT a.doc_id, b.i, a.i FROM seq a ASOF JOIN seq b ON a.doc_id = b.doc_id AND a.upto - 5 >= b.begin),
         runs AS (
           SELECT doc_id, s, e, md5(array_to_string(ls[s:e], chr(10))) AS run FROM spans JOIN whole USING (doc_id)),
         firsts AS (
