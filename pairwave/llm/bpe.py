@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import fresh
 from .tokens import Pieces, slices
 
 NONE = np.iinfo(np.int64).max
@@ -210,8 +211,8 @@ class Codec:
 def encode(docs: DataFrame, path: str, pattern: str, *, decoded: bool = False, carry: list[str] | None = None) -> DataFrame:
     """docs (or its columns in carry) with ids, an array of the text's token IDs; decoded adds the bytes that they spell."""
     added = ["ids", *["decoded"] * decoded]
-    passed = [c for c in (docs.columns if carry is None else carry) if c not in added]
-    source = docs.select(*[docs[c] for c in passed], docs["text"].alias("__text"))
+    passed = [c for c in (docs.columns if carry is None else carry) if c.lower() not in added]
+    source = docs.select(*[docs[c] for c in passed], docs["text"].alias(fresh(passed, "text")))
     more = [T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.BinaryType())] * decoded]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

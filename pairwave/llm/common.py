@@ -96,6 +96,14 @@ def numbered(docs: DataFrame) -> DataFrame:
     return rows.select("doc", "doc.doc_id", "doc.text", name.alias("__row"))
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, with as many underscores behind it as none of the columns has, whatever its capitals."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once a row, however often the body (or a lambda in it) uses it."""
     return F.get(F.transform(F.array(value), body), 0)

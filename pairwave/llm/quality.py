@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import fresh
 from .tokens import slices
 
 SYMBOLS = "#*$%&|<>"
@@ -133,7 +134,7 @@ def clean_lines(
     """
     names = {f.name for f in OUTPUTS}
     passed = [c for c in (docs.columns if carry is None else carry) if c.lower() not in names]
-    source = docs.select(*[docs[c] for c in passed], docs[text].alias("__text"))
+    source = docs.select(*[docs[c] for c in passed], docs[text].alias(fresh(passed, "text")))
     schema = T.StructType([*[docs.schema[c] for c in passed], *OUTPUTS])
     kinds = pa.schema([("clean_text", pa.string()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines_removed")), ("lost_share", pa.float64()), ("base_failed", pa.bool_()), ("kept", pa.bool_())])
 
