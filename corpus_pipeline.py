@@ -19,14 +19,18 @@ KEY = b"pairwave pipeline key, not secret"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines go, and with them the documents that fail or lose too much."""
-    kept = quality.clean_lines(docs).where("kept")
-    return kept.select(*_columns(docs, "clean_text"))
+    kept = quality.clean_lines(_apart(docs)).where("kept")
+    return _whole(kept, docs, "clean_text")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs of 50 words or more go; a document of which nothing but such copies was left goes too."""
-    done = linededup.remove_repeated_lines(docs)
-    return done.where("removed_lines = 0 or trim(text) <> ''").select(*_columns(docs, "text"))
+    """Later copies of line runs of 50 words or more go; a document of which nothing but such copies was left goes too.
+
+    Shorter runs stay here: they are mostly lines that single rules judged already, and near copies that lost a line each
+    would no longer be near copies.
+    """
+    done = linededup.remove_repeated_lines(_apart(docs), min_words=50)
+    return _whole(done.where("removed_lines = 0 or trim(text) <> ''"), docs, "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +44,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and addresses are permuted within their formats."""
-    return pii.protect(docs, KEY).select(*_columns(docs, "text"))
+    return _whole(pii.protect(_apart(docs), KEY), docs, "text")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +52,16 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return tokens.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _columns(docs: DataFrame, text: str) -> list:
-    """The columns of docs, text taken from the named column and n_chars counted anew."""
-    new = {"text": F.col(text).alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
-    return [new.get(c, F.col(c)) for c in docs.columns]
+def _apart(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and what else docs has as one column, so that no operator's own columns clash with it."""
+    rest = [docs[c] for c in docs.columns if c.lower() not in ("doc_id", "text", "n_chars")]
+    return docs.select("doc_id", "text", *[F.struct(*rest).alias("rest")] * bool(rest))
+
+
+def _whole(done: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of docs from rows of _apart, text taken from the named column and n_chars counted anew."""
+    new = {"doc_id": F.col("doc_id"), "text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return done.select(*[(new[c.lower()] if c.lower() in new else F.col("rest")[c]).alias(c) for c in docs.columns])
 
 
 STAGES = [
