@@ -1,59 +1,81 @@
-"""Time series by key: gaps, intervals, grids, interpolation, windows, scores. Windows and joins only, no Python."""
+"""Time series by key: gaps, intervals, grids, interpolation, windows, scores. Windows and joins only, no Python.
+
+What runs along a whole series (numbers, neighbours, running sums, last known values) is scanned in pieces of time, see
+``scan``; span is the width of a piece.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
+from .scan import SPAN
+
 
 #: Grid points that a row makes at once.
 GRID_PART = 4096
 
 
-def gap_groups(df: DataFrame, keys: list[str], start: str, max_gap: float, tie: str) -> DataFrame:
+def gap_groups(df: DataFrame, keys: list[str], start: str, max_gap: float, tie: str, span: float = SPAN) -> DataFrame:
     """df with group (from 1): a new one begins after a gap of more than max_gap between starts, or at an unknown start.
 
     Unknown starts come last, each in a group of its own.
     """
-    w = Window.partitionBy(*keys).orderBy(F.col(start).asc_nulls_last(), F.col(tie))
-    gap = F.col(start) - F.lag(start).over(w)
-    opens = F.when(gap.isNull() | (gap > max_gap), 1).otherwise(0)
-    return df.withColumn("__opens", opens).withColumn("group", F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__opens")
+    out = scan.beside(scan.pieces(df, keys, start, span), [start, tie], {"__last": start})
+    gap = F.col(start) - F.col("__last")
+    out = out.withColumn("__opens", F.when(gap.isNull() | (gap > max_gap), 1).otherwise(0))
+    return scan.running(out, [start, tie], "group", F.col("__opens")).drop("__opens", "__last", scan.PIECE)
 
 
-def numbered(df: DataFrame, keys: list[str], *order: str, name: str = "n") -> DataFrame:
-    """df with a count from 1 in each group."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+def numbered(df: DataFrame, keys: list[str], *order: str, name: str = "n", span: float | None = None) -> DataFrame:
+    """df with a count from 1 in each group. span: cuts long groups by their first order column, a number."""
+    if span is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    return scan.running(scan.pieces(df, keys, order[0], span), list(order), name, F.lit(1)).drop(scan.PIECE)
 
 
-def intervals(peaks: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+def intervals(peaks: DataFrame, keys: list[str], t: str = "t", span: float = SPAN) -> DataFrame:
     """Intervals between neighbouring peaks (times in seconds): start, end, middle, rr_ms, hr_bpm, interval_number.
 
     Intervals that are not positive are dropped and the rest numbered from 1.
     """
-    w = Window.partitionBy(*keys).orderBy(t)
-    nxt = peaks.select(*keys, F.col(t).alias("start"), F.lead(t).over(w).alias("end")).where("end > start")
-    out = nxt.select("*", ((F.col("start") + F.col("end")) / 2).alias("middle"), ((F.col("end") - F.col("start")) * 1000).alias("rr_ms"))
-    return numbered(out.withColumn("hr_bpm", 60000 / F.col("rr_ms")), keys, "start", name="interval_number")
+    cut = scan.pieces(peaks.select(*keys, F.col(t).alias("start")).where("start is not null"), keys, "start", span)
+    nxt = scan.beside(cut, ["start"], {"end": "start"}, ahead=True).where("end > start")
+    out = scan.running(nxt, ["start"], "interval_number", F.lit(1)).drop(scan.PIECE)
+    out = out.select("*", ((F.col("start") + F.col("end")) / 2).alias("middle"), ((F.col("end") - F.col("start")) * 1000).alias("rr_ms"))
+    return out.withColumn("hr_bpm", 60000 / F.col("rr_ms"))
 
 
-def to_grid(samples: DataFrame, keys: list[str], step: float, t: str = "t", x: str = "x", tie: str | None = None) -> DataFrame:
+def to_grid(samples: DataFrame, keys: list[str], step: float, t: str = "t", x: str = "x", tie: str | None = None, span: float = SPAN) -> DataFrame:
     """Linear interpolation at the multiples of step within each series' support: keys, k, t, x.
 
     Each stretch between neighbouring samples makes its own grid points (the last one up to its end, both included), so
     there is no join with a grid. Of samples at one time the first by tie counts.
     """
-    w = Window.partitionBy(*keys, t).orderBy(tie or x)
-    once = samples.where(F.col(t).isNotNull() & F.col(x).isNotNull()).withColumn("__n", F.row_number().over(w)).where("__n = 1")
-    w = Window.partitionBy(*keys).orderBy(t)
-    once = once.select(*keys, F.col(t).alias("t0"), F.col(x).alias("x0"), F.lead(t).over(w).alias("t1"), F.lead(x).over(w).alias("x1"), F.lead(t, 2).over(w).alias("t2"))
+    rows = samples.where(F.col(t).isNotNull() & F.col(x).isNotNull()).select(*keys, F.col(t).alias("t0"), F.col(x).alias("x0"), F.col(tie or x).alias("__tie"))
+    cut = scan.pieces(rows, keys, "t0", span)
+    # samples at one time are in one piece
+    w = scan.within("t0", "__tie")
+    once = cut.withColumn("__new", F.coalesce(F.lag("t0").over(w) < F.col("t0"), F.lit(True))).where("__new").drop("__new")
+    w = scan.within("t0")
+    once = once.withColumn("__t1", F.lead("t0").over(w)).withColumn("__x1", F.lead("x0").over(w))
+    ends = {"__low": F.min("t0"), "__high": F.max("t0"), "__x": F.min_by("x0", F.struct("t0", "__tie"))}
+    whole = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    carry = {
+        "__next_t": lambda w: F.lead("__low").over(w),
+        "__next_x": lambda w: F.lead("__x").over(w),
+        "__first": lambda w: F.min("__low").over(whole(w)),
+        "__end": lambda w: F.max("__high").over(whole(w)),
+    }
+    out = scan.across(once, ends, carry).withColumn("t1", F.coalesce("__t1", "__next_t"))
+    out = out.withColumn("x1", F.when(F.col("__t1").isNull(), F.col("__next_x")).otherwise(F.col("__x1")))
     low = F.ceil(F.col("t0") / step)
     end = F.floor(F.col("t1") / step)
     # a stretch is open at its end, but for the last one; a lone sample is a stretch of its own
-    high = F.when(F.col("t1").isNull(), F.floor(F.col("t0") / step)).when(F.col("t2").isNotNull() & (end * step == F.col("t1")), end - 1).otherwise(end)
-    first = F.row_number().over(w.partitionBy(*keys).orderBy("t0"))
-    stretches = once.withColumn("low", low).withColumn("high", high).withColumn("__first", first)
-    stretches = stretches.where("high >= low and (t1 is not null or __first = 1)")
+    high = F.when(F.col("t1").isNull(), F.floor(F.col("t0") / step)).when((F.col("t1") < F.col("__end")) & (end * step == F.col("t1")), end - 1).otherwise(end)
+    stretches = out.select(*keys, "t0", "x0", "t1", "x1", low.alias("low"), high.alias("high"), (F.col("t0") == F.col("__first")).alias("__lone"))
+    stretches = stretches.where("high >= low and (t1 is not null or __lone)")
     # a stretch over a long gap makes its points by the thousand, so no row holds them all
     part = stretches.withColumn("__k", F.explode(F.sequence("low", "high", F.lit(GRID_PART).cast("long"))))
     points = part.withColumn("k", F.explode(F.sequence("__k", F.least(F.col("__k") + GRID_PART - 1, F.col("high"))))).drop("__k")
@@ -86,12 +108,13 @@ def sliding(df: DataFrame, keys: list[str], width: float, step: float, t: str =
     return out.withColumn("start", F.col("__t0") + F.col("window_index") * step).drop("__t0", "__span", "__low", "__high")
 
 
-def runs(df: DataFrame, keys: list[str], step: float, tolerance: float, t: str = "t") -> DataFrame:
+def runs(df: DataFrame, keys: list[str], step: float, tolerance: float, t: str = "t", span: float = SPAN) -> DataFrame:
     """df with run (from 1) and pos (from 0): a run breaks where neighbours aren't one step apart."""
-    w = Window.partitionBy(*keys).orderBy(t)
-    breaks = F.when(F.abs(F.col(t) - F.lag(t).over(w) - step) <= tolerance, 0).otherwise(1)
-    out = df.withColumn("__b", breaks).withColumn("run", F.sum("__b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__b")
-    return out.withColumn("pos", (F.row_number().over(Window.partitionBy(*keys, "run").orderBy(t)) - 1).cast("long"))
+    out = scan.beside(scan.pieces(df, keys, t, span), [t], {"__last": t})
+    out = out.withColumn("__b", F.when(F.abs(F.col(t) - F.col("__last") - step) <= tolerance, 0).otherwise(1))
+    out = scan.running(scan.running(out, [t], "run", F.col("__b")), [t], "__n", F.lit(1))
+    out = scan.known(out, [t], F.when(F.col("__b") == 1, F.col("__n")), "__first")
+    return out.withColumn("pos", (F.col("__n") - F.col("__first")).cast("long")).drop("__last", "__b", "__n", "__first", scan.PIECE)
 
 
 def count_windows(df: DataFrame, keys: list[str], size: int, step: int) -> DataFrame:
@@ -118,18 +141,17 @@ def detrended(df: DataFrame, keys: list[str], x: str, order: str, name: str) ->
     return out.withColumn(name, F.col(x) - base - slope * F.col("__i")).drop("__i")
 
 
-def filled(df: DataFrame, keys: list[str], x: str, order: str, name: str) -> DataFrame:
+def filled(df: DataFrame, keys: list[str], x: str, order: str, name: str, span: float = 100_000) -> DataFrame:
     """df with gaps of x filled linearly over the place in the series; the ends hold their nearest value.
 
-    What comes next is the last so far in the opposite order, so each row is looked at once either way.
+    order is a number, and a piece is span of it wide. What comes next is the last so far in the opposite order, so each row is
+    looked at once either way.
     """
-    w = Window.partitionBy(*keys)
-    out = df.withColumn("__i", F.row_number().over(w.orderBy(order)))
-    known = F.when(F.col(x).isNotNull(), F.struct(F.col(x).alias("x"), F.col("__i").alias("i")))
-    so_far = lambda o: F.last(known, True).over(w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0))
-    out = out.select("*", so_far(F.asc("__i")).alias("__a"), so_far(F.desc("__i")).alias("__b"))
+    out = scan.running(scan.pieces(df, keys, order, span), [order], "__i", F.lit(1))
+    value = F.when(F.col(x).isNotNull(), F.struct(F.col(x).alias("x"), F.col("__i").alias("i")))
+    out = scan.known(scan.known(out, [order], value, "__a"), [order], value, "__b", ahead=True)
     line = F.col("__a.x") + (F.col("__i") - F.col("__a.i")) * (F.col("__b.x") - F.col("__a.x")) / F.nullif(F.col("__b.i") - F.col("__a.i"), F.lit(0))
-    return out.withColumn(name, F.coalesce(x, line, "__a.x", "__b.x")).drop("__i", "__a", "__b")
+    return out.withColumn(name, F.coalesce(x, line, "__a.x", "__b.x")).drop("__i", "__a", "__b", scan.PIECE)
 
 
 def prepared_pairs(df: DataFrame, keys: list[str], order: str, *, least: int = 20, line: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions import stats, text
 from ..functions.stats import pearson, rounded
 from ..operators import pairing, series, summary, trial
 from ..sources import files
-from .standin import DYADS, SAMPLES, dyads, r_sql, samples, seconds, table
+from .standin import DYADS, SAMPLES, dyads, r_sql, readings, samples, seconds, table
 
 
 def _r(*names: str, digits: int = 6):
@@ -90,7 +90,7 @@ def range_cut(spark, sf):
 
 def position_pairs(spark, sf):
     """Intervals of both members of a dyad paired by place."""
-    rr = series.intervals(samples(spark, sf), ["sensor"]).withColumn("dyad", F.floor(F.col("sensor") / 2).cast("long"))
+    rr = series.intervals(readings(spark, sf), ["sensor"]).withColumn("dyad", F.floor(F.col("sensor") / 2).cast("long"))
     a = rr.where("sensor % 2 = 0").select("dyad", "interval_number", F.col("rr_ms").alias("a"))
     b = rr.where("sensor % 2 = 1").select("dyad", "interval_number", F.col("rr_ms").alias("b"))
     out = a.join(b, ["dyad", "interval_number"]).groupBy("dyad").agg(F.count("*").alias("n"), pearson(F.col("a"), F.col("b")).alias("r"))
@@ -230,7 +230,7 @@ def trial_quality(spark, sf):
 
 
 def dyad_reliability(spark, sf):
-    rr = series.intervals(samples(spark, sf), ["sensor"])
+    rr = series.intervals(readings(spark, sf), ["sensor"])
     oe = summary.odd_even(rr, ["sensor"], "rr_ms", "interval_number", 30).withColumn("dyad", F.floor(F.col("sensor") / 2).cast("long"))
     pair = oe.groupBy("dyad").agg(F.max(F.when(F.col("sensor") % 2 == 0, F.col("r"))).alias("a"), F.max(F.when(F.col("sensor") % 2 == 1, F.col("r"))).alias("b"))
     made = summary.dyad_reliability(F.col("a"), F.col("b"))

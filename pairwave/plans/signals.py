@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import rounded
 from ..operators import mixed, pairing, series, signal, summary, synchrony, transfer, trial
-from .standin import DYADS, SAMPLES, dyads, r_sql, samples
+from .standin import DYADS, SAMPLES, dyads, r_sql, readings, samples
 from .timeseries import LAGS, PHASES
 
 
@@ -34,7 +34,7 @@ def coherence(spark, sf):
 
 def rr_spectrum(spark, sf):
     """LF and HF power in square seconds; an interval's milliseconds are taken from minutes between events."""
-    rr = series.intervals(samples(spark, sf), ["sensor"]).withColumn("rr", F.col("rr_ms") / 3600.0)
+    rr = series.intervals(readings(spark, sf), ["sensor"]).withColumn("rr", F.col("rr_ms") / 3600.0)
     w = series.Window.partitionBy("sensor").orderBy("interval_number")
     rr = rr.withColumn("at", F.sum("rr").over(w.rowsBetween(series.Window.unboundedPreceding, 0)) / 1000)
     out = signal.by_key(rr, ["sensor"], "interval_number", ["at", "rr"], signal.rr_spectrum, "n long, lf double, hf double, lf_hf double")
@@ -69,7 +69,7 @@ def surrogates(spark, sf):
     On that grid a month is a window of 90 samples.
     """
     step = 6 * 3600.0
-    d = series.paired(series.to_grid(samples(spark, sf), ["sensor"], step, tie="event_id"), "sensor")
+    d = series.paired(series.to_grid(readings(spark, sf), ["sensor"], step, tie="event_id"), "sensor")
     out = transfer.ste_windows(d, ["dyad"], "t", step, width=90, overlap=0.0, chunk=50)
     names = [n for x in transfer.NULLS for n in (x, f"{x}_mean", f"{x}_sd", f"{x}_z", f"{x}_p")]
     return out.select("dyad", F.col("run").cast("long").alias("run"), F.col("window").cast("long").alias("win"), "start", "tau", "delta", "n_symbols", "few_symbols", *_r(*names))
@@ -152,7 +152,7 @@ def trial_assembly(spark, sf):
 
 def variability(spark, sf):
     """Heart-rate variability of each sensor; an interval's milliseconds are taken from minutes between events."""
-    rr = series.intervals(samples(spark, sf), ["sensor"]).withColumn("rr", F.col("rr_ms") / 3600.0)
+    rr = series.intervals(readings(spark, sf), ["sensor"]).withColumn("rr", F.col("rr_ms") / 3600.0)
     w = series.Window.partitionBy("sensor").orderBy("interval_number")
     rr = rr.withColumn("at", F.sum("rr").over(w.rowsBetween(series.Window.unboundedPreceding, 0)) / 1000)
     out = trial.variability(rr, ["sensor"], "interval_number", "rr", "at")

@@ -24,15 +24,19 @@ def seconds(c: str):
     return F.unix_micros(F.col(c).cast("timestamp")) / 1e6
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """sensor, event_id, event_type, t, x, n (place in the sensor's series from 1)."""
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("sensor"), "event_id", "event_type", seconds("ts").alias("t"), F.col("value").alias("x"))
-    return series.numbered(e, ["sensor"], "t", "event_id")
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sensor, event_id, event_type, t, x."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("sensor"), "event_id", "event_type", seconds("ts").alias("t"), F.col("value").alias("x"))
+
+
+def samples(spark: SparkSession, sf_dir: str, span: float = series.SPAN) -> DataFrame:
+    """readings with n (place in the sensor's series from 1)."""
+    return series.numbered(readings(spark, sf_dir), ["sensor"], "t", "event_id", span=span)
 
 
 def dyads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dyad, k, t, a, b, trial on the hourly grid."""
-    grid = series.to_grid(samples(spark, sf_dir), ["sensor"], HOUR, tie="event_id")
+    grid = series.to_grid(readings(spark, sf_dir), ["sensor"], HOUR, tie="event_id")
     return series.paired(grid, "sensor").withColumn("trial", F.floor(F.col("k") / HOURS_PER_TRIAL))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import mean_ci, rounded
 from ..operators import series, signal, summary, synchrony, transfer
-from .standin import DYADS, GRID, SAMPLES, dyads, r_sql, samples
+from .standin import DYADS, GRID, SAMPLES, dyads, r_sql, readings, samples
 
 
 def _r(*names: str, digits: int = 6):
@@ -19,7 +19,7 @@ HALVES = 100
 
 
 def hourly_grid(spark, sf):
-    grid = series.to_grid(samples(spark, sf), ["sensor"], 3600.0, tie="event_id")
+    grid = series.to_grid(readings(spark, sf), ["sensor"], 3600.0, tie="event_id")
     return grid.select("sensor", F.col("k").cast("long").alias("k"), *_r("x"))
 
 
@@ -36,14 +36,14 @@ def window_correlations(spark, sf):
 
 
 def gap_groups(spark, sf):
-    s = samples(spark, sf)
+    s = readings(spark, sf)
     g = series.gap_groups(s, ["sensor"], "t", 12 * 3600.0, "event_id")
     g = g.groupBy("sensor", "group").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"), F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x.cast("string")), ";").alias("ids"))
     return g.select("sensor", F.col("group").cast("long").alias("group_no"), "n", *_r("first", "last", digits=3), "ids", F.when(F.col("n") == 9, "ok").otherwise("expected_9").alias("note"))
 
 
 def rr_intervals(spark, sf):
-    rr = series.intervals(samples(spark, sf), ["sensor"])
+    rr = series.intervals(readings(spark, sf), ["sensor"])
     return rr.select("sensor", "interval_number", *_r("middle", "rr_ms", digits=3), rounded(F.col("hr_bpm"), 9).alias("hr_bpm"))
 
 
@@ -81,7 +81,7 @@ def segment_summary(spark, sf):
 
 
 def odd_even_reliability(spark, sf):
-    rr = series.intervals(samples(spark, sf), ["sensor"])
+    rr = series.intervals(readings(spark, sf), ["sensor"])
     return summary.odd_even(rr, ["sensor"], "rr_ms", "interval_number").select("sensor", "n_pairs", *_r("r"), "status", "label")
 
 
