@@ -34,19 +34,25 @@ def within(*order: str | Column) -> WindowSpec:
     return Window.partitionBy(PIECE).orderBy(*order)
 
 
-def across(df: DataFrame, made: dict[str, Column], carry: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
-    """df with the columns of carry: each a function over the pieces of a key in order, of the aggregates made of each piece."""
+def across(df: DataFrame, made: dict[str, Column], *carries: dict[str, Callable[[WindowSpec], Column]]) -> DataFrame:
+    """df with the columns of carries: each a function over the pieces of a key in order, of the aggregates made of each piece.
+
+    Later ones may use earlier ones. df is read twice, once for the aggregates; who chains scans writes what lies between, or
+    puts all that a scan needs into one call.
+    """
     names = [f.name for f in df.schema[PIECE].dataType.fields]
     each = df.groupBy(PIECE).agg(*[c.alias(n) for n, c in made.items()])
     w = Window.partitionBy(*[F.col(PIECE)[n] for n in names[:-1]]).orderBy(F.col(PIECE)["part"])
-    return df.join(each.select(PIECE, *[f(w).alias(n) for n, f in carry.items()]), PIECE)
+    for carry in carries:
+        each = each.select("*", *[f(w).alias(n) for n, f in carry.items()])
+    return df.join(each.select(PIECE, *[n for carry in carries for n in carry]), PIECE)
 
 
-def _before(w: WindowSpec) -> WindowSpec:
+def before(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _after(w: WindowSpec) -> WindowSpec:
+def after(w: WindowSpec) -> WindowSpec:
     return w.rowsBetween(1, Window.unboundedFollowing)
 
 
@@ -54,15 +60,15 @@ def running(df: DataFrame, order: list[str | Column], name: str, value: Column |
     """df with the sum of value over the key's rows up to this one; df has pieces."""
     value = F.expr(value) if isinstance(value, str) else value
     here = F.sum(value).over(within(*order).rowsBetween(Window.unboundedPreceding, 0))
-    out = across(df, {"__sum": F.sum(value)}, {"__sum": lambda w: F.sum("__sum").over(_before(w))})
-    return out.withColumn(name, here + F.coalesce("__sum", F.lit(0))).drop("__sum")
+    out = across(df, {"__sum": F.sum(value)}, {"__base": lambda w: F.sum("__sum").over(before(w))})
+    return out.withColumn(name, here + F.coalesce("__base", F.lit(0))).drop("__base")
 
 
 def beside(df: DataFrame, order: list[str], values: dict[str, Column | str], *, ahead: bool = False) -> DataFrame:
     """df with values of the key's row before this one (ahead: the next one), by name; df has pieces."""
     values = {n: F.col(v) if isinstance(v, str) else v for n, v in values.items()}
-    step, edge, other = (F.lead, F.min_by, lambda w: F.lead("__edge").over(w)) if ahead else (F.lag, F.max_by, lambda w: F.lag("__edge").over(w))
-    out = across(df, {"__edge": edge(F.struct(*[v.alias(n) for n, v in values.items()]), F.struct(*order))}, {"__edge": other})
+    step, edge, other = (F.lead, F.min_by, lambda w: F.lead("__own").over(w)) if ahead else (F.lag, F.max_by, lambda w: F.lag("__own").over(w))
+    out = across(df, {"__own": edge(F.struct(*[v.alias(n) for n, v in values.items()]), F.struct(*order))}, {"__edge": other})
     w = within(*order)
     # a null beside a row is not the end of its piece
     own = step(F.lit(True)).over(w)
@@ -75,6 +81,17 @@ def known(df: DataFrame, order: list[str], value: Column, name: str, *, ahead: b
     here = F.last(value, True).over(within(*down).rowsBetween(Window.unboundedPreceding, 0))
     # the order's columns within the value's row, so that an unknown value is no row
     edge = (F.min if ahead else F.max)(F.when(value.isNotNull(), F.struct(*order, value.alias("__v"))))
-    rest = (lambda w: F.first("__edge", True).over(_after(w))) if ahead else (lambda w: F.last("__edge", True).over(_before(w)))
-    out = across(df, {"__edge": edge}, {"__edge": rest})
+    rest = (lambda w: F.first("__own", True).over(after(w))) if ahead else (lambda w: F.last("__own", True).over(before(w)))
+    out = across(df, {"__own": edge}, {"__edge": rest})
     return out.withColumn(name, F.coalesce(here, F.col("__edge")["__v"])).drop("__edge")
+
+
+def overlapping(df: DataFrame, keys: list[str], place: str, size: int, reach: int) -> DataFrame:
+    """df's rows dealt to pieces of size places of a counted column, each with the rows up to reach places beyond either edge.
+
+    Windows within a piece that reach no further have all their rows for those that are __own, however long a piece is; others
+    are only there to be seen.
+    """
+    part = lambda d: F.floor((F.col(place) + d) / size).cast("long")
+    out = df.withColumn("__part", F.explode(F.sequence(part(-reach), part(reach)))).withColumn("__own", F.col("__part") == part(0))
+    return out.withColumn(PIECE, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("__part").alias("part"))).drop("__part")

@@ -22,10 +22,18 @@ def gap_groups(df: DataFrame, keys: list[str], start: str, max_gap: float, tie:
 
     Unknown starts come last, each in a group of its own.
     """
-    out = scan.beside(scan.pieces(df, keys, start, span), [start, tie], {"__last": start})
-    gap = F.col(start) - F.col("__last")
-    out = out.withColumn("__opens", F.when(gap.isNull() | (gap > max_gap), 1).otherwise(0))
-    return scan.running(out, [start, tie], "group", F.col("__opens")).drop("__opens", "__last", scan.PIECE)
+    opens = lambda gap: F.when(gap.isNull() | (gap > max_gap), 1).otherwise(0)
+    w = scan.within(start, tie)
+    out = scan.pieces(df, keys, start, span)
+    # within a piece all but the first row, whose gap is to the piece before
+    own = F.when(F.row_number().over(w) > 1, opens(F.col(start) - F.lag(start).over(w))).otherwise(0)
+    out = out.withColumn("__own", own)
+    made = {"__low": F.min(start), "__high": F.max(start), "__opens": F.sum("__own")}
+    first = {"__first": lambda w: opens(F.col("__low") - F.lag("__high").over(w))}
+    base = {"__base": lambda w: F.coalesce(F.sum(F.col("__opens") + F.col("__first")).over(scan.before(w)), F.lit(0))}
+    out = scan.across(out, made, first, base)
+    here = F.sum("__own").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return out.withColumn("group", here + F.col("__first") + F.col("__base")).drop("__own", "__first", "__base", scan.PIECE)
 
 
 def numbered(df: DataFrame, keys: list[str], *order: str, name: str = "n", span: float | None = None) -> DataFrame:
@@ -40,9 +48,17 @@ def intervals(peaks: DataFrame, keys: list[str], t: str = "t", span: float = SPA
 
     Intervals that are not positive are dropped and the rest numbered from 1.
     """
+    w = scan.within("start")
     cut = scan.pieces(peaks.select(*keys, F.col(t).alias("start")).where("start is not null"), keys, "start", span)
-    nxt = scan.beside(cut, ["start"], {"end": "start"}, ahead=True).where("end > start")
-    out = scan.running(nxt, ["start"], "interval_number", F.lit(1)).drop(scan.PIECE)
+    cut = cut.withColumn("__next", F.lead("start").over(w)).withColumn("__own", F.when(F.col("__next") > F.col("start"), 1).otherwise(0))
+    # the last peak of a piece has its interval with the first of the next piece, which is later
+    made = {"__low": F.min("start"), "__n": F.sum("__own") + 1}
+    carry = {"__ahead": lambda w: F.lead("__low").over(w), "__base": lambda w: F.coalesce(F.sum("__n").over(scan.before(w)), F.lit(0))}
+    out = scan.across(cut, made, carry)
+    last = F.lead("start").over(w).isNull()
+    out = out.withColumn("end", F.when(last, F.col("__ahead")).otherwise(F.col("__next")))
+    out = out.withColumn("interval_number", F.col("__base") + F.sum("__own").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.when(last, 1).otherwise(0))
+    out = out.where("end > start").select(*keys, "start", "end", "interval_number")
     out = out.select("*", ((F.col("start") + F.col("end")) / 2).alias("middle"), ((F.col("end") - F.col("start")) * 1000).alias("rr_ms"))
     return out.withColumn("hr_bpm", 60000 / F.col("rr_ms"))
 
@@ -110,11 +126,24 @@ def sliding(df: DataFrame, keys: list[str], width: float, step: float, t: str =
 
 def runs(df: DataFrame, keys: list[str], step: float, tolerance: float, t: str = "t", span: float = SPAN) -> DataFrame:
     """df with run (from 1) and pos (from 0): a run breaks where neighbours aren't one step apart."""
-    out = scan.beside(scan.pieces(df, keys, t, span), [t], {"__last": t})
-    out = out.withColumn("__b", F.when(F.abs(F.col(t) - F.col("__last") - step) <= tolerance, 0).otherwise(1))
-    out = scan.running(scan.running(out, [t], "run", F.col("__b")), [t], "__n", F.lit(1))
-    out = scan.known(out, [t], F.when(F.col("__b") == 1, F.col("__n")), "__first")
-    return out.withColumn("pos", (F.col("__n") - F.col("__first")).cast("long")).drop("__last", "__b", "__n", "__first", scan.PIECE)
+    breaks = lambda gap: F.when(F.abs(gap - step) <= tolerance, 0).otherwise(1)
+    w = scan.within(t)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = scan.pieces(df, keys, t, span).withColumn("__n", F.row_number().over(w))
+    # within a piece all but the first row, whose gap is to the piece before
+    out = out.withColumn("__own", F.when(F.col("__n") > 1, breaks(F.col(t) - F.lag(t).over(w))).otherwise(0))
+    broken = F.when(F.col("__own") == 1, F.col("__n"))
+    made = {"__low": F.min(t), "__high": F.max(t), "__rows": F.count("*"), "__breaks": F.sum("__own"), "__last": F.max(broken)}
+    first = {"__first": lambda w: breaks(F.col("__low") - F.lag("__high").over(w)), "__base": lambda w: F.coalesce(F.sum("__rows").over(scan.before(w)), F.lit(0))}
+    begins = F.coalesce(F.col("__base") + F.col("__last"), F.when(F.col("__first") == 1, F.col("__base") + 1))
+    carry = {
+        "__run": lambda w: F.coalesce(F.sum(F.col("__breaks") + F.col("__first")).over(scan.before(w)), F.lit(0)),
+        "__begin": lambda w: F.last(begins, True).over(scan.before(w)),
+    }
+    out = scan.across(out, made, first, carry)
+    begin = F.coalesce(F.col("__base") + F.max(broken).over(so_far), F.when(F.col("__first") == 1, F.col("__base") + 1), "__begin")
+    out = out.withColumn("run", F.col("__run") + F.col("__first") + F.sum("__own").over(so_far))
+    return out.withColumn("pos", F.col("__base") + F.col("__n") - begin).drop("__n", "__own", "__first", "__base", "__run", "__begin", scan.PIECE)
 
 
 def count_windows(df: DataFrame, keys: list[str], size: int, step: int) -> DataFrame:
@@ -147,11 +176,21 @@ def filled(df: DataFrame, keys: list[str], x: str, order: str, name: str, span:
     order is a number, and a piece is span of it wide. What comes next is the last so far in the opposite order, so each row is
     looked at once either way.
     """
-    out = scan.running(scan.pieces(df, keys, order, span), [order], "__i", F.lit(1))
-    value = F.when(F.col(x).isNotNull(), F.struct(F.col(x).alias("x"), F.col("__i").alias("i")))
-    out = scan.known(scan.known(out, [order], value, "__a"), [order], value, "__b", ahead=True)
-    line = F.col("__a.x") + (F.col("__i") - F.col("__a.i")) * (F.col("__b.x") - F.col("__a.x")) / F.nullif(F.col("__b.i") - F.col("__a.i"), F.lit(0))
-    return out.withColumn(name, F.coalesce(x, line, "__a.x", "__b.x")).drop("__i", "__a", "__b", scan.PIECE)
+    out = scan.pieces(df, keys, order, span).withColumn("__n", F.row_number().over(scan.within(order)))
+    value = F.when(F.col(x).isNotNull(), F.struct(F.col("__n").alias("n"), F.col(x).alias("x")))
+    seen = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.col(c)["n"] + F.col("__base")).alias("n"), F.col(c)["x"].alias("x")))
+    made = {"__rows": F.count("*"), "__low": F.min(value), "__high": F.max(value)}
+    carry = {
+        "__back": lambda w: F.last(seen("__high"), True).over(scan.before(w)),
+        "__ahead": lambda w: F.first(seen("__low"), True).over(scan.after(w)),
+    }
+    out = scan.across(out, made, {"__base": lambda w: F.coalesce(F.sum("__rows").over(scan.before(w)), F.lit(0))}, carry)
+    out = out.withColumn("__i", F.col("__n") + F.col("__base"))
+    here = F.when(F.col(x).isNotNull(), F.struct(F.col("__i").alias("n"), F.col(x).alias("x")))
+    so_far = lambda o: F.last(here, True).over(scan.within(o).rowsBetween(Window.unboundedPreceding, 0))
+    out = out.withColumn("__a", F.coalesce(so_far(F.asc("__n")), "__back")).withColumn("__b", F.coalesce(so_far(F.desc("__n")), "__ahead"))
+    line = F.col("__a.x") + (F.col("__i") - F.col("__a.n")) * (F.col("__b.x") - F.col("__a.x")) / F.nullif(F.col("__b.n") - F.col("__a.n"), F.lit(0))
+    return out.withColumn(name, F.coalesce(x, line, "__a.x", "__b.x")).drop("__n", "__base", "__back", "__ahead", "__i", "__a", "__b", scan.PIECE)
 
 
 def prepared_pairs(df: DataFrame, keys: list[str], order: str, *, least: int = 20, line: bool = True) -> DataFrame:

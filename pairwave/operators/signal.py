@@ -1,4 +1,4 @@
-"""Signal kernels on whole series by key, NumPy inside grouped pandas functions: spectra, phases, ECG, models.
+"""Signal kernels on whole series by key, NumPy inside grouped pandas functions: spectra, phases, models.
 
 Each group is one recording, trial or window. The kernels follow published methods; none depends on SciPy.
 """
@@ -217,93 +217,3 @@ def cross_recurrence(a: np.ndarray, b: np.ndarray, dim: int = 3, delay: int = 1,
     p = np.bincount(d)[2:] / len(d) if len(d) else np.zeros(0)
     p = p[p > 0]
     return {"rr": total / n**2, "det": d.sum() / total, "l_mean": d.mean() if len(d) else 0.0, "l_max": float(d.max()) if len(d) else 0.0, "entropy": float(-(p * np.log(p)).sum()), "lam": v.sum() / total, "tt": v.mean() if len(v) else 0.0}
-
-
-# ---- ECG
-
-
-def band_pass(x: np.ndarray, fs: float, low: float, high: float) -> np.ndarray:
-    """x with frequencies outside the band removed, edges softened over a quarter of each."""
-    f = np.fft.rfftfreq(len(x), 1 / fs)
-    rise = np.clip((f - 0.75 * low) / (0.25 * low), 0, 1)
-    fall = np.clip((1.25 * high - f) / (0.25 * high), 0, 1)
-    return np.fft.irfft(np.fft.rfft(x - x.mean()) * rise * fall, len(x))
-
-
-def moving_mean(x: np.ndarray, size: int) -> np.ndarray:
-    size = max(1, size)
-    padded = np.pad(x, (size // 2, size - 1 - size // 2), mode="edge")
-    total = np.cumsum(np.concatenate(([0.0], padded)))
-    return (total[size:] - total[:-size]) / size
-
-
-def clean_ecg(x: np.ndarray, fs: float) -> np.ndarray:
-    """Baseline drift below 0.5 Hz and noise above 40 Hz (and so mains hum) removed."""
-    return band_pass(x, fs, 0.5, min(40.0, 0.4 * fs))
-
-
-def r_peaks(clean: np.ndarray, fs: float) -> np.ndarray:
-    """Places of R peaks: steep stretches, by a short against a long mean of the gradient's size, and the top in each."""
-    steep = np.abs(np.gradient(clean))
-    short, long = moving_mean(steep, int(0.1 * fs)), moving_mean(steep, int(0.75 * fs))
-    inside = short > 1.5 * long
-    edge = np.diff(np.concatenate(([0], inside.astype(int), [0])))
-    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    sizes = ends - begins
-    least = 0.4 * np.mean(sizes) if len(sizes) else 0
-    peaks: list[int] = []
-    for a, b in zip(begins[sizes >= least], ends[sizes >= least]):
-        p = a + int(np.argmax(clean[a:b]))
-        if not peaks or p - peaks[-1] > 0.3 * fs:
-            peaks.append(p)
-        elif clean[p] > clean[peaks[-1]]:
-            peaks[-1] = p
-    return np.array(peaks, int)
-
-
-def fix_peaks(peaks: np.ndarray, fs: float) -> tuple[np.ndarray, dict]:
-    """Missed beats are put in, extra ones taken out and shifted ones (a long interval beside a short one) put half-way.
-
-    Limits on the intervals vary with time; fewer than 3 peaks stay as they are.
-    """
-    counts = {"extra": 0, "missed": 0, "shifted": 0}
-    peaks = np.unique(np.asarray(peaks)[np.asarray(peaks) >= 0])
-    for _ in range(5):
-        if len(peaks) < 3:
-            break
-        rr = np.diff(peaks) / fs
-        half = 5
-        around = np.array([np.median(rr[max(0, i - half) : i + half + 1]) for i in range(len(rr))])
-        jump = np.diff(rr, prepend=rr[0])
-        limit = np.array([5.2 * np.subtract(*np.percentile(np.abs(jump[max(0, i - 45) : i + 46]), [75, 25])) / 2 for i in range(len(rr))])
-        limit = np.maximum(limit, 0.15 * around)
-        drop, add, move, skip = [], [], [], -1
-        for i in range(len(rr)):
-            if i <= skip:
-                continue
-            if i + 1 < len(rr) and around[i] - rr[i] > limit[i] and abs(rr[i] + rr[i + 1] - around[i]) < limit[i]:
-                drop.append(i + 1)
-                skip = i + 1
-            elif i + 1 < len(rr) and (rr[i] - around[i]) * (rr[i + 1] - around[i]) < 0 and min(abs(rr[i] - around[i]), abs(rr[i + 1] - around[i])) > limit[i] and abs(rr[i] + rr[i + 1] - 2 * around[i]) < limit[i]:
-                move.append(i + 1)
-                skip = i + 1
-            elif rr[i] - around[i] > limit[i] and abs(rr[i] / 2 - around[i]) < limit[i]:
-                add.append((peaks[i] + peaks[i + 1]) // 2)
-        if not drop and not add and not move:
-            break
-        counts["extra"] += len(drop)
-        counts["missed"] += len(add)
-        counts["shifted"] += len(move)
-        for i in move:
-            peaks[i] = (peaks[i - 1] + peaks[i + 1]) // 2
-        peaks = np.unique(np.concatenate((np.delete(peaks, drop), np.array(add, int))))
-    return peaks, counts
-
-
-def ecg_to_peaks(t: np.ndarray, x: np.ndarray, fs: float) -> list[dict]:
-    """A row a corrected R peak; its time is the first sample's plus its place over the rate."""
-    clean = clean_ecg(x, fs)
-    raw = r_peaks(clean, fs)
-    fixed, counts = fix_peaks(raw, fs)
-    gain = 20 * np.log10(x.std() / clean.std()) if clean.std() > 0 and x.std() > 0 else np.nan
-    return [{"place": int(p), "t": t[0] + p / fs, "n_raw": len(raw), "n_extra": counts["extra"], "n_missed": counts["missed"], "n_shifted": counts["shifted"], "gain_db": gain} for p in fixed]

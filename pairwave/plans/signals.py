@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import functools
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.stats import rounded
-from ..operators import mixed, pairing, series, signal, summary, synchrony, transfer, trial
-from .standin import DYADS, SAMPLES, dyads, r_sql, readings, samples
+from ..operators import ecg, mixed, series, signal, summary, synchrony, transfer, trial
+from .standin import DYADS, GRID, SAMPLES, dyads, r_sql, readings, samples
 from .timeseries import LAGS, PHASES
 
 
@@ -95,39 +94,26 @@ def split_spread(spark, sf):
     return mixed.spread(fits.withColumn("stratum", F.lit("all")), ["stratum"]).select("stratum", "n_fits", *_r("mean", "sd", "median", "low", "high"))
 
 
-FS = 128
+#: Samples a second of the hourly grid when it is read as an ECG.
+FS = 32.0
 
 
-def _beats(spark, sf):
-    """sensor, n, beat (seconds): a beat for each event, spaced by its value."""
-    s = samples(spark, sf).select("sensor", "n", (0.7 + 0.3 * (F.col("x") - F.floor("x"))).alias("gap"))
-    w = series.Window.partitionBy("sensor").orderBy("n").rowsBetween(series.Window.unboundedPreceding, 0)
-    return s.select("sensor", "n", F.sum("gap").over(w).alias("beat"))
+def _recordings(spark, sf):
+    """Each sensor's hourly grid as a recording."""
+    return series.to_grid(readings(spark, sf), ["sensor"], 3600.0, tie="event_id").select("sensor", "t", "x")
 
 
-def _signal(beats):
-    """sensor, t, x: a wave with those beats and a slow drift, at FS; between two beats only they are felt."""
-    w = series.Window.partitionBy("sensor").orderBy("n")
-    b = beats.select("sensor", F.coalesce(F.lag("beat").over(w), F.lit(-9.0)).alias("b0"), F.col("beat").alias("b1"))
-    first = F.greatest(F.ceil(F.col("b0") * FS), F.lit(0).cast("long"))
-    last = F.greatest(F.ceil(F.col("b1") * FS) - 1, first)
-    ticks = b.select("sensor", "b0", "b1", F.explode(F.sequence(first, last)).alias("tick")).withColumn("t", F.col("tick") / FS)
-    bell = lambda at, width: F.exp(-0.5 * F.pow((F.col("t") - at) / width, F.lit(2)))
-    wave = sum(bell(F.col(c), 0.012) - 0.2 * bell(F.col(c) + 0.04, 0.015) for c in ("b0", "b1"))
-    return ticks.select("sensor", "t", (wave + 0.3 * F.sin(0.4 * np.pi * F.col("t"))).alias("x"))
+def ecg_peaks(spark, sf):
+    """The peaks that are found in each sensor's recording."""
+    rows = ecg.cut(ecg.placed(_recordings(spark, sf), ["sensor"], span=30 * 86400.0))
+    found = ecg.peaks(ecg.complexes(ecg.steepness(rows, ["sensor"], FS), ["sensor"]), ["sensor"], FS)
+    return found.select("sensor", "place", *_r("height", digits=3))
 
 
-def ecg_peaks(spark, sf):
-    """R peaks found in a signal of each sensor, and how many of its beats have one within 30 ms."""
-    beats = _beats(spark, sf)
-    kernel = functools.partial(signal.ecg_to_peaks, fs=float(FS))
-    peaks = signal.by_key(_signal(beats), ["sensor"], "t", ["t", "x"], kernel, "place long, t double, n_raw long, n_extra long, n_missed long, gain_db double")
-    found = peaks.where("error is null").select("sensor", F.col("t").alias("peak"), "place")
-    rows = beats.withColumn("id", F.struct("sensor", "n"))
-    hits = pairing.nearest(rows, found, ["sensor"], "beat", "peak", 0.03, "place", "id")
-    counts = found.groupBy("sensor").agg(F.count("*").alias("n_found"))
-    out = hits.groupBy("sensor").agg(F.count("*").alias("n_beats"), F.count("distance").alias("n_hit"))
-    return out.join(counts, "sensor", "left").select("sensor", "n_beats", F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"), "n_hit")
+def ecg_recordings(spark, sf):
+    """A row a recording: peaks found and left, what was corrected, and the gain of cleaning."""
+    _, told = ecg.recordings(_recordings(spark, sf), ["sensor"], FS)
+    return told.select("sensor", "samples", "n_raw", "n_fixed", "extra", "missed", "shifted", *_r("gain_db"))
 
 
 _TRIAL = {"most_lag": 10, "width": 24 * 3600.0, "step": 12 * 3600.0}
@@ -161,7 +147,7 @@ def variability(spark, sf):
 
 NAMES = (
     phase_metrics, coherence, rr_spectrum, granger, cross_recurrence, correlation_p, surrogates, mixed_model, split_spread,
-    ecg_peaks, trial_metrics, trial_assembly, variability,
+    ecg_peaks, ecg_recordings, trial_metrics, trial_assembly, variability,
 )
 QUERIES = {f.__name__: f for f in NAMES}
 
@@ -198,6 +184,24 @@ ORACLES = {
         m AS (SELECT sensor, coalesce(sum((p + p1) / 2 * (f1 - f)) FILTER (f1 < 0.15), 0) AS lf, coalesce(sum((p + p1) / 2 * (f1 - f)) FILTER (f >= 0.15), 0) AS hf FROM e GROUP BY sensor),
         n AS (SELECT sensor, max(n) AS n FROM v GROUP BY sensor)
         SELECT n.sensor, n, round(lf / 1e6, 4) AS lf, round(hf / 1e6, 4) AS hf, round(lf / hf, 4) AS lf_hf FROM n LEFT JOIN m ON m.sensor = n.sensor""",
+    # FS of 32: means of 65, 3 and 24 samples; peaks less than 9.6 samples apart are gone through in order
+    "ecg_peaks": f"""WITH {GRID}, s AS (SELECT sensor, row_number() OVER (PARTITION BY sensor ORDER BY k) - 1 AS i, x FROM grid),
+        c AS (SELECT sensor, i, round(x - avg(x) OVER (PARTITION BY sensor ORDER BY i ROWS BETWEEN 32 PRECEDING AND 32 FOLLOWING), 9) AS c FROM s),
+        g AS (SELECT sensor, i, c, abs(coalesce(lead(c) OVER w, c) - coalesce(lag(c) OVER w, c)) / CASE WHEN lag(c) OVER w IS NULL OR lead(c) OVER w IS NULL THEN 1 ELSE 2 END AS steep FROM c
+          WINDOW w AS (PARTITION BY sensor ORDER BY i)),
+        n AS (SELECT sensor, i, c, avg(steep) OVER (PARTITION BY sensor ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)
+          > 1.5 * avg(steep) OVER (PARTITION BY sensor ORDER BY i ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) AS inside FROM g),
+        r AS (SELECT sensor, i, c, inside, sum(CASE WHEN inside AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY sensor ORDER BY i) AS r FROM (
+          SELECT *, coalesce(lag(inside) OVER (PARTITION BY sensor ORDER BY i), false) AS was FROM n)),
+        top AS (SELECT sensor, r, i AS place, c AS height, count(*) OVER (PARTITION BY sensor, r) AS n FROM r WHERE inside
+          QUALIFY row_number() OVER (PARTITION BY sensor, r ORDER BY c DESC, i) = 1),
+        long AS (SELECT * FROM (SELECT *, avg(n) OVER (PARTITION BY sensor) AS m FROM top) WHERE n >= 0.4 * m),
+        close AS (SELECT *, sum(CASE WHEN place - was <= 9.6 THEN 0 ELSE 1 END) OVER (PARTITION BY sensor ORDER BY place) AS grp FROM (
+          SELECT *, lag(place) OVER (PARTITION BY sensor ORDER BY place) AS was FROM long)),
+        lists AS (SELECT sensor, list([{{'p': place, 'h': height}}] ORDER BY place) AS l FROM close GROUP BY sensor, grp),
+        kept AS (SELECT sensor, unnest(list_reduce(l, lambda a, x: CASE WHEN x[1].p - a[len(a)].p > 9.6 THEN list_concat(a, x)
+          WHEN x[1].h > a[len(a)].h THEN list_concat(a[1 : len(a) - 1], x) ELSE a END)) AS e FROM lists)
+        SELECT sensor, e.p AS place, round(e.h, 3) + 0.0::DOUBLE AS height FROM kept""",
     "trial_metrics": f"""WITH {LAGS.replace("KEY", "trial")},
         base AS (SELECT dyad, trial, count(*) AS n, max(t) - min(t) AS duration, {_SHAPES}, avg((a + b) / 2) AS mean_dyad, avg(a - b) AS mean_diff, stddev_samp(a - b) AS sd_diff,
           avg(60000 / a - 60000 / b) AS rr_bias, stddev_samp(60000 / a - 60000 / b) AS rr_bias_sd FROM dyads GROUP BY ALL),
