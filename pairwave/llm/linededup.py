@@ -30,16 +30,26 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, let, numbered, parts_for, with_order
 
+#: White space, as the inside of a class of characters.
+SPACE = r"\x20\x09-\x0D"
 #: Bits of a place in the sequence that number the line in its document.
 LINE_BITS = 27
 #: Words that a run has at least to count as a repeat; a single line may be one.
 MIN_WORDS = 5
 
 
-def _sequence(rows: DataFrame) -> DataFrame:
-    """at (place), __row, line (its number in the text), a and b (the line's ID), n (words), left (lines to the end)."""
+def _words(line: Column, most: int | None) -> Column:
+    """The words of a line; most, if it has more: sums of such counts reach most where sums of the counts do."""
+    if most is None:
+        return F.regexp_count(line, F.lit(WORD))
+    many = f"^[{SPACE}]*(?:[^{SPACE}]+[{SPACE}]+){{{most - 1}}}[^{SPACE}]"
+    return F.when(F.regexp_like(line, F.lit(many)), most).otherwise(F.regexp_count(line, F.lit(WORD)))
+
+
+def _sequence(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """at (place), __row, line (its number in the text), a and b (the line's ID), n (words, see _words), left (lines to the end)."""
     lines = F.transform(
-        F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("n"))
+        F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"), _words(x, most).alias("n"))
     )
     full = rows.select("doc_id", "__row", F.filter(lines, lambda x: x["n"] > 0).alias("lines")).where(F.size("lines") > 0)
     # written, as the range shuffle reads its input twice
@@ -212,7 +222,7 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     of docs are numbered in partitions fixed at the call, so docs must give each partition alike every time.
     """
     rows = numbered(docs)
-    seq = cut(_sequence(rows))
+    seq = cut(_sequence(rows, min_words))
     labels = suffix_labels(seq, min_words)
     runs = maximal_runs(seq, labels, min_words)
     later = later_copies(labels, runs, min_words)
