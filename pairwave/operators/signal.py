@@ -101,24 +101,6 @@ def coherence(a: np.ndarray, b: np.ndarray, fs: float, low: float = 0.04, high:
     return {"n": len(a), "mean_coherence": c.mean(), "max_coherence": c.max(), "at_frequency": f[band][c.argmax()]}
 
 
-def rr_spectrum(t: np.ndarray, rr: np.ndarray, fs: float = 4.0) -> dict:
-    """LF and HF power of intervals (ms) at times (s): even grid, line removed, Welch, trapezoids."""
-    grid = np.arange(t[0], t[-1], 1 / fs) if len(t) > 1 else np.zeros(0)
-    none = {"n": len(grid), "lf": np.nan, "hf": np.nan, "lf_hf": np.nan}
-    if len(grid) < 8:
-        return none
-    x = line_removed(np.interp(grid, t, rr))
-    f, p = welch(x, x, fs, min(256, len(x)))
-
-    def area(low: float, high: float) -> float:
-        band = (f >= low) & (f < high)
-        fb, pb = f[band], p.real[band]
-        return float(((pb[1:] + pb[:-1]) / 2 * np.diff(fb)).sum())
-
-    lf, hf = area(0.04, 0.15), area(0.15, 0.40)
-    return {"n": len(grid), "lf": lf, "hf": hf, "lf_hf": lf / hf if hf > 0 else np.nan}
-
-
 # ---- distributions
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import series, signal, synchrony
+from . import series, signal, spectra, synchrony
 
 KERNELS = (
     "plv double, pli double, mean_phase double, envelope_r double, mean_coherence double, max_coherence double, at_frequency double, "
@@ -98,7 +98,7 @@ def variability(rr: DataFrame, keys: list[str], order: str, ms: str, at: str, fs
     the time of an interval in seconds. Fewer than least intervals (five peaks) give a failed row.
     """
     plain = synchrony.poincare(rr, keys, ms, order)
-    power = signal.by_key(rr, keys, order, [at, ms], functools.partial(signal.rr_spectrum, fs=fs), "grid long, lf double, hf double, lf_hf double")
+    power = spectra.band_powers(rr, keys, at, ms, fs)
     out = plain.join(power.select(*keys, "lf", "hf", "lf_hf"), keys, "left")
     few = F.col("n") < least
     fields = ("mean_nn", "sdnn", "rmssd", "pnn50", "lf", "hf", "lf_hf", "sd1", "sd2", "sd_ratio")

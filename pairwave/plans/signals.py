@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import functions as F
 
 from ..functions.stats import rounded
-from ..operators import ecg, mixed, series, signal, summary, synchrony, transfer, trial
+from ..operators import dependence, ecg, mixed, scan, series, signal, spectra, summary, synchrony, transfer, trial
+from ..operators.storage import cut
 from .standin import DYADS, GRID, SAMPLES, dyads, r_sql, readings, samples
 from .timeseries import LAGS, PHASES
 
@@ -26,31 +25,33 @@ def phase_metrics(spark, sf):
 
 def coherence(spark, sf):
     """Coherence over whole dyads, on a scale where the hourly grid is 4 Hz."""
-    kernel = functools.partial(signal.coherence, fs=4.0)
-    out = signal.by_key(dyads(spark, sf), ["dyad"], "k", ["a", "b"], kernel, "n long, mean_coherence double, max_coherence double, at_frequency double")
+    out = spectra.coherence(dyads(spark, sf), ["dyad"], "k", 4.0)
     return out.select("dyad", "n", *_r("mean_coherence", "max_coherence", "at_frequency"))
 
 
+def _intervals(spark, sf):
+    """Each sensor's intervals, minutes between events as milliseconds, at the running sum of them in seconds."""
+    rr = series.intervals(readings(spark, sf), ["sensor"]).select("sensor", "start", "interval_number", (F.col("rr_ms") / 3600.0).alias("rr"))
+    rr = scan.running(scan.pieces(cut(rr), ["sensor"], "start"), ["start"], "at", F.col("rr")).drop(scan.PIECE)
+    return rr.withColumn("at", F.col("at") / 1000)
+
+
 def rr_spectrum(spark, sf):
-    """LF and HF power in square seconds; an interval's milliseconds are taken from minutes between events."""
-    rr = series.intervals(readings(spark, sf), ["sensor"]).withColumn("rr", F.col("rr_ms") / 3600.0)
-    w = series.Window.partitionBy("sensor").orderBy("interval_number")
-    rr = rr.withColumn("at", F.sum("rr").over(w.rowsBetween(series.Window.unboundedPreceding, 0)) / 1000)
-    out = signal.by_key(rr, ["sensor"], "interval_number", ["at", "rr"], signal.rr_spectrum, "n long, lf double, hf double, lf_hf double")
+    """LF and HF power in square seconds."""
+    out = spectra.band_powers(_intervals(spark, sf), ["sensor"], "at", "rr")
     out = out.withColumn("lf", F.col("lf") / 1e6).withColumn("hf", F.col("hf") / 1e6)
     return out.select("sensor", "n", *_r("lf", "hf", "lf_hf", digits=4))
 
 
 def granger(spark, sf):
-    out = signal.by_key(dyads(spark, sf), ["dyad"], "k", ["a", "b"], signal.granger, "p_ab double, p_ba double, direction string")
+    out = dependence.granger(dyads(spark, sf), ["dyad"], "k")
     return out.select("dyad", *_r("p_ab", "p_ba"), "direction", "error")
 
 
 def cross_recurrence(spark, sf):
-    schema = "rr double, det double, l_mean double, l_max double, entropy double, lam double, tt double"
-    d = dyads(spark, sf).withColumn("week", F.floor(F.col("k") / 168))
-    out = signal.by_key(d, ["dyad", "week"], "k", ["a", "b"], signal.cross_recurrence, schema)
-    return out.select("dyad", "week", *_r("rr", "det", "l_mean", "l_max", "entropy", "lam", "tt"), "error")
+    d = dyads(spark, sf).withColumn("week", F.floor(F.col("k") / 168).cast("long"))
+    out = dependence.cross_recurrence(d, ["dyad", "week"], "k")
+    return out.select("dyad", "week", "n", *_r("rr", "det", "l_mean", "l_max", "entropy", "lam", "tt"))
 
 
 def correlation_p(spark, sf):
@@ -137,11 +138,8 @@ def trial_assembly(spark, sf):
 
 
 def variability(spark, sf):
-    """Heart-rate variability of each sensor; an interval's milliseconds are taken from minutes between events."""
-    rr = series.intervals(readings(spark, sf), ["sensor"]).withColumn("rr", F.col("rr_ms") / 3600.0)
-    w = series.Window.partitionBy("sensor").orderBy("interval_number")
-    rr = rr.withColumn("at", F.sum("rr").over(w.rowsBetween(series.Window.unboundedPreceding, 0)) / 1000)
-    out = trial.variability(rr, ["sensor"], "interval_number", "rr", "at")
+    """Heart-rate variability of each sensor."""
+    out = trial.variability(_intervals(spark, sf), ["sensor"], "interval_number", "rr", "at")
     return out.select("sensor", "n", "status", *_r("mean_nn", "sdnn", "rmssd", "pnn50", "lf", "hf", "lf_hf", "sd1", "sd2", "sd_ratio", digits=4))
 
 
@@ -184,6 +182,23 @@ ORACLES = {
         m AS (SELECT sensor, coalesce(sum((p + p1) / 2 * (f1 - f)) FILTER (f1 < 0.15), 0) AS lf, coalesce(sum((p + p1) / 2 * (f1 - f)) FILTER (f >= 0.15), 0) AS hf FROM e GROUP BY sensor),
         n AS (SELECT sensor, max(n) AS n FROM v GROUP BY sensor)
         SELECT n.sensor, n, round(lf / 1e6, 4) AS lf, round(hf / 1e6, 4) AS hf, round(lf / hf, 4) AS lf_hf FROM n LEFT JOIN m ON m.sensor = n.sensor""",
+    # points of three neighbours at most 0.1 apart, and how far lines of them go along i - j and along i
+    "cross_recurrence": f"""WITH {DYADS}, w AS (SELECT dyad, k // 168 AS week, k, a, b FROM dyads),
+        z AS (SELECT dyad, week, row_number() OVER (PARTITION BY dyad, week ORDER BY k) AS i, count(*) OVER v AS n,
+          (a - avg(a) OVER v) / stddev_pop(a) OVER v AS a, (b - avg(b) OVER v) / stddev_pop(b) OVER v AS b FROM w WINDOW v AS (PARTITION BY dyad, week)),
+        e AS (SELECT *, lead(a) OVER v AS a1, lead(a, 2) OVER v AS a2, lead(b) OVER v AS b1, lead(b, 2) OVER v AS b2 FROM z WINDOW v AS (PARTITION BY dyad, week ORDER BY i)),
+        r AS (SELECT x.dyad, x.week, x.i, y.i AS j FROM e x JOIN e y USING (dyad, week) WHERE x.n >= 50 AND x.a2 IS NOT NULL AND y.b2 IS NOT NULL
+          AND (x.a - y.b) ** 2 + (x.a1 - y.b1) ** 2 + (x.a2 - y.b2) ** 2 <= 0.1 ** 2),
+        dl AS (SELECT dyad, week, count(*) AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY dyad, week, j - i ORDER BY i) AS g FROM r) GROUP BY dyad, week, j - i, g),
+        vl AS (SELECT dyad, week, count(*) AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY dyad, week, j ORDER BY i) AS g FROM r) GROUP BY dyad, week, j, g),
+        d AS (SELECT dyad, week, sum(len) FILTER (len > 1) AS points, count(*) FILTER (len > 1) AS lines, max(len) FILTER (len > 1) AS top FROM dl GROUP BY ALL),
+        h AS (SELECT dyad, week, -sum(p * ln(p)) AS entropy FROM (SELECT dyad, week, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY dyad, week) AS p FROM dl WHERE len > 1 GROUP BY dyad, week, len) GROUP BY ALL),
+        v AS (SELECT dyad, week, sum(len) AS total, sum(len) FILTER (len > 1) AS points, count(*) FILTER (len > 1) AS lines FROM vl GROUP BY ALL),
+        s AS (SELECT dyad, week, count(*) AS n FROM w GROUP BY ALL)
+        SELECT s.dyad, s.week, n, CASE WHEN n >= 50 THEN round(coalesce(total, 0) / (n - 2) ** 2, 6) END AS rr, round(coalesce(d.points, 0) / total, 6) AS det,
+          CASE WHEN total > 0 THEN round(coalesce(d.points / d.lines, 0), 6) END AS l_mean, CASE WHEN total > 0 THEN round(coalesce(top, 0)::DOUBLE, 6) END AS l_max,
+          CASE WHEN total > 0 THEN round(coalesce(entropy, 0), 6) + 0.0::DOUBLE END AS entropy, round(coalesce(v.points, 0) / total, 6) AS lam, round(v.points / v.lines, 6) AS tt
+        FROM s LEFT JOIN d USING (dyad, week) LEFT JOIN h USING (dyad, week) LEFT JOIN v USING (dyad, week)""",
     # FS of 32: means of 65, 3 and 24 samples; peaks less than 9.6 samples apart are gone through in order
     "ecg_peaks": f"""WITH {GRID}, s AS (SELECT sensor, row_number() OVER (PARTITION BY sensor ORDER BY k) - 1 AS i, x FROM grid),
         c AS (SELECT sensor, i, round(x - avg(x) OVER (PARTITION BY sensor ORDER BY i ROWS BETWEEN 32 PRECEDING AND 32 FOLLOWING), 9) AS c FROM s),
