@@ -8,6 +8,7 @@ from ..functions import stats, text
 from ..functions.stats import pearson, rounded
 from ..operators import pairing, series, summary, trial
 from ..sources import files
+from ..operators.storage import cut
 from .standin import DYADS, SAMPLES, dyads, r_sql, readings, samples, seconds, table
 
 
@@ -120,11 +121,12 @@ def greedy_matching(spark, sf):
     b = s.where("event_type = 'purchase'").select("day", F.col("event_id").alias("right"), F.col("t").alias("tb"))
     met = pairing.within_tolerance(a, b.withColumnRenamed("day", "day_b"), "ta", "tb", 7200.0).where("day = day_b")
     met = met.withColumn("score", F.abs(F.col("ta") - F.col("tb")))
-    return pairing.greedy_one_to_one(met, ["day"]).select("day", "left", "right", *_r("score", digits=3), "shared")
+    out = pairing.greedy_one_to_one(met).join(a.select("left", "day"), "left")
+    return out.select("day", "left", "right", *_r("score", digits=3), "shared")
 
 
-def session_matching(spark, sf):
-    """Orders as sessions matched to customers as metadata: by date, sensors (suffixes) and clock time, then one to one."""
+def _sessions(spark, sf):
+    """Orders as recording sessions, and every third as metadata with typos in dates and sensors."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("session"), "o_custkey", seconds("o_orderdate").alias("t"))
     day = lambda t: F.date_format(F.timestamp_seconds(t.cast("long")), "yyyy/MM/dd")
     pair = lambda k: F.array((k % 97).cast("string"), (k % 89).cast("string"))
@@ -134,10 +136,19 @@ def session_matching(spark, sf):
         (F.floor(F.col("session") * 61 % 86400 / 3600)).cast("double").alias("hour"), F.lit(30.0).alias("minute"),
         F.when(F.col("session") % 2 == 0, pair(F.col("session"))).otherwise(F.array((F.col("session") % 97).cast("string"), F.lit("x"))).alias("suffixes"),
     )
-    # fifty studies, each with sessions and metadata of its own
-    met = pairing.session_candidates(a, b).select((F.col("session") % 50).alias("study"), F.col("session").alias("left"), F.col("dyad").alias("right"), "score", "kind")
-    met = met.where((F.col("right") - 1_000_000_000) % 50 == F.col("study"))
-    best = pairing.greedy_one_to_one(met, ["study"]).join(met, ["study", "left", "right", "score"])
+    return a, b
+
+
+def session_report(spark, sf):
+    """What each session found among the metadata; those without a candidate say so."""
+    a, b = _sessions(spark, sf)
+    return pairing.session_report(a, pairing.session_candidates(a, b))
+
+
+def session_matching(spark, sf):
+    """Sessions matched to metadata by date, sensors (suffixes) and clock time, then one to one."""
+    met = cut(pairing.session_candidates(*_sessions(spark, sf)).select(F.col("session").alias("left"), F.col("dyad").alias("right"), "score", "kind"))
+    best = pairing.greedy_one_to_one(met).join(met, ["left", "right", "score"])
     sensors = F.array(F.concat(F.lit("2514300"), (F.col("left") % 97).cast("string")), F.concat(F.lit("2514300"), (F.col("left") % 89).cast("string")))
     roles = pairing.sensor_roles(sensors, (F.col("left") % 97).cast("string"), F.when(F.col("left") % 2 == 0, (F.col("left") % 89).cast("string")).otherwise("x"))
     return best.select(F.col("left").alias("session"), F.col("right").alias("dyad"), *_r("score", digits=3), "kind", "shared", *[c.alias(k) for k, c in roles.items()])
@@ -325,7 +336,7 @@ def rates(spark, sf):
 
 NAMES = (
     enrichment, flag_lookup, two_stage_lookup, nearest_session, scored_anchors, containment, range_cut, position_pairs, unmatched,
-    nearest_mean, greedy_matching, session_matching, manifests, recording_coverage, status_rollup, condition_summary, label_counts, dyad_flags, qc_funnel,
+    nearest_mean, greedy_matching, session_matching, session_report, manifests, recording_coverage, status_rollup, condition_summary, label_counts, dyad_flags, qc_funnel,
     metric_correlations, value_counts, pretrial_quality, trial_quality, dyad_reliability, reliability_strata, analysis_units,
     top_samples, ordered_flags, set_operations, identifiers, flags, participants, clock_times, rates,
 )
@@ -358,6 +369,17 @@ def _flag(rules: list[tuple[str, str, str]]) -> str:
     return f"CASE WHEN {hit['p']} THEN 'poor' WHEN {hit['c']} THEN 'caution' ELSE 'clean' END"
 
 
+#: Sessions (a), metadata (b) and scored candidates (cand) in SQL.
+SESSIONS = """o AS (SELECT o_orderkey AS k, o_orderdate AS d FROM orders),
+        a AS (SELECT k, strftime(d, '%Y/%m/%d') AS day, (k * 61 % 86400)::DOUBLE AS sec, list_sort(list_distinct([(k % 97)::VARCHAR, (k % 89)::VARCHAR])) AS s FROM o),
+        b AS (SELECT k + 1000000000 AS dyad, strftime(CASE WHEN k % 9 = 0 THEN d + INTERVAL 1 DAY ELSE d END, '%Y/%m/%d') AS day, k * 61 % 86400 // 3600 AS h,
+                     list_sort(list_distinct([(k % 97)::VARCHAR, CASE WHEN k % 2 = 0 THEN (k % 89)::VARCHAR ELSE 'x' END])) AS s FROM o WHERE k % 3 = 0),
+        met AS (SELECT a.k, dyad, a.day = b.day AS same, true AS exact, h, sec FROM a JOIN b ON a.s = b.s
+          UNION ALL SELECT DISTINCT x.k, y.dyad, true, false, h, sec FROM (SELECT *, unnest(s) AS one FROM a) x JOIN (SELECT *, unnest(s) AS one FROM b) y ON x.day = y.day AND x.one = y.one WHERE x.s <> y.s),
+        far AS (SELECT *, CASE WHEN h BETWEEN 1 AND 6 THEN least(abs(h * 3600.0 + 1800 - sec), abs((h + 12) * 3600.0 + 1800 - sec)) ELSE abs(h * 3600.0 + 1800 - sec) END::DOUBLE AS off FROM met),
+        cand AS (SELECT k, dyad, CASE WHEN same AND exact THEN 'same_date_exact_sensors' WHEN same THEN 'same_date_partial_sensor_time_close' ELSE 'date_mismatch_exact_sensors_time_close' END AS kind,
+                        off + CASE WHEN same AND exact THEN 0 WHEN same THEN 500 ELSE 2000 END AS score FROM far WHERE ((same AND exact) OR off <= 1200))"""
+
 ORACLES = {
     "enrichment": """WITH f AS (SELECT l_orderkey, l_suppkey, sum(l_quantity) AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL)
         SELECT o_orderstatus, count(*) AS n, count(q) AS n_found, round(sum(q), 2) AS quantity FROM lineitem LEFT JOIN f USING (l_orderkey, l_suppkey)
@@ -382,24 +404,23 @@ ORACLES = {
           UNION ALL SELECT day, k, l, list_append(taken, coalesce(free[1], c[1]).r), coalesce(free[1], c[1]), len(free) = 0 FROM (
             SELECT x.day, x.k, x.l, x.c, t.taken, list_filter(x.c, lambda z: NOT list_contains(t.taken, z.r)) AS free FROM step t JOIN lefts x ON x.day = t.day AND x.k = t.k + 1))
         SELECT day, l AS left, pick.r AS right, round(pick.score, 3) AS score, shared FROM step WHERE l IS NOT NULL""",
-    "session_matching": """WITH RECURSIVE o AS (SELECT o_orderkey AS k, o_orderdate AS d FROM orders),
-        a AS (SELECT k, strftime(d, '%Y/%m/%d') AS day, (k * 61 % 86400)::DOUBLE AS sec, list_sort(list_distinct([(k % 97)::VARCHAR, (k % 89)::VARCHAR])) AS s FROM o),
-        b AS (SELECT k + 1000000000 AS dyad, strftime(CASE WHEN k % 9 = 0 THEN d + INTERVAL 1 DAY ELSE d END, '%Y/%m/%d') AS day, k * 61 % 86400 // 3600 AS h,
-                     list_sort(list_distinct([(k % 97)::VARCHAR, CASE WHEN k % 2 = 0 THEN (k % 89)::VARCHAR ELSE 'x' END])) AS s FROM o WHERE k % 3 = 0),
-        met AS (SELECT a.k, dyad, a.day = b.day AS same, true AS exact, h, sec FROM a JOIN b ON a.s = b.s
-          UNION ALL SELECT DISTINCT x.k, y.dyad, true, false, h, sec FROM (SELECT *, unnest(s) AS one FROM a) x JOIN (SELECT *, unnest(s) AS one FROM b) y ON x.day = y.day AND x.one = y.one WHERE x.s <> y.s),
-        far AS (SELECT *, CASE WHEN h BETWEEN 1 AND 6 THEN least(abs(h * 3600.0 + 1800 - sec), abs((h + 12) * 3600.0 + 1800 - sec)) ELSE abs(h * 3600.0 + 1800 - sec) END::DOUBLE AS off FROM met),
-        cand AS (SELECT k, dyad, CASE WHEN same AND exact THEN 'same_date_exact_sensors' WHEN same THEN 'same_date_partial_sensor_time_close' ELSE 'date_mismatch_exact_sensors_time_close' END AS kind,
-                        off + CASE WHEN same AND exact THEN 0 WHEN same THEN 500 ELSE 2000 END AS score FROM far WHERE ((same AND exact) OR off <= 1200) AND k % 50 = (dyad - 1000000000) % 50),
-        lefts AS (SELECT k % 50 AS study, k AS l, row_number() OVER (PARTITION BY k % 50 ORDER BY k) AS i, list(struct_pack(score := score, r := dyad, kind := kind) ORDER BY score, dyad) AS c FROM cand GROUP BY k),
-        step AS (SELECT study, 0::BIGINT AS i, NULL::BIGINT AS l, []::BIGINT[] AS taken, NULL::STRUCT(score DOUBLE, r BIGINT, kind VARCHAR) AS pick, false AS shared FROM (SELECT DISTINCT study FROM lefts)
-          UNION ALL SELECT study, i, l, list_append(taken, coalesce(free[1], c[1]).r), coalesce(free[1], c[1]), len(free) = 0 FROM (
-            SELECT x.study, x.i, x.l, x.c, t.taken, list_filter(x.c, lambda z: NOT list_contains(t.taken, z.r)) AS free FROM step t JOIN lefts x ON x.study = t.study AND x.i = t.i + 1)),
-        roles AS (SELECT l, pick, shared, ['2514300' || l % 97, '2514300' || l % 89] AS ids, (l % 97)::VARCHAR AS sa, CASE WHEN l % 2 = 0 THEN (l % 89)::VARCHAR ELSE 'x' END AS sb FROM step WHERE l IS NOT NULL),
+    # each left asks for its next best right until none of lower number asks for the same
+    "session_matching": f"""WITH RECURSIVE {SESSIONS},
+        c AS (SELECT k AS l, dyad AS r, score, kind, row_number() OVER (PARTITION BY k ORDER BY score, dyad) AS p FROM cand),
+        step AS (SELECT 0 AS round, l, 1::BIGINT AS p FROM (SELECT DISTINCT l FROM c)
+          UNION ALL SELECT round + 1, l, p + lose FROM (SELECT *, sum(lose) OVER () AS losers FROM (
+            SELECT s.round, s.l, s.p, CASE WHEN c.r IS NOT NULL AND s.l > min(s.l) OVER (PARTITION BY c.r) THEN 1 ELSE 0 END AS lose
+            FROM step s LEFT JOIN c ON c.l = s.l AND c.p = s.p)) WHERE losers > 0),
+        last AS (SELECT s.l, coalesce(c.p, 1) AS p, c.p IS NULL AS shared FROM step s LEFT JOIN c ON c.l = s.l AND c.p = s.p WHERE round = (SELECT max(round) FROM step)),
+        picks AS (SELECT l, struct_pack(score := score, r := r, kind := kind) AS pick, shared FROM last JOIN c USING (l, p)),
+        roles AS (SELECT l, pick, shared, ['2514300' || l % 97, '2514300' || l % 89] AS ids, (l % 97)::VARCHAR AS sa, CASE WHEN l % 2 = 0 THEN (l % 89)::VARCHAR ELSE 'x' END AS sb FROM picks),
         ends AS (SELECT *, coalesce(list_filter(ids, lambda z: ends_with(z, sa))[-1], '') AS a, coalesce(list_filter(ids, lambda z: ends_with(z, sb))[-1], '') AS b FROM roles),
         rest AS (SELECT *, CASE WHEN b = '' AND a <> '' AND len(list_filter(ids, lambda z: z <> a)) = 1 THEN list_filter(ids, lambda z: z <> a)[1] END AS rb FROM ends)
         SELECT l AS session, pick.r AS dyad, round(pick.score, 3) AS score, pick.kind AS kind, shared, a AS sensor_a, coalesce(rb, b) AS sensor_b,
                concat_ws(' ', CASE WHEN rb IS NOT NULL THEN 'Inferred sensor_B as remaining folder sensor.' END, CASE WHEN coalesce(rb, b) = '' THEN 'Could not resolve sensor_B.' END) AS note FROM rest""",
+    "session_report": f"""WITH {SESSIONS}, best AS (SELECT k, count(*) AS n, arg_min(kind, struct_pack(s := score, d := dyad)) AS kind FROM cand GROUP BY k)
+        SELECT a.k AS session, coalesce(n, 0) AS n_candidates, kind AS best,
+               CASE WHEN n IS NULL THEN 'No candidate metadata row matched date/time/sensors.' ELSE '' END AS issue FROM a LEFT JOIN best ON best.k = a.k""",
     "manifests": """WITH b AS (SELECT o_orderkey, o_custkey, o_orderstatus, date_trunc('minute', o_orderdate) AS d FROM orders)
         SELECT o_orderkey, o_orderkey::VARCHAR || 'rec' || o_orderkey % 50 AS folder, o_custkey::VARCHAR AS sensor, CASE WHEN o_orderstatus = 'F' THEN 'F' ELSE 'none' END AS status,
                epoch(d::TIMESTAMP AT TIME ZONE 'America/Vancouver')::DOUBLE AS at, strftime(d, '%H:%M') AS clock FROM b""",
