@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import series
 
@@ -27,7 +28,11 @@ def unnamed(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*[F.col("__key")[k].alias(k) for k in keys], *[c for c in df.columns if c != "__key"])
 
 
-@F.pandas_udf("aa array<double>, bb array<double>, re array<double>, im array<double>")
+#: What a transformed segment has, an array over its frequencies each.
+POWERS = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("aa", "bb", "re", "im")])
+
+
+@F.pandas_udf(POWERS)
 def transformed(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Powers of a and b and the real and imaginary part of their cross-power, of each segment at its frequencies."""
     out = {c: np.empty(len(a), object) for c in ("aa", "bb", "re", "im")}

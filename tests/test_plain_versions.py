@@ -184,21 +184,6 @@ def test_random_halves_add_up(spark):
     assert len({r.x for r in got if r.person == 1}) > 5
 
 
-def test_serial_choice_by_taking_turns(spark):
-    rng = np.random.default_rng(4)
-    rows = sorted({(int(b), int(u), 100 + int(v), float(s)) for b, u, v, s in zip(rng.integers(0, 2, 150), rng.integers(0, 30, 150), rng.integers(0, 18, 150), rng.integers(0, 9, 150))})
-    rows = list({(b, u, v): (b, u, v, s) for b, u, v, s in rows}.values())
-    want, taken = {}, set()
-    for b, u in sorted({r[:2] for r in rows}):
-        mine = sorted((s, v) for c, w, v, s in rows if (c, w) == (b, u))
-        free = [x for x in mine if (b, x[1]) not in taken]
-        s, v = (free or mine)[0]
-        taken.add((b, v))
-        want[b, u] = (v, s, not free)
-    got = pairing.greedy_one_to_one(spark.createDataFrame(rows, "b long, left long, right long, score double"), ["b"]).collect()
-    assert {(r.b, r.left): (r.right, r.score, r.shared) for r in got} == want
-
-
 def test_roles_and_candidates(spark):
     df = spark.createDataFrame([(["x1204", "y77"], "1204", "77"), (["x1204", "y77"], "2204", "77"), (["a5", "b5"], "5", ""), (["q"], "7", "8")], "s array<string>, a string, b string")
     got = df.select(*[c.alias(k) for k, c in pairing.sensor_roles(F.col("s"), F.col("a"), F.col("b")).items()]).collect()
@@ -272,20 +257,6 @@ def test_trials(spark):
     assert hrv["s"].status == "success" and hrv["s"].hf > 0 and hrv["s"].lf_hf == pytest.approx(hrv["s"].lf / hrv["s"].hf)
 
 
-def test_peaks_are_fixed_by_kind():
-    beats = np.arange(0, 60 * 100, 100)
-    assert signal.fix_peaks(beats, 128.0)[0].tolist() == beats.tolist()
-    fixed, counts = signal.fix_peaks(np.delete(beats, 20), 128.0)
-    assert fixed.tolist() == beats.tolist() and counts == {"extra": 0, "missed": 1, "shifted": 0}
-    fixed, counts = signal.fix_peaks(np.sort(np.append(beats, 2040)), 128.0)
-    assert fixed.tolist() == beats.tolist() and counts == {"extra": 1, "missed": 0, "shifted": 0}
-    moved = beats.copy()
-    moved[30] += 35
-    fixed, counts = signal.fix_peaks(moved, 128.0)
-    assert fixed.tolist() == beats.tolist() and counts == {"extra": 0, "missed": 0, "shifted": 1}
-    assert signal.fix_peaks(np.array([5, -1]), 128.0)[0].tolist() == [5]
-
-
 def test_order_of_levels(spark):
     df = spark.createDataFrame([("clean", 1), (None, 2), ("poor", 3), ("odd", 4), ("caution", 5)], "f string, i long")
     assert [r.f for r in trial.ordered(df, F.col("f"), ["clean", "caution", "poor"]).collect()] == ["clean", "caution", "poor", "odd", None]
