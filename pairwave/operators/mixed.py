@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import halves, series
 from .signal import beta_cdf
 
 #: Sums by size: persons, sums of x and y of persons, products of these, and sums of squares and products of rows.
@@ -136,36 +137,16 @@ def fit(df: DataFrame, keys: list[str], y: str, x: str, person: str) -> DataFram
     return fit_persons(by_person(df, keys, y, x, person), keys)
 
 
-def random_half_sums(df: DataFrame, unit: list[str], person: str, value: str, sample: str, iterations: int, seed: int, least: int = 2) -> DataFrame:
-    """iteration and by_person's rows for the half means of every unit over seeded shuffles of its samples (x odd, y even).
+def random_half_sums(df: DataFrame, unit: list[str], person: str, value: str, sample: str, iterations: int, seed: int, span: float | None = None) -> DataFrame:
+    """iteration and by_person's rows for the half means of every unit over keyed permutations (x even, y odd).
 
-    A shuffle is an order of random keys, of which the odd and the even places are the halves. A task takes one person's
-    units; what it gives is one row of sums an iteration, so nothing is multiplied by the iterations before.
+    Samples are numbered in the order of sample; span cuts long units by it, where it is a number.
     """
-    from .transfer import seed_of
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        who, total, m = group[person].iloc[0], np.zeros((5, iterations)), 0
-        for key, rows in group.sort_values([*unit, sample]).groupby(unit, sort=True, dropna=False):
-            v = rows[value].to_numpy(float)
-            n = len(v)
-            if n // 2 < least:
-                continue
-            rng = np.random.default_rng(seed_of(seed, key))
-            # as many iterations at a time as fit a million values
-            for at in range(0, iterations, max(1, 1_000_000 // n)):
-                to = min(iterations, at + max(1, 1_000_000 // n))
-                mixed = rng.permuted(np.tile(v, (to - at, 1)), axis=1)
-                odd, even = mixed[:, ::2].mean(axis=1), mixed[:, 1::2].mean(axis=1)
-                total[:, at:to] += np.stack([even, odd, even * even, even * odd, odd * odd])
-            m += 1
-        if not m:
-            return pd.DataFrame({c: [] for c in (person, "iteration", "m", "x", "y", "xx", "xy", "yy")})
-        return pd.DataFrame({person: who, "iteration": np.arange(1, iterations + 1), "m": m, **dict(zip(("x", "y", "xx", "xy", "yy"), total))})
-
-    kind = df.schema[person].dataType.simpleString()
-    ok = df.where(F.col(value).isNotNull()).select(person, *[u for u in unit if u != person], value, sample)
-    return ok.groupBy(person).applyInPandas(run, f"{person} {kind}, iteration long, m long, x double, y double, xx double, xy double, yy double")
+    keys = [person, *[u for u in unit if u != person]]
+    placed = series.numbered(df.where(F.col(value).isNotNull()), keys, sample, name="__n", span=span).withColumn("__p", F.col("__n") - 1)
+    number = F.pmod(F.xxhash64(*keys), F.lit(halves.PRIME))
+    made = halves.random_halves(placed, keys, number, value, "__p", iterations, seed)
+    return by_person(made, ["iteration"], "odd_half_mean", "even_half_mean", person)
 
 
 def spread(fits: DataFrame, keys: list[str]) -> DataFrame:

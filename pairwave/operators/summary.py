@@ -212,10 +212,3 @@ def split_halves(df: DataFrame, keys: list[str], x: str, *order: Column) -> Data
         F.avg(F.when(~F.col("__odd"), F.col(x))).alias("even_half_mean"),
     )
     return out.where("n_odd >= 2 and n_even >= 2")
-
-
-def random_halves(df: DataFrame, keys: list[str], x: str, sample: str, iterations: int, seed: int) -> DataFrame:
-    """split_halves over seeded shuffles: keys, iteration. The order is by md5 of seed, iteration and sample."""
-    each = df.withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    shuffled = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("iteration"), F.col(sample)))
-    return split_halves(each, [*keys, "iteration"], x, shuffled)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import mean_ci, rounded
-from ..operators import series, signal, summary, synchrony, transfer
+from ..operators import halves, series, signal, summary, synchrony, transfer
 from .standin import DYADS, GRID, SAMPLES, dyads, r_sql, readings, samples
 
 
@@ -14,8 +14,8 @@ def _r(*names: str, digits: int = 6):
 
 
 TAUS = range(1, 14)
-#: Shuffles of each series; the model's spread (split_spread) takes 1000.
-HALVES = 100
+#: Shuffles of each series.
+HALVES = 1000
 
 
 def hourly_grid(spark, sf):
@@ -91,8 +91,9 @@ def split_halves(spark, sf):
 
 
 def random_halves(spark, sf):
-    out = summary.random_halves(samples(spark, sf), ["sensor"], "x", "event_id", HALVES, 448)
-    return out.select("sensor", F.col("iteration").cast("long").alias("iteration"), "n_samples", "n_odd", "n_even", *_r("odd_half_mean", "even_half_mean", digits=8))
+    s = samples(spark, sf).withColumn("place", F.col("n") - 1)
+    out = halves.random_halves(s, ["sensor"], F.col("sensor"), "x", "place", HALVES, 448)
+    return out.select("sensor", "iteration", "n_samples", "n_odd", "n_even", *_r("odd_half_mean", "even_half_mean", digits=8))
 
 
 def poincare(spark, sf):
@@ -274,9 +275,9 @@ ORACLES = {
     "split_halves": f"""WITH {SAMPLES}, o AS (SELECT sensor, event_type, x, row_number() OVER (PARTITION BY sensor, event_type ORDER BY n) % 2 = 1 AS odd FROM samples)
         SELECT sensor, event_type, count(*) AS n_samples, count(*) FILTER (odd) AS n_odd, count(*) FILTER (NOT odd) AS n_even, round(avg(x) FILTER (odd), 8) AS odd_half_mean,
                round(avg(x) FILTER (NOT odd), 8) AS even_half_mean FROM o GROUP BY ALL HAVING count(*) FILTER (odd) >= 2 AND count(*) FILTER (NOT odd) >= 2""",
-    "random_halves": f"""WITH {SAMPLES}, o AS (SELECT sensor, i AS iteration, x, row_number() OVER (PARTITION BY sensor, i ORDER BY md5('448|' || i || '|' || event_id)) % 2 = 1 AS odd FROM samples, range(1, {HALVES + 1}) AS g(i))
+    "random_halves": f"""WITH {SAMPLES}, u AS (SELECT sensor, x, n - 1 AS p, count(*) OVER (PARTITION BY sensor) AS cnt FROM samples), {halves.sql("u", "sensor", HALVES, 448)}
         SELECT sensor, iteration, count(*) AS n_samples, count(*) FILTER (odd) AS n_odd, count(*) FILTER (NOT odd) AS n_even, round(avg(x) FILTER (odd), 8) AS odd_half_mean,
-               round(avg(x) FILTER (NOT odd), 8) AS even_half_mean FROM o GROUP BY ALL HAVING count(*) FILTER (odd) >= 2 AND count(*) FILTER (NOT odd) >= 2""",
+               round(avg(x) FILTER (NOT odd), 8) AS even_half_mean FROM halves GROUP BY sensor, iteration HAVING count(*) FILTER (odd) >= 2 AND count(*) FILTER (NOT odd) >= 2""",
     "poincare": f"""WITH {SAMPLES}, p AS (SELECT sensor, x, lead(x) OVER (PARTITION BY sensor ORDER BY n) AS y FROM samples)
         SELECT sensor, count(*) AS n, round(avg(x), 6) AS mean_nn, round(stddev_samp(x), 6) AS sdnn, round(sqrt(avg((y - x) * (y - x))), 6) AS rmssd, round(100 * avg((abs(y - x) > 50)::INT), 6) AS pnn50,
           round(sqrt(0.5) * stddev_samp(y - x), 6) AS sd1, round(sqrt(0.5) * stddev_samp(y + x), 6) AS sd2, round(sqrt(greatest(2 * var_samp(x) - 0.5 * var_samp(y - x), 0)), 6) AS sd2_total,

@@ -174,16 +174,6 @@ def test_mixed_model_by_dense_matrices(spark):
     assert flat.error.startswith("ValueError")
 
 
-def test_random_halves_add_up(spark):
-    rows = [(p, u, i, float(p + 10 * u + (i * 7) % 5)) for p in range(4) for u in range(3) for i in range(5 + u)]
-    df = spark.createDataFrame(rows, "person long, unit long, sample long, v double")
-    got = mixed.random_half_sums(df, ["unit"], "person", "v", "sample", 30, 5).collect()
-    assert len(got) == 4 * 30 and all(r.m == 3 for r in got)
-    means = {p: sum(np.mean([v for q, w, _, v in rows if (q, w) == (p, u)]) for u in range(3)) for p in range(4)}
-    assert all(abs(r.x - means[r.person]) < 6 and abs(r.y - means[r.person]) < 6 for r in got)
-    assert len({r.x for r in got if r.person == 1}) > 5
-
-
 def test_roles_and_candidates(spark):
     df = spark.createDataFrame([(["x1204", "y77"], "1204", "77"), (["x1204", "y77"], "2204", "77"), (["a5", "b5"], "5", ""), (["q"], "7", "8")], "s array<string>, a string, b string")
     got = df.select(*[c.alias(k) for k, c in pairing.sensor_roles(F.col("s"), F.col("a"), F.col("b")).items()]).collect()
