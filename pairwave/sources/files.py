@@ -134,30 +134,34 @@ def pending(inputs: DataFrame, manifest: DataFrame | None, key: str = "file", *,
     return inputs.join(done.select(key).distinct(), key, "left_anti")
 
 
-def append_manifest(results: DataFrame, folder: str, key: str = "file") -> None:
-    """Adds rows (key, status, n_rows, error) to a manifest of Parquet parts; a run that stops keeps what was added before."""
-    results.select(key, "status", "n_rows", "error").write.mode("append").parquet(folder)
+def append_manifest(results: DataFrame, folder: str, run: str, key: str = "file") -> None:
+    """Adds the rows (key, status, n_rows, error) of a run to a manifest, a folder a run; a run that is done again replaces its own."""
+    results.select(key, "status", "n_rows", "error").write.mode("overwrite").parquet(f"{folder}/run={run}")
 
 
 def write_new_segments(df: DataFrame, folder: str, by: list[str]) -> DataFrame:
     """Writes the segments (keys by) that folder lacks as CSV; the status of each: saved or skipped_existing_file.
 
-    Which exist is read off the folder's partitions, by a scan of names.
+    Which exist is read off the folder's partitions, by a scan of names. Null and empty keys are one, as they are in names.
+    For segments that must stand once though runs die or meet, see runs.RunLog.
     """
     spark = df.sparkSession
-    keys = df.select(*[F.col(c).cast("string").alias(c) for c in by]).distinct()
+    name = F.struct(*[F.nullif(F.col(c).cast("string"), F.lit("")).alias(c) for c in by]).alias("__key")
+    rows = df.withColumn("__key", name)
+    keys = rows.select("__key").distinct()
+    each = [F.col("__key")[c].alias(c) for c in by]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in by])
     try:
-        old = spark.read.schema(schema).option("basePath", folder).csv(folder).select(*by).distinct()
-        status = keys.join(old.withColumn("__old", F.lit(True)), by, "left")
-        status = status.select(*by, F.when(F.col("__old"), "skipped_existing_file").otherwise("saved").alias("status"))
-        fresh = df.join(old, by, "left_anti")
+        old = cut(spark.read.schema(schema).option("basePath", folder).csv(folder).select(name).distinct())
+        status = keys.join(old.withColumn("__old", F.lit(True)), "__key", "left")
+        status = status.select(*each, F.when(F.col("__old"), "skipped_existing_file").otherwise("saved").alias("status"))
+        fresh = rows.join(old, "__key", "left_anti")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        status, fresh = keys.select(*by, F.lit("saved").alias("status")), df
+        status, fresh = keys.select(*each, F.lit("saved").alias("status")), rows
     status = cut(status)
-    fresh.repartition(*by).write.mode("append").partitionBy(*by).option("header", True).csv(folder)
+    fresh.drop("__key").repartition(*by).write.mode("append").partitionBy(*by).option("header", True).csv(folder)
     return status
 
 

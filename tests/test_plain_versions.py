@@ -206,7 +206,7 @@ def test_manifests_are_taken_up_again(spark, tmp_path):
     inputs = spark.createDataFrame([(f"{i}.csv",) for i in range(4)], "file string")
     assert files.pending(inputs, None).count() == 4
     folder = str(tmp_path / "manifest")
-    files.append_manifest(spark.createDataFrame([("0.csv", "success", 5, ""), ("1.csv", "failed", 0, "why")], "file string, status string, n_rows long, error string"), folder)
+    files.append_manifest(spark.createDataFrame([("0.csv", "success", 5, ""), ("1.csv", "failed", 0, "why")], "file string, status string, n_rows long, error string"), folder, "r1")
     assert sorted(r.file for r in files.pending(inputs, spark.read.parquet(folder)).collect()) == ["1.csv", "2.csv", "3.csv"]
     assert files.pending(inputs, spark.read.parquet(folder), again=False).count() == 2
     rows = spark.createDataFrame([("a", "01", 1.0), ("a", "02", 2.0), ("b", "01", 3.0)], "k string, w string, v double")
