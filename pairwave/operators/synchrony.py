@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import pearson
-from .series import sliding
+from . import panes
 
 
-def windowed(df: DataFrame, keys: list[str], width: float, step: float, least: int = 20) -> DataFrame:
+def windowed(df: DataFrame, keys: list[str], width: float, step: float, least: int = 20, t: str = "t", *, whole_last: bool = True) -> DataFrame:
     """n and r of a and b in sliding windows; windows with fewer than least samples are left out, their numbers kept."""
-    w = sliding(df.where("a is not null and b is not null"), keys, width, step)
-    out = w.groupBy(*keys, "window_index").agg(F.min("start").alias("start"), F.count("*").alias("n"), pearson(F.col("a"), F.col("b")).alias("r"))
-    return out.where(F.col("n") >= least)
+    sums = panes.window_sums(df, keys, width, step, t, whole_last=whole_last).where(F.col("n") >= least)
+    return sums.select(*[F.col("__key")[k].alias(k) for k in keys], "window_index", "start", "n", panes.correlation().alias("r"))
 
 
 def session_overlap(grid: DataFrame, keys: list[str], width: float, step: float, t: str = "t", least: int = 20) -> DataFrame:
@@ -23,8 +22,8 @@ def session_overlap(grid: DataFrame, keys: list[str], width: float, step: float,
     """
     ok = grid.where("a is not null and b is not null")
     whole = ok.groupBy(*keys).agg(F.count("*").alias("n"), F.min(t).alias("first"), F.max(t).alias("last"), pearson(F.col("a"), F.col("b")).alias("r"))
-    w = sliding(ok, keys, width, step, t, whole_last=False).groupBy(*keys, "window_index").agg(F.count("*").alias("n"), pearson(F.col("a"), F.col("b")).alias("r"))
-    w = w.where(F.col("n") >= least).groupBy(*keys).agg(F.count("*").alias("n_windows"), F.avg("r").alias("window_mean"), F.stddev_samp("r").alias("window_sd"), F.min("r").alias("window_min"), F.max("r").alias("window_max"))
+    w = windowed(ok, keys, width, step, least, t, whole_last=False)
+    w = w.groupBy(*keys).agg(F.count("*").alias("n_windows"), F.avg("r").alias("window_mean"), F.stddev_samp("r").alias("window_sd"), F.min("r").alias("window_min"), F.max("r").alias("window_max"))
     return whole.join(w, keys, "left")
 
 
