@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import pearson, reliability_label, share
+from .quantiles import quantiles
 from ..functions.text import reasons
 
 
@@ -78,11 +79,15 @@ def segment_summary(df: DataFrame, keys: list[str], hr: Column, t: str, target:
 
 
 def describe(df: DataFrame, key: str, metrics: list[str]) -> DataFrame:
-    """Mean, SD, median and count of each metric by key, null keys kept."""
+    """Mean, SD, median and count of each metric by key, null keys kept. Keys are few and large, so medians come by refinement."""
     made = []
     for m in metrics:
-        made += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_sd"), F.percentile(m, F.lit(0.5)).alias(f"{m}_median"), F.count(m).alias(f"{m}_n")]
-    return df.groupBy(key).agg(F.count("*").alias("n"), *made)
+        made += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_sd"), F.count(m).alias(f"{m}_n")]
+    medians = quantiles(df, [key], metrics, [0.5]).groupBy(F.struct(key).alias("__key"))
+    medians = medians.agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(f"{m}_median") for m in metrics])
+    out = df.groupBy(key).agg(F.count("*").alias("n"), *made).withColumn("__key", F.struct(key)).join(medians, "__key", "left")
+    order = [f"{m}_{what}" for m in metrics for what in ("mean", "sd", "median", "n")]
+    return out.select(key, "n", *order)
 
 
 def correlations(df: DataFrame, metrics: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import stats, text
 from ..functions.stats import pearson, rounded
 from ..operators import pairing, series, summary, trial
 from ..sources import files
+from ..operators.quantiles import quantiles
 from ..operators.storage import cut
 from .standin import DYADS, SAMPLES, dyads, r_sql, readings, samples, seconds, table
 
@@ -106,7 +107,7 @@ def unmatched(spark, sf):
 def nearest_mean(spark, sf):
     """Each nation with the market segment whose median balance is nearest, within a limit."""
     c = table(spark, sf, "customer")
-    medians = c.groupBy("c_mktsegment").agg(F.percentile("c_acctbal", F.lit(0.5)).alias("median"))
+    medians = quantiles(c, ["c_mktsegment"], ["c_acctbal"], [0.5]).select("c_mktsegment", F.col("value").alias("median"))
     means = c.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("mean"))
     # five segments and 25 nations: both sides are of fixed size
     met = means.crossJoin(F.broadcast(medians)).withColumn("off", F.abs(F.col("mean") - F.col("median")))
