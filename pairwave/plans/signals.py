@@ -72,7 +72,7 @@ def surrogates(spark, sf):
     d = series.paired(series.to_grid(readings(spark, sf), ["sensor"], step, tie="event_id"), "sensor")
     out = transfer.ste_windows(d, ["dyad"], "t", step, width=90, overlap=0.0, chunk=50)
     names = [n for x in transfer.NULLS for n in (x, f"{x}_mean", f"{x}_sd", f"{x}_z", f"{x}_p")]
-    return out.select("dyad", F.col("run").cast("long").alias("run"), F.col("window").cast("long").alias("win"), "start", "tau", "delta", "n_symbols", "few_symbols", *_r(*names))
+    return out.select("dyad", F.col("run").cast("long").alias("run"), F.col("window").cast("long").alias("win"), "start", "end", "centre", "tau", "delta", "n_symbols", "few_symbols", *_r("bias_ba", "bias_ab", *names))
 
 
 def _halves(spark, sf):

@@ -36,9 +36,9 @@ def test_transfer_entropy_by_counting(delta):
     rng = np.random.default_rng(delta)
     a, b = rng.integers(0, 4, 90).astype(float), rng.normal(size=(3, 90))
     taus = [1, 2, 5]
-    ste, plain = transfer.Nulls(taus, 3, delta, 0, rng).both(a, b)
+    ste, plain, none = transfer.Nulls(taus, 3, delta, 0, rng).both(a, b)
     biased = transfer.Nulls(taus, 3, delta, 4, np.random.default_rng(9))
-    _, nste = biased.both(a, b)
+    _, nste, taken = biased.both(a, b)
     again, bias = np.random.default_rng(9), np.zeros(ste.shape)
     for _ in range(4):
         pb, pa = again.permuted(b, axis=1), again.permuted(np.broadcast_to(a, b.shape), axis=1)
@@ -46,6 +46,7 @@ def test_transfer_entropy_by_counting(delta):
             for i, t in enumerate(taus):
                 bias[r, i, 0] += _ste(_symbols(pb[r], 3, t), _symbols(a, 3, t), delta)[0] / 4
                 bias[r, i, 1] += _ste(_symbols(pa[r], 3, t), _symbols(b[r], 3, t), delta)[0] / 4
+    assert not none.any() and taken == pytest.approx(bias, abs=1e-12)
     for r in range(3):
         for i, t in enumerate(taus):
             sa, sb = _symbols(a, 3, t), _symbols(b[r], 3, t)
@@ -74,6 +75,50 @@ def test_windows_of_runs(spark):
     got = transfer.ste_windows(df, ["k"], "t", 0.25, taus=[1, 60], surrogates=0, shuffles=2).collect()
     assert {(r.run, r.window, r.start) for r in got} == {(1, 0, 0.0), (1, 1, 6.0), *[(2, w, 37.75 + 6 * w) for w in range(6)]}
     assert all(r.tau == 1 and r.ste_ab_p is None and r.ste_ab > 0 for r in got)
+    assert all(r.end == r.start + 119 * 0.25 and r.centre == r.start + 60 * 0.25 for r in got)
+
+
+def test_summaries_of_surrogates_by_hand(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 60))
+    df = spark.createDataFrame([("k", i, float(x), float(y)) for i, (x, y) in enumerate(zip(a, b))], "k string, i long, a double, b double")
+    got = {r.tau: r for r in transfer.surrogate_tests(df, ["k"], "i", taus=[1, 3], surrogates=25, shuffles=2, chunk=10, seed=7).collect()}
+    delta = transfer.prediction_delay(a, b, 13)
+    ste, nste, bias = transfer.Nulls([1, 3], 3, delta, 2, np.random.default_rng(transfer.seed_of(7, "k", "observed"))).both(a, b)
+    nulls = [[], []]
+    for part, count in enumerate((10, 10, 5)):
+        r = np.random.default_rng(transfer.seed_of(7, "k", part))
+        moved = r.permuted(np.tile(b, (count, 1)), axis=1)
+        for kept, x in zip(nulls, transfer.Nulls([1, 3], 3, delta, 2, r).both(a, moved)):
+            kept.append(x)
+    nulls = [np.concatenate(x) for x in nulls]
+    for i, tau in enumerate((1, 3)):
+        row = got[tau]
+        assert (row.bias_ba, row.bias_ab) == pytest.approx(tuple(bias[0, i])) and row.n_symbols == 60 - 2 * tau - delta
+        for name, seen, null in (("ste", ste[0, i], nulls[0][:, i]), ("nste", nste[0, i], nulls[1][:, i])):
+            for tag, o, x in (("ba", seen[0], null[:, 0]), ("ab", seen[1], null[:, 1]), ("asymmetry", seen[0] - seen[1], null[:, 0] - null[:, 1])):
+                mean = sum(x) / 25
+                sd = math.sqrt(sum((v - mean) ** 2 for v in x) / 25)
+                above = sum(abs(v - mean) >= abs(o - mean) for v in x) if tag == "asymmetry" else sum(v >= o for v in x)
+                want = (o, mean, sd, (o - mean) / sd, (above + 1) / 26)
+                assert tuple(row[f"{name}_{tag}{e}"] for e in ("", "_mean", "_sd", "_z", "_p")) == pytest.approx(want)
+
+
+def test_windows_that_failed_say_why(spark):
+    rng = np.random.default_rng(1)
+    rows = [("good", 0.25 * i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(size=(200, 2)))]
+    rows += [("still", 0.25 * i, 1.0 if i < 130 else float(i % 7), float(i % 5) + (i > 60) * (i % 3)) for i in range(200)]
+    rows += [("short", 0.25 * i, float(i % 4), float(i % 3)) for i in range(50)] + [("flat", 0.25 * i, 2.0, float(i)) for i in range(150)] + [("none", 0.0, None, 1.0), (None, 0.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "k string, t double, a double, b double")
+    results = transfer.ste_windows(df, ["k"], "t", 0.25, taus=[1, 2], surrogates=0, shuffles=1)
+    got = {r.k: (r.status, r.n_rows, r.error) for r in transfer.ste_manifest(df, ["k"], "t", 0.25, results).collect()}
+    lacking = "No contiguous valid paired HR samples"
+    assert got == {
+        "good": ("success", 8, ""), "still": ("success", 8, ""), "short": ("failed", 0, "No valid window/tau combinations after length and quality checks"),
+        "flat": ("failed", 0, "No non-constant contiguous paired HR segment"), "none": ("failed", 0, lacking), None: ("failed", 0, lacking),
+    }
+    # a window that is constant within a run that isn't stays
+    assert results.where("k = 'still' and window = 0").first().ste_ba == 0.0
 
 
 def test_recurrence_by_the_whole_picture():
