@@ -72,6 +72,15 @@ def scored_anchors(spark, sf):
     return out.select("sensor", "i", "j", *_r("score", digits=3), "in_reach")
 
 
+def inferred_windows(spark, sf):
+    """Clicks known by minute and second only, and ten minutes from them on, in the hours that the sign-ups around them give."""
+    s = samples(spark, sf)
+    clock = lambda t: F.format_string("%02d:%02d.0", F.floor(t / 60).cast("long") % 60, F.floor(t).cast("long") % 60)
+    rows = s.where("event_type = 'click'").select("sensor", F.col("n").alias("i"), clock(F.col("t")).alias("start_raw"), clock(F.col("t") + 600).alias("end_raw"))
+    anchors = s.where("event_type = 'signup'").select("sensor", F.col("n").alias("j"), F.col("t").alias("at"))
+    return pairing.infer_windows(rows, anchors, ["sensor"]).select("sensor", "i", "j", *_r("start", "end", "duration", "score", digits=3), "in_reach")
+
+
 def containment(spark, sf):
     """Windows of a week of each dyad with how many members' recordings contain them."""
     s = samples(spark, sf)
@@ -336,7 +345,7 @@ def rates(spark, sf):
 
 
 NAMES = (
-    enrichment, flag_lookup, two_stage_lookup, nearest_session, scored_anchors, containment, range_cut, position_pairs, unmatched,
+    enrichment, flag_lookup, two_stage_lookup, nearest_session, scored_anchors, inferred_windows, containment, range_cut, position_pairs, unmatched,
     nearest_mean, greedy_matching, session_matching, session_report, manifests, recording_coverage, status_rollup, condition_summary, label_counts, dyad_flags, qc_funnel,
     metric_correlations, value_counts, pretrial_quality, trial_quality, dyad_reliability, reliability_strata, analysis_units,
     top_samples, ordered_flags, set_operations, identifiers, flags, participants, clock_times, rates,
@@ -398,6 +407,13 @@ ORACLES = {
           WHERE c.event_type = 'click' AND a.event_type = 'signup')
         SELECT sensor, i, j, round(score::DOUBLE, 3) AS score, off <= 12 AS in_reach FROM m
         QUALIFY row_number() OVER (PARTITION BY sensor, i ORDER BY off > 12, CASE WHEN off <= 12 THEN score ELSE off END, j) = 1""",
+    # an hour is a click's if it brings it nearest to the sign-up; of two the earlier
+    "inferred_windows": f"""WITH {SAMPLES}, c AS (SELECT sensor, n AS i, floor(t)::BIGINT % 3600 AS ms, (floor(t)::BIGINT + 600) % 3600 AS me FROM samples WHERE event_type = 'click'),
+        m AS (SELECT c.*, a.n AS j, a.t AS q, floor(a.t / 3600) * 3600 + ms AS bs, floor(a.t / 3600) * 3600 + me AS be, abs(i - a.n) AS off FROM c JOIN samples a ON a.sensor = c.sensor AND a.event_type = 'signup'),
+        h AS (SELECT *, bs + CASE WHEN bs - q >= 1800 THEN -3600 WHEN bs - q < -1800 THEN 3600 ELSE 0 END AS s, be + CASE WHEN be - q >= 1800 THEN -3600 WHEN be - q < -1800 THEN 3600 ELSE 0 END AS e0 FROM m),
+        t AS (SELECT *, CASE WHEN e0 < s THEN e0 + 3600 ELSE e0 END AS e FROM h), k AS (SELECT *, least(abs(q - s), abs(q - e)) + 5.0::DOUBLE * off AS score FROM t),
+        best AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY sensor, i ORDER BY off > 12, CASE WHEN off <= 12 THEN score ELSE off END, j) = 1)
+        SELECT c.sensor, c.i, j, round(s, 3) AS start, round(e, 3) AS "end", round(e - s, 3) AS duration, round(score, 3) AS score, off <= 12 AS in_reach FROM c LEFT JOIN best b ON b.sensor = c.sensor AND b.i = c.i""",
     "greedy_matching": f"""WITH RECURSIVE {SAMPLES}, s AS (SELECT floor(t / 86400)::BIGINT AS day, event_id, event_type, t FROM samples),
         met AS (SELECT a.day, a.event_id AS l, b.event_id AS r, abs(a.t - b.t) AS score FROM s a JOIN s b ON b.day = a.day AND abs(a.t - b.t) <= 7200 WHERE a.event_type = 'signup' AND b.event_type = 'purchase'),
         lefts AS (SELECT day, l, row_number() OVER (PARTITION BY day ORDER BY l) AS k, list(struct_pack(score := score, r := r) ORDER BY score, r) AS c FROM met GROUP BY day, l),

@@ -110,3 +110,29 @@ def test_sessions_without_candidates_are_told(spark):
     found = spark.createDataFrame([("a", 5, "later", 2.0), ("a", 4, "first", 1.0)], "session string, dyad long, kind string, score double")
     got = {r.session: (r.n_candidates, r.best, r.issue) for r in pairing.session_report(sessions, found).collect()}
     assert got == {"a": (2, "first", ""), "b": (0, None, "No candidate metadata row matched date/time/sensors.")}
+
+
+@pytest.mark.parametrize("span", [100_000, 3])
+def test_minutes_take_the_hour_of_their_anchor(spark, span):
+    hour = 3600.0
+    rows = [("a", 1, "59:30.5", "00:10"), ("a", 2, "bad", "00:10"), ("a", 40, "10:00", "09:00"), ("b", 1, "10:00", "11:00"), (None, 5, "30:00", "31:00"), ("a", 3, "61:00x", None)]
+    anchors = [("a", 2, 10 * hour + 30), ("a", 3, 12 * hour + 900), ("a", 70, 20 * hour + 600), (None, 4, 5 * hour)]
+    df = spark.createDataFrame(rows, "k string, i long, start_raw string, end_raw string")
+    got = {(r.k, r.i): r for r in pairing.infer_windows(df, spark.createDataFrame(anchors, "k string, j long, at double"), ["k"], span=span).collect()}
+    first = got["a", 1]
+    assert (first.start, first.end, first.duration, first.j, first.in_reach) == (10 * hour - 29.5, 10 * hour + 10, 39.5, 2, True)
+    assert first.score == min(59.5, 20) + 5
+    # beyond reach the nearest place; an end before its start is an hour later
+    late = got["a", 40]
+    assert (late.j, late.in_reach, late.start, late.end, late.duration) == (70, False, 20 * hour + 600, 21 * hour + 540, 3540.0)
+    assert all(got[k].start is None and got[k].j is None for k in (("a", 2), ("b", 1), ("a", 3)))
+    # half an hour either way: the earlier hour
+    assert got[None, 5].start == 5 * hour - 1800 and got[None, 5].end == 5 * hour - 1740
+
+
+def test_minutes_on_a_known_hour(spark):
+    from pairwave.functions import text
+
+    df = spark.createDataFrame([("05:30.25", "2024-07-01", 9), ("x", "2024-07-01", 9), ("05:30", "2024-01-01", 23)], "c string, day string, hour int")
+    got = [r.at for r in df.select(text.minute_at(F.col("c"), F.col("day"), F.col("hour"), "America/Vancouver").alias("at")).collect()]
+    assert got == [1719849930.25, None, 1704179130.0]
