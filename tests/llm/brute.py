@@ -67,7 +67,7 @@ def _common(texts):
     return places, lines, lcp
 
 
-def without_repeats(texts, min_words=50):
+def without_repeats(texts, min_words=5):
     """Texts (in order) without the lines of runs with min_words words or more that stand at an earlier place too."""
     places, lines, lcp = _common(texts)
     gone = set()
@@ -81,7 +81,7 @@ def without_repeats(texts, min_words=50):
     return out
 
 
-def repeated_runs(texts, min_words=50):
+def repeated_runs(texts, min_words=5):
     """(text, first line, lines) of every run that stands at another place too and can't be longer at either end."""
     places, lines, lcp = _common(texts)
     n, out = len(places), set()

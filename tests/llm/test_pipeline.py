@@ -28,7 +28,7 @@ def test_run(spark, sf):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     judged = [(d, brute.verdict(t, quality.BOILERPLATE)) for d, t in docs]
     docs = [(d, j[0]) for d, j in judged if j[-1]]
-    shorter = brute.without_repeats([t for _, t in docs])
+    shorter = brute.without_repeats([t for _, t in docs], 50)
     docs = [(d, n) for (d, t), n in zip(docs, shorter) if t == n or n.strip(" ")]
     group = brute.groups([_shingles(t) for _, t in docs], _alike)
     docs = [x for i, x in enumerate(docs) if group[i] == i]
