@@ -27,10 +27,11 @@ def sheet(spark, sf):
 
 
 def _behaviour(spark, sf):
-    s = samples(spark, sf)
+    """Means of roots by pair and trial: means of hundredths would lie half-way between rounded values."""
+    s = samples(spark, sf).withColumn("root", F.sqrt(F.abs("x")))
     pair, trial = (F.floor(F.col("sensor") % 40 / 2)).alias("pair1"), (F.col("n") % 7).alias("trial")
     mean = F.avg(F.when(F.col("event_id") % 2 == 0, F.col("sensor") % 40 + F.col("n") % 3)).alias("Participant_ID_mean")
-    return s.where("event_type <> 'click'").groupBy(pair, trial).agg(F.avg(F.when(F.col("x") > 20, F.col("x"))).alias("table_motion_mean"), F.avg("x").alias("trial_duration_mean"), mean)
+    return s.where("event_type <> 'click'").groupBy(pair, trial).agg(F.avg(F.when(F.col("x") > 20, F.col("root"))).alias("table_motion_mean"), F.avg("root").alias("trial_duration_mean"), mean)
 
 
 def sheet_sessions(spark, sf):
@@ -72,7 +73,7 @@ _SHEET = f"""{SAMPLES}, sheet AS (SELECT sensor, n, t, event_id AS e, event_type
     CASE WHEN event_id % 4 > 0 THEN event_type END AS ra FROM samples),
   near AS (SELECT *, coalesce(max(CASE WHEN trial_order IS NULL THEN n END) OVER (PARTITION BY sensor ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS blank FROM sheet),
   one AS (SELECT * FROM near WHERE trial_order IS NOT NULL AND (n - blank) % 2 = 1),
-  behaviour AS (SELECT sensor % 40 // 2 AS pair1, n % 7 AS trial, avg(CASE WHEN x > 20 THEN x END) AS table_motion_mean, avg(x) AS trial_duration_mean,
+  behaviour AS (SELECT sensor % 40 // 2 AS pair1, n % 7 AS trial, avg(CASE WHEN x > 20 THEN sqrt(abs(x)) END) AS table_motion_mean, avg(sqrt(abs(x))) AS trial_duration_mean,
     avg(CASE WHEN event_id % 2 = 0 THEN sensor % 40 + n % 3 END) AS pm FROM samples WHERE event_type <> 'click' GROUP BY ALL),
   medians AS (SELECT pair1, median(pm) AS m FROM behaviour WHERE trial > 0 GROUP BY pair1),
   blocks AS (SELECT a.sensor, a.n AS block, a.date AS session_date_raw, a.time AS session_time, a.participant AS p1, b.participant AS p2, a.suffix AS s1, b.suffix AS s2, a.role AS r1, b.role AS r2,
