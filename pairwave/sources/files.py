@@ -13,24 +13,20 @@ from pyspark.sql import types as T
 
 from ..functions import text
 from ..operators.storage import cut
+from . import sensor
 
 
 def sensor_csv(spark: SparkSession, paths: str | list[str], time: str = "Timestamp", value: str = "Sample") -> DataFrame:
-    """file, place (in the file), t, x of sensor CSVs with or without a title line; rows without both numbers are dropped.
+    """file, place, and the columns time and value of sensor CSVs, found by name in each file; rows without both numbers are dropped.
 
-    A file is split by lines; the place of a row is that of its block and line, so the order within a file is kept.
-    Titles, headers and damaged lines are rows without two numbers. Columns stand in the order time, value.
+    Rows in order of place are in file order. See sensor.SensorCsv.
     """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") + F.lit(0)).alias("block"), F.monotonically_increasing_id().alias("line"), F.split("value", ",").alias("c"))
-    out = lines.select("file", F.struct("block", "line").alias("place"), text.number(F.get("c", 0)).alias("t"), text.number(F.get("c", 1)).alias("x"))
-    return out.where("t is not null and x is not null").withColumnsRenamed({"t": time, "x": value})
+    return sensor.read(spark, paths, time=time, value=value).withColumnsRenamed({"t": time, "x": value})
 
 
 def titles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, title: the first line of each file, if it isn't a header. Of later parts of a file no line is kept."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"), "value")
-    first = lines.where("b = 0").groupBy("file").agg(F.min_by("value", "i").alias("title"))
-    return first.where("not title like '%Timestamp%'")
+    """file, title: the line above each file's header, if there is one; only the first bytes of a file are read."""
+    return sensor.read(spark, paths, rows="titles").where("title is not null").select("file", "title")
 
 
 def table_csv(spark: SparkSession, path: str, ids: list[str], numbers: list[str], required: list[str], drop_null: list[str] | None = None) -> DataFrame:
