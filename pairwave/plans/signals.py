@@ -152,7 +152,22 @@ QUERIES = {f.__name__: f for f in NAMES}
 _SHAPES = ", ".join(
     f"avg({x}) AS mean_{x}, stddev_samp({x}) AS sd_{x}, min({x}) AS min_{x}, max({x}) AS max_{x}, avg(60000 / {x}) AS mean_rr_{x}, stddev_samp(60000 / {x}) AS sd_rr_{x}" for x in "ab"
 )
+
+
+def _p_sql(r: str) -> str:
+    """Two-sided p of a correlation of n values: Student's distribution of n - 2 degrees as a finite sum of powers of a cosine."""
+    powers = f"pow(1 - {r} * {r}, k)"
+    even = f"abs({r}) * coalesce(list_sum(list_transform(generate_series(0, (n - 4) // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * {powers})), 0)"
+    odd = f"coalesce(list_sum(list_transform(generate_series(0, (n - 5) // 2), lambda k: sqrt(pi()) / 2 * exp(lgamma(k + 1) - lgamma(k + 1.5)) * {powers})), 0)"
+    odd = f"2 / pi() * (asin(least(abs({r}), 1)) + abs({r}) * sqrt(greatest(1 - {r} * {r}, 0)) * CASE WHEN n < 5 THEN 0 ELSE {odd} END)"
+    return f"CASE WHEN abs({r}) >= 1 - 1e-14 THEN 0 ELSE round(1 - CASE WHEN n % 2 = 0 THEN {even} ELSE {odd} END, 5) + 0.0::DOUBLE END"
+
+
 ORACLES = {
+    "correlation_p": f"""WITH {DYADS}, k AS (SELECT dyad, trial, a, b, rank() OVER (PARTITION BY dyad, trial ORDER BY a) + (count(*) OVER (PARTITION BY dyad, trial, a) - 1) / 2 AS ra,
+          rank() OVER (PARTITION BY dyad, trial ORDER BY b) + (count(*) OVER (PARTITION BY dyad, trial, b) - 1) / 2 AS rb FROM dyads),
+        c AS (SELECT dyad, trial, count(*) AS n, {r_sql("a", "b")} AS r, {r_sql("ra", "rb")} AS rho FROM k GROUP BY ALL)
+        SELECT dyad, trial, n, round(r, 6) + 0.0::DOUBLE AS r, round(rho, 6) + 0.0::DOUBLE AS rho, {_p_sql("r")} AS p, {_p_sql("rho")} AS rho_p FROM c""",
     "phase_metrics": f"""WITH {PHASES}
         SELECT dyad, trial, any_value(n) AS n, round(sqrt(avg(cos(d)) ** 2 + avg(sin(d)) ** 2), 6) AS plv, round(abs(avg(sign(round(sin(d), 12)))), 6) AS pli,
                round(atan2(avg(sin(d)), avg(cos(d))), 6) + 0.0::DOUBLE AS mean_phase, round(covar_samp(ea, eb) / (stddev_samp(ea) * stddev_samp(eb)), 6) AS envelope_r FROM d GROUP BY dyad, trial""",
