@@ -19,7 +19,7 @@ COMMENT_FLAGS = {
     "stopped_flag": ["stopped", "stoped", "almost stopped"],
     "talking_laughing_flag": ["talking", "talked", "laugh", "chit-chat", "chatted"],
     "wrong_way_flag": ["wrong way", "went over finish", "finish line"],
-    "sensor_issue_comment_flag": ["sensor", "movesense", "recording"],
+    "sensor_issue_comment_flag": ["sensor", "recording"],
 }
 EXCLUDING_FLAGS = ["ball_drop_flag", "stopped_flag", "wrong_way_flag"]
 NO_METADATA = "No metadata match found."
@@ -49,12 +49,14 @@ def folded(rows: DataFrame, keys: list[str], place: str, opens: Column, span: in
     return out.where("first is not null and second is not null")
 
 
-def sessions(rows: DataFrame, keys: list[str], place: str, span: int = 100_000) -> DataFrame:
+def sessions(rows: DataFrame, keys: list[str], place: str, span: int = 100_000, brands: list[str] | None = None) -> DataFrame:
     """The sessions of a sheet (keys, place and the columns of SHEET): keys, block and what both rows say.
 
     A row opens a session if its trial order says something. Participants are cells like ``12, 3``. Of two rows with the same
     role the first has it. Flags come from both comments; a session is a pilot if a date is ``pilot`` or a comment says so.
+    brands: more words of comments on the sensor, such as its maker's name.
     """
+    flags = COMMENT_FLAGS | {"sensor_issue_comment_flag": COMMENT_FLAGS["sensor_issue_comment_flag"] + list(brands or [])}
     said = F.trim(F.col("trial_order").cast("string")) != ""
     df = folded(rows.select(*keys, place, *SHEET), keys, place, said, span)
     df = df.withColumns({f"__p{i}": text.participant_cell(F.col(f"{r}.participant").cast("string")) for i, r in ((1, "first"), (2, "second"))})
@@ -88,7 +90,7 @@ def sessions(rows: DataFrame, keys: list[str], place: str, span: int = 100_000)
         pilot.alias("is_pilot"),
         comments.alias("session_comments"),
         F.coalesce("first.ra", "second.ra").alias("ra"),
-        *[text.says_any(comments, words).alias(name) for name, words in COMMENT_FLAGS.items()],
+        *[text.says_any(comments, words).alias(name) for name, words in flags.items()],
     )
 
 

@@ -60,6 +60,8 @@ def test_sessions(spark):
     assert (one.session_date, one.session_time, one.participant_mean) == ("2024/05/06", "09:30", 3.5)
     # a lone participant is the mean; of two rows with one role the first has it
     assert (four.dyad_id, four.participant_mean, four.participant_A, four.participant_B) == ("", 9.0, 9, None)
+    assert not one.sensor_issue_comment_flag
+    assert {r.block for r in units.sessions(sheet(spark), ["k"], "i", brands=["Talk"]).where("sensor_issue_comment_flag").collect()} == {6}
     assert six.participant_B is None and six.participant_B_is_confederate and six.talking_laughing_flag and six.participant_mean is None
 
 
