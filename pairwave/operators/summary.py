@@ -59,7 +59,10 @@ def session_status(sensors: DataFrame, session: str, annotated: DataFrame, *, dr
 
 
 def segment_summary(df: DataFrame, keys: list[str], hr: Column, t: str, target: float | None = None) -> DataFrame:
-    """n, mean, sample SD, extremes, range, median, shares of plausible intervals and of extreme rates, coverage."""
+    """n, mean, sample SD, extremes, range, median, shares of plausible intervals and of extreme rates, coverage.
+
+    A rate of zero has no interval, which is not plausible; unknown rates count in no share.
+    """
     rr = 60000 / F.nullif(hr, F.lit(0.0))
     spans = [F.least(F.lit(100.0), (F.max(t) - F.min(t)) / target * 100).alias("coverage_percent")] if target else []
     return df.groupBy(*keys).agg(
@@ -70,7 +73,7 @@ def segment_summary(df: DataFrame, keys: list[str], hr: Column, t: str, target:
         F.max(hr).alias("max_hr"),
         (F.max(hr) - F.min(hr)).alias("range_hr"),
         F.percentile(hr, F.lit(0.5)).alias("median_hr"),
-        (100 * share(rr.between(300, 2000))).alias("plausible_percent"),
+        (100 * share(F.when(hr.isNotNull(), F.coalesce(rr.between(300, 2000), F.lit(False))))).alias("plausible_percent"),
         F.count_if((hr < 40) | (hr > 200)).alias("n_extreme"),
         (100 * share((hr < 40) | (hr > 200))).alias("extreme_percent"),
         (F.max(t) - F.min(t)).alias("duration"),
