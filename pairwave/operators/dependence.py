@@ -104,19 +104,18 @@ def granger(pairs: DataFrame, keys: list[str], order: str, most: int = 5, size:
 def recurrences(z: DataFrame, dim: int, delay: int, radius: float, size: int = SIZE) -> DataFrame:
     """__key, i, j of embedded points of a and b at most radius apart; z: __key, i, a, b.
 
-    Points are dealt to cells of side radius, so a point meets those of its own cell and of the ones beside it only.
+    Points are dealt to strips of the first coordinate, radius wide, so a point meets those of its own strip and of the two beside
+    it only. Cells of all coordinates would meet fewer, but of each point 3^dim copies were shuffled and sorted, not 3.
     """
     w = scan.within("i")
     rows = scan.overlapping(z, ["__key"], "i", size, delay * (dim - 1))
     rows = rows.select("__key", "i", "__own", *[F.lead(x, j * delay).over(w).alias(f"{x}{j}") for x in "ab" for j in range(dim)]).where("__own")
     rows = rows.where(F.col(f"a{dim - 1}").isNotNull())
-    cell = lambda x: [F.floor(F.col(f"{x}{j}") / radius) for j in range(dim)]
-    left = rows.select("__key", "i", *[f"a{j}" for j in range(dim)], *[c.alias(f"c{j}") for j, c in enumerate(cell("a"))])
-    right = rows.select("__key", F.col("i").alias("j"), *[f"b{j}" for j in range(dim)], *[c.alias(f"c{j}") for j, c in enumerate(cell("b"))])
-    for j in range(dim):
-        right = right.withColumn(f"c{j}", F.explode(F.array(*[F.col(f"c{j}") + d for d in (-1, 0, 1)])))
+    strip = lambda x: F.floor(F.col(f"{x}0") / radius)
+    left = rows.select("__key", "i", *[f"a{j}" for j in range(dim)], strip("a").alias("strip"))
+    right = rows.select("__key", F.col("i").alias("j"), *[f"b{j}" for j in range(dim)], F.explode(F.array(*[strip("b") + d for d in (-1, 0, 1)])).alias("strip"))
     apart = reduce(lambda u, v: u + v, [(F.col(f"a{j}") - F.col(f"b{j}")) * (F.col(f"a{j}") - F.col(f"b{j}")) for j in range(dim)])
-    return left.join(right, ["__key", *[f"c{j}" for j in range(dim)]]).where(apart <= radius**2).select("__key", "i", "j")
+    return left.join(right, ["__key", "strip"]).where(apart <= radius**2).select("__key", "i", "j")
 
 
 def _lines(points: DataFrame, line: Column) -> DataFrame:
