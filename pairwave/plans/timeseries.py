@@ -144,8 +144,8 @@ def leader_votes(spark, sf):
     """Leaders of trials by lag, lag-one asymmetry and mean phase."""
     d, keys = dyads(spark, sf), ["dyad", "trial"]
     lag = synchrony.peak_lag(synchrony.cross_correlation(d, keys, "k", 10), keys)
-    phase = signal.by_key(d, keys, "k", ["a", "b"], signal.phases, "n long, plv double, pli double, mean_phase double, envelope_r double")
-    both = lag.join(synchrony.lag_one(d, keys, "k"), keys).join(phase.where("error is null and n >= 10").select(*keys, "mean_phase"), keys)
+    phase = signal.phases_by_key(d, keys, "k")
+    both = lag.join(synchrony.lag_one(d, keys, "k"), keys).join(phase.select(*keys, "mean_phase"), keys)
     leader, sure = synchrony.leader_vote(F.col("lag") * 3600.0, F.round("asymmetry", 9), F.round("mean_phase", 9))
     return both.select("dyad", F.col("trial").cast("long").alias("trial"), leader.alias("leader"), rounded(sure).alias("confidence"))
 
