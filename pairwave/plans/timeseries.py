@@ -157,12 +157,12 @@ def ordinal_symbols(spark, sf):
 
 def transfer_entropy(spark, sf):
     """Observed symbolic transfer entropy of trials for the lags 1 to 13 of the embedding."""
-    te = transfer.transfer_by_tau(dyads(spark, sf), ["dyad", "trial"], "k", list(TAUS))
+    te = transfer.transfer_of_trials(dyads(spark, sf), ["dyad", "trial"], "k", list(TAUS))
     return te.select("dyad", F.col("trial").cast("long").alias("trial"), "tau", *_r("ste_ab", "ste_ba", "h_ab", "h_ba", "asymmetry"))
 
 
 def optimal_tau(spark, sf):
-    te = transfer.transfer_by_tau(dyads(spark, sf), ["dyad", "trial"], "k", list(TAUS)).withColumn("flow", F.col("ste_ab") + F.col("ste_ba"))
+    te = transfer.transfer_of_trials(dyads(spark, sf), ["dyad", "trial"], "k", list(TAUS)).withColumn("flow", F.col("ste_ab") + F.col("ste_ba"))
     return transfer.optimal_tau(te, ["dyad"], "tau", "flow").select("dyad", "tau", *_r("mean_flow"))
 
 
