@@ -7,8 +7,11 @@ persons to sizes; what is left of a stratum is one short row for each size, on w
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,15 +112,19 @@ def by_person(df: DataFrame, keys: list[str], y: str, x: str, person: str) -> Da
     return ok.groupBy(*keys, person).agg(F.count("*").alias("m"), F.sum(c).alias("x"), F.sum(d).alias("y"), F.sum(c * c).alias("xx"), F.sum(c * d).alias("xy"), F.sum(d * d).alias("yy"))
 
 
-def fit_persons(persons: DataFrame, keys: list[str]) -> DataFrame:
-    """The model of each key from by_person's rows; a stratum that can't be fitted has its error."""
+def by_size(persons: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, m and the sums by size of by_person's rows."""
     x, y = F.col("x"), F.col("y")
-    sizes = persons.groupBy(*keys, "m").agg(
+    return persons.groupBy(*keys, "m").agg(
         F.count("*").alias("persons"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum(x * x).alias("px"), F.sum(x * y).alias("pxy"), F.sum(y * y).alias("py"),
         *[F.sum(c).alias(c) for c in ("xx", "xy", "yy")],
     )
+
+
+def fit_sizes(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """The model of each key from the sums by size; a stratum that can't be fitted has its error."""
     # a model takes longer than its few rows tell, so the strata are dealt out by their number
-    sizes = sizes.repartition(int(persons.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    sizes = sizes.repartition(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     kinds = {f.name: f.dataType.simpleString() for f in sizes.schema}
     names = [c.split()[0] for c in MODEL.split(", ")]
 
@@ -134,7 +141,14 @@ def fit_persons(persons: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fit(df: DataFrame, keys: list[str], y: str, x: str, person: str) -> DataFrame:
-    return fit_persons(by_person(df, keys, y, x, person), keys)
+    return fit_sizes(by_size(by_person(df, keys, y, x, person), keys), keys)
+
+
+def _placed(df: DataFrame, unit: list[str], person: str, value: str, sample: str, span: float | None):
+    keys = [person, *[u for u in unit if u != person]]
+    placed = series.numbered(df.where(F.col(value).isNotNull()), keys, sample, name="__n", span=span).withColumn("__p", F.col("__n") - 1)
+    number = F.pmod(F.xxhash64(*keys), F.lit(halves.PRIME))
+    return keys, placed, number
 
 
 def random_half_sums(df: DataFrame, unit: list[str], person: str, value: str, sample: str, iterations: int, seed: int, span: float | None = None) -> DataFrame:
@@ -142,13 +156,54 @@ def random_half_sums(df: DataFrame, unit: list[str], person: str, value: str, sa
 
     Samples are numbered in the order of sample; span cuts long units by it, where it is a number.
     """
-    keys = [person, *[u for u in unit if u != person]]
-    placed = series.numbered(df.where(F.col(value).isNotNull()), keys, sample, name="__n", span=span).withColumn("__p", F.col("__n") - 1)
-    number = F.pmod(F.xxhash64(*keys), F.lit(halves.PRIME))
+    keys, placed, number = _placed(df, unit, person, value, sample, span)
     made = halves.random_halves(placed, keys, number, value, "__p", iterations, seed)
     return by_person(made, ["iteration"], "odd_half_mean", "even_half_mean", person)
 
 
+def random_half_sizes(df: DataFrame, unit: list[str], person: str, value: str, sample: str, iterations: int, seed: int, span: float | None = None) -> DataFrame:
+    """iteration, m and the sums by size for the half means of every unit over keyed permutations (x even, y odd).
+
+    Samples are numbered in the order of sample; span cuts long units by it, where it is a number. A unit's sums over all
+    iterations are one row, persons are added up and dealt to sizes where these rows meet, so no row stands for a unit
+    or person and an iteration.
+    """
+    keys, placed, number = _placed(df, unit, person, value, sample, span)
+    sums = halves.half_sums(placed, keys, number, value, "__p", iterations, seed)
+    sums = sums.select(F.col("__key")[person].alias("person"), "n", "total", "odd").repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "person").sortWithinPartitions("person")
+    names = ("x", "y", "px", "pxy", "py", "xx", "xy", "yy")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # by size: persons and their sums over iterations; what a task holds grows with the sizes only
+        sizes, now, m, own = {}, None, 0, None
+
+        def close() -> None:
+            x, y, xx, xy, yy = own
+            found = sizes.setdefault(m, [0, np.zeros((len(names), iterations))])
+            found[0] += 1
+            found[1] += np.stack([x, y, x * x, x * y, y * y, xx, xy, yy])
+
+        for batch in batches:
+            persons, ns, totals = (batch.column(i).to_pylist() for i in range(3))
+            odd = batch.column(3).flatten().to_numpy().reshape(len(persons), iterations)
+            for who, n, total, o in zip(persons, ns, totals, odd):
+                if own is None or who != now:
+                    if own is not None:
+                        close()
+                    now, m, own = who, 0, np.zeros((5, iterations))
+                even, odd_mean = (total - o) / (n // 2), o / (n - n // 2)
+                m += 1
+                own += np.stack([even, odd_mean, even * even, even * odd_mean, odd_mean * odd_mean])
+        if own is not None:
+            close()
+        for size, (persons, found) in sizes.items():
+            columns = [pa.array(np.arange(1, iterations + 1)), pa.array(np.full(iterations, size)), pa.array(np.full(iterations, persons)), *map(pa.array, found)]
+            yield pa.RecordBatch.from_arrays(columns, ["iteration", "m", "persons", *names])
+
+    made = sums.mapInArrow(folded, "iteration long, m long, persons long, " + ", ".join(f"{c} double" for c in names))
+    return made.groupBy("iteration", "m").agg(*[F.sum(c).alias(c) for c in ("persons", *names)])
+
+
 def spread(fits: DataFrame, keys: list[str]) -> DataFrame:
     """Mean, SD, median and the middle 95 % of beta over iterations."""
     q = F.percentile("beta", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))

@@ -58,3 +58,24 @@ def test_sums_of_persons(spark):
         for (p, _), r in got.items():
             whole = [np.array([v for q, w, _, v in rows if (q, w) == (p, u)]) for u in range(3)]
             assert abs(r.x - sum(w.mean() for w in whole)) < 6 and abs(r.y - sum(w.mean() for w in whole)) < 6
+
+
+def test_sizes_are_the_persons_sums(spark):
+    """Units of one piece and of many, added up without rows for persons and iterations."""
+    rows = [(u // 3, u, i, float((u * 7919 + i * 104729) % 97) - 40) for u in range(12) for i in range(5 + u % 4)]
+    df = spark.createDataFrame(rows, "person long, unit long, sample long, v double")
+    persons = mixed.random_half_sums(df, ["unit"], "person", "v", "sample", 20, 5)
+    near = lambda d: sorted(tuple(round(r[c], 6) for c in ("iteration", "m", *mixed.SUMS)) for r in d.collect())
+    want = near(mixed.by_size(persons, ["iteration"]))
+    assert near(mixed.random_half_sizes(df, ["unit"], "person", "v", "sample", 20, 5)) == want and len(want) == 20
+    whole = halves.PIECE
+    halves.PIECE = 6
+    try:
+        assert near(mixed.random_half_sizes(df, ["unit"], "person", "v", "sample", 20, 5)) == want
+    finally:
+        halves.PIECE = whole
+
+
+def test_remainders_without_division():
+    x = np.concatenate((np.arange(5), halves.PRIME + np.arange(-2, 3), np.array([2**62 - 1, 2**62, 2**63 - 1]), np.random.default_rng(1).integers(0, 2**63 - 1, 10_000)))
+    assert (halves._rest(x) == x % halves.PRIME).all()
