@@ -2,7 +2,10 @@
 
 import numpy as np
 
-from pairwave.operators import signal, transfer
+from pyspark.sql import functions as F
+
+from pairwave.functions import stats
+from pairwave.operators import signal, synchrony, transfer
 
 
 def trials(spark):
@@ -35,3 +38,13 @@ def test_no_row_stands_for_a_state(spark):
     df = trials(spark)
     plan = transfer.transfer_of_trials(df, ["dyad", "trial"], "k", [1, 2])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def test_both_correlations_from_one_pass(spark):
+    d = trials(spark)
+    out = synchrony.spearman(d, ["dyad", "trial"], plain="r")
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    want = {r.trial: r.r for r in d.groupBy("trial").agg(stats.pearson(F.col("a"), F.col("b")).alias("r")).collect()}
+    same = lambda x: None if x is None else round(x, 12)
+    assert {r.trial: same(r.r) for r in out.collect()} == {k: same(v) for k, v in want.items()}
+    assert plan.count("Window [") == 2 and "Join" not in plan
