@@ -25,7 +25,8 @@ SAMPLES, BEATS = 65_536, 4096
 def placed(samples: DataFrame, keys: list[str], t: str = "t", x: str = "x", span: float = 3600.0) -> DataFrame:
     """keys, i, t, x of samples with a time and a value; the time of a peak is the first time plus its place over the rate."""
     rows = samples.where(F.col(t).isNotNull() & F.col(x).isNotNull()).select(*keys, F.col(t).alias("t"), F.col(x).cast("double").alias("x"))
-    out = scan.running(scan.pieces(rows, keys, "t", span), ["t", "x"], "i", F.lit(1))
+    # written, as the scan reads them twice
+    out = scan.running(scan.pieces(cut(rows), keys, "t", span), ["t", "x"], "i", F.lit(1))
     return out.select(*keys, (F.col("i") - 1).alias("i"), "t", "x")
 
 
