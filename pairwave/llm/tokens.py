@@ -2,6 +2,7 @@
 
 Encoding. The vocabulary's pattern never matches across white space, so a text's IDs are those of its white-space pieces
 one after another; the tokenizers library encodes each distinct piece once and a bounded table of pieces serves the rest.
+Where the pattern takes letters and marks apart, a word is encoded once with whatever marks it closes.
 
 Packing. A document of n IDs is cut into pieces of 4096, then into the powers of two of the remainder, largest first.
 Each piece is a sequence of its own, and sequences of equal length form a bucket: none crosses documents, none is padded.
@@ -22,7 +23,9 @@ the text of a special token of the vocabulary has that token's ID, as with a pla
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -71,9 +74,8 @@ class Pieces:
         self.used += total
         self.number.update(zip(pieces, range(first, first + len(pieces))))
 
-    def ids(self, cut: list[list]) -> list[np.ndarray]:
-        """The int32 IDs of texts that are given as lists of pieces."""
-        pieces = [p for c in cut for p in c]
+    def each(self, pieces: list) -> tuple[np.ndarray, np.ndarray]:
+        """The int32 IDs of the pieces in turn, and where each piece's begin, with their end."""
         rows = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(rows < 0)
         if len(new):
@@ -82,14 +84,30 @@ class Pieces:
             rows[new] = np.fromiter(map(self.number.__getitem__, lacking), np.int64, len(lacking))
         sizes = self.sizes[rows]
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        out = self.flat[np.repeat(self.starts[rows] - ends[:-1], sizes) + np.arange(ends[-1])]
+        out = _ranges(self.flat, self.starts[rows], sizes)
         # long texts without a place to cut count by their IDs
         if len(self.number) > MOST_PIECES or self.used > 8 * MOST_PIECES:
             self._forget()
+        return out, ends
+
+    def ids(self, cut: list[list]) -> list[np.ndarray]:
+        """The int32 IDs of texts that are given as lists of pieces."""
+        out, ends = self.each([p for c in cut for p in c])
         bounds = ends[np.concatenate(([0], np.cumsum(list(map(len, cut)), dtype=np.int64)))]
         return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def _ranges(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of flat of these starts and sizes, one after another."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+#: Small letters that no normalisation changes, and marks that close a word; each side is one match of PATTERN.
+PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALISED = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
 #: A character that stands between pieces when they are encoded together, and how many are.
 MARK, TOGETHER = "\x01", 1000
 
@@ -99,6 +117,9 @@ class Encoder:
 
     New pieces are encoded together, as one text with a mark between them. The vocabularies are of bytes, and the mark's
     byte occurs in no other character, so the mark's ID ends each piece; a piece that holds the mark is encoded alone.
+
+    If each match of PATTERN is encoded by itself and ends with a token of a suffix, then plain words and the marks behind
+    them are parts that are learnt once for all pieces, and need no mark between them.
     """
 
     def __init__(self, path: str):
@@ -113,19 +134,66 @@ class Encoder:
         self.pieces = Pieces(self._learn)
         self.mark = self._ids([MARK])[0]
         self.folds = all(self._ids([c]).tolist() == self._ids([c.lower()]).tolist() for c in ascii_uppercase)
+        #: Which IDs end a match of the pattern, if they tell.
+        self.ends = self._endings()
+        self.parts = Pieces(self._learn_parts)
+
+    def _endings(self) -> np.ndarray | None:
+        kind = json.loads(self.tokenizer.to_str())
+        split, normal, suffix = kind["pre_tokenizer"] or {}, kind["normalizer"] or {}, kind["model"].get("end_of_word_suffix")
+        first, *rest = split.get("pretokenizers") or [{}]
+        apart = first.get("pattern") == {"Regex": PATTERN} and first.get("behavior") == "Removed" and first.get("invert") is True
+        bytewise = [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
+        if not (suffix and apart and bytewise and normal.get("normalizers") == NORMALISED and kind["model"].get("dropout") is None):
+            return None
+        vocabulary = self.tokenizer.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        return ends
 
     def _ids(self, texts: list[str]) -> np.ndarray:
-        return np.concatenate([np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        return np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))])
 
     def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [p.decode("utf-8", "replace") for p in pieces]
+        if self.ends is None:
+            return self._learn_marked(texts)
+        plain, parts, other = np.ones(len(texts), bool), [], []
+        for i, x in enumerate(texts):
+            if m := PLAIN.fullmatch(x):
+                parts += m.groups()
+            else:
+                plain[i] = False
+                other.append(x)
+        known, ends = self.parts.each(parts)
+        flat, more = self._learn_marked(other)
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(ends[::2]), more
+        starts = np.zeros(len(texts), np.int64)
+        starts[plain], starts[~plain] = ends[:-1:2], len(known) + np.cumsum(more) - more
+        return _ranges(np.concatenate((known, flat)), starts, sizes), sizes
+
+    def _learn_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Parts may be empty."""
+        some = [x for x in parts if x]
+        ids = self._ids([" ".join(some[a : a + TOGETHER]) for a in range(0, len(some), TOGETHER)])
+        ends = np.flatnonzero(self.ends[ids])
+        if len(ends) != len(some):
+            raise ValueError("the vocabulary does not end each part by its suffix")
+        sizes = np.zeros(len(parts), np.int64)
+        sizes[[bool(x) for x in parts]] = np.diff(ends, prepend=-1)
+        return ids, sizes
+
+    def _learn_marked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         own = {i: self._ids([t]) for i, t in enumerate(texts) if MARK in t}
         texts = ["" if i in own else t for i, t in enumerate(texts)] if own else texts
         between = f" {MARK} "
         ids = self._ids([between.join(texts[a : a + TOGETHER]) + between for a in range(0, len(texts), TOGETHER)])
         ends = np.flatnonzero(ids == self.mark)
         sizes = np.diff(ends, prepend=-1) - 1
-        if len(sizes) != len(pieces):
+        if len(sizes) != len(texts):
             raise ValueError("the vocabulary does not keep marked pieces apart")
         if not own:
             return np.delete(ids, ends), sizes
