@@ -42,7 +42,7 @@ def _words(line: Column, most: int | None) -> Column:
     """The words of a line; most, if it has more: sums of such counts reach most where sums of the counts do."""
     if most is None:
         return F.regexp_count(line, F.lit(WORD))
-    many = f"^[{SPACE}]*(?:[^{SPACE}]+[{SPACE}]+){{{most - 1}}}[^{SPACE}]"
+    many = f"^[{SPACE}]*+(?:[^{SPACE}]++[{SPACE}]++){{{most - 1}}}+[^{SPACE}]"
     return F.when(F.regexp_like(line, F.lit(many)), most).otherwise(F.regexp_count(line, F.lit(WORD)))
 
 
@@ -51,9 +51,9 @@ def _sequence(rows: DataFrame, most: int | None = None) -> DataFrame:
     lines = F.transform(
         F.split("text", "\n"), lambda x, i: F.struct(i.alias("line"), F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"), _words(x, most).alias("n"))
     )
-    full = rows.select("doc_id", "__row", F.filter(lines, lambda x: x["n"] > 0).alias("lines")).where(F.size("lines") > 0)
-    # written, as the range shuffle reads its input twice
-    placed = with_order(cut(full), "doc_id", "__row", name="order")
+    full = rows.select("doc_id", "__row", F.filter(lines, lambda x: x["n"] > 0).alias("lines"))
+    # written, as the range shuffle reads its input twice; filtered then, as a condition on the lines would make them twice
+    placed = with_order(cut(full).where(F.size("lines") > 0), "doc_id", "__row", name="order")
     each = placed.select("order", "__row", F.size("lines").alias("size"), F.posexplode("lines").alias("i", "x"))
     # a longer text would run into the places of the next
     fits = F.when(F.col("size") < (1 << LINE_BITS), F.col("order")).otherwise(F.raise_error(F.lit(f"a text has 2^{LINE_BITS} lines or more")).cast("long"))
