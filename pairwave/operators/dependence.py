@@ -6,6 +6,7 @@ Gram matrices are sums in the JVM; Python solves systems of at most a dozen unkn
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -154,3 +155,50 @@ def cross_recurrence(pairs: DataFrame, keys: list[str], order: str, dim: int = 3
         "error": F.when((F.col("n") >= least) & F.col("varied").isNull(), "a constant series"),
     }
     return unnamed(out.select("__key", "n", *[c.alias(k) for k, c in made.items()]), keys)
+
+
+def _lengths(places: np.ndarray) -> np.ndarray:
+    """The lengths of the stretches of consecutive numbers among sorted ones."""
+    ends = np.flatnonzero(np.diff(places, append=places[-1] + 2) != 1)
+    return np.diff(ends, prepend=-1)
+
+
+def block_recurrence(a: np.ndarray, b: np.ndarray, dim: int = 3, delay: int = 1, radius: float = 0.1) -> dict[str, float]:
+    """The measures of cross_recurrence of two standardised series that are short enough for the whole picture; null ones are left out."""
+    n = len(a) - delay * (dim - 1)
+    apart = (a[:, None] - b) ** 2
+    apart = reduce(lambda u, v: u + v, [apart[j * delay : j * delay + n, j * delay : j * delay + n] for j in range(dim)])
+    i, j = np.nonzero(apart <= radius**2)
+    if not len(i):
+        return {"rr": 0.0}
+    # numbers that go on along a line and jump from one to the next
+    d, v = (_lengths(np.sort(line * 2 * n + i)) for line in (j - i, j))
+    d, v = d[d >= 2], v[v >= 2]
+    out = {"rr": len(i) / (n * n), "det": d.sum() / len(i), "l_mean": 0.0, "l_max": 0.0, "entropy": 0.0, "lam": v.sum() / len(i)}
+    if len(d):
+        lines = np.unique(d, return_counts=True)[1]
+        out |= {"l_mean": d.sum() / len(d), "l_max": float(d.max()), "entropy": np.log(len(d)) - (lines * np.log(lines)).sum() / len(d)}
+    return out | ({"tt": v.sum() / len(v)} if len(v) else {})
+
+
+def recurrence_of(trials: Callable, dim: int = 3, delay: int = 1, radius: float = 0.1, least: int = 50) -> DataFrame:
+    """cross_recurrence of trials, which are bounded: the points of one are made and counted where it is, none is shuffled.
+
+    trials: blocks.by_trial or by_block without their last two arguments.
+    """
+    names = ("rr", "det", "l_mean", "l_max", "entropy", "lam", "tt")
+
+    def kernel(place: np.ndarray, t: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+        if a.shape[1] < least:
+            return {}
+        made, error = np.full((len(names), len(a)), np.nan), np.full(len(a), None, object)
+        mean, sd = zip(*((x.mean(axis=1, keepdims=True), x.std(axis=1, keepdims=True)) for x in (a, b)))
+        varied = np.all([s > 1e-12 * (1 + np.abs(m)) for m, s in zip(mean, sd)], axis=0)[:, 0]
+        error[~varied] = "a constant series"
+        a, b = ((x - m) / np.where(s > 0, s, 1.0) for x, m, s in zip((a, b), mean, sd))
+        for i in np.flatnonzero(varied):
+            found = block_recurrence(a[i], b[i], dim, delay, radius)
+            made[:, i] = [found.get(c, np.nan) for c in names]
+        return dict(zip(names, made)) | {"error": error}
+
+    return trials(kernel, ", ".join(f"{c} double" for c in names) + ", error string")
